@@ -53,11 +53,13 @@ class RankQueue:
             rank = word
 
     def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        if not len(ranks):
+            return
         order = np.argsort(ranks, kind="stable")
         ranks, positions = ranks[order], positions[order]
-        heads = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]]) if len(ranks) else []
-        ends = [*heads[1:], len(ranks)]
-        for rank, a, b in zip(ranks[heads].tolist() if len(ranks) else [], heads, ends, strict=True):
+        heads = np.flatnonzero(np.r_[True, ranks[1:] != ranks[:-1]])
+        ends = [*heads[1:].tolist(), len(ranks)]
+        for rank, a, b in zip(ranks[heads].tolist(), heads.tolist(), ends, strict=True):
             self.push(rank, positions[a:b])
 
     def pop(self) -> tuple[int, np.ndarray] | None:
@@ -99,12 +101,10 @@ class Bpe:
         key = left * self.size + right
         order = np.argsort(key)
         self.key, self.rank = np.r_[key[order], np.iinfo(np.int64).max], np.r_[rank[order], NO_RANK]
-        single = np.array([len(t) > 1 for t, _ in sorted(ranks.items(), key=lambda x: x[1])])
-        ids = np.sort(np.fromiter(ranks.values(), np.int64))
-        longer = np.zeros(self.size, bool)
-        longer[ids[single]] = True
-        #: Whether a merge never makes a pair of lower rank: then equal ranks can merge together.
-        self.monotone = bool(np.all((rank > left) | ~longer[left]) and np.all((rank > right) | ~longer[right]))
+        #: Whether some pair with this token has a lower rank than the merge that makes it.
+        self.turns_back = np.zeros(self.size, bool)
+        self.turns_back[left[rank < left]] = True
+        self.turns_back[right[rank < right]] = True
         table = [b""] * self.size
         for t, r in ranks.items():
             table[r] = t
@@ -150,18 +150,14 @@ class Bpe:
             at = at[(current[at] == rank) & alive[at]]  # stale entries go
             if not len(at):
                 continue
-            if not self.monotone:  # one merge for each pre-token at a time
-                piece = np.searchsorted(cuts, at, "right")
-                first = np.r_[True, piece[1:] != piece[:-1]]
-                if not first.all():
-                    queue.push(rank, at[~first])
-                at = at[first]
-            elif len(at) > 1:
+            if len(at) > 1:
                 chained = np.r_[False, nxt[at[:-1]] == at[1:]]
                 if chained.any():
                     i = np.arange(len(at))
                     start = np.maximum.accumulate(np.where(chained, 0, i))
                     at = at[(i - start) % 2 == 0]
+                if self.turns_back[rank]:
+                    at = self._in_turn(queue, rank, at, token, nxt, prev, cuts)
             right = nxt[at]
             after = nxt[right]
             alive[right] = False
@@ -182,6 +178,25 @@ class Bpe:
             queue.push_all(ranks[good], touched[good])
         return token[alive].astype(np.int32), np.r_[0, np.cumsum(alive)][cuts]
 
+    def _in_turn(self, queue, rank, at, token, nxt, prev, cuts):
+        """Merges that can be made together; of a pre-token where one would
+        make a pair of lower rank, only the leftmost, and the rest wait."""
+        after, before = nxt[nxt[at]], prev[at]
+        made = np.full(len(at), rank, np.int64)
+        low = np.zeros(len(at), bool)
+        for ok, left, right in ((after >= 0, made, token[after]), (before >= 0, token[before], made)):
+            low |= ok & (self.pair_rank(left, right) < rank)
+        if self.pair_rank(made[:1], made[:1])[0] < rank:
+            low[:-1] |= after[:-1] == at[1:]
+        if not low.any():
+            return at
+        piece = np.searchsorted(cuts, at, "right")
+        first = np.r_[True, piece[1:] != piece[:-1]]
+        wait = np.isin(piece, piece[low]) & ~first
+        if wait.any():
+            queue.push(rank, at[wait])
+        return at[~wait]
+
     def _learn(self, units: list[str]) -> None:
         """Append the ids of new units, in the order of their numbers."""
         pieces, of = [], []
