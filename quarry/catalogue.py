@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.plans import log_queries, search_queries
+
+_MODULES = (search_queries, log_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
