@@ -53,16 +53,20 @@ def strip_timestamp(stem: Column) -> Column:
 
 def strip_leading_date(stem: Column) -> Column:
     """Without a leading ``YYYY-MM[-DD]`` and separator, unless nothing is left."""
-    bare = F.regexp_replace(stem, "^\\d{4}-\\d{2}(?:-\\d{2})?[-_ ]+", "")
-    return F.when(bare == "", stem).otherwise(bare)
+    bare = lambda s: F.regexp_replace(s, "^\\d{4}-\\d{2}(?:-\\d{2})?[-_ ]+", "")
+    return let(stem, lambda s: F.coalesce(F.nullif(bare(s), F.lit("")), s))
 
 
 def truncate_stem(stem: Column, limit: int = 180, floor: int = 135) -> Column:
     """At most ``limit`` characters, cut at the last separator beyond ``floor``."""
-    head = F.substring(stem, 1, limit)
-    at = F.length(head) - F.least(F.locate("-", F.reverse(head)) + F.when(F.locate("-", F.reverse(head)) == 0, 1 << 20).otherwise(0), F.locate("_", F.reverse(head)) + F.when(F.locate("_", F.reverse(head)) == 0, 1 << 20).otherwise(0))
-    cut = F.when(at >= floor, F.substring(head, F.lit(1), at.cast("int"))).otherwise(head)
-    return F.when(F.octet_length(stem) <= limit, stem).otherwise(cut)
+    far = 1 << 20
+
+    def cut(head: Column) -> Column:
+        last = lambda c: F.coalesce(F.nullif(F.locate(c, F.reverse(head)), F.lit(0)), F.lit(far))
+        at = F.length(head) - F.least(last("-"), last("_"))
+        return F.when(at >= floor, F.substring(head, F.lit(1), at.cast("int"))).otherwise(head)
+
+    return let(stem, lambda s: F.when(F.octet_length(s) <= limit, s).otherwise(let(F.substring(s, 1, limit), cut)))
 
 
 def safe_stem(x: Column) -> Column:

@@ -221,9 +221,9 @@ def layout_conflicts(spark, d):
 
 def media_tag_diff(spark, d):
     p = table(spark, d, "part")
-    first = p.groupBy("p_brand").agg(F.min_by(F.struct("p_type", "p_container", "p_mfgr"), "p_partkey").alias("f"))
+    first = p.groupBy("p_brand").agg(F.min_by(F.struct("p_type", "p_size", "p_name"), "p_partkey").alias("f"))
     differs = lambda c: F.count_if(~F.col(c).eqNullSafe(F.col(f"f.{c}"))).alias(f"n_{c}")
-    return p.join(first, "p_brand").groupBy("p_brand").agg(*map(differs, ("p_type", "p_container", "p_mfgr")))
+    return p.join(first, "p_brand").groupBy("p_brand").agg(*map(differs, ("p_type", "p_size", "p_name")))
 
 
 def weekly_activity(spark, d):
@@ -244,7 +244,7 @@ _C = f"SELECT CASE WHEN run_id % 3 = 0 THEN 'local' ELSE 'paid' END AS provider,
 _U = f"SELECT provider, model, task, count(*)::BIGINT AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum((NOT measured)::INT)::BIGINT AS unmeasured FROM ({_C}) GROUP BY ALL"
 _CAL = f"SELECT task, sum(calls - unmeasured)::BIGINT AS measured, sum(tokens_in) / sum(calls - unmeasured) AS mean_in, sum(tokens_out) / sum(calls - unmeasured) AS mean_out FROM ({_U}) GROUP BY task HAVING sum(calls - unmeasured) >= 4"
 _sql = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v)
-_P = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in PRICES) + ") AS t(provider, model, in_per_mtok, out_per_mtok, free, kind, absent_since, updated, source)"
+_P = "SELECT * REPLACE (in_per_mtok::DOUBLE AS in_per_mtok, out_per_mtok::DOUBLE AS out_per_mtok) FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in PRICES) + ") AS t(provider, model, in_per_mtok, out_per_mtok, free, kind, absent_since, updated, source)"
 _R = f"""SELECT w.provider, w.model, min_by(p.in_per_mtok, p.o) FILTER (p.o IS NOT NULL) AS in_per_mtok, arg_min_null(p.out_per_mtok, p.o) AS out_per_mtok, arg_min_null(p.free, p.o) AS free, min(p.o)::INT AS priority
     FROM (SELECT DISTINCT provider, model FROM ({_C})) w LEFT JOIN (SELECT w2.provider AS wp, w2.model AS wm, x.*, CASE WHEN x.model = w2.model AND x.provider = w2.provider THEN 0 WHEN x.model = w2.model THEN 1 WHEN x.provider = w2.provider THEN 2 ELSE 3 END AS o
     FROM (SELECT DISTINCT provider, model FROM ({_C})) w2, ({_P}) x WHERE coalesce(x.kind, 'model') = 'model' AND x.provider IN (w2.provider, '*') AND (x.model = w2.model OR (w2.provider = 'paid' AND w2.model = 'm2' AND x.model = 'Fam 4.1'))) p ON p.wp = w.provider AND p.wm = w.model GROUP BY 1, 2"""
@@ -287,7 +287,7 @@ ORACLES = {
     "transcript_budget": "WITH c AS (SELECT conv_id, turn, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) SELECT conv_id, turn, lpad((used // 60)::VARCHAR, 2, '0') || ':' || lpad((used % 60)::VARCHAR, 2, '0') AS at FROM c WHERE used <= 600",
     "sibling_hints": f"WITH n AS (SELECT doc_id, source, {_slug('text[1:50]')} AS name FROM documents), u AS (SELECT *, sum(length(name)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM n) SELECT source, doc_id, name FROM u WHERE used <= 400 AND r <= 12",
     "layout_conflicts": "WITH r(name, path) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ROOTS) + ") SELECT x.name AS name_a, y.name AS name_b, CASE WHEN x.path = y.path THEN 'equal' ELSE 'contained' END AS kind FROM r x JOIN r y ON x.name < y.name AND (x.path = y.path OR starts_with(x.path, y.path || '/') OR starts_with(y.path, x.path || '/'))",
-    "media_tag_diff": "WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS t, arg_min(p_container, p_partkey) AS c, arg_min(p_mfgr, p_partkey) AS m FROM part GROUP BY 1) SELECT p.p_brand, sum((p_type != t)::INT)::BIGINT AS n_p_type, sum((p_container != c)::INT)::BIGINT AS n_p_container, sum((p_mfgr != m)::INT)::BIGINT AS n_p_mfgr FROM part p JOIN f ON p.p_brand = f.p_brand GROUP BY 1",
+    "media_tag_diff": "WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS t, arg_min(p_size, p_partkey) AS c, arg_min(p_name, p_partkey) AS m FROM part GROUP BY 1) SELECT p.p_brand, sum((p_type != t)::INT)::BIGINT AS n_p_type, sum((p_size != c)::INT)::BIGINT AS n_p_size, sum((p_name != m)::INT)::BIGINT AS n_p_name FROM part p JOIN f ON p.p_brand = f.p_brand GROUP BY 1",
     "weekly_activity": f"SELECT strftime(to_timestamp(floor(epoch(event_time) / 604800) * 604800) AT TIME ZONE 'UTC', '%Y-%m-%d') AS week, action, count(*)::BIGINT AS n FROM ({_E}) GROUP BY 1, 2",
     "chunks_of_80": "WITH r AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 80 AS chunk FROM documents) SELECT source, chunk::BIGINT AS chunk, count(*)::BIGINT AS n FROM r GROUP BY 1, 2",
 }
