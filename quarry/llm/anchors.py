@@ -89,8 +89,9 @@ def repeated_runs(keyed: DataFrame, keys: list[str], stage: Stage, unit: str, wi
     anchors = keyed.mapInArrow(_anchor_batches(unit, window, k), "h bigint, k bigint, tk bigint, first int, n int")
     seen = stage.cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "anchors")
     per_doc = anchors.join(seen, "h").groupBy(keys).agg(F.collect_list(F.struct("h", "first", "n", "c")).alias("runs"))
+    per_doc = stage.cut(per_doc, "runs")  # its shuffles are released before the texts move
     out = stage.cut(keyed.join(per_doc, keys), "candidates")
-    stage.drop(seen)
+    stage.drop(seen, per_doc)
     return out
 
 
