@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 EVENT = "event_id string, event_time_utc string, operation_id string, action string, status string, message string, path_before string, path_after string, run_id string, _corrupt_record string"
@@ -55,8 +54,8 @@ class InventorySource(DataSource):
     def name(cls) -> str:
         return "inventory"
 
-    def schema(self) -> T.StructType:
-        return T.StructType.fromDDL("path string, size bigint, mtime double, is_symlink boolean, is_hidden boolean")
+    def schema(self) -> str:
+        return "path string, size bigint, mtime double, is_symlink boolean, is_hidden boolean"
 
     def reader(self, schema) -> DataSourceReader:
         return InventoryReader(self.options["path"])
