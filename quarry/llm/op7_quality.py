@@ -108,15 +108,24 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, host: str = "source") -> DataFrame:
-    """``docs`` without the documents that ``quality_rules`` rejects."""
-    m = text_metrics(F.col("text"))
-    failed = let(m, lambda x: base_failed(x["n_words"], x["n_repeat_words"]))
-    of_host = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
+    """``docs`` without the documents that ``quality_rules`` rejects.
+
+    The texts are measured once: a copy of ``docs`` with the verdicts is
+    staged, in which the failing documents have lost their texts.  The host
+    rates read only two of its columns.
+    """
     stage = Stage(docs.sparkSession, "quality")
-    bad = stage.cut(rejected_hosts(docs.select(of_host.alias("host"), failed.alias("base_failed"))), "hosts")
+    flag = "_failed"
+    while flag in docs.columns:
+        flag += "_"
+    failed = let(text_metrics(F.col("text")), lambda x: base_failed(x["n_words"], x["n_repeat_words"]))
+    judged = docs.withColumn(flag, failed).withColumn("text", F.when(~F.col(flag), F.col("text")))
+    judged = stage.cut(judged, "judged")
+    of_host = F.coalesce(F.col(host).cast("string"), F.lit("\x00"))
+    bad = stage.cut(rejected_hosts(judged.select(of_host.alias("host"), F.col(flag).alias("base_failed"))), "hosts")
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    return docs.filter(~failed).join(bad, of_host == bad["host"], "left_anti")
+    return judged.filter(~F.col(flag)).join(bad, of_host == bad["host"], "left_anti").drop(flag)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
