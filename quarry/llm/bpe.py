@@ -22,6 +22,7 @@ import regex
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A text falls into these units; each holds whole pre-tokens of the pattern.
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+DECODE_IDS = 1 << 18
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -88,7 +89,7 @@ class Bpe:
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, rank = [], [], []
         for token, r in ranks.items():
             for i in range(1, len(token)):
@@ -100,7 +101,7 @@ class Bpe:
         left, right, rank = (np.array(x, np.int64) for x in (left, right, rank))
         key = left * self.size + right
         order = np.argsort(key)
-        self.key, self.rank = np.r_[key[order], np.iinfo(np.int64).max], np.r_[rank[order], NO_RANK]
+        self.key, self.rank = np.r_[key[order], np.iinfo(np.int64).max], np.r_[rank[order], NO_RANK].astype(np.int32)
         #: Whether some pair with this token has a lower rank than the merge that makes it.
         self.turns_back = np.zeros(self.size, bool)
         self.turns_back[left[rank < left]] = True
@@ -124,7 +125,7 @@ class Bpe:
         self.unit_at = np.zeros(1, np.int64)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         i = np.searchsorted(self.key, key)
         return np.where(self.key[i] == key, self.rank[i], NO_RANK)
 
@@ -134,12 +135,12 @@ class Bpe:
         n = len(text)
         cuts = np.r_[0, np.cumsum([len(p) for p in pieces])].astype(np.int64)
         token = self.byte[text]
-        nxt, prev = np.arange(1, n + 2), np.arange(-1, n)
+        nxt, prev = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         nxt[cuts[1:] - 1] = -1
         nxt, prev = nxt[:n], prev[:n]
         prev[cuts[:-1]] = -1
         alive = np.ones(n, bool)
-        current = np.full(n, NO_RANK, np.int64)
+        current = np.full(n, NO_RANK, np.int32)
         has = np.flatnonzero(nxt >= 0)
         current[has] = self.pair_rank(token[has], token[has + 1])
         queue = RankQueue(self.size)
@@ -182,7 +183,7 @@ class Bpe:
         """Merges that can be made together; of a pre-token where one would
         make a pair of lower rank, only the leftmost, and the rest wait."""
         after, before = nxt[nxt[at]], prev[at]
-        made = np.full(len(at), rank, np.int64)
+        made = np.full(len(at), rank, np.int32)
         low = np.zeros(len(at), bool)
         for ok, left, right in ((after >= 0, made, token[after]), (before >= 0, token[before], made)):
             low |= ok & (self.pair_rank(left, right) < rank)
@@ -247,10 +248,14 @@ class Bpe:
         return ids, ends[np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)]
 
     def decode(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, cuts) of id sequences bounded by ``cuts``."""
-        at = self.token_at[ids]
-        size = self.token_at[ids + 1] - at
-        return self.token_bytes[gather(at, size)], np.r_[0, np.cumsum(size)][cuts]
+        """(bytes, cuts) of id sequences bounded by ``cuts``, DECODE_IDS ids at a time."""
+        parts = []
+        for a in range(0, len(ids), DECODE_IDS):
+            some = ids[a : a + DECODE_IDS]
+            at = self.token_at[some]
+            parts.append(self.token_bytes[gather(at, self.token_at[some + 1] - at)])
+        size = self.token_at[ids + 1] - self.token_at[ids]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.r_[0, np.cumsum(size)][cuts]
 
 
 def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -258,7 +263,11 @@ def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     total = int(size.sum())
     if not total:
         return np.zeros(0, np.int64)
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
+    end = int((start + size).max())
+    kind = np.int32 if max(total, end) <= np.iinfo(np.int32).max else np.int64
+    out = np.repeat((start - (np.cumsum(size) - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 _loaded: dict[tuple[str, str], Bpe] = {}

@@ -12,7 +12,7 @@ from .bpe import loaded
 from .staging import NO_ID, from_key, table
 from .vectext import slices, text_column
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 
 def ranks_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
