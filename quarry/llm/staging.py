@@ -17,7 +17,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEAN = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 _own_dir: str | None = None
 NO_ID = -(1 << 63)
 
@@ -33,13 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def released_shuffles(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def lean(spark: SparkSession) -> Iterator[None]:
+    """While a table is staged: shuffle files are released, Arrow batches are small."""
+    before = {key: spark.conf.get(key, None) for key in _LEAN}
+    for key, value in _LEAN.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 class Stage:
@@ -53,7 +62,7 @@ class Stage:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
-        with released_shuffles(self.spark):
+        with lean(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
