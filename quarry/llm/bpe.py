@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import re
+from itertools import islice
 
 import numpy as np
 import regex
@@ -82,10 +83,18 @@ class RankQueue:
         return rank, held[0] if len(held) == 1 else np.unique(np.concatenate(held))
 
 
+class Numbers(dict):
+    """Numbers units in the order in which they are first looked up."""
+
+    def __missing__(self, unit: str) -> int:
+        i = self[unit] = len(self)
+        return i
+
+
 class Bpe:
     """Encoder and decoder for a file of ranks (base64 token, rank per line)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, units: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, units: int = 100_000):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
@@ -120,7 +129,7 @@ class Bpe:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}, pattern)
 
     def forget(self) -> None:
-        self.cache: dict[str, int] = {}
+        self.cache = Numbers()
         self.unit_ids = np.zeros(0, np.int32)
         self.unit_at = np.zeros(1, np.int64)
 
@@ -222,25 +231,13 @@ class Bpe:
         """(ids, cuts) of whole texts; equal units of the batch are encoded once."""
         if len(self.cache) > self.limit:
             self.forget()
-        new: list[str] = []
-        cache = self.cache
-
-        class Numbers(dict):
-            def __missing__(self, unit):
-                i = cache.get(unit)
-                if i is None:
-                    i = cache[unit] = len(cache)
-                    new.append(unit)
-                self[unit] = i
-                return i
-
-        number = Numbers()
+        cache, known = self.cache, len(self.cache)
         parts = []
         for text in texts:
             found = UNITS.findall(text)
-            parts.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
-        if new:
-            self._learn(new)
+            parts.append(np.fromiter(map(cache.__getitem__, found), np.int32, len(found)))
+        if len(cache) > known:
+            self._learn(list(islice(cache, known, None)))
         units = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         size = self.unit_at[units + 1] - self.unit_at[units]
         ids = self.unit_ids[gather(self.unit_at[units], size)]
