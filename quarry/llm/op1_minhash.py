@@ -16,6 +16,7 @@ from .vectext import U64, Words, mix, slices, text_column
 SHINGLE = 5
 #: threshold in per cent -> (rows of a band, bands): a pair at the threshold shares no band with probability under 1e-5.
 BANDING = {85: (8, 40), 80: (7, 50)}
+SKETCH_ROWS = 1 << 11  # documents sketched at a time
 STEP = 32  # hashes compared at a time
 MISS = 1e-6  # posterior probability below which a pair is given up
 BLOCK = 256  # documents on one side of a block comparison
@@ -54,7 +55,7 @@ def _sketch_batches(rows: int, bands: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_column(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, rows=SKETCH_ROWS):
                 h, counts = shingle_sets(data, offsets, a, b)
                 full = np.flatnonzero(counts)
                 first = (np.cumsum(counts) - counts)[full]
@@ -67,7 +68,9 @@ def _sketch_batches(rows: int, bands: int):
                     v = (h >> U64(32)).astype(np.uint32)
                     for i in range(k):
                         least[full, i] = np.minimum.reduceat((v ^ xor[i]) * mul[i], first)
-                keys = (mix(least.reshape(b - a, bands, rows).astype(U64) + weights) * weights).sum(2)
+                keys = np.zeros((b - a, bands), U64)
+                for i in range(rows):
+                    keys += mix(least[:, i::rows].astype(U64) + weights[i]) * weights[i]
                 keys = mix(keys + np.arange(bands, dtype=U64) * U64(0x9E3779B97F4A7C15))
                 sig = ((least * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
                 cut = pa.py_buffer((np.arange(b - a + 1) * k).astype(np.int32).tobytes())

@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = 1 << 13
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F | 1)
 _MASK = (1 << 64) - 1
@@ -65,12 +66,12 @@ def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """Row ranges (a, b) whose texts hold at most ``limit`` bytes, or one row."""
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS):
+    """Row ranges (a, b) of at most ``rows`` rows and ``limit`` bytes, or one row."""
     a, n = 0, len(offsets) - 1
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + rows, n)
         yield a, b
         a = b
 
