@@ -15,7 +15,7 @@ from .suffixes import suffix_array
 from .vectext import U64, Powers, text_column
 
 WINDOW, GRAM = 100, 24
-SHARD_BYTES = 1 << 20  # text of one suffix array
+SHARD_BYTES = 1 << 18  # text of one suffix array
 HOT = 8_000  # slices of one anchor in one shard at most, about
 _second_powers = Powers(0x9FB21C651E98DF25)
 
@@ -62,29 +62,40 @@ def _shard(rows: list[pa.RecordBatch], window: int):
     k, tk, first, n = (t.column(x).to_numpy() for x in ("k", "tk", "first", "n"))
     hot, body = t.column("hot").to_numpy(), t.column("slice").to_pylist()
     order = np.lexsort((first, tk, k))
+    doc = np.empty(len(k), np.int64)  # rank of each document
+    doc[order] = np.cumsum(np.r_[False, (k[order[1:]] != k[order[:-1]]) | (tk[order[1:]] != tk[order[:-1]])])
+    place = (doc << 32) | first
     earliest: dict[bytes, int] = {}
     rep = np.empty(len(k), np.int64)
     for i in order.tolist():
         rep[i] = earliest.setdefault(body[i], i)
     own = np.arange(len(k))
-    later = (rep != own) & ((k != k[rep]) | (tk != tk[rep]) | (first != first[rep]))
+    later = place != place[rep]
     reps = np.flatnonzero(rep == own)
     text = np.frombuffer(b"".join([body[i] for i in reps.tolist()]), np.uint8)
-    cuts = np.r_[0, np.cumsum([len(body[i]) for i in reps.tolist()])]
+    size = np.array([len(body[i]) for i in reps.tolist()], np.int64)
+    cuts = np.r_[0, np.cumsum(size)]
     sa, lcp = suffix_array(text, cuts)
     group = np.cumsum(lcp < window)
-    of = np.searchsorted(cuts, sa, "right") - 1
-    off = sa - cuts[of]
+    fits = np.repeat(cuts[:-1] + n[reps], size)[sa] > sa  # places where a whole window fits
+    group, at = group[fits], sa[fits]
+    of = np.repeat(np.arange(len(reps)), size)[at]
+    # groups of windows that may also lie in other shards: their first places go on
+    group_hot = np.zeros(len(group), bool)
+    if hot.any():
+        anywhere = np.zeros(len(k), bool)
+        anywhere[rep[hot]] = True
+        group_hot = (np.bincount(group, weights=anywhere[reps[of]]) > 0)[group]
+    several = np.flatnonzero((np.bincount(group)[group] > 1) | group_hot)
+    group, at, of, group_hot = group[several], at[several], of[several], group_hot[several]
     src = reps[of]
-    starts = off < n[src]  # places where a whole window fits
-    group, off, src, at = group[starts], off[starts], src[starts], sa[starts]
-    where = first[src] + off
-    order = np.lexsort((where, tk[src], k[src], group))
-    group, src, where, at = group[order], src[order], where[order], at[order]
+    spot = place[src] + (at - cuts[of])
+    order = np.lexsort((spot, group))
+    group, src, spot, at, group_hot = group[order], src[order], spot[order], at[order], group_hot[order]
     head = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
     lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(group) else np.zeros(0, np.int64)
-    same_place = (k[src] == k[src[lead]]) & (tk[src] == tk[src[lead]]) & (where == where[lead])
-    gone = ~head & ~same_place
+    gone = spot != spot[lead]
+    where = spot & 0xFFFFFFFF
     hits = np.lexsort((where[gone], src[gone]))
     hs, hw = src[gone][hits], where[gone][hits]
     new = np.flatnonzero(np.r_[True, (hs[1:] != hs[:-1]) | (hw[1:] != hw[:-1] + 1)]) if len(hs) else np.zeros(0, np.int64)
@@ -92,12 +103,7 @@ def _shard(rows: list[pa.RecordBatch], window: int):
     x = np.r_[np.flatnonzero(later), hs[new]]
     nothing = np.zeros(len(x), np.int64)
     yield k[x], tk[x], np.r_[first[later], hw[new]], np.r_[n[later], lens], nothing, nothing
-    # first places of windows that may also lie in other shards
-    anywhere = np.zeros(len(reps), bool)
-    anywhere[np.searchsorted(reps, rep[hot])] = True
-    lead = np.flatnonzero(head)
-    group_hot = np.zeros(len(group), bool)
-    group_hot[lead] = np.bitwise_or.reduceat(anywhere[np.searchsorted(reps, src)], lead) if len(lead) else False
+    group_hot &= head
     if group_hot.any():
         src, where, at = src[group_hot], where[group_hot], at[group_hot]
         w1, w2 = byte_grams(text, window)[at], byte_grams(text, window, _second_powers)[at]

@@ -37,7 +37,7 @@ def suffix_array(text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
     of = np.repeat(np.arange(s), size)
     end = np.repeat(cuts[1:], size)
     key = _keys(text, end)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     new = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
     group = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
@@ -51,7 +51,7 @@ def suffix_array(text: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.nda
         inside = nxt < end[pos]
         second = np.where(inside, rank[np.minimum(nxt, n - 1)] + s, of[pos])
         first = rank[pos]
-        order = np.argsort(first * (n + s) + second, kind="stable")
+        order = np.argsort(first * (n + s) + second)
         pos, first, second = pos[order], first[order], second[order]
         sa[active] = pos
         new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
