@@ -26,7 +26,8 @@ SENSITIVE = {
 # Literals that stand for a secret without being one.
 PLACEHOLDERS = {"", "none", "null", "true", "false", "changeme", "change_me", "example", "your_password", "placeholder", "todo", "xxx"}
 
-PAIR = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,80})["']?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}(?:"([^"\n]{1,400})"|'([^'\n]{1,400})'|([^\s"',;#]{1,400}))""")
+# Runs are taken whole and without stepping back, from the start of a name on, so a scan is linear.
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;#]++))""")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
 MIN_SCORE, MIN_LITERAL = 4.0, 8

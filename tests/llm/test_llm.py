@@ -210,6 +210,23 @@ def test_secrets(spark):
     assert scan("no secrets here") == []
 
 
+def test_secrets_of_any_length():
+    import time
+
+    from quarry.llm.op10_secrets import lexed, redact, scan
+
+    rng = random.Random(7)
+    long = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600))
+    for before, after in (('private_key = "', '"\n'), ("private_key = '", "'\n"), ("private_key = ", "\n"), ("db_pwd" + " " * 30 + "=\t" + " " * 30 + '"', '"'), ("x" * 90 + '_pwd = "', '"'), ("--db-pwd=", "")):
+        text = before + long + after
+        assert [(a, b) for a, b, _ in lexed(text)] == [(len(before), len(before) + 600)]
+        assert redact(text, scan(text)) == before + "[lexed]" + after
+    start = time.process_time()
+    for text in ("a" * 10**6, "a-" * 500_000, "1." * 500_000, "a " * 500_000, 'a="' * 300_000, "a" + " " * 10**6, "a= " * 300_000, "a='" + "b=" * 500_000):
+        lexed(text)
+    assert time.process_time() - start < 60
+
+
 def test_rows_that_share_an_id(spark, texts):
     from quarry.llm.op1_minhash import drop_near_duplicates, near_duplicates
     from quarry.llm.op2_windows import substring_dedup
