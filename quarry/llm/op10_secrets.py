@@ -31,6 +31,7 @@ PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
 MIN_SCORE, MIN_LITERAL = 4.0, 8
+MAX_LITERAL_WEIGHT = 3.0
 
 
 def name_weight(name: str) -> float:
@@ -74,7 +75,7 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
                     reached.add(target)
                     todo.append(target)
         weight = max(map(name_weight, reached))
-        if weight < 2:
+        if not weight or weight + MAX_LITERAL_WEIGHT < MIN_SCORE:
             continue
         for start, end, value in places:
             if value in literals:  # a constant's name; its literal is judged instead

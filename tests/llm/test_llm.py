@@ -227,6 +227,19 @@ def test_secrets_of_any_length():
     assert time.process_time() - start < 60
 
 
+def test_secrets_of_weak_names():
+    from quarry.llm import op10_secrets
+    from quarry.llm.op10_secrets import SENSITIVE, lexed, literal_weight, redact, scan
+
+    for name in ("encryption_key", "signing_key", "accessKey", "private_key"):
+        text = f'{name} = "aB3xK9pQ7zLm2Ty5"'
+        assert redact(text, scan(text)) == f'{name} = "[lexed]"'
+    assert lexed('encryption_key = "abcdefgh"') == lexed('key = "aaaabbbbccccdddd"') == lexed('colour = "aB3xK9pQ7zLm2Ty5"') == []
+    strong = "aB3-xK9_pQ7.zLm2Ty5"
+    assert literal_weight(strong) == op10_secrets.MAX_LITERAL_WEIGHT
+    assert all(lexed(f'{w} = "{strong}"') for w in SENSITIVE)
+
+
 def test_rows_that_share_an_id(spark, texts):
     from quarry.llm.op1_minhash import drop_near_duplicates, near_duplicates
     from quarry.llm.op2_windows import substring_dedup
