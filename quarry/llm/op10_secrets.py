@@ -26,8 +26,14 @@ SENSITIVE = {
 # Literals that stand for a secret without being one.
 PLACEHOLDERS = {"", "none", "null", "true", "false", "changeme", "change_me", "example", "your_password", "placeholder", "todo", "xxx"}
 
+# Names whose quoted literals may hold blanks, and types that are no constants.
+PHRASES = {"password", "passwd", "pwd", "passphrase"}
+TYPES = {"str", "string", "String", "bytes", "Text", "text", "any", "Any", "object", "Object", "char", "AnyStr", "CharSequence"}
+
 # Runs are taken whole and without stepping back, from the start of a name on, so a scan is linear.
-PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"([^"\n]++)"|'([^'\n]++)'|([^\s"',;#]++))""")
+HEAD = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(:=|=>|[:=])[ \t]*+""")
+VALUE = re.compile(r""""([^"\n]++)"|'([^'\n]++)'|([^\s"',;#]++)""")
+TYPE_PART = re.compile(r"""[ \t]*+(?:((?:'[a-z_]\w*+[ \t]++|mut[ \t]++|const[ \t]++|dyn[ \t]++)*+[A-Za-z_][\w.]*+(?:::[A-Za-z_][\w.]*+)*+|"[^":\n]*+"|'[^':\n]*+')|([\[<({])|([\]>)}])|([|&*?!]|->)|([,;]|\d++)|(=(?![=>])))""")
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
 MIN_SCORE, MIN_LITERAL = 4.0, 8
@@ -41,9 +47,9 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(w, 0) for w in words + joined), default=0) + 0.5 * (sum(w in SENSITIVE for w in words) > 1)
 
 
-def literal_weight(text: str) -> float:
+def literal_weight(text: str, blanks: bool = False) -> float:
     """How much a literal looks like a secret: its length, mix and entropy."""
-    if len(text) < MIN_LITERAL or text.lower() in PLACEHOLDERS or len(set(text)) < 4 or any(c.isspace() for c in text):
+    if len(text) < MIN_LITERAL or text.lower() in PLACEHOLDERS or len(set(text)) < 4 or (not blanks and any(c.isspace() for c in text)):
         return -10.0
     n = len(text)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
@@ -51,6 +57,82 @@ def literal_weight(text: str) -> float:
     return (entropy >= 2.8) + (n >= 16) + 0.5 * (kinds >= 2) + 0.5 * (kinds >= 3)
 
 
+def phrase_name(name: str) -> bool:
+    words = [w.lower() for w in NAME_WORDS.findall(name)]
+    return not PHRASES.isdisjoint(words + [a + b for a, b in zip(words, words[1:])])
+
+
+def annotated(text: str, at: int) -> tuple[int, str] | None:
+    """(start of the value, type if it is one word) where ``at`` begins a type and ``=`` follows it in the line.
+
+    ``=`` after the type without a blank needs a quote after it: it may pad base64.
+    """
+    depth, words, after_word, start = 0, 0, False, at
+    only = ""
+    while m := TYPE_PART.match(text, at):
+        at = m.end()
+        if m[1]:
+            if depth == 0 and after_word:  # two words: no type
+                return None
+            words, after_word, only = words + 1, True, m[1]
+        elif m[2]:
+            depth += 1
+        elif m[3]:
+            depth -= 1
+        elif m[5]:
+            if depth == 0:
+                return None
+        elif m[6]:
+            if depth == 0:
+                blank = text[m.start()] in " \t"
+                while text[at : at + 1] in (" ", "\t"):
+                    at += 1
+                if not words or not (blank or text[at : at + 1] in ("'", '"')):
+                    return None
+                return at, only if text[start : m.start()] == only else ""
+        elif depth == 0:
+            after_word = False
+        if depth < 0:
+            return None
+    return None
+
+
+def pairs(text: str):
+    """(names, start, end, value, quoted) of assignments; a null value is the name of the target that follows.
+
+    A type annotation between name and literal is passed over.  Targets inside
+    an unquoted value have pairs of their own, up to the next target.
+    """
+    run = 0  # where the unquoted value ends that was taken last
+    m = HEAD.search(text)
+    while m:
+        names, at = [m[1]], m.end()
+        if m[2] == ":" and (typed := annotated(text, at)):
+            at = typed[0]
+            if typed[1] and typed[1] not in TYPES and IDENTIFIER.fullmatch(typed[1]):
+                names.append(typed[1])
+        if at < run:
+            m = HEAD.search(text, at)
+            end = min(run, m.start()) if m else run
+            if m and m.start() == at:
+                yield names, at, at, m[1], None
+            elif at < end:
+                yield names, at, end, text[at:end], False
+            continue
+        v = VALUE.match(text, at)
+        if v is None:
+            m = HEAD.search(text, at)
+        elif v[3] is None:
+            yield names, v.start() + 1, v.end() - 1, v[1] or v[2], True
+            m = HEAD.search(text, v.end())
+        else:
+            run = v.end()
+            yield names, at, run, v[3], False
+            m = HEAD.search(text, at)
+            if m and m.start() == at and m[1] != v[3]:
+                yield names, at, at, m[1], None
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name.
 
@@ -58,31 +140,40 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
     is the bare name of an earlier or later constant passes its target's name
     on to the literal of that constant, through any number of steps.
     """
-    literals: dict[str, list[tuple[int, int, str]]] = {}
-    links: dict[str, set[str]] = {}  # constant -> targets that take its value
-    for m in PAIR.finditer(text):
-        group = 2 if m[2] is not None else 3 if m[3] is not None else 4
-        value = m[group]
-        if group == 4 and IDENTIFIER.fullmatch(value):
-            links.setdefault(value, set()).add(m[1])
-        literals.setdefault(m[1], []).append((m.start(group), m.end(group), value))
-    found: dict[tuple[int, int], float] = {}
-    for name, places in literals.items():
-        reached, todo = {name}, [name]
+    literals: dict[str, list[tuple[int, int, str, bool]]] = {}
+    passes: dict[str, set[str]] = {}  # target -> constants whose value it takes
+    for names, start, end, value, quoted in pairs(text):
+        for name in names:
+            if not quoted and IDENTIFIER.fullmatch(value):
+                passes.setdefault(name, set()).add(value)
+            if quoted is not None:
+                literals.setdefault(name, []).append((start, end, value, quoted))
+    own = {name: name_weight(name) for name in {*literals, *passes}}
+    weights: dict[str, float] = {}
+    phrases: set[str] = set()
+    for name in sorted(own, key=own.__getitem__, reverse=True):
+        if not own[name] or own[name] + MAX_LITERAL_WEIGHT < MIN_SCORE:
+            break
+        todo = [name]
         while todo:
-            for target in links.get(todo.pop(), ()):
-                if target not in reached:
-                    reached.add(target)
-                    todo.append(target)
-        weight = max(map(name_weight, reached))
-        if not weight or weight + MAX_LITERAL_WEIGHT < MIN_SCORE:
-            continue
-        for start, end, value in places:
+            x = todo.pop()
+            if x not in weights:
+                weights[x] = own[name]
+                todo += passes.get(x, ())
+    todo = [x for x in weights if phrase_name(x)]
+    while todo:
+        x = todo.pop()
+        if x not in phrases:
+            phrases.add(x)
+            todo += passes.get(x, ())
+    found: dict[tuple[int, int], float] = {}
+    for name, weight in weights.items():
+        for start, end, value, quoted in literals.get(name, ()):
             if value in literals:  # a constant's name; its literal is judged instead
                 continue
-            score = weight + literal_weight(value)
+            score = weight + literal_weight(value, quoted and name in phrases)
             if score >= MIN_SCORE:
-                found[start, end] = score
+                found[start, end] = max(score, found.get((start, end), score))
     return [(a, b, s) for (a, b), s in found.items()]
 
 

@@ -240,6 +240,29 @@ def test_secrets_of_weak_names():
     assert all(lexed(f'{w} = "{strong}"') for w in SENSITIVE)
 
 
+def test_secrets_in_source_syntax():
+    import time
+
+    from quarry.llm.op10_secrets import lexed, redact, scan
+
+    key, words = "aB3xK9pQ7zLm2Ty5", "correct horse battery staple"
+    for line in (
+        'db_pwd: str = "{}"', 'const pwd: string = "{}"', 'pwd = DB_X = "{}"', 'pwd=b=c="{}"', 'pwd: Optional[str] = "{}"', 'pwd: dict[str, list[str]] = "{}"',
+        'pwd: str | None = \'{}\'', "const PWD: &'static str = \"{}\";", 'pwd: "str" = "{}"', 'pwd: std::string::String = "{}"', 'f(name: int, pwd: str = "{}")',
+        'note: pwd = "{}"', "ERROR: pwd: {}", 'c = connect(h, pwd="{}")', 'c = connect(pwd = "{}")', 'x: {{pwd: "{}"}}', 'X = "{}"\npwd = Y = X', "auth: {}=",
+    ):
+        text = line.format(key)
+        assert key not in redact(text, scan(text)) and [text[a:b].rstrip("=") for a, b, _ in lexed(text)] == [key], text
+    for line in ('pwd = "{}"', "my_passphrase: '{}'", 'X = "{}"\npass_phrase = X', 'password: str = "{}"'):
+        text = line.format(words)
+        assert [text[a:b] for a, b, _ in lexed(text)] == [words], text
+    assert lexed(f'def f(pwd: str):\n    name: str = "{key}"') == lexed(f'api_token = "{words}"') == lexed(f"pwd = {words}") == []
+    start = time.process_time()
+    for text in ("a:" * 300_000, "a: " * 300_000, 'a: b["' * 200_000, "a:" + "b|" * 400_000, "a: b<" + "([" * 300_000, "".join(f"a{i} = " for i in range(200_000)), "".join(f"a{i}=" for i in range(200_000))):
+        lexed(text)
+    assert time.process_time() - start < 120
+
+
 def test_rows_that_share_an_id(spark, texts):
     from quarry.llm.op1_minhash import drop_near_duplicates, near_duplicates
     from quarry.llm.op2_windows import substring_dedup
