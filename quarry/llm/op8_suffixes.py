@@ -146,8 +146,8 @@ def _shard_batches(window: int):
 def _merge_batches(batches):
     """Of windows sorted by hash and place, those whose like also starts earlier.
 
-    The list of a partition is sorted, so the first place of each window is
-    found by binary search; the last window of a batch is carried to the next.
+    The list of a partition is sorted, so runs begin where neighbours differ and
+    a row's run is looked up there; the last window of a batch is carried to the next.
     """
     tail = None
     for batch in batches:
