@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lexer import Reader
 from .staging import NO_ID, from_key, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -26,16 +29,12 @@ SENSITIVE = {
 # Literals that stand for a secret without being one.
 PLACEHOLDERS = {"", "none", "null", "true", "false", "changeme", "change_me", "example", "your_password", "placeholder", "todo", "xxx"}
 
-# Names whose quoted literals may hold blanks, and types that are no constants.
+# Names whose quoted literals may hold blanks.
 PHRASES = {"password", "passwd", "pwd", "passphrase"}
-TYPES = {"str", "string", "String", "bytes", "Text", "text", "any", "Any", "object", "Object", "char", "AnyStr", "CharSequence"}
 
-# Runs are taken whole and without stepping back, from the start of a name on, so a scan is linear.
-HEAD = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+(:=|=>|[:=])[ \t]*+""")
-VALUE = re.compile(r""""([^"\n]++)"|'([^'\n]++)'|([^\s"',;#]++)""")
-TYPE_PART = re.compile(r"""[ \t]*+(?:((?:'[a-z_]\w*+[ \t]++|mut[ \t]++|const[ \t]++|dyn[ \t]++)*+[A-Za-z_][\w.]*+(?:::[A-Za-z_][\w.]*+)*+|"[^":\n]*+"|'[^':\n]*+')|([\[<({])|([\]>)}])|([|&*?!]|->)|([,;]|\d++)|(=(?![=>])))""")
+# No name without one of these has a weight.
+HINT = re.compile("pass|pwd|secret|api|credential|token|private|auth|bearer|access|key|signing|encryption", re.I)
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*")
 MIN_SCORE, MIN_LITERAL = 4.0, 8
 MAX_LITERAL_WEIGHT = 3.0
 
@@ -62,118 +61,44 @@ def phrase_name(name: str) -> bool:
     return not PHRASES.isdisjoint(words + [a + b for a, b in zip(words, words[1:])])
 
 
-def annotated(text: str, at: int) -> tuple[int, str] | None:
-    """(start of the value, type if it is one word) where ``at`` begins a type and ``=`` follows it in the line.
-
-    ``=`` after the type without a blank needs a quote after it: it may pad base64.
-    """
-    depth, words, after_word, start = 0, 0, False, at
-    only = ""
-    while m := TYPE_PART.match(text, at):
-        at = m.end()
-        if m[1]:
-            if depth == 0 and after_word:  # two words: no type
-                return None
-            words, after_word, only = words + 1, True, m[1]
-        elif m[2]:
-            depth += 1
-        elif m[3]:
-            depth -= 1
-        elif m[5]:
-            if depth == 0:
-                return None
-        elif m[6]:
-            if depth == 0:
-                blank = text[m.start()] in " \t"
-                while text[at : at + 1] in (" ", "\t"):
-                    at += 1
-                if not words or not (blank or text[at : at + 1] in ("'", '"')):
-                    return None
-                return at, only if text[start : m.start()] == only else ""
-        elif depth == 0:
-            after_word = False
-        if depth < 0:
-            return None
-    return None
-
-
-def pairs(text: str):
-    """(names, start, end, value, quoted) of assignments; a null value is the name of the target that follows.
-
-    A type annotation between name and literal is passed over.  Targets inside
-    an unquoted value have pairs of their own, up to the next target.
-    """
-    run = 0  # where the unquoted value ends that was taken last
-    m = HEAD.search(text)
-    while m:
-        names, at = [m[1]], m.end()
-        if m[2] == ":" and (typed := annotated(text, at)):
-            at = typed[0]
-            if typed[1] and typed[1] not in TYPES and IDENTIFIER.fullmatch(typed[1]):
-                names.append(typed[1])
-        if at < run:
-            m = HEAD.search(text, at)
-            end = min(run, m.start()) if m else run
-            if m and m.start() == at:
-                yield names, at, at, m[1], None
-            elif at < end:
-                yield names, at, end, text[at:end], False
-            continue
-        v = VALUE.match(text, at)
-        if v is None:
-            m = HEAD.search(text, at)
-        elif v[3] is None:
-            yield names, v.start() + 1, v.end() - 1, v[1] or v[2], True
-            m = HEAD.search(text, v.end())
-        else:
-            run = v.end()
-            yield names, at, run, v[3], False
-            m = HEAD.search(text, at)
-            if m and m.start() == at and m[1] != v[3]:
-                yield names, at, at, m[1], None
-
-
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name.
 
-    Name-literal pairs come from source and configuration syntax.  A value that
-    is the bare name of an earlier or later constant passes its target's name
-    on to the literal of that constant, through any number of steps.
+    Name-literal pairs come from ``lexer.Reader``.  A value that names a
+    constant passes its target's name on to the literals of that constant, in
+    the nearest scope around it, through any number of steps.  The parts of a
+    joined literal are judged as one and reported each.
     """
-    literals: dict[str, list[tuple[int, int, str, bool]]] = {}
-    passes: dict[str, set[str]] = {}  # target -> constants whose value it takes
-    for names, start, end, value, quoted in pairs(text):
-        for name in names:
-            if not quoted and IDENTIFIER.fullmatch(value):
-                passes.setdefault(name, set()).add(value)
-            if quoted is not None:
-                literals.setdefault(name, []).append((start, end, value, quoted))
-    own = {name: name_weight(name) for name in {*literals, *passes}}
-    weights: dict[str, float] = {}
-    phrases: set[str] = set()
-    for name in sorted(own, key=own.__getitem__, reverse=True):
-        if not own[name] or own[name] + MAX_LITERAL_WEIGHT < MIN_SCORE:
+    if not HINT.search(text):
+        return []
+    read = Reader(text)
+    own = {key: name_weight(key[1]) for key in read.bindings}
+    weights: dict[tuple[int, str], float] = {}
+    phrases: set[tuple[int, str]] = set()
+    for start in sorted(own, key=own.__getitem__, reverse=True):
+        if not own[start] or own[start] + MAX_LITERAL_WEIGHT < MIN_SCORE:
             break
-        todo = [name]
+        todo = [start]
         while todo:
-            x = todo.pop()
-            if x not in weights:
-                weights[x] = own[name]
-                todo += passes.get(x, ())
-    todo = [x for x in weights if phrase_name(x)]
+            key = todo.pop()
+            if key not in weights:
+                weights[key] = own[start]
+                todo += [x for scope, name in read.bindings[key].refs for x in read.resolve(scope, name)]
+    todo = [key for key in weights if phrase_name(key[1])]
     while todo:
-        x = todo.pop()
-        if x not in phrases:
-            phrases.add(x)
-            todo += passes.get(x, ())
+        key = todo.pop()
+        if key not in phrases:
+            phrases.add(key)
+            todo += [x for scope, name in read.bindings[key].refs for x in read.resolve(scope, name)]
     found: dict[tuple[int, int], float] = {}
-    for name, weight in weights.items():
-        for start, end, value, quoted in literals.get(name, ()):
-            if value in literals:  # a constant's name; its literal is judged instead
+    for key, weight in weights.items():
+        for literal in read.bindings[key].literals:
+            if not literal.quoted and literal.value in read.where:  # a constant's name; its literal is judged instead
                 continue
-            score = weight + literal_weight(value, quoted and name in phrases)
+            score = weight + literal_weight(literal.value, literal.quoted and key in phrases)
             if score >= MIN_SCORE:
-                found[start, end] = max(score, found.get((start, end), score))
+                for span in literal.spans:
+                    found[span] = max(score, found.get(span, score))
     return [(a, b, s) for (a, b), s in found.items()]
 
 
@@ -186,8 +111,11 @@ def scan(text: str) -> list[tuple[str, int, int, float]]:
         spans += [("access", m.start(), m.end(), 10.0) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     spans += [("hex", m.start(), m.end(), 5.0) for m in HEX.finditer(text)]
     if "=" in text or ":" in text:
-        base = [(a, b) for _, a, b, _ in spans]
-        spans += [("lexed", a, b, s) for a, b, s in lexed(text) if not any(x <= a and b <= y for x, y in base)]
+        base = sorted((a, b) for _, a, b, _ in spans)
+        starts = [a for a, _ in base]
+        reach = list(accumulate((b for _, b in base), max))  # the farthest end of the spans up to each
+        within = lambda a, b: (i := bisect_right(starts, a)) > 0 and reach[i - 1] >= b
+        spans += [("lexed", a, b, s) for a, b, s in lexed(text) if not within(a, b)]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

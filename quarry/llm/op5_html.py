@@ -1,72 +1,96 @@
-"""Main text of HTML pages: structure first, nearest-URL differencing for the rest."""
+"""Main text of HTML pages by differencing against the nearest URLs of the host."""
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import NO_ID, from_key, table
+from .staging import NO_ID, Stage, from_key, table
 
 # Elements by what they do to text.
-DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "svg", "button", "select", "textarea", "dialog", "head", "title", "object", "canvas", "menu"}
+SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "head", "title", "object", "canvas"}
+DROPPED = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-# Words of class, id and role that mark what is no main text.
-BOILERPLATE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "notices", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "disqus", "share", "sharing", "social", "related", "newsletter", "subscribe", "popup", "modal", "footer", "header", "masthead", "pagination", "contentinfo", "complementary", "search"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
+# Class, id and role tokens that mark what is no main text; a token may also join
+# several of them, or one of them and words of place, with hyphens or underscores.
+COMMENTS = {"comment", "comments", "disqus", "commentlist"}
+BOILERPLATE = COMMENTS | {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "notices", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "related", "newsletter", "subscribe", "popup", "modal", "footer", "header", "masthead", "pagination", "contentinfo", "complementary", "search"}
+PLACES = {"site", "page", "main", "top", "bottom", "left", "right", "list", "box", "bar", "links", "area", "section", "container", "wrapper", "widget", "block", "global", "primary", "secondary", "form", "buttons", "items"}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-WORD = re.compile(r"[a-z]+")
+MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+PARTS = re.compile(r"[-_]+")
 
+OTHER, INSIDE, GONE = 0, 1, 2  # what the structure says of a line: nothing, in the article, no main text
 
-def _marked(attributes: str) -> bool:
-    return any(not BOILERPLATE.isdisjoint(WORD.findall((m[1] or m[2] or m[3] or "").lower())) for m in MARKS.finditer(attributes))
 
+def marks(name: str, attributes: str) -> set[str]:
+    """Boilerplate words among the whole class, id and role tokens of a tag; the id of a heading names its section."""
+    found: set[str] = set()
+    for m in MARKS.finditer(attributes):
+        if name in HEADINGS and m[1].lower() == "id":
+            continue
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = [p for p in PARTS.split(token) if p]
+            if parts and all(p in BOILERPLATE or p in PLACES for p in parts):
+                found |= BOILERPLATE.intersection(parts)
+    return found
 
-def blocks(source: str) -> list[tuple[str, bool]]:
-    """(text, inside an article or main element) of each block that is not dropped.
+
+def blocks(source: str) -> list[tuple[str, int]]:
+    """(text, OTHER, INSIDE or GONE) of each text line of a page, a line being a block.
 
     End tags close the nearest open element of their name; unclosed elements
-    end with their parent.  A ``p`` ends at the next block.
+    end with their parent.  A ``p`` ends at the next block.  Scripts, styles
+    and the head are no lines.  An article or main element is INSIDE whatever
+    class an element around it has, unless that marks reader comments.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
-    dropped = main = False
-    at = 0
+    aside: list[str] = []  # text of dropped elements within the block
+    stack: list[tuple[str, tuple[bool, bool, bool, bool]]] = []
+    top = (False, False, False, False)  # silent, dropped, dropped by class, in the article
+    state = top
 
     def flush():
-        if parts:
-            text = " ".join(htmllib.unescape("".join(parts)).split())
-            if text:
-                out.append((text, main))
-            parts.clear()
+        for kept, held in ((True, parts), (False, aside)):
+            if held:
+                text = " ".join(htmllib.unescape("".join(held)).split())
+                if text:
+                    out.append((text, (INSIDE if state[3] else OTHER) if kept else GONE))
+                held.clear()
 
     def close(name: str) -> None:
-        nonlocal dropped, main
+        nonlocal state
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == name:
                 del stack[i:]
-                dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                state = stack[-1][1] if stack else top
                 return
 
-    n = len(source)
+    def add(text: str) -> None:
+        if not state[0]:
+            (aside if state[1] or state[2] else parts).append(text)
+
+    at, n = 0, len(source)
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
-            if not dropped:
-                parts.append(source[at:])
+            add(source[at:])
             break
-        if m.start() > at and not dropped:
-            parts.append(source[at : m.start()])
+        if m.start() > at:
+            add(source[at : m.start()])
         at = m.end()
         if m[1]:
             name = m[1].lower()
@@ -76,19 +100,25 @@ def blocks(source: str) -> list[tuple[str, bool]]:
         elif m[2]:
             name, attributes = m[2].lower(), m[3] or ""
             if name == "br":
-                if not dropped:
-                    parts.append(" ")
+                add(" ")
                 continue
             if name in BLOCK:
                 flush()
-                if stack and any(x[0] == "p" for x in stack):
+                if any(x[0] == "p" for x in stack):
                     close("p")
             if name in VOID or attributes.endswith("/"):
                 continue
-            gone = dropped or name in DROPPED or (name == "header" and not main) or (bool(attributes) and name not in ("html", "body") and _marked(attributes))
-            main = main or (name in MAIN and not gone)
-            dropped = gone
-            stack.append((name, dropped, main))
+            silent, dropped, classed, main = state
+            found = marks(name, attributes) if attributes and name not in ("html", "body") else set()
+            silent = silent or name in SILENT
+            dropped = dropped or name in DROPPED or (name == "header" and not main) or not COMMENTS.isdisjoint(found)
+            if name in MAIN:
+                classed = classed and main
+                main = main or not dropped
+            else:
+                classed = classed or bool(found)
+            state = (silent, dropped, classed, main)
+            stack.append((name, state))
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else n
@@ -97,112 +127,217 @@ def blocks(source: str) -> list[tuple[str, bool]]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> np.ndarray:
-    """Which lines of ``a`` lie on a longest common subsequence with ``b``."""
+CELLS = 1 << 20  # cells of one table of common subsequences; larger ones are halved
+
+
+def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the common subsequences of x and each prefix of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for a in x:
+        best = np.maximum(row[1:], np.where(y == a, row[:-1] + 1, 0))
+        row[1:] = np.maximum.accumulate(best)
+    return row
+
+
+def _aligned(x: np.ndarray, y: np.ndarray, at: int, keep: np.ndarray) -> None:
+    """Mark in ``keep``, from ``at`` on, the places of x on a longest common subsequence with y."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    keep[at : at + head] = True
+    x, y, at = x[head:], y[head:], at + head
+    tail = 0
+    while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    if tail:
+        keep[at + len(x) - tail : at + len(x)] = True
+        x, y = x[:-tail], y[:-tail]
+    if not len(x) or not len(y):
+        return
+    if len(x) == 1:
+        keep[at] = keep[at] or bool((y == x[0]).any())
+    elif len(x) * len(y) > CELLS:  # Hirschberg's halving: memory stays linear
+        half = len(x) // 2
+        total = _row(x[:half], y) + _row(x[half:][::-1], y[::-1])[::-1]
+        cut = int(total.argmax())
+        _aligned(x[:half], y[:cut], at, keep)
+        _aligned(x[half:], y[cut:], at + half, keep)
+    else:
+        grid = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+        for i in range(len(x) - 1, -1, -1):
+            best = np.maximum(grid[i + 1, :-1], np.where(y == x[i], grid[i + 1, 1:] + 1, 0))
+            grid[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                keep[at + i] = True
+                i, j = i + 1, j + 1
+            elif grid[i + 1, j] >= grid[i, j + 1]:
+                i += 1
+            else:
+                j += 1
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which lines of ``a`` lie on a longest common subsequence with ``b``; lines as numbers."""
+    a, b = np.asarray(a), np.asarray(b)
     keep = np.zeros(len(a), bool)
-    if not a or not b:
-        return keep
-    common = set(a) & set(b)
-    ia = [i for i, x in enumerate(a) if x in common]
-    ib = [j for j, x in enumerate(b) if x in common]
-    number = {x: i for i, x in enumerate(common)}
-    x, y = np.array([number[a[i]] for i in ia]), np.array([number[b[j]] for j in ib])
-    table_ = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        row = np.maximum(table_[i + 1, :-1], np.where(y == x[i], table_[i + 1, 1:] + 1, 0))
-        table_[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            keep[ia[i]] = True
-            i, j = i + 1, j + 1
-        elif table_[i + 1, j] >= table_[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    ia = np.flatnonzero(np.isin(a, b))
+    if len(ia):
+        common = np.zeros(len(ia), bool)
+        _aligned(a[ia], b[np.isin(b, a)], 0, common)
+        keep[ia] = common
     return keep
 
 
-def _parse_batches(batches):
+def place(url: str | None) -> tuple[str, str]:
+    """(host, path and query) of a URL; one that can't be parsed is a path of the empty host."""
+    try:
+        u = urlsplit(url or "")
+        return u.netloc.lower(), f"{u.path}?{u.query}"
+    except ValueError:
+        return "", url or ""
+
+
+def _digest(lines: list[tuple[str, int]]) -> tuple[bytes, list[int]]:
+    each = [blake2b(t.encode(errors="surrogatepass"), digest_size=8).digest() for t, _ in lines]
+    return blake2b(b"".join(each) + bytes(f for _, f in lines), digest_size=16).digest(), [int.from_bytes(x, "little", signed=True) for x in each]
+
+
+def _line_batches(batches):
+    """Of each page its place and the numbers of its lines, without the texts."""
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
-            hosts, paths, sure, lines = [], [], [], []
+            hosts, paths, digests, lines, flags = [], [], [], [], []
             for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                try:
-                    u = urlsplit(url or "")
-                    host, path = u.netloc.lower(), f"{u.path}?{u.query}"
-                except ValueError:
-                    host, path = "", url or ""
+                host, path = place(url)
                 found = blocks(source or "")
-                inside = [t for t, main in found if main]
+                digest, numbers = _digest(found)
                 hosts.append(host)
                 paths.append(path)
-                sure.append(bool(inside))
-                lines.append(inside or [t for t, _ in found])
+                digests.append(digest)
+                lines.append(numbers)
+                flags.append(bytes(f for _, f in found))
             yield pa.RecordBatch.from_arrays(
-                [part.column("k"), part.column("url"), pa.array(hosts), pa.array(paths), pa.array(sure, pa.bool_()), pa.array(lines, pa.list_(pa.string()))],
-                ["k", "url", "host", "path", "sure", "lines"],
+                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), part.column("k"), pa.array(digests, pa.binary()), pa.array(lines, pa.list_(pa.int64())), pa.array(flags, pa.binary())],
+                ["host", "path", "k", "digest", "lines", "flags"],
             )
 
 
 def _difference_batches(batches):
-    """Delete lines shared with the neighbours by path within the host."""
+    """Lines shared with the page before or after within the host; context rows only serve as neighbours."""
     before = here = None
 
     def done(page, neighbours):
-        k, url, host, sure, lines = page
-        if not sure:
-            gone = np.zeros(len(lines), bool)
-            for other in neighbours:
-                if other is not None and other[2] == host:
-                    gone |= shared(lines, other[4])
-            lines = [x for x, g in zip(lines, gone, strict=True) if not g]
-        return k, url, "\n".join(lines)
+        part, context, host, digest, lines, flags = page
+        if context:
+            return None
+        gone = np.zeros(len(lines), bool)
+        for other in neighbours:
+            if other is not None and other[0] == part and other[2] == host:
+                gone |= shared(lines, other[4])
+        if not gone.any():
+            return None
+        free = INSIDE not in flags
+        return host, digest, int(gone.sum()), [int(i) for i in np.flatnonzero(gone) if free and flags[i] == OTHER]
 
     def pack(rows):
-        k, url, text = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(url, pa.string()), pa.array(text, pa.string())], ["k", "url", "text"])
+        host, digest, n, gone = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["host", "digest", "n_shared", "gone"])
 
+    rows = []
     for batch in batches:
-        rows = []
-        for page in zip(*(batch.column(x).to_pylist() for x in ("k", "url", "host", "sure", "lines")), strict=True):
+        for page in zip(*(batch.column(x).to_pylist() for x in ("part", "context", "host", "digest", "lines", "flags")), strict=True):
             if here is not None:
                 rows.append(done(here, (before, page)))
             before, here = here, page
-            if len(rows) == 200:
-                yield pack(rows)
+            if len(rows) >= 200:
+                rows = [r for r in rows if r]
+                if rows:
+                    yield pack(rows)
                 rows = []
-        if rows:
-            yield pack(rows)
     if here is not None:
-        yield pack([done(here, (before,))])
+        rows.append(done(here, (before,)))
+    rows = [r for r in rows if r]
+    if rows:
+        yield pack(rows)
+
+
+def _text_batches(batches):
+    """Of each page its place and its lines: those of the article, or else all that the structure leaves."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 200):
+            part = batch.slice(a, 200)
+            hosts, digests, lines, places = [], [], [], []
+            for url, source in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
+                found = blocks(source or "")
+                hosts.append(place(url)[0])
+                digests.append(_digest(found)[0])
+                wanted = INSIDE if any(f == INSIDE for _, f in found) else OTHER
+                lines.append([t for t, f in found if f == wanted])
+                places.append([i for i, (_, f) in enumerate(found) if f == wanted])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("k"), part.column("url"), pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(lines, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))],
+                ["k", "url", "host", "digest", "lines", "places"],
+            )
+
+
+def shared_lines(stage: Stage, keyed: DataFrame) -> DataFrame:
+    """host, digest, n_shared and gone: the lines of each page content that its nearest URLs have too.
+
+    Equal contents of one host are one page, at the least of their paths, so a
+    copy is never its own neighbour.  Pages are dealt by ranges of host and
+    path; the first and last page of each range, a few rows a task, are also
+    given to the ranges beside it, so neighbours do not depend on the ranges.
+    """
+    pages = keyed.mapInArrow(_line_batches, "host string, path string, k bigint, digest binary, lines array<bigint>, flags binary")
+    one = pages.groupBy("host", "digest").agg(F.min(F.struct("path", "k")).alias("p"), F.first("lines").alias("lines"), F.first("flags").alias("flags"))
+    one = one.select("host", "p.path", "p.k", "digest", "lines", "flags")
+    order = ["host", "path", "k", "digest"]
+    ranged = stage.cut(one.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    row = F.struct(*order, "lines", "flags")
+    edges = ranged.groupBy("part").agg(F.min_by(row, F.struct(*order)).alias("head"), F.max_by(row, F.struct(*order)).alias("tail"))
+    # one row a range, however many pages there are
+    beside = Window.orderBy("part")
+    edges = edges.select("part", F.lag("tail").over(beside).alias("before"), F.lead("head").over(beside).alias("after"))
+    context = edges.select("part", F.explode(F.array("before", "after")).alias("x")).filter("x is not null").select("part", "x.*", F.lit(True).alias("context"))
+    dealt = ranged.withColumn("context", F.lit(False)).unionByName(context).repartition("part").sortWithinPartitions("part", *order)
+    out = stage.cut(dealt.select("part", "context", "host", "digest", "lines", "flags").mapInArrow(_difference_batches, "host string, digest binary, n_shared bigint, gone array<int>"), "shared")
+    stage.drop(ranged)
+    return out
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url and text: the main text, blocks in page order joined by newline.
-
-    Takes page_id, url, html; other columns are ignored.  Menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles and comments
-    are dropped by element, class, id and role.  Where the page says which
-    element is the article, its blocks are the text, shared or not: articles
-    also repeat across pages, so differencing alone would delete whole copies.
-    On the other pages, lines that lie on a longest common subsequence with the
-    page before or after, by URL path within the host, are deleted.
-
-    A null or empty html gives an empty text; an unparsable or null url is a
-    host of its own name (the empty one); repeated rows give a row each; an
-    empty table gives an empty result.  Pages are dealt by ranges of host and
-    path, so a host with very many pages spreads over tasks, and the page at
-    the edge of a range has its nearest URL on one side only.
+    """page_id, url, text and n_shared: the main text, lines in page order joined by newline.
+
+    Takes page_id, url, html; other columns are ignored.  The text lines of
+    every page are aligned by longest common subsequence with those of the
+    pages before and after it by URL path within the host, and the shared
+    lines are deleted (n_shared of them lie on the page).  Two things decide
+    before that, as differencing can't: elements and whole class tokens that
+    name menus, headers, footers, sidebars, notices, adverts, forms and reader
+    comments go, shared or not; and where a page marks its article, the lines
+    in it stay, shared or not, for articles repeat on a host, whole or in part.
+
+    A null or empty html gives an empty text; an unparsable or null url belongs
+    to the empty host; a repeated row is a page with the same content, which
+    takes its neighbours from other contents and so keeps its text; a page
+    alone on its host has no neighbour; an empty table gives an empty result.
+    Only numbers of lines are sorted and compared; texts do not move unless
+    the table of shared lines is too large to broadcast.  Alignment takes
+    memory in proportion to the lines of a page.
     """
     keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("k"), "url", "html")
-    parsed = keyed.mapInArrow(_parse_batches, "k bigint, url string, host string, path string, sure boolean, lines array<string>")
-    order = ["host", "path", "k"]
-    near = parsed.repartitionByRange(*order).sortWithinPartitions(*order)
-    out = near.mapInArrow(_difference_batches, "k bigint, url string, text string")
-    return out.select(from_key().alias("page_id"), "url", "text")
+    gone = shared_lines(Stage(pages.sparkSession, "maintext"), keyed)
+    texts = keyed.mapInArrow(_text_batches, "k bigint, url string, host string, digest binary, lines array<string>, places array<int>")
+    out = texts.join(gone, ["host", "digest"], "left")
+    nothing = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains(nothing, F.get("places", i)))
+    text = F.array_join(F.when(F.size(nothing) == 0, F.col("lines")).otherwise(kept), "\n")
+    return out.select(from_key().alias("page_id"), "url", text.alias("text"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    out = extract_main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")

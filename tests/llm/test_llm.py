@@ -329,3 +329,199 @@ def test_pipeline(spark):
             want[r.doc_id] = hashlib.sha256(redact(r.text, scan(r.text)).encode()).hexdigest()
     got = {r.doc_id: r.text_sha256 for r in P.run(spark, SF).collect()}
     assert got == want and len(P.STAGES) == 5
+
+
+def site(rng, n, huge=0):
+    """Pages without a marked article as (url, lines), their shared lines in one order a host."""
+    out = []
+    for i in range(n):
+        host = rng.choice(("a.example", "b.example", "c.example"))
+        frame_ = [f"{host} line {j} &amp; more" for j in range(6) if rng.random() < 0.7]
+        own = [f"own {i} {j}" for j in range(rng.randrange(4) + huge)]
+        at = rng.randrange(len(frame_) + 1)
+        out.append((f"http://{host}/p{rng.randrange(10 * n):05d}", frame_[:at] + own + frame_[at:]))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_differencing_against_brute_force(spark, parts):
+    from urllib.parse import urlsplit
+
+    from quarry.llm.op5_html import extract_main_text
+
+    rng = random.Random(11)
+    sites = site(rng, 60)
+    sites += [sites[3], (sites[5][0] + "x", sites[5][1]), ("http://alone.example/", ["only", "page"]), (None, ["no url"]), ("::", [])]
+    sites += site(rng, 2, huge=3000)
+    rows = [(i, url, "".join(f"<p>{x}</p>" for x in lines), "x", 1) for i, (url, lines) in enumerate(sites)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, lines int").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.page_id: (r.text, r.n_shared) for r in extract_main_text(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    # equal contents of a host are one page, at the least path
+    pages = {}
+    for url, lines in sites:
+        u = urlsplit(url or "")
+        lines = tuple(x.replace("&amp;", "&") for x in lines)
+        pages[u.netloc, lines] = min(pages.get((u.netloc, lines), "~"), u.path)
+    order = sorted((host, path, lines) for (host, lines), path in pages.items())
+    deleted = 0
+    for i, (url, lines) in enumerate(sites):
+        u = urlsplit(url or "")
+        lines = tuple(x.replace("&amp;", "&") for x in lines)
+        at = order.index((u.netloc, pages[u.netloc, lines], lines))
+        near = [order[j][2] for j in (at - 1, at + 1) if 0 <= j < len(order) and order[j][0] == u.netloc]
+        kept = [x for x in lines if not any(x in other for other in near)]
+        assert got[i] == ("\n".join(kept), len(lines) - len(kept))
+        deleted += len(lines) - len(kept)
+    assert deleted > 100
+
+
+def test_aligned_lines():
+    from quarry.llm import op5_html
+
+    rng = random.Random(5)
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def subsequence(x, y):
+        it = iter(y)
+        return all(any(a == b for b in it) for a in x)
+
+    for cells in (1 << 20, 4):
+        op5_html.CELLS, before = cells, op5_html.CELLS
+        for _ in range(150):
+            a, b = ([rng.randrange(5) for _ in range(rng.randrange(25))] for _ in range(2))
+            mask = op5_html.shared(a, b)
+            assert mask.sum() == longest(a, b) and subsequence([x for x, m in zip(a, mask, strict=True) if m], b)
+        op5_html.CELLS = before
+    long = list(range(20_000)) * 2
+    assert op5_html.shared(long, long[::-1]).any()
+
+
+def test_html_marks(spark):
+    from quarry.llm.op5_html import blocks, extract_main_text
+
+    kept = lambda s: [t for t, f in blocks(s) if f != 2]
+    assert kept('<div class="wrap has-sidebar"><article class="post no-comments"><h2 id="search">A</h2><p class="social-science">B</p></article></div>') == ["A", "B"]
+    assert kept('<div class="site header"><main>M<div class="ad-box">x</div></main></div>') == ["M"]
+    assert kept('<div id="comments"><article>c</article></div><div class="cookie-banner">k</div><p>t <button>b</button>u</p>') == ["t u"]
+    assert kept("<header>h</header><article><header>i</header><nav>n</nav>") == ["i"]
+    same = [(1, "http://h/1", "<p>x</p><p>y</p>")] * 2
+    df = spark.createDataFrame(same, "page_id bigint, url string, html string")
+    assert [r.text for r in extract_main_text(df).collect()] == ["x\ny"] * 2
+    assert extract_main_text(df.limit(0)).count() == 0
+
+
+def base_spans(text):
+    """The base kinds, written without regular expressions."""
+    spans, low = [], "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    at = 0
+    while at < len(text):
+        hit = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                p = at + len(word)
+                p += text[p : p + 1] in ("'", '"')
+                p = run(p, " ")
+                if text[p : p + 1] in (":", "="):
+                    p = run(p + 1, " ")
+                    q = p + (text[p : p + 1] in ("'", '"'))
+                    if run(q, value) > q:
+                        hit = (q, run(q, value))
+                        break
+        if hit:
+            if hit[1] - hit[0] >= 12:
+                spans.append(("assign", at, hit[1]))
+            at = hit[1]
+        else:
+            at += 1
+    for kind, head, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), ("hex", "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), chars) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    spans.append((kind, at, end))
+                at = end
+            else:
+                at += 1
+    return sorted(spans, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_spans_against_brute_force(spark):
+    from quarry.llm.op10_secrets import scan
+
+    rng = random.Random(2)
+    bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "API-KEY", "'", '"', " ", "  ", ":", "=", "AKIA", "0123456789abcdef", "deadbeef", "A1B2C3D4E5F6G7H8", "x/y+z_.=-", "é", "\n", "K", "ſecret", "\t"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    from ..conftest import SF
+
+    texts += [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    found = 0
+    for t in texts:
+        own = [(k, a, b) for k, a, b, _ in scan(t) if k != "lexed"]
+        assert own == base_spans(t), t
+        found += len(own)
+    assert found > 1000
+
+
+PLANTED = [
+    '{{"credential": "{}"}}', 'db_pwd = """{}"""', 'config["pwd"] = "{}"', 'var dbPwd string = "{}"', 'pwd = b"{}"', '<add key="DbPwd" value="{}"/>', "<dbCredential>{}</dbCredential>",
+    "run --db-pwd {} --x", "export DB_PWD={}\n", "private_key: |\n  {}\nother: 1", "define('DB_PWD', '{}');", 'conn.setPwd("{}")', 'pwd = os.getenv("DB_PWD", "{}")', 'pwd = SecretStr("{}")',
+    'K1 = "{}"\nK2 = K1\ndef f():\n    pwd = K2\n', 'X = "{}"\nconnect(user, pwd=X)', 'if pwd == "{}":', 'A = "{}"\npwd = f"{{A}}"', "'pwd' => '{}',", "spring.datasource.pwd={}\n", "auth: {}\n# note",
+    "function f() {{ const k = '{}'; login({{pwd: k}}); }}", "bearer := `{}`", "# pwd = '{}'", 'encryption_key: str = ("{}")',
+]
+CLEAN = [
+    'pwd = os.environ["DB_PASSWORD"]', 'pwd = "${DB_PASSWORD_LONG}"', 'def a():\n    x = "aB3xK9pQ7zLm2Ty5"\ndef b():\n    x = 1\n    pwd = x\n', "The password is needed: it's the key to everything, don't lose it.",
+    'pwd = getPassword("DB_PASSWORD_1")', 'colour = "aB3xK9pQ7zLm2Ty5"', "token: see http://example.org/a", "the secret of life: work, sleep and 'rest'", 'key = "aaaaaaaaaaaaaaaa"', "auth = None", "{ const k = 'aB3xK9pQ7zLm2Ty5'; } { let pwd = k2 }",
+]
+
+
+def test_lexed_recall_and_precision():
+    from quarry.llm.op10_secrets import lexed, scan
+
+    rng = random.Random(9)
+    make = lambda: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789_") for _ in range(24))
+    hits = base = total = 0
+    for form in PLANTED:
+        for _ in range(20):
+            secret = make()
+            text = "Some words before.\n" + form.format(secret)
+            spans = {text[a:b] for a, b, _ in lexed(text)}
+            hits += spans == {secret}
+            base += any(k != "lexed" and secret in text[a:b] for k, a, b, _ in scan(text))
+            total += 1
+    wrong = [t for t in CLEAN if lexed(t)]
+    assert hits >= 0.98 * total and base <= 0.2 * total and not wrong, (hits, base, total, wrong)
+
+
+def test_lexed_parts_escapes_and_speed():
+    import time
+
+    from quarry.llm.op10_secrets import lexed
+
+    cut = lambda t: [t[a:b] for a, b, _ in lexed(t)]
+    assert cut('{"credential": "aB3x\\"K9pQ7zLm"}') == ['aB3x\\"K9pQ7zLm']
+    assert cut('pwd = "aB3xK9pQ" + "7zLm2Ty5"') == cut('pwd = ("aB3xK9pQ"\n  "7zLm2Ty5")') == ["aB3xK9pQ", "7zLm2Ty5"]
+    start = time.process_time()
+    for x in ('"' * 10**6, '\\"' * 10**6, 'pwd="' + '\\"' * 10**6, "pwd='''" * 10**5, "pwd={" * 10**5, 'pwd=getx("a" ' * 10**5, "pwd: |\n" * 10**5, 'pwd="a"\n+' * 10**5, "<pwd a=" * 10**5, "<pwd>" * 10**5):
+        lexed(x)
+    assert time.process_time() - start < 120
