@@ -2,9 +2,10 @@
 
 A word is a maximal run of bytes outside the ASCII white space
 ``\\x20 \\x09-\\x0D``; UTF-8 continuation bytes are never white space, so byte
-runs and code-point runs agree.  Words and word windows are hashed with
-Rabin-Karp polynomials modulo 2**64 computed from prefix sums, then mixed.
-Batches are walked in slices of bounded bytes, so memory does not depend on
+runs and code-point runs agree.  The hash of a word adds up a mixed value of
+each byte at its place in the word, from prefix sums; a polynomial of the bytes
+modulo 2**64 would give one hash to words of a known form, whatever its base.
+Word windows have Rabin-Karp polynomials of these modulo 2**61 - 1.  Batches are walked in slices of bounded bytes, so memory does not depend on
 how long a text or a batch is (one text is the least slice).
 """
 
@@ -16,10 +17,11 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1 << 13
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F | 1)
-_MASK = (1 << 64) - 1
-
+#: Seeds of the independent word hashes.
+_SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_PRIME = (1 << 61) - 1
+#: Bases of the window polynomials, one for each kind of word hash.
+_BASES = (0x1A2B3C4D5E6F7081 % _PRIME, 0x0F1E2D3C4B5A6978 % _PRIME)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element-wise."""
@@ -44,8 +46,36 @@ class Powers:
                 setattr(self, name, np.multiply.accumulate(p))
 
 
-_bytes_powers = Powers(_BYTE_BASE)
-_word_powers = tuple(Powers(b) for b in _WORD_BASES)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(_PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(_PRIME), x - U64(_PRIME), x)
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo 2**61 - 1, in halves of 31 bits."""
+    au, al, bu, bl = a >> U64(31), a & U64(0x7FFFFFFF), U64(b >> 31), U64(b & 0x7FFFFFFF)
+    mid = al * bu + au * bl
+    return _reduced(au * bu * U64(2) + (mid >> U64(30)) + ((mid & U64(0x3FFFFFFF)) << U64(31)) + al * bl)
+
+
+def rolled(units: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Rabin-Karp hash of the k units from each unit on: their polynomial modulo 2**61 - 1, mixed.
+
+    Hashes of 1, 2, 4, ... units are joined, so k steps take log k passes.
+    """
+    n, size, out, have = len(units), 1, None, 0
+    if n < k:
+        return np.zeros(0, U64)
+    part, base = _reduced(units), _BASES[which]  # of ``size`` units, and the base to that power
+    while True:
+        if k & size:
+            out = part if out is None else _reduced(_times(out[: n - have - size + 1], base) + part[have:])
+            have += size
+        if have == k:
+            return mix(out[: n - k + 1])
+        part = _reduced(_times(part[:-size], base) + part[size:])
+        base = base * base % _PRIME
+        size *= 2
 
 
 def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +109,7 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS
 class Words:
     """Words of rows a..b of a batch: byte spans, 64-bit hashes, row starts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: int, b: int, lower: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, a: int, b: int, lower: bool = False):
         lo, hi = int(offsets[a]), int(offsets[b])
         raw = data[lo:hi]
         if lower:
@@ -100,20 +130,35 @@ class Words:
         self.start = np.flatnonzero(start_mask)
         self.end = np.flatnonzero(end_mask) + 1
         self.rows = np.searchsorted(self.start, cuts)  # word index at which each row begins
-        if hashes:
-            _bytes_powers.grow(n + 1)
-            prefix = np.zeros(n + 1, U64)
-            np.cumsum((raw.astype(U64) + U64(1)) * _bytes_powers.up[:n], out=prefix[1:])
-            self.hash = mix((prefix[self.end] - prefix[self.start]) * _bytes_powers.down[self.start])
+        self._hashes: dict[int, np.ndarray] = {}
+
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """64-bit hashes of the words, of one of two independent kinds."""
+        if which not in self._hashes:
+            size = self.end - self.start
+            total = np.cumsum(size)
+            first = total - size
+            place = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(first, size)
+            value = self.raw[place + np.repeat(self.start, size)].astype(U64) | (place.astype(U64) << U64(8))
+            prefix = np.zeros(len(place) + 1, U64)
+            np.cumsum(mix((value + U64(1)) * U64(_SEEDS[which])), out=prefix[1:])
+            self._hashes[which] = mix(prefix[total] - prefix[first] + size.astype(U64))
+        return self._hashes[which]
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.hashes()
+
+    def names(self) -> pa.Array:
+        """The words themselves, as a binary array."""
+        size = self.end - self.start
+        total = np.cumsum(size)
+        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.start - (total - size), size)
+        offsets = pa.py_buffer(np.r_[0, total].astype(np.int32).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(self.raw[at].tobytes())])
 
     def windows(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each word on, and where all k lie in one row."""
-        w = len(self.start)
-        powers = _word_powers[which]
-        powers.grow(w + 1)
-        prefix = np.zeros(w + 1, U64)
-        np.cumsum(self.hash * powers.up[:w], out=prefix[1:])
-        m = max(0, w - k + 1)
-        out = mix((prefix[k:] - prefix[: m]) * powers.down[:m]) if m else np.zeros(0, U64)
+        out = rolled(self.hashes(which), k, which)
         last = np.repeat(self.rows[1:], np.diff(self.rows))  # end of the row of each word
-        return out, (np.arange(m) + k) <= last[:m]
+        return out, (np.arange(len(out)) + k) <= last[: len(out)]

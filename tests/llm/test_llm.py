@@ -525,3 +525,78 @@ def test_lexed_parts_escapes_and_speed():
     for x in ('"' * 10**6, '\\"' * 10**6, 'pwd="' + '\\"' * 10**6, "pwd='''" * 10**5, "pwd={" * 10**5, 'pwd=getx("a" ' * 10**5, "pwd: |\n" * 10**5, 'pwd="a"\n+' * 10**5, "<pwd a=" * 10**5, "<pwd>" * 10**5):
         lexed(x)
     assert time.process_time() - start < 120
+
+
+def brute_overlap(d, item):
+    """The best overlap of an item and a document over all diagonals, by trying every interval."""
+    best = None
+    for place in range(-len(item) + 1, len(d)):
+        same = {i: d[place + i] == item[i] for i in range(len(item)) if 0 <= place + i < len(d)}
+        if len(item) < 13:
+            if len(same) == len(item) and 5 * sum(same.values()) >= 4 * len(item):
+                best = max(best or (0, 0, 0), (sum(same.values()), len(item), -place))
+            continue
+        if sum(same.values()) < 11:
+            continue
+        on = [i for i in same if same[i]]
+        top = None
+        for a in on:
+            for b in on:
+                agree = sum(same[i] for i in range(a, b + 1))
+                if b - a >= 12 and 5 * agree >= 4 * (b + 1 - a) and (top is None or b + 1 - a > top[1]):
+                    top = (agree, b + 1 - a, -(place + a))
+        if top:
+            best = max(best or (0, 0, 0), top)
+    return best
+
+
+def test_decontamination_against_brute_force(spark):
+    from quarry.llm.op4_decontam import decontaminate, drop_contaminated, longest_overlap, short_masks
+
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(3000)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = {i: words(n) for i, n in enumerate([5, 6, 7, 9, 10, 11, 12, 13, 14, 15, 17, 20, 26, 33, 59, 4])}
+    items[16] = ["the"] * 30
+    texts = []
+    for _ in range(12):
+        for i, item in items.items():
+            part = list(item)
+            if len(part) > 20 and rng.random() < 0.5:  # a part of an item
+                a = rng.randrange(len(part) - 14)
+                part = part[a : a + rng.randrange(13, len(part) - a + 1)]
+            for at in rng.sample(range(len(part)), rng.randrange(len(part) // 4 + 1)):
+                part[at] = rng.choice(vocab)
+            texts.append(words(rng.randrange(30)) + part + words(rng.randrange(30)))
+    texts.append([w for item in items.values() for w in item] * 3)  # all items, thrice
+    texts += [words(50), [], ["the"] * 100]
+    want = {(d, i): found for d, t in enumerate(texts) for i, item in items.items() if len(item) >= 5 and (found := brute_overlap(t, item))}
+    rows = [" ".join(t).upper() if d % 2 else "\t ".join(t) for d, t in enumerate(texts)] + [None]
+    bench = spark.createDataFrame([(i, " ".join(x), "x") for i, x in items.items()] * 2 + [(None, "a b c d e f g", "x"), (99, None, "x")], "item_id bigint, text string, place string")
+    docs = frame(spark, rows)
+    got = {(r.doc_id, r.item_id): (r.n_same, r.n_overlap, -r.first_word) for r in decontaminate(docs, bench).collect()}
+    assert set(got) <= set(want) and len(want) > 150
+    short = {x for x in want if len(items[x[1]]) < 13}
+    assert short <= set(got)
+    assert len(got) >= 0.97 * len(want)
+    assert sum(got[x] == want[x] for x in got) >= 0.98 * len(got)
+    left = drop_contaminated(docs.union(docs), bench)
+    assert sorted(r.doc_id for r in left.collect()) == sorted(d for d in range(len(rows)) if not any(x[0] == d for x in got) for _ in range(2))
+    assert decontaminate(docs.limit(0), bench).count() == 0 and drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+    for n in range(5, 13):
+        for gone in __import__("itertools").combinations(range(n), n // 5):
+            assert any(all(m[x] == "0" for x in gone) for m in short_masks(n))
+    assert longest_overlap(__import__("numpy").array([True] * 6 + [False] * 2 + [True] * 5)) == (0, 13)
+
+
+def test_masks_find_enough():
+    from quarry.llm.op4_decontam import MASKS
+
+    rng = random.Random(4)
+    reads = [[i for i, bit in enumerate(m) if bit == "1"] for m in MASKS]
+    for n in (*range(13, 31), 40, 60):
+        found = 0
+        for _ in range(1500):
+            gone = set(rng.sample(range(n), n // 5))
+            found += any(not gone.intersection(a + i for i in on) for on in reads for a in range(n - len(MASKS[0]) + 1))
+        assert found >= 0.97 * 1500, n
