@@ -32,13 +32,16 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
-def byte_grams(raw: np.ndarray, k: int, powers: Powers = _gram_powers) -> np.ndarray:
-    """Mixed Rabin-Karp hash of the k bytes from each byte on."""
-    n = len(raw)
-    powers.grow(n + 1)
+def polynomials(units: np.ndarray, k: int) -> np.ndarray:
+    """Mixed polynomial modulo 2**64 of the k units from each unit on.
+
+    A collision only joins two anchors, so this cheaper modulus will do here.
+    """
+    n = len(units)
+    _gram_powers.grow(n + 1)
     prefix = np.zeros(n + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * powers.up[:n], out=prefix[1:])
-    return mix((prefix[k:] - prefix[:-k]) * powers.down[: n - k + 1]) if n >= k else np.zeros(0, U64)
+    np.cumsum(units * _gram_powers.up[:n], out=prefix[1:])
+    return mix((prefix[k:] - prefix[:-k]) * _gram_powers.down[: n - k + 1]) if n >= k else np.zeros(0, U64)
 
 
 def runs_of(grams: np.ndarray, cuts: np.ndarray, window: int, k: int):
@@ -70,10 +73,10 @@ def _anchor_batches(unit: str, window: int, k: int):
             for a, b in slices(offsets):
                 if unit == "word":
                     words = Words(data, offsets, a, b)
-                    grams, cuts = words.windows(k)[0], words.rows
+                    grams, cuts = polynomials(words.hash, k), words.rows
                 else:
                     cuts = offsets[a : b + 1] - offsets[a]
-                    grams = byte_grams(data[offsets[a] : offsets[b]], k)
+                    grams = polynomials(data[offsets[a] : offsets[b]].astype(U64) + U64(1), k)
                 h, row, first, n = runs_of(grams, cuts, window, k)
                 if len(h):
                     yield pa.RecordBatch.from_arrays(

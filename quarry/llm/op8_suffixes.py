@@ -8,16 +8,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import byte_grams, repeated_runs, run_columns
+from .anchors import repeated_runs, run_columns
 from .op2_windows import covered, spans_of, spread
 from .staging import Stage, from_key, table, text_keys
 from .suffixes import suffix_array
-from .vectext import U64, Powers, text_column
+from .vectext import U64, mix, rolled, text_column
 
 WINDOW, GRAM = 100, 24
 SHARD_BYTES = 1 << 18  # text of one suffix array
 HOT = 8_000  # slices of one anchor in one shard at most, about
-_second_powers = Powers(0x9FB21C651E98DF25)
 
 SLICES = "shard bigint, hot boolean, k bigint, tk bigint, first int, n int, slice binary"
 FOUND = "k bigint, tk bigint, first int, n int, w1 bigint, w2 bigint"
@@ -106,7 +105,7 @@ def _shard(rows: list[pa.RecordBatch], window: int):
     group_hot &= head
     if group_hot.any():
         src, where, at = src[group_hot], where[group_hot], at[group_hot]
-        w1, w2 = byte_grams(text, window)[at], byte_grams(text, window, _second_powers)[at]
+        w1, w2 = (rolled(mix(text.astype(U64) + U64(1 + 1000 * i)), window, i)[at] for i in range(2))
         yield k[src], tk[src], where, np.ones(len(src), np.int64), w1.view(np.int64), w2.view(np.int64)
 
 

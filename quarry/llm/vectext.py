@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 SLICE_ROWS = 1 << 13
 #: Seeds of the independent word hashes.
 _SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -47,8 +47,8 @@ class Powers:
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
-    x = (x & U64(_PRIME)) + (x >> U64(61))
-    return np.where(x >= U64(_PRIME), x - U64(_PRIME), x)
+    """x modulo 2**61 - 1 up to a multiple of it; the same steps give the same number."""
+    return (x & U64(_PRIME)) + (x >> U64(61))
 
 
 def _times(a: np.ndarray, b: int) -> np.ndarray:
@@ -78,6 +78,15 @@ def rolled(units: np.ndarray, k: int, which: int = 0) -> np.ndarray:
         size *= 2
 
 
+def _values(byte: np.ndarray, place: np.ndarray, which: int) -> np.ndarray:
+    """A mixed value of each byte at its place in a word."""
+    return mix((byte.astype(U64) + U64(1) + (place.astype(U64) << U64(9))) * U64(_SEEDS[which]))
+
+
+_NEAR = 64  # places whose values are looked up
+_near_values = [_values(np.arange(_NEAR << 8) & 255, np.arange(_NEAR << 8) >> 8, i) for i in range(2)]
+
+
 def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -135,14 +144,20 @@ class Words:
     def hashes(self, which: int = 0) -> np.ndarray:
         """64-bit hashes of the words, of one of two independent kinds."""
         if which not in self._hashes:
-            size = self.end - self.start
-            total = np.cumsum(size)
-            first = total - size
-            place = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(first, size)
-            value = self.raw[place + np.repeat(self.start, size)].astype(U64) | (place.astype(U64) << U64(8))
-            prefix = np.zeros(len(place) + 1, U64)
-            np.cumsum(mix((value + U64(1)) * U64(_SEEDS[which])), out=prefix[1:])
-            self._hashes[which] = mix(prefix[total] - prefix[first] + size.astype(U64))
+            n = len(self.raw)
+            at = np.arange(n, dtype=np.int32)
+            begin = np.zeros(n, np.int32)
+            begin[self.start] = self.start
+            place = at - np.maximum.accumulate(begin)  # in the word, or beyond its end
+            far = np.flatnonzero(place >= _NEAR)
+            near = np.minimum(place, _NEAR - 1) << 8
+            near |= self.raw
+            value = _near_values[which][near]
+            if len(far):
+                value[far] = _values(self.raw[far], place[far], which)
+            prefix = np.zeros(n + 1, U64)
+            np.cumsum(value, out=prefix[1:])
+            self._hashes[which] = mix(prefix[self.end] - prefix[self.start] + (self.end - self.start).astype(U64))
         return self._hashes[which]
 
     @property
