@@ -1,7 +1,11 @@
 """Training-corpus pipeline: five stages over documents, each staged as Parquet.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before kept.  All but the last return the columns of documents.
+before kept.  All but the last return the columns of documents, whatever
+others there are.  A null or empty text has no words, so the quality rules
+reject it; where a stage is called alone, it passes the others unchanged.
+Repeated rows are judged alike; near-dedup leaves one row of a doc_id, and all
+rows without one.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from quarry.llm.op3_bpe import bpe_encode_decode, ranks_path
 from quarry.llm.op4_decontam import drop_contaminated
 from quarry.llm.op7_quality import keep_quality
 from quarry.llm.op10_secrets import redact_secrets
-from quarry.llm.staging import Stage, table
+from quarry.llm.staging import Stage, discard, staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +56,7 @@ STAGES = [
     ("byte-level BPE", tokenize),
 ]
 
-#: No stage after the first can be told in SQL; tests hold run() against brute force.
+#: No stage after the first can be told in SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
@@ -60,6 +64,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over documents."""
     stage = Stage(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, f in STAGES[:-1]:
-        docs = stage.cut(f(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, f) in enumerate(STAGES[:-1]):
+        before = staged() | {stage.root}
+        done = stage.cut(f(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(staged() - before)  # what the stage read
+        if i:
+            stage.drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
-from .staging import NO_ID, Stage, from_key, table
-from .vectext import U64, Words, mix, slices, text_column
+from .components import HEAVY, components
+from .staging import NO_ID, Stage, from_key, has_rows, table
+from .vectext import U64, Words, mix, rolled, slices, text_column
 
 SHINGLE = 5
 #: threshold in per cent -> (rows of a band, bands): a pair at the threshold shares no band with probability under 1e-5.
@@ -20,6 +20,8 @@ SKETCH_ROWS = 1 << 11  # documents sketched at a time
 STEP = 32  # hashes compared at a time
 MISS = 1e-6  # posterior probability below which a pair is given up
 BLOCK = 256  # documents on one side of a block comparison
+PAIRS = 2_000  # pairs that are confirmed at a time
+PIVOTS = 4  # members of the largest class of a bucket that outliers meet first
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +38,7 @@ def shingle_sets(data, offsets, a: int, b: int, size: int = SHINGLE) -> tuple[np
         if hi - lo >= size:
             s = np.unique(h[lo : hi - size + 1])
         elif hi > lo:  # the whole sequence as one
-            x = U64(hi - lo)
-            for y in words.hash[lo:hi]:
-                x = mix(np.array([x ^ y], U64))[0]
-            s = np.array([x], U64)
+            s = mix(rolled(words.hash[lo:hi], hi - lo) + U64(hi - lo))
         else:
             s = np.zeros(0, U64)
         out.append(s)
@@ -128,6 +127,42 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def exact_sets(sides: list[Words], size: int = SHINGLE) -> list[list[np.ndarray]]:
+    """The sets of shingles of each row of each side, as numbers that equal shingles share and no others.
+
+    Words are numbered by a dictionary, then two, four and five words by the
+    numbers of their parts, so no hash decides.
+    """
+    names = pa.concat_arrays([w.names() for w in sides]).dictionary_encode().indices
+    word = np.asarray(names).astype(np.int64)
+    number, have = word, 1
+    steps = []  # parts that make up ``size``: doubled as far as it goes, then one by one
+    while have * 2 <= size:
+        steps.append(have)
+        have *= 2
+    steps += [1] * (size - have)
+    have = 1
+    for step in steps:
+        left, right = number[: max(0, len(word) - have - step + 1)], (number if step == have else word)[have:]
+        right = right[: len(left)]
+        number = np.unique(left * (int(right.max()) + 1 if len(right) else 1) + right, return_inverse=True)[1] if len(left) else left
+        have += step
+    out, at = [], 0
+    whole: dict[bytes, int] = {}  # sequences shorter than a shingle
+    for w in sides:
+        own = []
+        for lo, hi in zip((w.rows[:-1] + at).tolist(), (w.rows[1:] + at).tolist(), strict=True):
+            if hi - lo >= size:
+                own.append(np.unique(number[lo : hi - size + 1]))
+            elif hi > lo:
+                own.append(np.array([-1 - whole.setdefault(word[lo:hi].tobytes(), len(whole))], np.int64))
+            else:
+                own.append(np.zeros(0, np.int64))
+        out.append(own)
+        at += len(w.start)
+    return out
+
+
 def _matrix(col: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1) if len(col) else np.zeros((0, 1), np.uint8)
 
@@ -143,91 +178,153 @@ def _prune_batches(percent: int):
     return run
 
 
-def _exact_batches(percent: int):
-    def run(batches):
-        for batch in batches:
-            good = []
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = []
-                for name in ("text", "text2"):
-                    data, offsets = text_column(part.column(name))
-                    own = []
-                    for a, b in slices(offsets):
-                        h, n = shingle_sets(data, offsets, a, b)
-                        own += np.split(h, np.cumsum(n)[:-1])
-                    sets.append(own)
-                good += [at + i for i, (x, y) in enumerate(zip(*sets, strict=True)) if linked(x, y, percent)]
-            if good:
-                take = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
+def _verified(percent: int):
+    """The linked pairs of a block; its rows are texts (k, text) and pairs (k, other)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        other = t.column("other")
+        held, pairs = t.filter(other.is_null()), t.filter(other.is_valid())
+        k = np.asarray(held.column("k"))
+        data, offsets = text_column(held.column("text"))
+        sets = exact_sets([Words(data, offsets, 0, len(k), lower=True)])[0]
+        at = {x: i for i, x in enumerate(k.tolist())}
+        a, b = pairs.column("k").to_pylist(), pairs.column("other").to_pylist()
+        good = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if linked(sets[at[x]], sets[at[y]], percent)]
+        return pa.table({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
 
     return run
 
 
-def _block_links(percent: int):
-    """Links between the classes of one block: outliers against members."""
+def in_blocks(pairs: DataFrame, count: int) -> DataFrame:
+    """Pairs (a, b) with a block of about PAIRS of them, in which few ends occur again elsewhere.
+
+    The pairs lie on a grid of the hashes of their ends.  An end of very many
+    pairs, at most HEAVY of those, has blocks of its own, by the other end.
+    """
+    many = max(PAIRS, count // HEAVY)
+    grid = max(1, round((count / PAIRS) ** 0.5))
+    part = lambda x, n: F.pmod(F.xxhash64(x, F.lit(5)), n)
+    out = pairs
+    for x in ("a", "b"):
+        heavy = pairs.groupBy(x).agg(F.count(F.lit(1)).alias(f"n{x}")).filter(F.col(f"n{x}") > many)
+        out = out.join(F.broadcast(heavy), x, "left")
+    own = lambda x, y: F.when(F.col(f"n{x}").isNotNull(), F.xxhash64(F.lit(x), x, part(y, F.ceil(F.col(f"n{x}") / PAIRS).cast("long"))))
+    return out.select("a", "b", F.coalesce(own("a", "b"), own("b", "a"), F.xxhash64(part("a", F.lit(grid)), part("b", F.lit(grid)))).alias("block"))
+
+
+def _block_pairs(percent: int):
+    """Pairs of one block, outliers against members, of different classes that no batch of hashes rules out.
+
+    A pair is told in the first bucket that it shares only.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        outlier = np.asarray(t.column("outlier"))
-        label, k = np.asarray(t.column("label")), np.asarray(t.column("k"))
-        sig = _matrix(t.column("sig").combine_chunks())
-        n = np.asarray(t.column("n"))
+        col = lambda x: t.column(x).combine_chunks() if isinstance(t.column(x), pa.ChunkedArray) else t.column(x)
+        outlier, label, k, n, band = (np.asarray(col(x)) for x in ("outlier", "label", "k", "n", "band"))
+        sig = _matrix(col("sig"))
+        bands = np.asarray(col("bands").flatten()).reshape(len(k), -1)
         i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(outlier), np.flatnonzero(~outlier), indexing="ij"))
         fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
         i, j = i[fit], j[fit]
         live, same = surviving(sig, sig, i, j, percent)
-        order = live[np.argsort(-same, kind="stable")]
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        sets: dict[int, np.ndarray] = {}
-        texts = t.column("text").combine_chunks() if isinstance(t.column("text"), pa.ChunkedArray) else t.column("text")
-
-        def set_of(r: int) -> np.ndarray:
-            if r not in sets:
-                data, offsets = text_column(texts.slice(r, 1))
-                sets[r] = shingle_sets(data, offsets, 0, 1)[0]
-            return sets[r]
-
-        found = []
-        for p in order.tolist():
-            a, b = root(int(label[i[p]])), root(int(label[j[p]]))
-            if a != b and linked(set_of(int(i[p])), set_of(int(j[p])), percent):
-                parent[max(a, b)] = min(a, b)
-                found.append((a, b))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        i, j = i[live], j[live]
+        first = np.array([int((bands[x] == bands[y]).argmax()) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+        mine = bands[i, first] == band[0]
+        x, y = k[i[mine]], k[j[mine]]
+        return pa.table({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y)), "same": pa.array(same[mine])})
 
     return run
 
 
-def _cross_links(stage: Stage, nodes: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the link classes of each candidate component.
-
-    ``nodes`` has k, label (its link class so far) and area (its candidate
-    component).  Pairs in one class need no comparison, so in each area the
-    documents outside its largest class, the outliers, are compared with all
-    members of the area, in blocks of about BLOCK by BLOCK documents.
-    """
-    sizes = nodes.groupBy("area", "label").agg(F.count(F.lit(1)).alias("c"))
-    areas = sizes.groupBy("area").agg(F.sum("c").alias("members"), F.count(F.lit(1)).alias("classes"), F.max(F.struct("c", "label")).alias("top"))
-    areas = areas.filter("classes > 1 and members > 2")
-    parts = lambda c: F.ceil(c / BLOCK).cast("int")
-    areas = areas.select("area", F.col("top.label").alias("top"), parts(F.col("members")).alias("mb"), parts(F.col("members") - F.col("top.c")).alias("ob"))
-    areas = stage.cut(areas, "areas")
-    rows = nodes.join(areas, "area").join(reps.select("k", "n", "sig"), "k").join(texts, "k")
-    place = lambda parts, seed: F.pmod(F.xxhash64("k", F.lit(seed)), parts).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
-    own = ["area", "k", "label", "n", "sig", "text"]
-    members = rows.select(*own, F.lit(False).alias("outlier"), place(F.col("mb"), 1).alias("j"), every(F.col("ob")).alias("i"))
-    outliers = rows.filter("label != top").select(*own, F.lit(True).alias("outlier"), place(F.col("ob"), 2).alias("i"), every(F.col("mb")).alias("j"))
-    return members.unionByName(outliers).groupBy("area", "i", "j").applyInArrow(_block_links(percent), "a bigint, b bigint")
+class Linker:
+    """Confirms candidate pairs and keeps the link class of every document in a bucket."""
+
+    def __init__(self, stage: Stage, reps: DataFrame, members: DataFrame, texts: DataFrame, percent: int):
+        self.stage, self.reps, self.members, self.texts, self.percent = stage, reps, members, texts, percent
+        self.labels = None  # k, label of the documents with a link
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Verify staged pairs (a, b) on their full sets and join the classes of those that are linked."""
+        dealt = self.stage.cut(in_blocks(pairs, pairs.count()), "dealt")
+        held = dealt.select("block", F.col("a").alias("k")).union(dealt.select("block", "b")).distinct().join(self.texts, "k")
+        rows = held.select("block", "k", "text", F.lit(None).cast("long").alias("other"))
+        rows = rows.union(dealt.select("block", "a", F.lit(None).cast("string"), "b"))
+        links = self.stage.cut(rows.groupBy("block").applyInArrow(_verified(self.percent), "a bigint, b bigint"), "links")
+        self.stage.drop(dealt)
+        if self.labels is None:
+            self.labels = self.stage.cut(components(self.stage, links).select(F.col("node").alias("k"), "label"), "labels")
+            return
+        if not has_rows(links):
+            return
+        ends = self._labelled(links.select(F.col("a").alias("k"), "b")).select(F.col("label").alias("a"), F.col("b").alias("k"))
+        ends = self._labelled(ends.select("a", "k")).select("a", F.col("label").alias("b"))
+        joined = self.stage.cut(components(self.stage, ends).select(F.col("node").alias("label"), F.col("label").alias("least")), "joined")
+        known = self.labels.unionByName(joined.select(F.col("label").alias("k"), "label")).distinct()
+        self.labels = self.stage.cut(known.join(joined, "label", "left").groupBy("k").agg(F.min(F.coalesce("least", "label")).alias("label")), "labels")
+
+    def prune(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose posterior of reaching the threshold holds through all batches of hashes."""
+        left = self.reps.select(F.col("k").alias("a"), "n", "sig")
+        right = self.reps.select(F.col("k").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
+        sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * self.percent
+        pairs = pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "sig", "sig2")
+        return self.stage.cut(pairs.mapInArrow(_prune_batches(self.percent), "a bigint, b bigint").distinct(), "survivors")
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
+
+    def mixed(self) -> tuple[DataFrame, DataFrame]:
+        """(band, k, label) of the members of buckets with several classes, and (band, top, members, outliers, pivots).
+
+        A bucket of two has had its only pair compared.
+        """
+        rows = self._labelled(self.members.filter("c > 2").select("band", "k"))
+        pick = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), F.col("k").alias("k"))).alias(f"p{i}") for i in range(PIVOTS)]
+        sizes = rows.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"), *pick)
+        own = F.struct("c", "label", *[F.col(f"p{i}.k").alias(f"p{i}") for i in range(PIVOTS)])
+        bands = sizes.groupBy("band").agg(F.sum("c").alias("members"), F.count(F.lit(1)).alias("classes"), F.max(own).alias("top")).filter("classes > 1")
+        pivots = F.array_distinct(F.array(*[F.col(f"top.p{i}") for i in range(PIVOTS)]))
+        bands = self.stage.cut(bands.select("band", F.col("top.label").alias("top"), "members", (F.col("members") - F.col("top.c")).alias("outliers"), pivots.alias("pivots")), "mixed")
+        return rows.join(bands.select("band"), "band"), bands
+
+    def by_pivots(self) -> None:
+        """Outliers of each bucket against a few members of its largest class."""
+        rows, bands = self.mixed()
+        out = rows.join(bands.select("band", "top", "pivots"), "band").filter("label != top").select("k", F.explode("pivots").alias("p"))
+        self.confirm(self.prune(out.select(F.col("k").alias("a"), F.col("p").alias("b")).distinct()))
+
+    def by_blocks(self) -> None:
+        """Outliers of each bucket against all its members, by signatures in blocks of about BLOCK by BLOCK.
+
+        Of the pairs that survive, the best of any two classes are confirmed
+        first, then those whose classes still differ.
+        """
+        rows, bands = self.mixed()
+        if not has_rows(bands):
+            return
+        parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        rows = rows.join(bands.select("band", "top", parts("members").alias("mb"), parts("outliers").alias("ob")), "band").join(self.reps, "k")
+        place = lambda parts, seed: F.pmod(F.xxhash64("k", F.lit(seed)), parts).cast("int")
+        every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+        own = ["band", "k", "label", "n", "sig", "bands"]
+        members = rows.select(*own, F.lit(False).alias("outlier"), place(F.col("mb"), 1).alias("j"), every(F.col("ob")).alias("i"))
+        outliers = rows.filter("label != top").select(*own, F.lit(True).alias("outlier"), place(F.col("ob"), 2).alias("i"), every(F.col("mb")).alias("j"))
+        found = members.unionByName(outliers).groupBy("band", "i", "j").applyInArrow(_block_pairs(self.percent), "a bigint, b bigint, same bigint")
+        found = self.stage.cut(found.distinct(), "crossing")
+        if not has_rows(found):
+            return
+        classes = self._classes(found)
+        best = classes.groupBy("la", "lb").agg(F.max(F.struct("same", "a", "b")).alias("best")).select("best.a", "best.b")
+        self.confirm(self.stage.cut(best, "best"))
+        self.confirm(self.stage.cut(self._classes(found).select("a", "b"), "rest"))
+
+    def _classes(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different classes with the classes la < lb of their ends, in any order."""
+        one = self._labelled(pairs.withColumn("k", F.col("a"))).withColumnRenamed("label", "x").drop("k")
+        two = self._labelled(one.withColumn("k", F.col("b"))).drop("k")
+        return two.filter("x != label").select("a", "b", "same", F.least("x", "label").alias("la"), F.greatest("x", "label").alias("lb"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -241,13 +338,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     document's own.
 
     Equal sets form classes by a 128-bit fingerprint, and each class goes on as
-    its least document.  Minhash bands give candidates: every member of a
-    bucket against the bucket's least document.  Signature batches drop pairs
-    whose posterior of reaching the threshold falls below 1e-6, and the rest
-    are confirmed on the full sets.  Buckets joined by candidates form areas;
-    where an area still has several link classes, the documents outside its
-    largest class are compared with all of it in blocks, so no pair that shares
-    a bucket goes unseen unless it is in one class already.
+    its least document.  Minhash bands give buckets of candidates.  Signature
+    batches drop pairs whose posterior of reaching the threshold falls below
+    1e-6, and the rest are confirmed on the words of their full sets.  First
+    every member of a bucket is compared with its least document; then, in
+    buckets whose members are of several link classes, those outside the
+    largest one with a few of its members; and where classes still differ,
+    with all members, in blocks of signatures.  So every two documents that
+    share a bucket are compared unless they are in one class already, and no
+    class is expanded into pairs.
 
     Null or empty texts have no shingles and stand alone; so do rows with a
     null doc_id (component_id null, kept).  Rows that share a doc_id are one
@@ -265,29 +364,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = stage.cut(some.join(classes.withColumnRenamed("rep", "k"), [*set_key, "k"]).select("k", "n", "sig", "bands"), "reps")
 
     spread = reps.select("k", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("k").alias("b"), F.max("k").alias("top")).filter("b < top").select("band", "b")
+    buckets = spread.groupBy("band").agg(F.min("k").alias("b"), F.max("k").alias("top"), F.count(F.lit(1)).alias("c")).filter("b < top").select("band", "b", "c")
     buckets = stage.cut(buckets, "buckets")
-    edges = stage.cut(spread.join(buckets, "band").filter("k != b").select(F.col("k").alias("a"), "b").distinct(), "candidates")
+    members = stage.cut(spread.join(buckets, "band"), "members")
     stage.drop(buckets)
-    area = stage.cut(components(stage, edges).select(F.col("node").alias("k"), F.col("label").alias("area")), "areas")
-    texts = stage.cut(keyed.join(area.select("k"), "k"), "texts")
-
-    left = reps.select(F.col("k").alias("a"), "n", "sig")
-    right = reps.select(F.col("k").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
-    sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    pairs = edges.join(left, "a").join(right, "b").filter(sized).select("a", "b", "sig", "sig2")
-    pairs = stage.cut(pairs.mapInArrow(_prune_batches(percent), "a bigint, b bigint").distinct(), "survivors")
-    both = pairs.join(texts.withColumnsRenamed({"k": "a"}), "a").join(texts.withColumnsRenamed({"k": "b", "text": "text2"}), "b")
-    links = stage.cut(both.select("a", "b", "text", "text2").mapInArrow(_exact_batches(percent), "a bigint, b bigint").distinct(), "links")
-    label = stage.cut(components(stage, links), "labels")
-
-    nodes = area.join(label.withColumnRenamed("node", "k"), "k", "left").select("k", "area", F.coalesce("label", "k").alias("label"))
-    nodes = stage.cut(nodes, "nodes")
-    more = stage.cut(_cross_links(stage, nodes, reps, texts, percent), "more")
-    final = components(stage, more).select(F.col("node").alias("label"), F.col("label").alias("least"))
-    nodes = nodes.join(final, "label", "left").select(F.col("k").alias("rep"), F.coalesce("least", "label").alias("component"))
+    texts = stage.cut(keyed.join(members.select("k").distinct(), "k"), "texts")
+    link = Linker(stage, reps, members, texts, percent)
+    link.confirm(link.prune(members.filter("k != b").select(F.col("k").alias("a"), "b").distinct()))
+    link.by_pivots()
+    link.by_blocks()
+
+    nodes = link.labels.select(F.col("k").alias("rep"), F.col("label").alias("component"))
     known = stage.cut(classes.join(nodes, "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component")), "components")
-    stage.drop(texts, reps, edges, pairs)
+    stage.keep(sketch, known)
     mine = F.when(F.col("k") != NO_ID, F.coalesce("component", "k"))
     # null ids share a key with nothing: their sets are looked up, but not used
     out = sketch.select("k", *set_key).join(known, set_key, "left").select(from_key().alias("doc_id"), F.col("n").alias("n_shingles"), mine.alias("component_id"))
@@ -295,13 +384,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the least; one row of it if ids repeat."""
+    """``docs``, with all its columns, with one document of each component: the least.
+
+    Null and empty texts and rows with a null doc_id stay, repeated or not.  Of
+    rows that share a doc_id one stays, that of the least hash of its columns.
+    An empty table gives an empty one.
+    """
     stage = Stage(docs.sparkSession, "neardup")
     gone = stage.cut(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").take(1):
-        has_id = F.col("doc_id").isNotNull()
-        out = out.filter(has_id).dropDuplicates(["doc_id"]).unionByName(out.filter(~has_id))
+    if has_rows(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")):
+        row = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+        first = out.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min(row).alias("_row"))
+        one = out.withColumn("_hash", row).join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_row")), "left_semi")
+        out = one.drop("_hash").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
     return out
 
 

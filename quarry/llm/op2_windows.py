@@ -119,7 +119,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     repeated = stage.cut(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2"), "repeated")
     places = windows.join(repeated, ["w1", "w2"]).groupBy(keys).agg(F.collect_list("pos").alias("pos"))
     places = stage.cut(places, "places")
-    stage.drop(candidates, repeated)
+    stage.keep(places)
     schema = "k bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>"
     found = keyed.join(places, keys, "left").select("k", "text", F.coalesce("pos", F.array().cast("array<int>")).alias("pos"))
     return found.mapInArrow(_removal_batches(window), schema).select(from_key().alias("doc_id"), "n_words", "n_removed", "kept", "spans")

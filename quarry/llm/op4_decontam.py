@@ -246,6 +246,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, stage: Stage) -> D
     pairs = stage.cut(pairs, "pairs")
     texts = items.select("item", "ik", F.col("text").alias("item_text"))
     texts = F.broadcast(texts) if sizes["items"] <= BROADCAST_SEEDS and sizes["words"] <= BROADCAST_WORDS else texts
+    stage.keep(items, hits, pairs)
     both = pairs.join(hits.select("k", "tk", "cell", "first", "text"), ["k", "tk", "cell"]).join(texts, ["item", "ik"])
     return both.select("k", "tk", "item", "place", "first", "text", "item_text").mapInArrow(_verify_batches, MATCH)
 
@@ -290,6 +291,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stage = Stage(docs.sparkSession, "decontam")
     found = benchmark_overlaps(docs, benchmark, stage)
     bad = stage.cut(found.select(F.col("k").alias("_k"), F.col("tk").alias("_tk")).distinct(), "leaks")
+    stage.keep(bad)
     if bad.count() <= BROADCAST_DOCS:
         bad = F.broadcast(bad)
     repeats = bad.filter("_tk != 0").take(1)

@@ -304,7 +304,7 @@ def shared_lines(stage: Stage, keyed: DataFrame) -> DataFrame:
     context = edges.select("part", F.explode(F.array("before", "after")).alias("x")).filter("x is not null").select("part", "x.*", F.lit(True).alias("context"))
     dealt = ranged.withColumn("context", F.lit(False)).unionByName(context).repartition("part").sortWithinPartitions("part", *order)
     out = stage.cut(dealt.select("part", "context", "host", "digest", "lines", "flags").mapInArrow(_difference_batches, "host string, digest binary, n_shared bigint, gone array<int>"), "shared")
-    stage.drop(ranged)
+    stage.keep(out)
     return out
 
 

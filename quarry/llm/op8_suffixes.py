@@ -219,7 +219,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     merged = merged.mapInArrow(_merge_batches, "k bigint, tk bigint, first int, n int")
     hits = found.filter("w1 = 0 and w2 = 0").select("k", "tk", "first", "n").union(merged)
     places = stage.cut(hits.groupBy(keys).agg(F.collect_list(F.struct("first", "n")).alias("hits")), "places")
-    stage.drop(candidates, found)
+    stage.keep(places)
     schema = "k bigint, n_bytes bigint, n_removed bigint, kept binary, spans array<struct<first:bigint,last:bigint>>"
     out = keyed.join(places, keys, "left").select("k", "text", F.coalesce("hits", F.array().cast("array<struct<first:int,n:int>>")).alias("hits"))
     return out.mapInArrow(_removal_batches(window), schema).select(from_key().alias("doc_id"), "n_bytes", "n_removed", "kept", "spans")

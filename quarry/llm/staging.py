@@ -1,16 +1,19 @@
 """Shared plumbing: staged tables in the shared checkpoint folder, document keys.
 
 ``Stage.cut`` writes a table under ``spark.checkpoint.dir`` (read from the
-session; a temporary folder only where it is unset, as in tests) and reads it
-back.  The lineage ends there, every executor can read the copy, and a lost
-executor costs only the tasks that ran on it.  Shuffle files of a cut are
-released as soon as it has been written.
+session) and reads it back.  The lineage ends there, every executor can read
+the copy, and a lost executor costs only the tasks that ran on it.  Shuffle
+files of a cut are released as soon as it has been written.  Operators delete
+the tables that their result does not read; the others go with the next stage
+of a pipeline, or at the end of the program.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -22,14 +25,20 @@ _LEAN = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 _own_dir: str | None = None
+_open: dict[str, SparkSession] = {}  # folders of staged tables that may still be read
+_lock = threading.Lock()
+_writing: dict[str, list] = {}  # by session: writers now, and the settings before them
 NO_ID = -(1 << 63)
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder of staged tables; a temporary one only where driver and executors are one process."""
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="quarry-stages-")
     return _own_dir
@@ -37,18 +46,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def lean(spark: SparkSession) -> Iterator[None]:
-    """While a table is staged: shuffle files are released, Arrow batches are small."""
-    before = {key: spark.conf.get(key, None) for key in _LEAN}
-    for key, value in _LEAN.items():
-        spark.conf.set(key, value)
+    """While tables are staged: shuffle files are released, Arrow batches are small.
+
+    The settings of the session come back with its last writer, of whatever thread.
+    """
+    me = str(id(spark._jsparkSession))
+    with _lock:
+        now = _writing.setdefault(me, [0, {key: spark.conf.get(key, None) for key in _LEAN}])
+        now[0] += 1
+        for key, value in _LEAN.items():
+            spark.conf.set(key, value)
     try:
         yield
     finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
+        with _lock:
+            now[0] -= 1
+            if not now[0]:
+                for key, value in _writing.pop(me)[1].items():
+                    if value is None:
+                        spark.conf.unset(key)
+                    else:
+                        spark.conf.set(key, value)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def staged() -> set[str]:
+    """Folders of staged tables that have not been deleted."""
+    return set(_open)
+
+
+def discard(roots: set[str]) -> None:
+    """Delete folders of staged tables, once no plan reads them."""
+    for root in roots:
+        spark = _open.pop(root, None)
+        if spark is not None:
+            _delete(spark, root)
+
+
+@atexit.register
+def _discard_all() -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        discard(staged())
 
 
 class Stage:
@@ -58,22 +100,30 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: set[str] = set()
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
+        _open[self.root] = self.spark
         with lean(self.spark):
             df.write.parquet(path)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete staged tables that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._quarry_path)
-            path.getFileSystem(conf).delete(path, True)
+            self.paths.discard(df._quarry_path)
+            _delete(self.spark, df._quarry_path)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete all staged tables but these, which a result still reads."""
+        for path in self.paths - {df._quarry_path for df in frames}:
+            self.paths.discard(path)
+            _delete(self.spark, path)
 
 
 def has_rows(df: DataFrame) -> bool:

@@ -600,3 +600,95 @@ def test_masks_find_enough():
             gone = set(rng.sample(range(n), n // 5))
             found += any(not gone.intersection(a + i for i in on) for on in reads for a in range(n - len(MASKS[0]) + 1))
         assert found >= 0.97 * 1500, n
+
+
+def test_words_of_one_polynomial_hash(spark):
+    from quarry.llm.op1_minhash import exact_sets, near_duplicates
+    from quarry.llm.op2_windows import substring_dedup
+    from quarry.llm.vectext import Words, text_column
+
+    a = "a"
+    for _ in range(12):
+        a = "".join("ab" if c == "a" else "ba" for c in a)
+    pairs = [x[:n] for n in (1024, 2048, 4096) for x in (a, a.translate(str.maketrans("ab", "ba")))]
+    assert [r.component_id for r in near_duplicates(frame(spark, pairs)).orderBy("doc_id").collect()] == list(range(6))
+    # as words in their places: windows that differ by such words in one place only
+    rest = [f"w{i}" for i in range(40)]
+    docs = frame(spark, [" ".join([x, *rest[:34]]) for x in pairs])
+    assert [r.n_removed for r in substring_dedup(docs).collect()] == [0] * 6
+    import pyarrow as pa
+
+    texts = ["a b c d e f", "b c d e f g", "a b c", "a b c", "", "A b C d E", "x " * 9]
+    sets = exact_sets([Words(*text_column(pa.array(texts)), 0, len(texts), lower=True)] * 2)
+    assert [len(s) for s in sets[0]] == [2, 2, 1, 1, 0, 1, 1] and all((x == y).all() for x, y in zip(*sets, strict=True))
+    assert len(set(sets[0][0]) & set(sets[0][1])) == 1 and set(sets[0][2]) == set(sets[0][3]) and set(sets[0][5]) < set(sets[0][0])
+
+
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    from quarry.llm import components as C
+    from quarry.llm import op1_minhash as M
+
+    monkeypatch.setattr(C, "MANY", 3)
+    monkeypatch.setattr(M, "PAIRS", 50)
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rng = random.Random(13)
+    vocab = [f"u{i}" for i in range(2000)]
+    texts = []
+    for _ in range(3):  # cousins of one text: some linked, some not, many buckets of several classes
+        base = [rng.choice(vocab) for _ in range(120)]
+        for _ in range(60):
+            own = list(base)
+            for at in rng.sample(range(len(own)), rng.choice((0, 1, 1, 2, 3, 4, 6))):
+                own[at] = rng.choice(vocab)
+            texts.append(" ".join(own))
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(sets)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                label[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(frame(spark, texts)).collect()}
+    assert [got[d] for d in range(len(sets))] == [root(d) for d in range(len(sets))]
+    assert 10 < len({root(d) for d in range(len(sets))}) < 120
+
+
+def test_components(spark, monkeypatch):
+    from quarry.llm import components as C
+    from quarry.llm.staging import Stage
+
+    monkeypatch.setattr(C, "MANY", 2)
+    rng = random.Random(6)
+    edges = [(0, i) for i in range(1, 40)] + [(i, i + 1) for i in range(100, 130)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 100)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = C.components(Stage(spark, "test"), spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert dict(map(tuple, got.collect())) == label
+
+
+def test_staging(spark, tmp_path):
+    import os
+
+    from quarry.llm.staging import Stage, discard, lean, staged
+
+    stage = Stage(spark, "test")
+    one, two = stage.cut(spark.range(3), "one"), stage.cut(spark.range(4), "two")
+    stage.keep(two)
+    assert two.count() == 4 and not os.path.exists(one._quarry_path.removeprefix("file:")) and stage.root in staged()
+    discard({stage.root})
+    assert not os.path.exists(two._quarry_path.removeprefix("file:")) and stage.root not in staged()
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with lean(spark), lean(spark):
+        assert spark.conf.get(key) != before
+    assert spark.conf.get(key) == before
