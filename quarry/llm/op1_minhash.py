@@ -19,8 +19,8 @@ BANDING = {85: (8, 40), 80: (7, 50)}
 SKETCH_ROWS = 1 << 11  # documents sketched at a time
 STEP = 32  # hashes compared at a time
 MISS = 1e-6  # posterior probability below which a pair is given up
-BLOCK = 256  # documents on one side of a block comparison
-PAIRS = 2_000  # pairs that are confirmed at a time
+BLOCK = 128  # documents on one side of a block comparison
+PAIRS = 500  # pairs that are confirmed at a time
 PIVOTS = 4  # members of the largest class of a bucket that outliers meet first
 
 
@@ -213,27 +213,59 @@ def in_blocks(pairs: DataFrame, count: int) -> DataFrame:
     return out.select("a", "b", F.coalesce(own("a", "b"), own("b", "a"), F.xxhash64(part("a", F.lit(grid)), part("b", F.lit(grid)))).alias("block"))
 
 
-def _block_pairs(percent: int):
-    """Pairs of one block, outliers against members, of different classes that no batch of hashes rules out.
+def _crossing(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(outliers, members) of a block, of different classes, that no batch of hashes rules out; best matches first.
 
-    A pair is told in the first bucket that it shares only.
+    A pair counts in the first bucket that it shares only.
     """
+    col = lambda x: t.column(x).combine_chunks() if isinstance(t.column(x), pa.ChunkedArray) else t.column(x)
+    outlier, label, n, band = (np.asarray(col(x)) for x in ("outlier", "label", "n", "band"))
+    sig = _matrix(col("sig"))
+    bands = np.asarray(col("bands").flatten()).reshape(len(n), -1)
+    i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(outlier), np.flatnonzero(~outlier), indexing="ij"))
+    fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+    i, j = i[fit], j[fit]
+    live, same = surviving(sig, sig, i, j, percent)
+    live = live[np.argsort(-same, kind="stable")]
+    i, j = i[live], j[live]
+    first = np.array([int((bands[x] == bands[y]).argmax()) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    mine = bands[i, first] == band[0] if len(i) else np.zeros(0, bool)
+    return i[mine], j[mine]
+
+
+def _block_ends(percent: int):
+    """The rows of a block that stand in a pair that survives: their texts are needed."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        col = lambda x: t.column(x).combine_chunks() if isinstance(t.column(x), pa.ChunkedArray) else t.column(x)
-        outlier, label, k, n, band = (np.asarray(col(x)) for x in ("outlier", "label", "k", "n", "band"))
-        sig = _matrix(col("sig"))
-        bands = np.asarray(col("bands").flatten()).reshape(len(k), -1)
-        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(outlier), np.flatnonzero(~outlier), indexing="ij"))
-        fit = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
-        i, j = i[fit], j[fit]
-        live, same = surviving(sig, sig, i, j, percent)
-        i, j = i[live], j[live]
-        first = np.array([int((bands[x] == bands[y]).argmax()) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
-        mine = bands[i, first] == band[0]
-        x, y = k[i[mine]], k[j[mine]]
-        return pa.table({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y)), "same": pa.array(same[mine])})
+        return t.take(pa.array(np.unique(np.concatenate(_crossing(t, percent)))))
+
+    return run
+
+
+def _block_links(percent: int):
+    """Links between the classes of a block, each pair confirmed on its full sets unless its classes are joined by then."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        label, k = np.asarray(t.column("label")), np.asarray(t.column("k"))
+        data, offsets = text_column(t.column("text"))
+        sets = exact_sets([Words(data, offsets, 0, len(k), lower=True)])[0]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        for x, y in zip(*(side.tolist() for side in _crossing(t, percent)), strict=True):
+            a, b = root(int(label[x])), root(int(label[y]))
+            if a != b and linked(sets[x], sets[y], percent):
+                parent[max(a, b)] = min(a, b)
+                found.append((int(k[x]), int(k[y])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -251,8 +283,10 @@ class Linker:
         held = dealt.select("block", F.col("a").alias("k")).union(dealt.select("block", "b")).distinct().join(self.texts, "k")
         rows = held.select("block", "k", "text", F.lit(None).cast("long").alias("other"))
         rows = rows.union(dealt.select("block", "a", F.lit(None).cast("string"), "b"))
-        links = self.stage.cut(rows.groupBy("block").applyInArrow(_verified(self.percent), "a bigint, b bigint"), "links")
+        self._join(self.stage.cut(rows.groupBy("block").applyInArrow(_verified(self.percent), "a bigint, b bigint"), "links"))
         self.stage.drop(dealt)
+
+    def _join(self, links: DataFrame) -> None:
         if self.labels is None:
             self.labels = self.stage.cut(components(self.stage, links).select(F.col("node").alias("k"), "label"), "labels")
             return
@@ -296,10 +330,11 @@ class Linker:
         self.confirm(self.prune(out.select(F.col("k").alias("a"), F.col("p").alias("b")).distinct()))
 
     def by_blocks(self) -> None:
-        """Outliers of each bucket against all its members, by signatures in blocks of about BLOCK by BLOCK.
+        """Outliers of each bucket against all its members, in blocks of about BLOCK by BLOCK.
 
-        Of the pairs that survive, the best of any two classes are confirmed
-        first, then those whose classes still differ.
+        Blocks are compared by signatures first, and again with the texts of the
+        documents in a pair that survived: those pairs are confirmed where they
+        lie, and only links leave a block.
         """
         rows, bands = self.mixed()
         if not has_rows(bands):
@@ -311,20 +346,10 @@ class Linker:
         own = ["band", "k", "label", "n", "sig", "bands"]
         members = rows.select(*own, F.lit(False).alias("outlier"), place(F.col("mb"), 1).alias("j"), every(F.col("ob")).alias("i"))
         outliers = rows.filter("label != top").select(*own, F.lit(True).alias("outlier"), place(F.col("ob"), 2).alias("i"), every(F.col("mb")).alias("j"))
-        found = members.unionByName(outliers).groupBy("band", "i", "j").applyInArrow(_block_pairs(self.percent), "a bigint, b bigint, same bigint")
-        found = self.stage.cut(found.distinct(), "crossing")
-        if not has_rows(found):
-            return
-        classes = self._classes(found)
-        best = classes.groupBy("la", "lb").agg(F.max(F.struct("same", "a", "b")).alias("best")).select("best.a", "best.b")
-        self.confirm(self.stage.cut(best, "best"))
-        self.confirm(self.stage.cut(self._classes(found).select("a", "b"), "rest"))
-
-    def _classes(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of different classes with the classes la < lb of their ends, in any order."""
-        one = self._labelled(pairs.withColumn("k", F.col("a"))).withColumnRenamed("label", "x").drop("k")
-        two = self._labelled(one.withColumn("k", F.col("b"))).drop("k")
-        return two.filter("x != label").select("a", "b", "same", F.least("x", "label").alias("la"), F.greatest("x", "label").alias("lb"))
+        both = members.unionByName(outliers)
+        ends = self.stage.cut(both.groupBy("band", "i", "j").applyInArrow(_block_ends(self.percent), both.schema), "ends")
+        held = ends.join(self.texts, "k").groupBy("band", "i", "j")
+        self._join(self.stage.cut(held.applyInArrow(_block_links(self.percent), "a bigint, b bigint"), "crossing"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -368,7 +393,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = stage.cut(buckets, "buckets")
     members = stage.cut(spread.join(buckets, "band"), "members")
     stage.drop(buckets)
-    texts = stage.cut(keyed.join(members.select("k").distinct(), "k"), "texts")
+    texts = stage.cut(keyed.join(stage.cut(members.select("k").distinct(), "candidates"), "k"), "texts")
     link = Linker(stage, reps, members, texts, percent)
     link.confirm(link.prune(members.filter("k != b").select(F.col("k").alias("a"), "b").distinct()))
     link.by_pivots()
