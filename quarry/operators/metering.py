@@ -6,20 +6,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The names under which replies tell each unit, in a usage block and at the top.
+UNITS = {
+    "tokens_in": ("prompt_tokens", "input_tokens"),
+    "tokens_out": ("completion_tokens", "output_tokens"),
+    "pages": ("pages_processed", "pages"),
+    "audio_seconds": ("prompt_audio_seconds", "audio_seconds"),
+}
+TOP_UNITS = {"tokens_in": "prompt_eval_count", "tokens_out": "eval_count"}
+
+
 def extract_units(body: Column) -> Column:
-    """Struct tokens_in, tokens_out, pages, audio_seconds, measured of a provider reply in JSON."""
+    """Struct tokens_in, tokens_out, pages, audio_seconds, measured of a provider reply in JSON.
+
+    A unit is measured where its key stands, whatever its value; values that
+    are no whole number, or a text of one, count 0, and fractions are cut.
+    """
     parsed = F.try_parse_json(body)
-    get = lambda p: F.expr("cast(null as bigint)") if p is None else F.try_variant_get(parsed, p, "bigint")
-    blocks = ("$.usage", "$.usage_info")
-    # The names under which replies tell each unit.
-    names = {"tokens_in": ("prompt_tokens", "input_tokens"), "tokens_out": ("completion_tokens", "output_tokens"), "pages": ("pages_processed",), "audio_seconds": ("prompt_audio_seconds",)}
-    top = {"tokens_in": "$.prompt_eval_count", "tokens_out": "$.eval_count"}
-    cells = {k: [get(f"{b}.{n}") for b in blocks for n in v] + ([get(top[k])] if k in top else []) for k, v in names.items()}
+    cells = {}
+    for unit, names in UNITS.items():
+        paths = [f"$.{block}.{name}" for block in ("usage", "usage_info") for name in names]
+        cells[unit] = paths + ([f"$.{TOP_UNITS[unit]}"] if unit in TOP_UNITS else [])
+    there = lambda p: F.try_variant_get(parsed, p, "variant").isNotNull()
+
+    def number(p: str) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(parsed, p, "variant"))
+        text = F.try_variant_get(parsed, p, "string")
+        whole = F.trim(text).try_cast("bigint")
+        cut = F.try_variant_get(parsed, p, "double").try_cast("bigint")
+        value = F.when(kind == "STRING", F.when(F.trim(text).rlike("^[+-]?[0-9]+$"), whole)).when(kind != "BOOLEAN", cut)
+        return F.coalesce(value, F.lit(0).cast("bigint"))
+
     measured = F.lit(False)
-    for v in cells.values():
-        for c in v:
-            measured = measured | c.isNotNull()
-    return F.struct(*[sum((F.coalesce(c, F.lit(0)) for c in v), F.lit(0)).alias(k) for k, v in cells.items()], measured.alias("measured"))
+    for paths in cells.values():
+        for p in paths:
+            measured = measured | there(p)
+    return F.struct(*[sum((number(p) for p in paths), F.lit(0).cast("bigint")).alias(unit) for unit, paths in cells.items()], measured.alias("measured"))
 
 
 def usage(calls: DataFrame) -> DataFrame:
@@ -42,15 +64,15 @@ def calibration(rows: DataFrame, least: int = 4) -> DataFrame:
 
 
 def newest_of_family(prices: DataFrame, families: DataFrame) -> DataFrame:
-    """provider, model, label: the newest generation still published of each mapped family.
+    """provider, model, label: the newest generation of each mapped family that its own seller still publishes.
 
-    The version after the family's name is compared as a float; equals at the
-    top give no label.
+    The version after the family's name is compared as a float; withdrawn
+    generations count where no other is left, and equals at the top give no label.
     """
-    f = families.select("provider", "model", "family")
-    keys = prices.select(F.col("model").alias("label"), "kind", "absent_since").distinct()
+    keys = prices.filter(F.coalesce(F.col("kind"), F.lit("model")) == "model").select("provider", F.col("model").alias("label"), "absent_since").distinct()
     version = F.regexp_extract(F.expr("substring(label, length(family) + 1)"), "^\\s+(\\d+(?:\\.\\d+)?)\\b", 1)
-    hit = keys.join(F.broadcast(f), F.col("label").startswith(F.col("family"))).filter(F.coalesce(F.col("kind"), F.lit("model")) == "model").withColumn("v", F.nullif(version, F.lit("")).cast("double")).filter("v is not null")
+    hit = families.select("provider", "model", "family").join(keys, "provider").filter(F.col("label").startswith(F.col("family")))
+    hit = hit.withColumn("v", F.nullif(version, F.lit("")).cast("double")).filter("v is not null")
     live = F.max(F.col("absent_since").isNull()).over(Window.partitionBy("provider", "model"))
     hit = hit.withColumn("any_live", live).filter(~F.col("any_live") | F.col("absent_since").isNull())
     top = hit.groupBy("provider", "model").agg(F.max("v").alias("v"))
@@ -73,11 +95,19 @@ def resolve_prices(wanted: DataFrame, prices: DataFrame, families: DataFrame) ->
     return wanted.select("provider", "model").distinct().join(best, ["provider", "model"], "left").select("provider", "model", "price.*", "priority")
 
 
-def cost(tokens_in: Column, tokens_out: Column) -> Column:
-    """Cost by the columns in_per_mtok, out_per_mtok and free; null without a price."""
-    part = lambda n, p: F.coalesce(n / 1e6 * p, F.lit(0.0))
-    unknown = F.col("in_per_mtok").isNull() & F.col("out_per_mtok").isNull()
-    return F.when(F.coalesce(F.col("free"), F.lit(False)), F.lit(0.0)).when(~unknown, part(tokens_in, F.col("in_per_mtok")) + part(tokens_out, F.col("out_per_mtok")))
+#: Units by the price column that charges them, and how many of them the price is for.
+CHARGES = {"in_per_mtok": ("tokens_in", 1e6), "out_per_mtok": ("tokens_out", 1e6), "per_1k_pages": ("pages", 1e3), "per_audio_minute": ("audio_seconds", 60.0), "per_audio_second": ("audio_seconds", 1.0)}
+
+
+def cost(columns: list[str]) -> Column:
+    """Cost by those of the price columns and units that a table has; null without any price, 0 if free."""
+    parts = [(F.col(price), F.col(unit) / per) for price, (unit, per) in CHARGES.items() if price in columns and unit in columns]
+    known = F.lit(False)
+    total = F.lit(0.0)
+    for price, amount in parts:
+        known = known | price.isNotNull()
+        total = total + F.coalesce(price * amount, F.lit(0.0))
+    return F.when(F.coalesce(F.col("free"), F.lit(False)), F.lit(0.0)).when(known, total)
 
 
 def staleness(prices: DataFrame, today: Column, days: int = 180) -> DataFrame:

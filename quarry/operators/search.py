@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,14 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exprs import fold, phrase_count, tokens
 
-# Words left out of an OR query.
-STOP_WORDS = {"a", "an", "and", "at", "by", "de", "des", "du", "en", "et", "for", "from", "in", "is", "la", "le", "les", "of", "on", "or", "ou", "par", "pour", "the", "to", "un", "une", "with"}
+# Single words left out of an OR query, French and English.
+STOP_WORDS = set(
+    """
+    le la les un une des du de d l et ou ni mais donc car que qui quoi dont a au aux en dans sur sous par pour avec sans chez vers entre ce cet cette ces
+    mon ma mes ton ta tes son sa ses notre nos votre vos leur leurs je tu il elle on nous vous ils elles est sont etre ont avoir plus moins tres pas ne
+    the a an of to in on for with without and or nor but is are be been this that these those his her its their our your my it as at by from
+    """.split()
+)
 WEIGHTS = {"name": 5.0, "keywords": 4.0, "entities": 3.0, "summary": 1.0, "content": 2.0, "category": 2.0}
 
 
@@ -102,10 +109,11 @@ def near_terms(docs: DataFrame, columns: dict[str, str], query: str, cutoff: flo
     groups = []
     for word in query.split():
         low = word.lower()
+        own = "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
         ratio = _similarity(low, cutoff)
         span = F.abs(F.length("term") - len(low)) <= 0.2 * (F.length("term") + len(low))  # ratio >= 0.8 needs it
         best = terms.filter(span).withColumn("r", ratio("term")).filter(F.col("r") >= cutoff).orderBy(F.desc("r"), F.desc("term")).limit(most)
-        groups.append(list(dict.fromkeys([low, *(r["term"] for r in best.collect())])))
+        groups.append(list(dict.fromkeys([own, *(r["term"] for r in best.collect())])))
     return groups
 
 

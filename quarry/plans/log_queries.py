@@ -91,6 +91,7 @@ PRICES = [
     ("paid", "Fam 5", 9.0, 9.0, None, None, "2025-12-01", "2025-06-30", "hand"),
     ("paid", "Fam 6 pack", 9.0, 9.0, None, "product", None, "2026-01-10", "feed"),
     ("local", "m0", None, None, True, None, None, "2026-01-10", "feed"),
+    ("other", "Fam 7", 8.0, 8.0, None, None, None, "2026-01-10", "feed"),
     ("*", "m3", None, None, None, None, None, "2026-01-10", "feed"),
 ]
 _PRICE_DDL = "provider string, model string, in_per_mtok double, out_per_mtok double, free boolean, kind string, absent_since string, updated string, source string"
@@ -111,7 +112,7 @@ def price_resolution(spark, d):
 
 def run_cost(spark, d):
     rows = M.usage(_calls(spark, d)).join(F.broadcast(_resolved(spark, d)), ["provider", "model"])  # one row a model
-    return rows.select("provider", "model", "task", F.round(M.cost(F.col("tokens_in"), F.col("tokens_out")), 9).alias("cost"))
+    return rows.select("provider", "model", "task", F.round(M.cost(rows.columns), 9).alias("cost"))
 
 
 def forecast_range(spark, d):
@@ -195,17 +196,18 @@ def sibling_hints(spark, d):
 
 
 def frame_plan(spark, d):
-    marks = F.array((F.col("p_size") * 20).cast("double"), (F.col("p_size") * 20 + 1).cast("double"))
-    plan = G.frame_plan((F.col("p_size") * 60).cast("double"), marks)
-    return table(spark, d, "part").select("p_partkey", plan.alias("plan")).select("p_partkey", F.size("plan").cast("long").alias("n_frames"), F.round(F.element_at("plan", 1), 3).alias("first_at"), F.round(F.element_at("plan", -1), 3).alias("last_at"))
+    passage = lambda a, b: E.midpoint((F.col("p_size") * a).cast("double"), (F.col("p_size") * a + b).cast("double"))
+    plan = G.frame_plan(((F.col("p_size") - 1) * 37).cast("double"), F.array(passage(20, 7), passage(9, 0), passage(60, 1)))
+    return table(spark, d, "part").select("p_partkey", plan.alias("plan")).select("p_partkey", F.size("plan").cast("long").alias("n_frames"), F.array_join(F.transform("plan", lambda x: (x * 1000).cast("long").cast("string")), ",").alias("at_ms"))
 
 
 def distinct_frames(spark, d):
-    bits = F.aggregate(F.slice(F.transform("embedding", lambda x: (x > 0).cast("bigint")), 1, 16), F.lit(0).cast("bigint"), lambda acc, b: acc * 2 + b)
-    rows = table(spark, d, "embeddings").select("label", "vec_id", bits.alias("h"))
-    by = rows.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "h"))).alias("r"))
-    kept = E.let(F.transform("r", lambda x: x["h"]), lambda h: G.distinct_hashes(h, 3))
-    return by.select("label", F.size("r").cast("long").alias("n_frames"), F.size(kept).cast("long").alias("n_kept"))
+    # 64 cells make a hash; the frames of a film are 64 neighbours, so that no group grows with the table
+    cells = F.transform(F.slice("embedding", 1, 64), lambda x: x.cast("double"))
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("film"), "vec_id", E.hash_bits(cells).alias("h"))
+    by = rows.groupBy("film").agg(F.array_sort(F.collect_list(F.struct("vec_id", "h"))).alias("r"))
+    kept = E.let(F.transform("r", lambda x: x["h"]), lambda h: G.distinct_hashes(h, 24))
+    return by.select("film", F.size("r").cast("long").alias("n_frames"), F.size(kept).cast("long").alias("n_kept"))
 
 
 ROOTS = [("inbox", "/data/in"), ("library", "/data"), ("mirror", "/backup"), ("queue", "/data/in"), ("trash", "/backups")]
@@ -273,19 +275,26 @@ ORACLES = {
     "run_cost": f"SELECT u.provider, u.model, task, round(CASE WHEN coalesce(free, false) THEN 0.0 WHEN in_per_mtok IS NULL AND out_per_mtok IS NULL THEN NULL ELSE coalesce(tokens_in / 1e6 * in_per_mtok, 0) + coalesce(tokens_out / 1e6 * out_per_mtok, 0) END, 9)::DOUBLE AS cost FROM ({_U}) u JOIN ({_R}) r ON u.provider = r.provider AND u.model = r.model",
     "forecast_range": f"WITH c AS (SELECT sum((doc_id % 4 = 0)::INT)::BIGINT AS text, sum((doc_id % 4 = 1)::INT)::BIGINT AS pdf, sum((doc_id % 4 = 2)::INT)::BIGINT AS image, sum((doc_id % 4 = 3)::INT)::BIGINT AS audio FROM documents), r AS (SELECT *, text + pdf + 2 * image + audio AS calls_low, text + 2 * pdf + 3 * image + audio AS calls_high FROM c), m AS (SELECT avg(mean_in) AS i, avg(mean_out) AS o FROM ({_CAL})) SELECT text, pdf, image, audio, calls_low, calls_high, round((floor(calls_low * i) + floor(calls_low * o) * 3.0) / 1e6, 9) AS cost_low, round((floor(calls_high * i) + floor(calls_high * o) * 3.0) / 1e6, 9) AS cost_high FROM r, m",
     "price_staleness": f"SELECT max(date_diff('day', updated::DATE, DATE '2026-03-01'))::BIGINT AS age_days, min(updated)::VARCHAR AS as_of, max(date_diff('day', updated::DATE, DATE '2026-03-01')) > 180 AS is_stale, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ({_P})",
-    "dispatch_types": "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'archive' WHEN 4 THEN 'image' WHEN 6 THEN 'audio' WHEN 7 THEN 'office' WHEN 8 THEN 'text' ELSE 'unknown' END AS media_type, CASE p_partkey % 9 WHEN 3 THEN 'unknown_extension' WHEN 5 THEN 'no_extension' ELSE 'known' END AS reason FROM part",
+    "dispatch_types": "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'archive' WHEN 4 THEN 'image' WHEN 6 THEN 'audio' WHEN 7 THEN 'text' WHEN 8 THEN 'text' ELSE 'unknown' END AS media_type, CASE p_partkey % 9 WHEN 3 THEN 'unknown_extension' WHEN 5 THEN 'no_extension' ELSE 'known' END AS reason FROM part",
     "ext_top6": "SELECT CASE p_partkey % 9 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'gz' WHEN 3 THEN 'weird' WHEN 4 THEN 'jpg' WHEN 5 THEN 'none' WHEN 6 THEN 'mp3' WHEN 7 THEN 'docx' ELSE 'txt' END AS ext, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, ext LIMIT 6",
     "stems": f"""WITH t AS (SELECT doc_id, {_slug("text[1:60]")} AS slug, {_slug("'2024-05-06 ' || split_part(text, chr(10), 1)")} AS l, {_slug('text')} AS s FROM documents)
-    SELECT doc_id, slug, CASE WHEN regexp_replace(l, '^\\d{{4}}-\\d{{2}}(-\\d{{2}})?[-_ ]+', '') = '' THEN l ELSE regexp_replace(l, '^\\d{{4}}-\\d{{2}}(-\\d{{2}})?[-_ ]+', '') END AS bare,
+    SELECT doc_id, slug, CASE WHEN regexp_replace(l, '^\\d{{4}}-\\d{{2}}(-\\d{{2}})?[-_]+', '') = '' THEN l ELSE regexp_replace(l, '^\\d{{4}}-\\d{{2}}(-\\d{{2}})?[-_]+', '') END AS bare,
     CASE WHEN length(s) <= 180 THEN length(s) WHEN greatest(180 - CASE WHEN strpos(reverse(s[1:180]), '-') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '-') END, 180 - CASE WHEN strpos(reverse(s[1:180]), '_') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '_') END) >= 135
     THEN greatest(180 - CASE WHEN strpos(reverse(s[1:180]), '-') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '-') END, 180 - CASE WHEN strpos(reverse(s[1:180]), '_') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '_') END) ELSE 180 END::BIGINT AS cut_length FROM t""",
-    "category_normalise": "WITH p AS (SELECT n_nationkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_nationkey, CASE WHEN r_name = 'AFRICA' AND n_name = 'ALGERIA' THEN 'AFRICA/ALGERIA' WHEN r_name IN ('AFRICA', 'ASIA') THEN r_name WHEN r_name = 'EUROPE' AND n_name = 'FRANCE' THEN 'EUROPE/FRANCE' END AS base, CASE WHEN r_name IN ('AFRICA', 'ASIA') OR (r_name = 'EUROPE' AND n_name = 'FRANCE') THEN r_name || '/' || replace(n_name, ' ', '-') || '/Some-Folder/x_y' END AS category FROM p",
+    "category_normalise": "WITH p AS (SELECT n_nationkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_nationkey, CASE WHEN r_name = 'AFRICA' AND n_name = 'ALGERIA' THEN 'AFRICA/ALGERIA' WHEN r_name IN ('AFRICA', 'ASIA') THEN r_name WHEN r_name = 'EUROPE' AND n_name = 'FRANCE' THEN 'EUROPE/FRANCE' END AS base, CASE WHEN r_name IN ('AFRICA', 'ASIA') OR (r_name = 'EUROPE' AND n_name = 'FRANCE') THEN r_name || '/' || replace(n_name, ' ', '-') || '/Some-Folder/file' END AS category FROM p",
     "series_route": "WITH o AS (SELECT o_orderkey, o_orderkey % 3 = 0 AS s, o_orderkey % 2 = 0 AS bare, regexp_replace(regexp_replace(o_orderpriority, '[^A-Za-z0-9_]+', '-', 'g'), '^-|-$', '', 'g') AS i, strftime(o_orderdate, '%Y') AS y FROM orders) SELECT o_orderkey, 'Home/Bills' || CASE WHEN bare THEN '' ELSE '/Water' END || CASE WHEN s THEN CASE WHEN bare THEN '/' || i ELSE '' END || '/' || y ELSE '' END AS route FROM o",
     "date_ladder": "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE END, CASE WHEN o_orderkey % 5 != 0 THEN o_orderdate::DATE + 1 END, DATE '2026-01-01')::VARCHAR AS day FROM orders",
     "nesting_collapse": "SELECT lang || '/' || source || '/x' AS path, count(*)::BIGINT AS n, count(DISTINCT doc_id % 2)::BIGINT AS n_origins FROM documents GROUP BY 1",
     "work_sets_limited": "WITH s AS (SELECT source, count(*)::BIGINT AS n_files, min(doc_id) AS ord FROM documents GROUP BY 1), u AS (SELECT *, sum(n_files) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING)::BIGINT AS used, row_number() OVER (ORDER BY ord) AS r FROM s) SELECT source, n_files, used FROM u WHERE r = 1 OR used <= 300",
     "transcript_budget": "WITH c AS (SELECT conv_id, turn, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) SELECT conv_id, turn, lpad((used // 60)::VARCHAR, 2, '0') || ':' || lpad((used % 60)::VARCHAR, 2, '0') AS at FROM c WHERE used <= 600",
     "sibling_hints": f"WITH n AS (SELECT doc_id, source, {_slug('text[1:50]')} AS name FROM documents), u AS (SELECT *, sum(length(name)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM n) SELECT source, doc_id, name FROM u WHERE used <= 400 AND r <= 12",
+    "frame_plan": """WITH p AS (SELECT p_partkey, (p_size - 1) * 37.0::DOUBLE AS d, p_size AS s FROM part), b AS (SELECT *, CASE WHEN d <= 0 THEN 0 WHEN d < 30 THEN 3 WHEN d < 120 THEN 4 WHEN d < 300 THEN 5 WHEN d < 900 THEN 7 WHEN d < 1800 THEN 9 ELSE 12 END AS n FROM p),
+    c AS (SELECT *, greatest(0.4, d / nullif(n, 0) / 2) AS gap, list_concat([[round(least(1.0, 0.05 * d), 3)]], list_transform(list_concat([round(least(greatest(d - 1.5, 0.95 * d), greatest(d - 0.05, 0.0)), 3), s * 20 + 3.5, s * 9.0, s * 60 + 0.5], list_transform(range(1, n + 1), lambda i: round_even(d * i / (n + 1), 3))), lambda x: [x])) AS w FROM b),
+    t AS (SELECT p_partkey, CASE WHEN n = 0 THEN [] ELSE list_sort(list_reduce(w, lambda acc, x: CASE WHEN len(acc) < n AND x[1] BETWEEN 0 AND d AND len(list_filter(acc, lambda y: abs(y - x[1]) < gap)) = 0 THEN list_concat(acc, x) ELSE acc END)) END AS plan FROM c)
+    SELECT p_partkey, len(plan)::BIGINT AS n_frames, array_to_string(list_transform(plan, lambda x: trunc(x * 1000)::BIGINT::VARCHAR), ',') AS at_ms FROM t""",
+    "distinct_frames": """WITH e AS (SELECT vec_id // 64 AS film, vec_id, list_transform(embedding[1:64], lambda x: x::DOUBLE) AS c FROM embeddings), m AS (SELECT *, list_sum(c) / len(c) AS mean FROM e),
+    h AS (SELECT film, vec_id, array_to_string(list_transform(c, lambda x: CASE WHEN x > mean THEN '1' ELSE '0' END), '') AS bits FROM m), g AS (SELECT film, list([bits] ORDER BY vec_id) AS w FROM h GROUP BY 1)
+    SELECT film, len(w)::BIGINT AS n_frames, len(list_reduce(w, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: hamming(y, x[1]) < 24)) = 0 THEN list_concat(acc, x) ELSE acc END))::BIGINT AS n_kept FROM g""",
     "layout_conflicts": "WITH r(name, path) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ROOTS) + ") SELECT x.name AS name_a, y.name AS name_b, CASE WHEN x.path = y.path THEN 'equal' ELSE 'contained' END AS kind FROM r x JOIN r y ON x.name < y.name AND (x.path = y.path OR starts_with(x.path, y.path || '/') OR starts_with(y.path, x.path || '/'))",
     "media_tag_diff": "WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS t, arg_min(p_size, p_partkey) AS c, arg_min(p_name, p_partkey) AS m FROM part GROUP BY 1) SELECT p.p_brand, sum((p_type != t)::INT)::BIGINT AS n_p_type, sum((p_size != c)::INT)::BIGINT AS n_p_size, sum((p_name != m)::INT)::BIGINT AS n_p_name FROM part p JOIN f ON p.p_brand = f.p_brand GROUP BY 1",
     "weekly_activity": f"SELECT strftime(to_timestamp(floor(epoch(event_time) / 604800) * 604800) AT TIME ZONE 'UTC', '%Y-%m-%d') AS week, action, count(*)::BIGINT AS n FROM ({_E}) GROUP BY 1, 2",

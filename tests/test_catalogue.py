@@ -5,9 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import catalogue
 from quarry.functions import exprs as E
+from quarry.functions import paths as P
 from quarry.operators import catalog as C
 from quarry.operators import metering as M
 from quarry.operators import sampling as G
@@ -139,3 +141,59 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["doc_id", "score"]
+
+
+def test_values_of_the_exact_rules(spark):
+    one = lambda **c: spark.range(1).select(*[x.alias(n) for n, x in c.items()]).first()
+    lit = F.lit
+    r = one(
+        slug=E.slug(lit("Œuvre ﬁn ő ž ł č ş straße™")), fold=E.fold(lit("ŐŽČ é é")), date=E.strip_leading_date(lit("2024-05 x")), cut=E.truncate_stem(lit("-" * 181)),
+        a=E.release(lit("1.2")), b=E.release(lit("0.12.0.dev4+g1a")), c=E.release(lit("v1.2.3")), budget=E.frame_budget(lit(0.0)),
+        json=E.json_object(lit('x {"a":1} y {"b":2}')), vision=P.vision_readable(lit(".JPG")), kind=P.dispatch(lit("a.docx"))["media_type"], csv=P.dispatch(lit("a.csv"))["media_type"],
+    )
+    assert r["slug"] == "uvre-fin-o-z-c-s-straeTM" and r["fold"] == "ozc e e" and r["date"] == "2024-05 x" and r["cut"] == "file"
+    assert r["a"] is None and list(r["b"]) == [0, 12, 0] and r["c"] is None and r["budget"] == 0 and r["json"] == '{"a":1}'
+    assert r["vision"] and r["kind"] == "text" and r["csv"] == "office"
+    plan = spark.createDataFrame([(100.0, [33.33333])], "d double, h array<double>").select(G.frame_plan(F.col("d"), F.col("h")).alias("p")).first()["p"]
+    assert 33.333 in plan and all(round(x, 3) == x for x in plan)
+
+
+def test_walks_with_hard_cases(spark):
+    from quarry.operators import inventory as I
+
+    files = spark.createDataFrame(
+        [("a.txt", 1, 5.0, False), ("x/.git", 1, 5.0, False), ("x/y/b.txt", 1, 5.0, False), ("xx/c.txt", 1, 5.0, False), ("Media/m.txt", 1, 5.0, False), ("Media2/m.txt", 3_000_000, 5.0, False), ("z/.h/q", 1, 5.0, False), ("l", 1, 5.0, True)],
+        "path string, size bigint, mtime double, is_symlink boolean",
+    )
+    assert [r.path for r in I.library_files(files).collect()] == ["Media2/m.txt", "a.txt", "xx/c.txt"]
+    assert [r.path for r in I.indexable_files(files).collect()] == ["Media/m.txt", "x/y/b.txt"]
+    assert [r.root for r in I.repository_roots(files).collect()] == ["x"]
+    none = files.limit(0)
+    assert I.library_files(none).count() == I.work_sets(none).count() == I.category_paths(none).count() == 0
+    worktree = files.union(spark.createDataFrame([(".git", 1, 5.0, False)], files.schema))
+    assert [r.root for r in I.repository_roots(worktree).collect()] == ["", "x"] and I.library_files(worktree).count() == 0
+
+
+def test_records_with_hard_cases(spark):
+    from quarry.operators import records as R
+
+    wanted = spark.createDataFrame([(1, "a/x.txt"), (2, "a/x.txt"), (3, "a/x.txt"), (4, "b"), (5, "b"), (6, ".rc")], "doc_id int, path string")
+    taken = spark.createDataFrame([("a/x.txt",), ("a/x__2.txt",), ("c",)], "path string")
+    got = {r.doc_id: r.path for r in R.unique_names(wanted, taken).collect()}
+    assert got == {1: "a/x__1.txt", 2: "a/x__3.txt", 3: "a/x__4.txt", 4: "b", 5: "b__1", 6: ".rc"}
+    lines = R.snapshot(spark.createDataFrame([(1, "p", "t1", '{"name": "n"}', None, None), (2, None, "t2", "bad", "x", "y")], "doc_id bigint, current_path string, updated_at_utc string, content_json string, pending_decision string, last_verified_utc string"), "/r", "now", "db")
+    whole = json.loads("".join(r.value for r in lines.collect()))
+    assert [d["doc_id"] for d in whole["documents"]] == [2, 1] and whole["documents"][1]["content"] == {"name": "n"} and whole["meta"]["documents_count"] == 2
+    empty = json.loads("".join(r.value for r in R.snapshot(lines.select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("").alias("updated_at_utc"), F.lit("").alias("content_json")).limit(0), "/r", "now", "db").collect()))
+    assert empty["documents"] == []
+    rows = spark.createDataFrame([("a", "live", None), ("a", "live", None)], "sha256 string, status string, x string")
+    files = spark.createDataFrame([(1, "d/f.txt", "a"), (2, "g.weird", "b"), (3, "h.pdf", "c"), (4, "h.pdf", "c"), (5, "", "d")], "ord int, path string, sha256 string")
+    assert tuple(R.dry_run(files, rows).first()) == (5, 2, 2, 1)
+
+
+def test_prices_are_of_the_sellers_own_family(spark):
+    prices = spark.createDataFrame([("a", "Fam 4", None, None), ("b", "Fam 5", None, None)], "provider string, model string, kind string, absent_since string")
+    families = spark.createDataFrame([("a", "m", "Fam"), ("c", "m", "Fam")], "provider string, model string, family string")
+    assert [tuple(r) for r in M.newest_of_family(prices, families).collect()] == [("a", "m", "Fam 4")]
+    units = spark.createDataFrame([(1_000_000, 0, 2000, 90, 1.0, 2.0, 3.0, 4.0, False)], "tokens_in bigint, tokens_out bigint, pages bigint, audio_seconds bigint, in_per_mtok double, out_per_mtok double, per_1k_pages double, per_audio_minute double, free boolean")
+    assert units.select(M.cost(units.columns).alias("c")).first()["c"] == 1.0 + 6.0 + 6.0
