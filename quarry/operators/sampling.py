@@ -47,7 +47,11 @@ def within_budget(rows: DataFrame, group: list[str], order: list, size: Column,
 
 
 def limited_sets(sets: DataFrame, limit: int) -> DataFrame:
-    """The leading sets (by ord) while their files stay within the limit; the first always."""
+    """The leading sets (by ord) while their files stay within the limit; the first always.
+
+    Every set has a file, so only the first ``limit`` sets, or one, can be taken.
+    """
     w = Window.orderBy("ord")
+    sets = sets.orderBy("ord").limit(max(1, limit))
     out = sets.withColumn("used", F.sum("n_files").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(w))
     return out.filter((F.col("rank") == 1) | (F.col("used") <= limit))

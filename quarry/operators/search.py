@@ -87,6 +87,11 @@ def vocabulary(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     return table.select(F.explode(every).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def folded(word: str) -> str:
+    """A word without diacritics."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
 def _similarity(low: str, cutoff: float):
     """Ratcliff-Obershelp similarity of a term to the query word ``low``; 0 below the cutoff."""
 
@@ -109,11 +114,10 @@ def near_terms(docs: DataFrame, columns: dict[str, str], query: str, cutoff: flo
     groups = []
     for word in query.split():
         low = word.lower()
-        own = "".join(c for c in unicodedata.normalize("NFD", low) if not unicodedata.combining(c))
         ratio = _similarity(low, cutoff)
         span = F.abs(F.length("term") - len(low)) <= 0.2 * (F.length("term") + len(low))  # ratio >= 0.8 needs it
         best = terms.filter(span).withColumn("r", ratio("term")).filter(F.col("r") >= cutoff).orderBy(F.desc("r"), F.desc("term")).limit(most)
-        groups.append(list(dict.fromkeys([own, *(r["term"] for r in best.collect())])))
+        groups.append(list(dict.fromkeys([folded(low), *(r["term"] for r in best.collect())])))
     return groups
 
 

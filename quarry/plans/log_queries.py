@@ -149,7 +149,7 @@ def ext_top6(spark, d):
 
 def stems(spark, d):
     line = F.concat(F.lit("2024-05-06 "), F.substring_index("text", "\n", 1))
-    return table(spark, d, "documents").select("doc_id", E.slug(F.col("text").substr(1, 60)).alias("slug"), E.strip_leading_date(E.slug(line)).alias("bare"), F.length(E.truncate_stem(E.slug(F.col("text")))).cast("long").alias("cut_length"))
+    return table(spark, d, "documents").select("doc_id", E.slug(F.substring_index("text", "\n", 1)).alias("slug"), E.strip_leading_date(E.slug(line)).alias("bare"), F.length(E.truncate_stem(E.slug(F.col("text")))).cast("long").alias("cut_length"))
 
 
 BASES = ["AFRICA", "AFRICA/ALGERIA", "ASIA", "EUROPE/FRANCE"]
@@ -191,7 +191,7 @@ def transcript_budget(spark, d):
 
 
 def sibling_hints(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", E.slug(F.col("text").substr(1, 50)).alias("name"))
+    rows = table(spark, d, "documents").select("doc_id", "source", E.slug(F.substring_index("text", "\n", 1)).alias("name"))
     return G.within_budget(rows, ["source"], ["doc_id"], F.length("name"), 400, 12).select("source", "doc_id", "name")
 
 
@@ -277,7 +277,7 @@ ORACLES = {
     "price_staleness": f"SELECT max(date_diff('day', updated::DATE, DATE '2026-03-01'))::BIGINT AS age_days, min(updated)::VARCHAR AS as_of, max(date_diff('day', updated::DATE, DATE '2026-03-01')) > 180 AS is_stale, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ({_P})",
     "dispatch_types": "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'archive' WHEN 4 THEN 'image' WHEN 6 THEN 'audio' WHEN 7 THEN 'text' WHEN 8 THEN 'text' ELSE 'unknown' END AS media_type, CASE p_partkey % 9 WHEN 3 THEN 'unknown_extension' WHEN 5 THEN 'no_extension' ELSE 'known' END AS reason FROM part",
     "ext_top6": "SELECT CASE p_partkey % 9 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'gz' WHEN 3 THEN 'weird' WHEN 4 THEN 'jpg' WHEN 5 THEN 'none' WHEN 6 THEN 'mp3' WHEN 7 THEN 'docx' ELSE 'txt' END AS ext, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, ext LIMIT 6",
-    "stems": f"""WITH t AS (SELECT doc_id, {_slug("text[1:60]")} AS slug, {_slug("'2024-05-06 ' || split_part(text, chr(10), 1)")} AS l, {_slug('text')} AS s FROM documents)
+    "stems": f"""WITH t AS (SELECT doc_id, {_slug("split_part(text, chr(10), 1)")} AS slug, {_slug("'2024-05-06 ' || split_part(text, chr(10), 1)")} AS l, {_slug('text')} AS s FROM documents)
     SELECT doc_id, slug, CASE WHEN regexp_replace(l, '^\\d{{4}}-\\d{{2}}(-\\d{{2}})?[-_]+', '') = '' THEN l ELSE regexp_replace(l, '^\\d{{4}}-\\d{{2}}(-\\d{{2}})?[-_]+', '') END AS bare,
     CASE WHEN length(s) <= 180 THEN length(s) WHEN greatest(180 - CASE WHEN strpos(reverse(s[1:180]), '-') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '-') END, 180 - CASE WHEN strpos(reverse(s[1:180]), '_') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '_') END) >= 135
     THEN greatest(180 - CASE WHEN strpos(reverse(s[1:180]), '-') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '-') END, 180 - CASE WHEN strpos(reverse(s[1:180]), '_') = 0 THEN 999 ELSE strpos(reverse(s[1:180]), '_') END) ELSE 180 END::BIGINT AS cut_length FROM t""",
@@ -287,7 +287,7 @@ ORACLES = {
     "nesting_collapse": "SELECT lang || '/' || source || '/x' AS path, count(*)::BIGINT AS n, count(DISTINCT doc_id % 2)::BIGINT AS n_origins FROM documents GROUP BY 1",
     "work_sets_limited": "WITH s AS (SELECT source, count(*)::BIGINT AS n_files, min(doc_id) AS ord FROM documents GROUP BY 1), u AS (SELECT *, sum(n_files) OVER (ORDER BY ord ROWS UNBOUNDED PRECEDING)::BIGINT AS used, row_number() OVER (ORDER BY ord) AS r FROM s) SELECT source, n_files, used FROM u WHERE r = 1 OR used <= 300",
     "transcript_budget": "WITH c AS (SELECT conv_id, turn, sum(length(coalesce(text, '')) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM conversations) SELECT conv_id, turn, lpad((used // 60)::VARCHAR, 2, '0') || ':' || lpad((used % 60)::VARCHAR, 2, '0') AS at FROM c WHERE used <= 600",
-    "sibling_hints": f"WITH n AS (SELECT doc_id, source, {_slug('text[1:50]')} AS name FROM documents), u AS (SELECT *, sum(length(name)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM n) SELECT source, doc_id, name FROM u WHERE used <= 400 AND r <= 12",
+    "sibling_hints": f"WITH n AS (SELECT doc_id, source, {_slug('split_part(text, chr(10), 1)')} AS name FROM documents), u AS (SELECT *, sum(length(name)) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM n) SELECT source, doc_id, name FROM u WHERE used <= 400 AND r <= 12",
     "frame_plan": """WITH p AS (SELECT p_partkey, (p_size - 1) * 37.0::DOUBLE AS d, p_size AS s FROM part), b AS (SELECT *, CASE WHEN d <= 0 THEN 0 WHEN d < 30 THEN 3 WHEN d < 120 THEN 4 WHEN d < 300 THEN 5 WHEN d < 900 THEN 7 WHEN d < 1800 THEN 9 ELSE 12 END AS n FROM p),
     c AS (SELECT *, greatest(0.4, d / nullif(n, 0) / 2) AS gap, list_concat([[round(least(1.0, 0.05 * d), 3)]], list_transform(list_concat([round(least(greatest(d - 1.5, 0.95 * d), greatest(d - 0.05, 0.0)), 3), s * 20 + 3.5, s * 9.0, s * 60 + 0.5], list_transform(range(1, n + 1), lambda i: round_even(d * i / (n + 1), 3))), lambda x: [x])) AS w FROM b),
     t AS (SELECT p_partkey, CASE WHEN n = 0 THEN [] ELSE list_sort(list_reduce(w, lambda acc, x: CASE WHEN len(acc) < n AND x[1] BETWEEN 0 AND d AND len(list_filter(acc, lambda y: abs(y - x[1]) < gap)) = 0 THEN list_concat(acc, x) ELSE acc END)) END AS plan FROM c)

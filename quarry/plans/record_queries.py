@@ -15,8 +15,7 @@ from quarry.operators import inventory as I
 from quarry.operators import metering as M
 from quarry.operators import records as R
 from quarry.operators import sampling as G
-from quarry.operators import search as S
-from quarry.plans.search_queries import _bm25, scrub_matrix
+from quarry.plans.search_queries import _bm25, _index, scrub_matrix
 from quarry.sources.readers import table
 
 NOW = "2026-01-01 00:00:00"
@@ -395,8 +394,7 @@ def log_prefilter(spark, d):
 
 def search_expanded(spark, d):
     """Any word of a query or of an expansion table, each once."""
-    words = " ".join(dict.fromkeys(["pathetic", *["moron", "pathetic", "the"]]))
-    return S.search_any(table(spark, d, "documents").select("doc_id", "text", "source", "lang"), {"name": "source", "content": "text", "category": "lang"}, words)
+    return _index(spark, d).search_any(" ".join(dict.fromkeys(["pathetic", *["moron", "pathetic", "the"]])))
 
 
 def analysis_injected(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions.exprs import tokens
 from quarry.operators import catalog as C
 from quarry.operators import search as S
+from quarry.operators.index import index_of
 from quarry.sources.readers import table
 
 COLUMNS = {"name": "source", "content": "text", "category": "lang"}
@@ -17,24 +18,40 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
 
 
+def _index(spark, d):
+    return index_of((d, "documents"), _docs(spark, d), COLUMNS)
+
+
 def search_all(spark, d):
-    return S.search(_docs(spark, d), COLUMNS, "worthless clown")
+    return _index(spark, d).search("worthless clown")
 
 
 def search_any(spark, d):
-    return S.search_any(_docs(spark, d), COLUMNS, "the pathetic moron")
+    return _index(spark, d).search_any("the pathetic moron")
 
 
 def search_columns_weighted(spark, d):
-    return S.search(_docs(spark, d), COLUMNS, "src3 en")
+    return _index(spark, d).search("src3 en")
 
 
 def search_phrase(spark, d):
-    return S.ranked(_docs(spark, d), {"content": "text"}, [["of", "the"]])
+    return _index(spark, d).ranked([[["of", "the"]]])
 
 
 def search_fuzzy(spark, d):
-    return S.search(_docs(spark, d), COLUMNS, NEAR)
+    return _index(spark, d).search(NEAR)
+
+
+SIX = {"name": "name", "keywords": "keywords", "entities": "entities", "summary": "summary", "content": "body", "category": "category"}
+
+
+def search_stored(spark, d):
+    """Stored rows alone, by all six columns; the body is a sidecar's text where there is one."""
+    docs = _docs(spark, d).withColumns({
+        "status": F.when(F.col("doc_id") % 7 == 0, C.DELETED).otherwise(C.STORED), "name": F.concat_ws(" ", "source", "doc_id"), "keywords": F.when(F.col("doc_id") % 3 == 0, "tax moron"),
+        "entities": F.col("source"), "summary": F.substring_index("text", "\n", 1), "body": F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("scan "), "lang")).otherwise(F.col("text")), "category": F.concat(F.lit("Home/"), "lang"),
+    })
+    return index_of((d, "stored"), docs, SIX).search_any("moron scan")
 
 
 SYNONYMS = {"fr": ["french", "francais"], "de": ["german", "deutsch"], "en": ["english"], "es": ["spanish"]}
@@ -75,6 +92,8 @@ def _bm25(fields: dict[str, str], phrases: list[list[str]], need_all: bool, docs
 
 
 _F = {"name": "source", "content": "text", "category": "lang"}
+_SIX = {"name": "name", "keywords": "keywords", "entities": "entities", "summary": "summary", "content": "body", "category": "category"}
+_STORED = "SELECT doc_id, source || ' ' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'tax moron' END AS keywords, source AS entities, split_part(text, chr(10), 1) AS summary, CASE WHEN doc_id % 5 = 0 THEN 'scan ' || lang ELSE text END AS body, 'Home/' || lang AS category FROM documents WHERE doc_id % 7 != 0"
 _SYN = "SELECT doc_id, lang || CASE lang WHEN 'fr' THEN ' french francais' WHEN 'de' THEN ' german deutsch' WHEN 'en' THEN ' english' WHEN 'es' THEN ' spanish' ELSE '' END AS category FROM documents"
 
 
@@ -171,12 +190,14 @@ def body_cache_refresh(spark, d):
 
 
 _H = "SELECT doc_id, sha256(text) AS sha256, source, lang FROM documents"
-QUERIES = {f.__name__: f for f in (search_all, search_any, search_columns_weighted, search_phrase, search_fuzzy, search_category_synonyms, vocabulary, token_totals, majority_language, exact_duplicates, batch_first_wins, redeposit_lookup, catalog_upsert, catalog_tombstone, catalog_purge, mark_verified, scrub_queue, integrity_status, scrub_matrix, rescan_plan, restore_plan, snapshot_diff, body_cache_refresh)}
+QUERIES = {f.__name__: f for f in (search_all, search_any, search_columns_weighted, search_phrase, search_fuzzy, search_stored, search_category_synonyms, vocabulary, token_totals, majority_language, exact_duplicates, batch_first_wins, redeposit_lookup, catalog_upsert, catalog_tombstone, catalog_purge, mark_verified, scrub_queue, integrity_status, scrub_matrix, rescan_plan, restore_plan, snapshot_diff, body_cache_refresh)}
 ORACLES = {
     "search_all": _bm25(_F, [["worthless"], ["clown"]], True),
     "search_any": _bm25(_F, [["pathetic"], ["moron"]], False),
     "search_columns_weighted": _bm25(_F, [["src3"], ["en"]], True),
-    "search_phrase": _bm25({"content": "text"}, [["of", "the"]], True),
+    "search_phrase": _bm25(_F, [["of", "the"]], True),
+    "search_fuzzy": _bm25(_F, [["disgusting"]], True),
+    "search_stored": _bm25(_SIX, [["moron"], ["scan"]], False, _STORED),
     "search_category_synonyms": _bm25({"category": "category"}, [["deutsch"]], True, _SYN),
     "vocabulary": "WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+')) AS term FROM documents) SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term",
     "token_totals": "SELECT doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS t FROM documents)",
