@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import Stage
-from .vectext import U64, Powers, Words, mix, slices, text_column
+from .vectext import U64, Powers, Words, mix, slices, text_column, tidy
 
 RUNS = "array<struct<h:bigint,first:int,n:int,c:bigint>>"
 _gram_powers = Powers(0xC2B2AE3D27D4EB4F)
@@ -89,7 +89,7 @@ def _anchor_batches(unit: str, window: int, k: int):
 
 def repeated_runs(keyed: DataFrame, keys: list[str], stage: Stage, unit: str, window: int, k: int) -> DataFrame:
     """Documents that hold runs with a repeated minimizer: keys, text, runs."""
-    anchors = keyed.mapInArrow(_anchor_batches(unit, window, k), "h bigint, k bigint, tk bigint, first int, n int")
+    anchors = keyed.mapInArrow(tidy(_anchor_batches(unit, window, k)), "h bigint, k bigint, tk bigint, first int, n int")
     seen = stage.cut(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "anchors")
     per_doc = anchors.join(seen, "h").groupBy(keys).agg(F.collect_list(F.struct("h", "first", "n", "c")).alias("runs"))
     per_doc = stage.cut(per_doc, "runs")  # its shuffles are released before the texts move

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .lexer import Reader
 from .staging import NO_ID, from_key, table
+from .vectext import tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -153,7 +154,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), "text")
     schema = "k bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted string"
-    return keyed.mapInArrow(_scan_batches, schema).select(from_key().alias("doc_id"), "spans", "redacted")
+    return keyed.mapInArrow(tidy(_scan_batches), schema).select(from_key().alias("doc_id"), "spans", "redacted")
 
 
 def _redact_batches(column: int):
@@ -170,7 +171,7 @@ def _redact_batches(column: int):
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans of ``secret_scan`` replaced in text, other columns as they are."""
-    return docs.mapInArrow(_redact_batches(docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(tidy(_redact_batches(docs.columns.index("text"))), docs.schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

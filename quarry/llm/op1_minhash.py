@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import HEAVY, components
 from .staging import NO_ID, Stage, from_key, has_rows, table
-from .vectext import U64, Words, mix, rolled, slices, text_column
+from .vectext import U64, Words, mix, rolled, slices, text_column, tidy
 
 SHINGLE = 5
 #: threshold in per cent -> (rows of a band, bands): a pair at the threshold shares no band with probability under 1e-5.
@@ -304,7 +304,7 @@ class Linker:
         right = self.reps.select(F.col("k").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
         sized = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * self.percent
         pairs = pairs.join(left, "a").join(right, "b").filter(sized).select("a", "b", "sig", "sig2")
-        return self.stage.cut(pairs.mapInArrow(_prune_batches(self.percent), "a bigint, b bigint").distinct(), "survivors")
+        return self.stage.cut(pairs.mapInArrow(tidy(_prune_batches(self.percent)), "a bigint, b bigint").distinct(), "survivors")
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.labels, "k", "left").withColumn("label", F.coalesce("label", "k"))
@@ -382,7 +382,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     stage = Stage(spark, "minhash")
     rows, bands = BANDING[percent]
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = stage.cut(keyed.mapInArrow(_sketch_batches(rows, bands), "k bigint, n bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>"), "sketches")
+    sketch = stage.cut(keyed.mapInArrow(tidy(_sketch_batches(rows, bands)), "k bigint, n bigint, f1 bigint, f2 bigint, sig binary, bands array<bigint>"), "sketches")
     set_key = ["f1", "f2", "n"]
     some = sketch.filter((F.col("n") > 0) & (F.col("k") != NO_ID))
     classes = stage.cut(some.groupBy(set_key).agg(F.min("k").alias("rep")), "classes")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .anchors import repeated_runs, run_columns
 from .staging import Stage, from_key, table, text_keys
-from .vectext import Words, slices, text_column
+from .vectext import Words, slices, text_column, tidy
 
 WINDOW, GRAM = 35, 15
 
@@ -115,14 +115,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     stage = Stage(spark, "substring")
     keyed, keys = text_keys(docs)
     candidates = repeated_runs(keyed, keys, stage, "word", window, gram)
-    windows = candidates.mapInArrow(_window_batches(window), "w1 bigint, w2 bigint, k bigint, tk bigint, pos int")
+    windows = candidates.mapInArrow(tidy(_window_batches(window)), "w1 bigint, w2 bigint, k bigint, tk bigint, pos int")
     repeated = stage.cut(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2"), "repeated")
     places = windows.join(repeated, ["w1", "w2"]).groupBy(keys).agg(F.collect_list("pos").alias("pos"))
     places = stage.cut(places, "places")
     stage.keep(places)
     schema = "k bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>"
     found = keyed.join(places, keys, "left").select("k", "text", F.coalesce("pos", F.array().cast("array<int>")).alias("pos"))
-    return found.mapInArrow(_removal_batches(window), schema).select(from_key().alias("doc_id"), "n_words", "n_removed", "kept", "spans")
+    return found.mapInArrow(tidy(_removal_batches(window)), schema).select(from_key().alias("doc_id"), "n_words", "n_removed", "kept", "spans")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

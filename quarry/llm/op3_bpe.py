@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bpe import loaded
 from .staging import NO_ID, from_key, table
-from .vectext import slices, text_column
+from .vectext import slices, text_column, tidy
 
 BATCH_BYTES = 3 << 20
 
@@ -49,7 +49,7 @@ def bpe_encode_decode(docs: DataFrame, path: str, pattern: str = public_tokenize
     text, or one longer text, and a cache of bounded size.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    out = keyed.mapInArrow(_encode_batches(path, pattern), "k bigint, ids array<int>, decoded binary")
+    out = keyed.mapInArrow(tidy(_encode_batches(path, pattern)), "k bigint, ids array<int>, decoded binary")
     return out.select(from_key().alias("doc_id"), "ids", "decoded")
 
 

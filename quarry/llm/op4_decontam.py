@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import Stage, from_key, table, text_keys
-from .vectext import U64, Words, mix, slices, text_column
+from .vectext import U64, Words, mix, slices, text_column, tidy
 
 # Masks over 10 word positions, 6 of them read.  With a fifth of the words replaced at
 # random, some mask fits between the replaced words of 99 % or more of the overlaps of each length from 13 on.
@@ -112,7 +112,7 @@ def seed_filter(seeds_: DataFrame, count: int) -> np.ndarray:
     bits = FILTER_BITS[0]
     while bits < min(96 * count, FILTER_BITS[1]):
         bits *= 2
-    cells = seeds_.select("seed").mapInArrow(_probe_batches(bits), "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
+    cells = seeds_.select("seed").mapInArrow(tidy(_probe_batches(bits)), "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow()
     out = np.zeros(bits // 64, U64)
     out[np.asarray(cells.column("cell").combine_chunks())] = np.asarray(cells.column("bit").combine_chunks()).view(U64)
     return out
@@ -233,12 +233,12 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, stage: Stage) -> D
     if not sizes["items"]:
         return docs.sparkSession.createDataFrame([], MATCH)
     lengths = sorted(n for n in sizes["short"] if n >= MIN_ITEM)
-    known = stage.cut(items.mapInArrow(_item_batches(lengths), "seed bigint, item bigint, ik bigint, at int"), "seeds")
+    known = stage.cut(items.mapInArrow(tidy(_item_batches(lengths)), "seed bigint, item bigint, ik bigint, at int"), "seeds")
     count = known.count()
     if not count:
         return docs.sparkSession.createDataFrame([], MATCH)
     passing = seed_filter(known, count)
-    hits = keyed.mapInArrow(_hit_batches(lengths, passing, int(sizes["longest"])), "k bigint, tk bigint, cell int, first int, text string, hits array<struct<seed:bigint,at:int>>")
+    hits = keyed.mapInArrow(tidy(_hit_batches(lengths, passing, int(sizes["longest"]))), "k bigint, tk bigint, cell int, first int, text string, hits array<struct<seed:bigint,at:int>>")
     hits = stage.cut(hits, "hits")
     own = hits.select("k", "tk", "cell", F.explode("hits").alias("h")).select("k", "tk", "cell", "h.seed", F.col("h.at").alias("p"))
     right = F.broadcast(known) if count <= BROADCAST_SEEDS else known
@@ -248,7 +248,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, stage: Stage) -> D
     texts = F.broadcast(texts) if sizes["items"] <= BROADCAST_SEEDS and sizes["words"] <= BROADCAST_WORDS else texts
     stage.keep(items, hits, pairs)
     both = pairs.join(hits.select("k", "tk", "cell", "first", "text"), ["k", "tk", "cell"]).join(texts, ["item", "ik"])
-    return both.select("k", "tk", "item", "place", "first", "text", "item_text").mapInArrow(_verify_batches, MATCH)
+    return both.select("k", "tk", "item", "place", "first", "text", "item_text").mapInArrow(tidy(_verify_batches), MATCH)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import NO_ID, Stage, from_key, table
+from .vectext import tidy
 
 # Elements by what they do to text.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "head", "title", "object", "canvas"}
@@ -291,7 +292,7 @@ def shared_lines(stage: Stage, keyed: DataFrame) -> DataFrame:
     path; the first and last page of each range, a few rows a task, are also
     given to the ranges beside it, so neighbours do not depend on the ranges.
     """
-    pages = keyed.mapInArrow(_line_batches, "host string, path string, k bigint, digest binary, lines array<bigint>, flags binary")
+    pages = keyed.mapInArrow(tidy(_line_batches), "host string, path string, k bigint, digest binary, lines array<bigint>, flags binary")
     one = pages.groupBy("host", "digest").agg(F.min(F.struct("path", "k")).alias("p"), F.first("lines").alias("lines"), F.first("flags").alias("flags"))
     one = one.select("host", "p.path", "p.k", "digest", "lines", "flags")
     order = ["host", "path", "k", "digest"]
@@ -303,7 +304,7 @@ def shared_lines(stage: Stage, keyed: DataFrame) -> DataFrame:
     edges = edges.select("part", F.lag("tail").over(beside).alias("before"), F.lead("head").over(beside).alias("after"))
     context = edges.select("part", F.explode(F.array("before", "after")).alias("x")).filter("x is not null").select("part", "x.*", F.lit(True).alias("context"))
     dealt = ranged.withColumn("context", F.lit(False)).unionByName(context).repartition("part").sortWithinPartitions("part", *order)
-    out = stage.cut(dealt.select("part", "context", "host", "digest", "lines", "flags").mapInArrow(_difference_batches, "host string, digest binary, n_shared bigint, gone array<int>"), "shared")
+    out = stage.cut(dealt.select("part", "context", "host", "digest", "lines", "flags").mapInArrow(tidy(_difference_batches), "host string, digest binary, n_shared bigint, gone array<int>"), "shared")
     stage.keep(out)
     return out
 
@@ -330,7 +331,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """
     keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("k"), "url", "html")
     gone = shared_lines(Stage(pages.sparkSession, "maintext"), keyed)
-    texts = keyed.mapInArrow(_text_batches, "k bigint, url string, host string, digest binary, lines array<string>, places array<int>")
+    texts = keyed.mapInArrow(tidy(_text_batches), "k bigint, url string, host string, digest binary, lines array<string>, places array<int>")
     out = texts.join(gone, ["host", "digest"], "left")
     nothing = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.filter("lines", lambda x, i: ~F.array_contains(nothing, F.get("places", i)))

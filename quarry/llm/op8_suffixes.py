@@ -12,7 +12,7 @@ from .anchors import repeated_runs, run_columns
 from .op2_windows import covered, spans_of, spread
 from .staging import Stage, from_key, table, text_keys
 from .suffixes import suffix_array
-from .vectext import U64, mix, rolled, text_column
+from .vectext import U64, mix, rolled, text_column, tidy
 
 WINDOW, GRAM = 100, 24
 SHARD_BYTES = 1 << 18  # text of one suffix array
@@ -25,7 +25,7 @@ FOUND = "k bigint, tk bigint, first int, n int, w1 bigint, w2 bigint"
 def _slice_batches(window: int):
     """The bytes of each candidate run, dealt to shards by anchor.
 
-    Runs of an anchor that occurs often are dealt to several shards by document.
+    Runs of an anchor that occurs often are dealt to several shards by document and place.
     """
 
     def run(batches):
@@ -34,7 +34,7 @@ def _slice_batches(window: int):
             key, tk = (np.asarray(batch.column(x)) for x in ("k", "tk"))
             doc, h, first, n, count = run_columns(batch.column("runs"))
             parts = -(-count // HOT)
-            salt = (key[doc].view(U64) * U64(0x9E3779B97F4A7C15) >> U64(33)).astype(np.int64) % parts
+            salt = (mix(key[doc].view(U64) + first.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(33)).astype(np.int64) % parts
             shard = h ^ (salt * -0x61C8864680B583EB)
             for a in range(0, len(doc), 20_000):
                 b = min(len(doc), a + 20_000)
@@ -206,23 +206,22 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     the text are ordered by a hash of it.  Only slices around byte anchors that
     occur twice or more reach a suffix array.  Equal windows share an anchor
     and so a shard; an anchor with more than HOT slices is dealt to several
-    shards by document, and their sorted windows are merged by hash range.
+    shards by document and place, and their windows are merged by hash.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "suffixes")
     keyed, keys = text_keys(docs)
     candidates = repeated_runs(keyed, keys, stage, "byte", window, gram)
-    dealt = candidates.mapInArrow(_slice_batches(window), SLICES)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    found = stage.cut(dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_shard_batches(window), FOUND), "found")
-    merged = found.filter("w1 != 0 or w2 != 0").repartition(n, "w1", "w2").sortWithinPartitions("w1", "w2", "k", "tk", "first")
-    merged = merged.mapInArrow(_merge_batches, "k bigint, tk bigint, first int, n int")
+    dealt = candidates.mapInArrow(tidy(_slice_batches(window)), SLICES)
+    found = stage.cut(dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_shard_batches(window)), FOUND), "found")
+    merged = found.filter("w1 != 0 or w2 != 0").repartition("w1", "w2").sortWithinPartitions("w1", "w2", "k", "tk", "first")
+    merged = merged.mapInArrow(tidy(_merge_batches), "k bigint, tk bigint, first int, n int")
     hits = found.filter("w1 = 0 and w2 = 0").select("k", "tk", "first", "n").union(merged)
     places = stage.cut(hits.groupBy(keys).agg(F.collect_list(F.struct("first", "n")).alias("hits")), "places")
     stage.keep(places)
     schema = "k bigint, n_bytes bigint, n_removed bigint, kept binary, spans array<struct<first:bigint,last:bigint>>"
     out = keyed.join(places, keys, "left").select("k", "text", F.coalesce("hits", F.array().cast("array<struct<first:int,n:int>>")).alias("hits"))
-    return out.mapInArrow(_removal_batches(window), schema).select(from_key().alias("doc_id"), "n_bytes", "n_removed", "kept", "spans")
+    return out.mapInArrow(tidy(_removal_batches(window)), schema).select(from_key().alias("doc_id"), "n_bytes", "n_removed", "kept", "spans")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

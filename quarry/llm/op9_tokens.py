@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import NO_ID, from_key, table
-from .vectext import slices, text_column
+from .vectext import slices, text_column, tidy
 
 RULES = ("first", "last", "most")
 _encoders: dict = {}
@@ -106,7 +106,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str = public_tokenizers.
         raise ValueError(f"rule must be one of {RULES}")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "k bigint, n_tokens bigint, n_crossing bigint, section_ends array<bigint>, section_tokens array<bigint>"
-    return keyed.mapInArrow(_count_batches(path, pattern, rule), schema).select(from_key().alias("doc_id"), "n_tokens", "n_crossing", "section_ends", "section_tokens")
+    return keyed.mapInArrow(tidy(_count_batches(path, pattern, rule)), schema).select(from_key().alias("doc_id"), "n_tokens", "n_crossing", "section_ends", "section_tokens")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
