@@ -197,3 +197,28 @@ def test_prices_are_of_the_sellers_own_family(spark):
     assert [tuple(r) for r in M.newest_of_family(prices, families).collect()] == [("a", "m", "Fam 4")]
     units = spark.createDataFrame([(1_000_000, 0, 2000, 90, 1.0, 2.0, 3.0, 4.0, False)], "tokens_in bigint, tokens_out bigint, pages bigint, audio_seconds bigint, in_per_mtok double, out_per_mtok double, per_1k_pages double, per_audio_minute double, free boolean")
     assert units.select(M.cost(units.columns).alias("c")).first()["c"] == 1.0 + 6.0 + 6.0
+
+
+def test_index_holds_stored_rows_and_phrases(spark, tmp_path):
+    from quarry.operators.index import SearchIndex
+
+    docs = spark.createDataFrame(
+        [(1, "Café invoice", "a b a", C.STORED), (2, None, "b a café", C.STORED), (3, "café", "", C.DELETED), (4, "x", "a  B", C.STORED)],
+        "doc_id bigint, name string, content string, status string",
+    )
+    index = SearchIndex.build(docs, {"name": "name", "content": "content"}, f"file://{tmp_path}/index")
+    ids = lambda df: [r.doc_id for r in df.collect()]
+    assert index.n == 3 and sorted(ids(index.ranked([[["a", "b"]]]))) == [1, 4] and ids(index.ranked([[["b", "a", "cafe"]]])) == [2]
+    assert sorted(ids(index.search("CAFÉ"))) == [1, 2] and ids(index.search("café inovice")) == [1]
+    assert ids(index.search_any("the of")) == [] and ids(index.search("")) == [] and sorted(ids(index.search_any("x b a"))) == [1, 2, 4]
+    plain = {r.doc_id: r.score for r in S.ranked(docs.filter(F.col("status") == C.STORED), {"name": "name", "content": "content"}, [["a"], ["cafe"]], False).collect()}
+    assert plain == {r.doc_id: r.score for r in index.ranked([[["a"]], [["cafe"]]], False).collect()}
+    empty = SearchIndex.build(docs.limit(0), {"name": "name"}, f"file://{tmp_path}/empty")
+    assert ids(empty.search("a")) == []
+
+
+def test_entry_tells_what_is_missing():
+    import __spark_entry__ as entry
+
+    assert entry._optional("quarry.no_such_part") is None and entry._optional("no_such.part") is None
+    assert entry._optional("json") is json
