@@ -22,6 +22,7 @@ from quarry.operators.catalog import STORED
 from quarry.operators.search import STOP_WORDS, WEIGHTS, _similarity, folded, terms_of
 
 FOLDERS = 64
+POSTINGS = "term string, doc_id bigint, field string, positions array<int>, length bigint, folder int"
 _open: dict[tuple, SearchIndex] = {}
 _own_dir: str | None = None
 
@@ -49,7 +50,7 @@ class SearchIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-        self.postings = read("postings", "term string, doc_id bigint, field string, positions array<int>, length bigint, folder int")
+        self.postings = read("postings", POSTINGS)
         self.terms = read("terms", "term string, df bigint")
         totals = read("totals", "n bigint, mean double").first()
         self.n, self.mean = totals["n"], totals["mean"] or 1.0
@@ -70,7 +71,7 @@ class SearchIndex:
         one = each.groupBy("term", "doc_id", "field", "length").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("folder", _folder("term"))
         dealt = one.select("term", "doc_id", "field", "positions", "length", "folder").repartition("folder").sortWithinPartitions("folder", "term", "doc_id")
         dealt.write.partitionBy("folder").parquet(f"{path}/postings")
-        postings = spark.read.parquet(f"{path}/postings")
+        postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).write.parquet(f"{path}/terms")
         return cls(spark, path)
 
