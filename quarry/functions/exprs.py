@@ -205,6 +205,7 @@ def provider_chain(raw: Column) -> Column:
 
 def document_marker(text: Column) -> Column:
     """(text without its last ``DOCUMENT: yes|no`` line, is_document or null)."""
+    # Fixed value: the line by which a reader tells whether a picture is a document.
     line = "(?im)^\\s*DOCUMENT\\s*:\\s*(oui|yes|non|no)\\s*$"
     marks = F.regexp_extract_all(text, F.lit(line), F.lit(0))
 
