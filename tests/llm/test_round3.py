@@ -82,3 +82,75 @@ def test_whitening_query(spark):
     for c in range(1, 33):
         sign = np.sign(by[ids[0], c].whitened * want[0][c - 1])
         assert all(by[ids[i], c].deviation == dev[i] and abs(by[ids[i], c].whitened * sign - want[i][c - 1]) < 1e-6 for i in want)
+
+
+def brute_variants(counts):
+    """The result rows of words with counts, from all single edits of each word."""
+    alphabet = {c for w in counts for c in w}
+    near = {}
+    for w in counts:
+        made = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in alphabet for k in (0, 1)}
+        near[w] = (made & counts.keys()) - {w}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        if best is not None and counts[best] >= 5 * n:
+            form[w] = best
+    out = set()
+    for w, n in counts.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.add((w, form.get(w), root, n, len(near[w]), counts.get(form.get(w))))
+    return out
+
+
+def brute_words(docs):
+    import re
+    import zlib
+    from collections import Counter
+
+    count = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            count[run] += 1
+    return {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+
+
+@pytest.mark.parametrize("pairs", [4096, 3])
+def test_spelling_variants(spark, pairs):
+    import random
+
+    from quarry.llm.op12_spelling import spelling_variants
+
+    rng = random.Random(4)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randrange(6, 9))) for _ in range(250)}
+    words |= {"prefix" + "".join(rng.choice("xyz") for _ in range(rng.randrange(1, 5))) for _ in range(60)} | {"q" * 3000, "q" * 3001, "r" + "q" * 3000, "aaaaaa", "aaaaaaa", "aaaaaaaa", "ÀÀàààà", "àÀàààà"}
+    counts = {w: rng.choice([5, 6, 30, 31, 200, 1100, 6000]) for w in words}
+    rows = [(w, n, "clash") for w, n in counts.items()] + [(None, 9, "x")]
+    got = spelling_variants(spark.createDataFrame(rows, "word string, n bigint, k string"), pairs).collect()
+    assert {tuple(r) for r in got} == brute_variants(counts) and len(got) == len(counts)
+    assert spelling_variants(spark.createDataFrame([], "word string, n bigint")).count() == 0
+
+
+def test_word_counts(spark):
+    from quarry.llm.op12_spelling import word_counts
+
+    texts = [None, "", "12 !?", "Straße straße STRASSE x" * 9, "ÀÉÿ×÷aa " * 7, "letters" * 4000 + " ends", "Ωletters letters日letters", "é", "plain words " * 300] * 3
+    docs = [(i if i != 5 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id bigint, text string, n int, word string")
+    got = word_counts(df, 199).collect()
+    assert {r.word: r.n for r in got} == brute_words(docs) and len(got) > 3
+
+
+def test_spelling_query(spark):
+    from quarry.llm.op12_spelling import op12_spelling_variants
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = op12_spelling_variants(spark, SF).collect()
+    want = brute_variants(brute_words(docs))
+    assert {tuple(r) for r in got} == want and sum(x[1] is not None for x in want) > 5
