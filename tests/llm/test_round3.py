@@ -154,3 +154,133 @@ def test_spelling_query(spark):
     got = op12_spelling_variants(spark, SF).collect()
     want = brute_variants(brute_words(docs))
     assert {tuple(r) for r in got} == want and sum(x[1] is not None for x in want) > 5
+
+
+def brute_ctw(texts, learn, depth=5):
+    """log10 probability of each text, node by node from the definition."""
+    from collections import defaultdict
+
+    def steps(text):
+        b = bytes(x + 32 if 65 <= x < 91 else x for x in text.encode()) + b"\xff"
+        padded = b"\xff" * depth + b
+        for i, x in enumerate(b):
+            context = padded[i : i + depth][::-1]
+            for k in range(8):
+                yield context, (256 | x) >> (8 - k), (x >> (7 - k)) & 1
+
+    n = defaultdict(lambda: [0, 0])
+    for text, on in zip(texts, learn, strict=True):
+        for context, bits, x in steps(text) if on else ():
+            for d in range(depth + 1):
+                n[context[:d], bits][x] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    mixed, below = {}, defaultdict(float)
+    for d in range(depth, -1, -1):
+        for (context, bits), c in n.items():
+            if len(context) == d:
+                own = kt(*c)
+                mixed[context, bits] = own if d == depth else math.log(0.5) + np.logaddexp(own, below[context, bits])
+                if d:
+                    below[context[:-1], bits] += mixed[context, bits]
+
+    def one(context, bits):
+        """P(1): recursion from the root; the children's product is their mixtures'."""
+        def at(d):
+            a, b = n.get((context[:d], bits), (0, 0))
+            p = (b + 0.5) / (a + b + 1)
+            if d == depth or (context[: d + 1], bits) not in n:
+                return p
+            w = 1 / (1 + math.exp(min(below[context[:d], bits] - kt(a, b), 700)))
+            return w * p + (1 - w) * at(d + 1)
+
+        return at(0)
+
+    return [sum(math.log10(p if x else 1 - p) for context, bits, x in steps(t) for p in [one(context, bits)]) for t in texts]
+
+
+def brute_base(texts, learn):
+    import re
+    from collections import Counter
+
+    toks = [[*(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall("[^\x20\x09-\x0d]+", t)), None] for t in texts]
+    c = Counter(w for t, on in zip(toks, learn, strict=True) if on for w in t)
+    n, v = sum(c.values()), len(c)
+    return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) for t in toks]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scores(spark, small, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarry.llm import op13_ctw
+
+    rng = random.Random(2)
+    words = ["the", "THE", "then", "é", "日本", "a", "over", "x" * 30]
+    texts = [None, "", " \n\t ", "the", "The the\x0bthe"] + [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(40)] + ["long word " * 500]
+    texts += texts[5:9]
+    held = [i % 4 == 1 for i in range(len(texts))]
+    rows = [(i if i != 6 else None, t, h, 1.5, "x") for i, (t, h) in enumerate(zip(texts, held, strict=True))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, out boolean, value double, token string").repartition(3)
+    if small:  # several blocks, groups and slices; plain functions are shipped with what they read
+        monkeypatch.setattr(op13_ctw, "BLOCK", 300)
+    got = {r.doc_id: r for r in op13_ctw.lm_scores(df, F.col("out")).collect()}
+    clean = [t or "" for t in texts]
+    learn = [not h for h in held]
+    base, score = brute_base(clean, learn), brute_ctw(clean, learn)
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        r = got[i if i != 6 else None]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (*base[i][:3], held[i])
+        assert abs(r.base_score - base[i][3]) < 1e-9 * max(1, -base[i][3]) and abs(r.score - score[i]) < 1e-7 * max(1, -score[i])
+        assert abs(r.bits_per_byte + r.score / math.log10(2) / (len(clean[i].encode()) + 1)) < 1e-9
+
+
+def test_lm_empty(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.llm.op13_ctw import lm_scores
+
+    assert lm_scores(spark.createDataFrame([], "doc_id bigint, text string"), F.lit(False)).count() == 0
+    r = lm_scores(spark.createDataFrame([(1, "ab")], "doc_id bigint, text string"), F.lit(True)).first()
+    assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0) and abs(r.bits_per_byte - 8) < 1e-9
+
+
+def test_lm_blocks():
+    import pyarrow as pa
+
+    from quarry.llm import op13_ctw
+
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 103, 4000).astype(np.uint8)
+    offsets = np.array([0, 0, 1000, 1003, 1003, 4000, 4000])
+    key, row = op13_ctw.grams(data, offsets, 0, 6)
+    assert len(key) == 4006 and np.bincount(row).tolist() == [1, 1001, 4, 1, 2998, 1]
+    dic, row = op13_ctw.tokens(data, offsets, 0, 6)
+    assert [x.as_py() for x in dic][-6:] == [b""] * 6 and len(row) == 9
+    gram, n = np.unique(key.astype(np.int64), return_counts=True)
+    every = (np.repeat(np.unique(gram >> 8), 256) << 8) + np.tile(np.arange(256), len(np.unique(gram >> 8)))
+    counts = np.zeros(len(every), np.int64)
+    counts[np.searchsorted(every, gram)] = n
+    total = np.zeros(len(every))
+    for k in range(8):
+        bit = op13_ctw._Bit(every, counts, k)
+        keys = bit.levels[-1][0]
+        total += bit.predicted(keys, np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5))
+    assert np.allclose((10**total).reshape(-1, 256).sum(1), 1)
+    assert isinstance(dic, pa.DictionaryArray)
+
+
+def test_lm_query(spark):
+    """Held-out texts, of which training knows nothing, take under a third of their bytes."""
+    from quarry.llm.op13_ctw import op13_lm_scoring
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op13_lm_scoring(spark, SF).collect()
+    held = [r for r in rows if r.held_out]
+    size = sum(len(docs[r.doc_id].encode()) + 1 for r in held)
+    assert len(rows) == len(docs) and held and -sum(r.score for r in held) / math.log10(2) / size < 2.6
+    by = {r.doc_id: r for r in rows}
+    for i, want in zip(docs, brute_base(list(docs.values()), [not by[i].held_out for i in docs]), strict=True):
+        assert (by[i].n_tokens, by[i].n_known, by[i].train_tokens) == want[:3] and abs(by[i].base_score - want[3]) < 1e-9 * -want[3]
