@@ -31,6 +31,7 @@ ACCENTED, PLAIN = "".join(_BASE), "".join(_BASE.values())
 _TO_ASCII = {c: p for c, p in _ASCII.items() if len(p) == 1}
 _SPELLED = {c: p for c, p in _ASCII.items() if len(p) > 1}
 TOKEN = "([\\p{L}\\p{N}]+)"
+TOKEN_MARKED = "([\\p{L}\\p{N}][\\p{L}\\p{N}\\p{Mn}]*)"  # the same tokens in a text that is not folded
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,16 +49,6 @@ def tokens(x: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(fold(x), F.lit(TOKEN)), F.array().cast("array<string>"))
 
 
-def phrase_count(toks: Column, phrase: list[str]) -> Column:
-    """How often the tokens of a phrase stand one after the other."""
-    if len(phrase) == 1:
-        return F.size(F.filter(toks, lambda t: t == phrase[0]))
-    want = F.array(*map(F.lit, phrase))
-    n = len(phrase)
-    starts = lambda t: F.filter(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n) == want)
-    return let(toks, lambda t: F.when(F.size(t) < n, F.lit(0)).otherwise(F.size(starts(t))))
-
-
 def slug(x: Column) -> Column:
     """ASCII file-name stem: runs of other characters become '-', or '_' where one stood."""
     spelled = F.create_map(*[F.lit(y) for pair in _SPELLED.items() for y in pair])

@@ -1,28 +1,44 @@
-"""A stored inverted index: tokenised once, read by term.
+"""A stored inverted index that follows its table.
 
-Tables below one folder: ``postings`` (term, doc_id, field, positions, length),
-dealt to folders by a hash of the term and sorted by it, so a query reads the
-row groups of its own terms; ``terms`` (term, df); ``totals`` (documents and
-mean length), one row.
+Below one folder lie immutable segments and numbered manifests; the greatest
+manifest is the index, so a change is seen whole or not at all.  A segment has
+
+- ``postings`` (term, doc_id, field, positions, length), in ranges of term and
+  document, so a frequent term lies in as many files as it needs;
+- ``fences`` (file, low, high): the first and last term of each file;
+- ``docs`` (doc_id, mark, length, terms), mark being a hash of the indexed columns;
+- ``terms`` (term, df), with negative numbers for documents that the segment replaces;
+- ``grams`` (gram, k, term, size): the k-th occurrence of two letters in a term;
+- ``gone`` (doc_id, segment): documents of older segments that count no more.
+
+An update compares marks, tokenises the new and changed rows alone, and writes
+one small segment; small segments are merged, which tokenises nothing.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
-import math
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import tokens
+from quarry.functions.exprs import TOKEN_MARKED, fold, let, tokens
 from quarry.operators.catalog import STORED
-from quarry.operators.search import STOP_WORDS, WEIGHTS, _similarity, folded, terms_of
+from quarry.operators.search import STOP_WORDS, WEIGHTS, folded, similarity, terms_of
 
-FOLDERS = 64
-POSTINGS = "term string, doc_id bigint, field string, positions array<int>, length bigint, folder int"
+POSTINGS = "term string, doc_id bigint, field string, positions array<int>, length bigint"
+SCHEMAS = {
+    "postings": POSTINGS, "fences": "file string, low string, high string", "docs": "doc_id bigint, mark string, length bigint, terms array<string>",
+    "terms": "term string, df bigint", "grams": "gram string, k int, term string, size int", "gone": "doc_id bigint, segment string",
+}
+SEGMENTS = 4  # that are left side by side
+TIER = 4  # a segment this many times as large as all smaller ones is not rewritten with them
+AROUND = 10  # tokens of a snippet
+KEPT = 1000  # top rows that a search may hold
 _open: dict[tuple, SearchIndex] = {}
 _own_dir: str | None = None
 
@@ -40,53 +56,205 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def _folder(term) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(FOLDERS)).cast("int")
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _placed(toks: Column) -> Column:
+    """(term, positions) of each term of a token array: tokens are sorted with their places, then cut into runs."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        return let(begins, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at)["term"].alias("term"), F.transform(F.slice(s, at + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - at), lambda x: x["at"]).alias("positions"))))
+
+    each = F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    none = F.array().cast("array<struct<term:string,positions:array<int>>>")
+    return F.when(F.size(toks) == 0, none).otherwise(let(F.array_sort(each), runs))
+
+
+def _bigrams(term: Column) -> Column:
+    """(gram, k) of the pairs of letters of a term."""
+    at = F.transform(F.sequence(F.lit(1), F.char_length(term) - 1), lambda i: F.substring(term, i, F.lit(2)))
+    return F.transform(at, lambda g, i: F.struct(g.alias("gram"), F.size(F.filter(F.slice(at, 1, i), lambda h: h == g)).alias("k")))
 
 
 class SearchIndex:
-    """An index on disk; its methods plan reads of it."""
+    """One version of an index on disk; its methods plan reads of it, or write the next version."""
+
+    def __init__(self, spark: SparkSession, path: str, manifest: dict):
+        self.spark, self.path, self.manifest = spark, path, manifest
+        self.columns: dict[str, str] = manifest["columns"]
+        self.n, self.mean = manifest["n"], manifest["length"] / manifest["n"] if manifest["n"] else 1.0
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-        self.postings = read("postings", POSTINGS)
-        self.terms = read("terms", "term string, df bigint")
-        totals = read("totals", "n bigint, mean double").first()
-        self.n, self.mean = totals["n"], totals["mean"] or 1.0
+    # ---- versions
 
     @classmethod
-    def build(cls, docs: DataFrame, columns: dict[str, str], path: str) -> SearchIndex:
-        """Write the index of ``docs`` (doc_id and the columns by field name); where they have a status, of stored ones.
+    def open(cls, spark: SparkSession, path: str) -> SearchIndex | None:
+        """The last version below a folder, or None."""
+        fs, at = _at(spark, f"{path}/manifests")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+        names = [x for x in names if x.endswith(".json")]
+        if not names:
+            return None
+        stream = fs.open(_at(spark, f"{path}/manifests/{names[-1]}")[1])
+        try:
+            return cls(spark, path, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
 
-        A null text has no tokens.  One shuffle of the tokens; nothing is held whole.
-        """
-        spark = docs.sparkSession
+    @classmethod
+    def build(cls, docs: DataFrame, columns: dict[str, str], path: str, source: str = "") -> SearchIndex:
+        """The index of ``docs`` (doc_id, a key, and the columns by field name); where they have a status, of stored ones."""
+        empty = cls(docs.sparkSession, path, {"version": 0, "columns": columns, "segments": [], "n": 0, "length": 0, "n_gone": 0, "source": ""})
+        return empty.update(docs, source)
+
+    def _switched(self, **changes) -> SearchIndex:
+        """The next version: its manifest is written aside and renamed, which fails if another writer was first."""
+        manifest = self.manifest | changes | {"version": self.manifest["version"] + 1}
+        fs, aside = _at(self.spark, f"{self.path}/manifests/.{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        final = _at(self.spark, f"{self.path}/manifests/{manifest['version']:09d}.json")[1]
+        if fs.exists(final) or not fs.rename(aside, final):
+            fs.delete(aside, False)
+            raise RuntimeError(f"another writer has made version {manifest['version']} of {self.path}")
+        return SearchIndex(self.spark, self.path, manifest)
+
+    def vacuum(self) -> None:
+        """Delete segments and manifests that this version, which must be the last, doesn't have; no reader may hold an older one."""
+        for kind, keep in (("segments", {s["id"] for s in self.manifest["segments"]}), ("manifests", {f"{self.manifest['version']:09d}.json"})):
+            fs, at = _at(self.spark, f"{self.path}/{kind}")
+            for s in fs.listStatus(at) if fs.exists(at) else []:
+                if s.getPath().getName() not in keep:
+                    fs.delete(s.getPath(), True)
+
+    # ---- segments
+
+    def _table(self, name: str, of: list[dict] | None = None) -> DataFrame:
+        """A table of several segments under one another, with the segment."""
+        out = None
+        for s in self.manifest["segments"] if of is None else of:
+            part = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/segments/{s['id']}/{name}")
+            part = part.withColumnRenamed("segment", "of_segment") if name == "gone" else part
+            part = part.withColumn("segment", F.lit(s["id"]))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            schema = SCHEMAS[name].replace("segment string", "of_segment string") + ", segment string"
+            return self.spark.createDataFrame([], schema)
+        return out
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        """Rows (doc_id, segment, ...) of documents that count."""
+        if not self.manifest["n_gone"]:
+            return rows
+        gone = self._table("gone").select("doc_id", F.col("of_segment").alias("segment"))
+        return rows.join(gone, ["doc_id", "segment"], "left_anti")
+
+    def _write(self, name: str, postings: DataFrame, docs: DataFrame, terms: DataFrame, gone: DataFrame) -> None:
+        at = f"{self.path}/segments/{name}"
+        postings.select(*[F.col(c.split()[0]) for c in POSTINGS.split(", ")]).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{at}/postings")
+        docs.select("doc_id", "mark", "length", "terms").write.parquet(f"{at}/docs")
+        gone.select("doc_id", "segment").write.parquet(f"{at}/gone")
+        terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df != 0").write.parquet(f"{at}/terms")
+        read = lambda x: self.spark.read.schema(SCHEMAS[x]).parquet(f"{at}/{x}")
+        read("postings").groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min("term").alias("low"), F.max("term").alias("high")).write.parquet(f"{at}/fences")
+        grams = read("terms").filter((F.col("df") > 0) & (F.char_length("term") > 1)).select("term", F.char_length("term").alias("size"), F.explode(_bigrams(F.col("term"))).alias("g"))
+        grams.select("g.gram", "g.k", "term", "size").repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{at}/grams")
+
+    def update(self, docs: DataFrame, source: str = "") -> SearchIndex:
+        """The version for ``docs`` as they are now: only rows that are new or whose columns changed are tokenised."""
         if "status" in docs.columns:
             docs = docs.filter(F.col("status") == STORED)
-        fields = F.array(*[F.struct(F.lit(n).alias("field"), tokens(F.col(c)).alias("t")) for n, c in columns.items()])
-        rows = docs.select("doc_id", fields.alias("x")).withColumn("length", F.aggregate("x", F.lit(0).cast("bigint"), lambda acc, f: acc + F.size(f["t"])))
-        rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).write.parquet(f"{path}/totals")
-        each = rows.select("doc_id", "length", F.explode("x").alias("x")).select("doc_id", "length", "x.field", F.posexplode("x.t").alias("at", "term"))
-        one = each.groupBy("term", "doc_id", "field", "length").agg(F.array_sort(F.collect_list("at")).alias("positions")).withColumn("folder", _folder("term"))
-        dealt = one.select("term", "doc_id", "field", "positions", "length", "folder").repartition("folder").sortWithinPartitions("folder", "term", "doc_id")
-        dealt.write.partitionBy("folder").parquet(f"{path}/postings")
-        postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
-        postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df")).write.parquet(f"{path}/terms")
-        return cls(spark, path)
-
-    def _of(self, term: str) -> DataFrame:
-        return self.postings.filter((F.col("folder") == _folder(F.lit(term))) & (F.col("term") == term))
-
-    def _hits(self, phrase: list[str], i: int) -> DataFrame:
+        name = uuid.uuid4().hex
+        at = f"{self.path}/segments/{name}"
+        mark = F.md5(F.to_json(F.struct(*[F.col(c).alias(f) for f, c in self.columns.items()])))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), *[F.col(c).alias(f"t_{f}") for f, c in self.columns.items()])
+        first = not self.manifest["segments"]
+        none = self.spark.createDataFrame([], "doc_id bigint, segment string")
+        if first:
+            changed, gone = rows, none
+        else:
+            now = rows.select("doc_id", F.col("mark").alias("new"))
+            had = self._live(self._table("docs").select("doc_id", F.col("mark").alias("old"), "segment"))
+            now.join(had, "doc_id", "full_outer").filter(~F.col("new").eqNullSafe(F.col("old"))).write.parquet(f"{at}/changes")
+            changes = self.spark.read.parquet(f"{at}/changes")
+            counts = changes.agg(F.count("new"), F.count("old")).first()
+            if not any(counts):
+                return self if source == self.manifest["source"] else self._switched(source=source)
+            changed = rows.join(changes.filter("new is not null").select("doc_id"), "doc_id", "left_semi")
+            gone = changes.filter("old is not null").select("doc_id", "segment")
+        field = lambda f: let(tokens(F.col(f"t_{f}")), lambda t: F.struct(F.lit(f).alias("field"), F.size(t).alias("size"), _placed(t).alias("terms")))
+        fields = F.array(*map(field, self.columns))
+        forward = changed.select("doc_id", "mark", fields.alias("x")).withColumn("length", F.aggregate("x", F.lit(0).cast("bigint"), lambda n, f: n + f["size"]))
+        forward.write.parquet(f"{at}/forward")
+        forward = self.spark.read.schema(forward.schema).parquet(f"{at}/forward")
+        postings = forward.select("doc_id", "length", F.explode("x").alias("x")).select("doc_id", "length", "x.field", F.explode("x.terms").alias("p")).select("p.term", "doc_id", "field", "p.positions", "length")
+        every = F.array_distinct(F.flatten(F.transform("x", lambda f: F.transform(f["terms"], lambda p: p["term"]))))
+        fresh = forward.select("doc_id", "mark", "length", every.alias("terms"))
+        out = self._table("docs").join(gone, ["doc_id", "segment"], "left_semi") if not first else fresh.limit(0)
+        count = lambda d, one: d.select(F.explode("terms").alias("term"), F.lit(one).cast("long").alias("df"))
+        self._write(name, postings, fresh, count(fresh, 1).unionByName(count(out, -1)), gone)
+        total = lambda d: d.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        plus, minus = total(fresh), total(out)
+        for extra in ("forward", "changes"):
+            fs, path = _at(self.spark, f"{at}/{extra}")
+            fs.delete(path, True)
+        segments = [*self.manifest["segments"], {"id": name, "n": plus[0]}]
+        new = self._switched(segments=segments, n=self.n + plus[0] - minus[0], length=self.manifest["length"] + plus[1] - minus[1], n_gone=self.manifest["n_gone"] + minus[0], source=source)
+        return new.merged() if len(segments) > SEGMENTS else new
+
+    def merged(self, tier: int = TIER) -> SearchIndex:
+        """The version in which small segments are one: from the largest that isn't ``tier`` times as large as all smaller ones."""
+        by_size = sorted(self.manifest["segments"], key=lambda s: -s["n"])
+        while len(by_size) > 1 and by_size[0]["n"] > tier * sum(s["n"] for s in by_size[1:]):
+            by_size = by_size[1:]
+        if len(by_size) < 2:
+            return self
+        name, ids = uuid.uuid4().hex, [s["id"] for s in by_size]
+        gone = self._table("gone", by_size).filter(~F.col("of_segment").isin(ids)).select("doc_id", F.col("of_segment").alias("segment"))
+        docs = self._live(self._table("docs", by_size))
+        self._write(name, self._live(self._table("postings", by_size)), docs, self._table("terms", by_size), gone)
+        read = lambda x: self.spark.read.schema(SCHEMAS[x]).parquet(f"{self.path}/segments/{name}/{x}")
+        rest = [s for s in self.manifest["segments"] if s["id"] not in ids]
+        # what other segments say of documents of the merged ones has been applied
+        left = self._table("gone", rest).filter(~F.col("of_segment").isin(ids)).count() + read("gone").count()
+        return self._switched(segments=[*rest, {"id": name, "n": read("docs").count()}], n_gone=left)
+
+    # ---- reading
+
+    @property
+    def terms(self) -> DataFrame:
+        """term and df of the terms that some document holds."""
+        return self._table("terms").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+
+    def _postings(self, terms: list[str]) -> DataFrame:
+        """Postings of some terms, read from the files whose range holds one."""
+        any_of = None
+        for t in terms:
+            one = (F.col("low") <= t) & (F.col("high") >= t)
+            any_of = one if any_of is None else any_of | one
+        files: dict[str, list[str]] = {}
+        for r in self._table("fences").filter(any_of).select("segment", "file").collect() if terms else []:
+            files.setdefault(r["segment"], []).append(r["file"])
+        out = self.spark.createDataFrame([], POSTINGS + ", segment string")
+        for segment, names in files.items():
+            part = self.spark.read.schema(POSTINGS).parquet(*[f"{self.path}/segments/{segment}/postings/{n}" for n in names])
+            part = part.filter(F.col("term").isin(terms)).withColumn("segment", F.lit(segment))
+            out = part if len(files) == 1 else out.unionByName(part)
+        return self._live(out).drop("segment")
+
+    def _hits(self, postings: DataFrame, phrase: list[str], i: int) -> DataFrame:
         """doc_id, length, i and weighted count of a phrase."""
         weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("field")), F.lit(0.0))
         if len(phrase) == 1:
-            found = self._of(phrase[0]).select("doc_id", "length", (weight * F.size("positions")).alias("f"))
+            found = postings.filter(F.col("term") == phrase[0]).select("doc_id", "length", (weight * F.size("positions")).alias("f"))
         else:
             starts = None
             for k, term in enumerate(phrase):
-                part = self._of(term).select("doc_id", "length", "field", F.explode("positions").alias("at")).select("doc_id", "length", "field", (F.col("at") - k).alias("at"), F.lit(k).alias("k"))
+                part = postings.filter(F.col("term") == term).select("doc_id", "length", "field", F.explode("positions").alias("at")).select("doc_id", "length", "field", (F.col("at") - k).alias("at"), F.lit(k).alias("k"))
                 starts = part if starts is None else starts.unionByName(part)
             whole = starts.groupBy("doc_id", "length", "field", "at").agg(F.count_distinct("k").alias("c")).filter(F.col("c") == len(phrase))
             found = whole.select("doc_id", "length", weight.alias("f"))
@@ -95,57 +263,120 @@ class SearchIndex:
     def ranked(self, groups: list[list[list[str]]], need_all: bool = True, limit: int = 20) -> DataFrame:
         """doc_id and score of the best documents; ``groups`` are alternatives of phrases, scored over all of them.
 
-        A document must have a phrase of every group, or of any.
+        A document must have a phrase of every group, or of any.  Hits are
+        added up by document once; the one row of statistics comes from the same sums.
         """
         phrases = [p for g in groups for p in g]
         if not phrases:
             return self.spark.createDataFrame([], "doc_id bigint, score double")
-        hits = self._hits(phrases[0], 0)
+        postings = self._postings(sorted({t for p in phrases for t in p}))
+        hits = self._hits(postings, phrases[0], 0)
         for i, p in enumerate(phrases[1:], 1):
-            hits = hits.unionByName(self._hits(p, i))
+            hits = hits.unionByName(self._hits(postings, p, i))
         by = hits.groupBy("doc_id", "length").agg(*[F.sum(F.when(F.col("i") == i, F.col("f")).otherwise(0.0)).alias(f"f{i}") for i in range(len(phrases))])
-        stats = by.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()  # one row
+        stats = by.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])  # one row
         score, keep, at = F.lit(0.0), None, 0
         for i in range(len(phrases)):
-            idf = math.log((self.n - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
+            idf = F.log((self.n - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
             f = F.col(f"f{i}")
-            score = score + F.when(f > 0, F.lit(idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / self.mean))).otherwise(0.0)
+            score = score + F.when(f > 0, F.when(idf > 0, idf).otherwise(1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / self.mean))).otherwise(0.0)
         for g in groups:
             one = F.greatest(*[F.col(f"f{at + j}") for j in range(len(g))], F.lit(0.0)) > 0
             at += len(g)
             keep = one if keep is None else (keep & one if need_all else keep | one)
-        return by.filter(keep).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+        return by.join(F.broadcast(stats)).filter(keep).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """All words of the query; if nothing has them all, their near spellings too."""
-        found = self.ranked([[p] for p in terms_of(self.terms, query)], True, limit)
-        if query.split() and not found.take(1):
+        found = self.ranked([[p] for p in terms_of(self.spark, query)], True, limit)
+        if not query.split():
+            return found
+        top = found.take(min(limit, KEPT))
+        if not top:
             near = self.near_terms(query)
             if any(len(g) > 1 for g in near):
                 return self.ranked([[[t] for t in g] for g in near], True, limit)
-        return found
+        return found if limit > KEPT else self.spark.createDataFrame(top, found.schema)
 
     def search_any(self, query: str, limit: int = 20) -> DataFrame:
         """Any word of the query, stop words left out."""
-        return self.ranked([[p] for p in terms_of(self.terms, query) if not (len(p) == 1 and p[0] in STOP_WORDS)], False, limit)
+        return self.ranked([[p] for p in terms_of(self.spark, query) if not (len(p) == 1 and p[0] in STOP_WORDS)], False, limit)
+
+    def near_candidates(self, low: str) -> DataFrame:
+        """Terms that may have a ratio of 0.8 to the word ``low``: a superset, without a scan of the vocabulary.
+
+        Two words of a and b letters with such a ratio leave u <= (a + b) / 5
+        letters unmatched (of the parity of a + b), and their matched blocks are
+        at most u + 1, so they share (a + b) / 2 - 1.5 u - 1 pairs of letters.
+        Where that is none, all terms of the few lengths are candidates; these
+        have three letters at most.
+        """
+        n, sizes = len(low), {}
+        for b in range(1, 3 * n + 2):  # longer ones can't have the ratio
+            total = n + b
+            u = total // 5 - (total // 5 - total) % 2
+            if u >= abs(n - b):
+                sizes[b] = (total - u) // 2 - u - 1
+        pairs = [low[i : i + 2] for i in range(n - 1)]
+        own = [(g, pairs[:i].count(g)) for i, g in enumerate(pairs)]
+        grams = self._table("grams").filter(F.col("gram").isin([g for g, _ in own]) & F.col("size").isin([b for b, t in sizes.items() if t > 0]))
+        mine = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(k).alias("k")) for g, k in own]) if own else F.array().cast("array<struct<gram:string,k:int>>")
+        shared = grams.filter(F.array_contains(mine, F.struct("gram", "k"))).select("term", "size", "gram", "k").distinct().groupBy("term", "size").agg(F.count(F.lit(1)).alias("c"))
+        need = F.coalesce(*[F.when(F.col("size") == b, t) for b, t in sizes.items()], F.lit(0))
+        found = shared.filter(F.col("c") >= need).select("term")
+        short = [b for b, t in sizes.items() if t <= 0]
+        if short:
+            found = found.unionByName(self._table("terms").filter(F.char_length("term").isin(short)).select("term").distinct())
+        return found
 
     def near_terms(self, query: str, cutoff: float = 0.8, most: int = 5) -> list[list[str]]:
-        """For each word of the query, itself and the most similar terms of the vocabulary."""
+        """For each word of the query, itself and the most similar terms of the vocabulary; ``cutoff`` is 0.8 at least."""
         groups = []
         for word in query.split():
             low = word.lower()
-            span = F.abs(F.length("term") - len(low)) <= 0.2 * (F.length("term") + len(low))  # ratio >= 0.8 needs it
-            best = self.terms.filter(span).withColumn("r", _similarity(low, cutoff)("term")).filter(F.col("r") >= cutoff).orderBy(F.desc("r"), F.desc("term")).limit(most)
+            close = self.near_candidates(low).withColumn("r", similarity(low, cutoff)("term")).filter(F.col("r") >= cutoff)
+            best = close.join(self.terms, "term", "left_semi").orderBy(F.desc("r"), F.desc("term")).limit(most)
             groups.append(list(dict.fromkeys([folded(low), *(r["term"] for r in best.collect())])))
         return groups
 
+    def snippets(self, hits: DataFrame, docs: DataFrame, query: str) -> DataFrame:
+        """``hits`` (a few rows: doc_id, ...) with field and snippet: the AROUND tokens with most distinct words of the query.
+
+        The first such window of the first such field; found tokens are in
+        brackets, and an ellipsis stands for what is left out.  Windows are
+        found from stored positions; only the texts of the hits are read.
+        """
+        words = sorted({t for p in terms_of(self.spark, query) for t in p if t not in STOP_WORDS} or {t for p in terms_of(self.spark, query) for t in p})
+        order = F.create_map(*[F.lit(x) for i, f in enumerate(self.columns) for x in (f, i)])
+        ids = hits.select("doc_id").distinct()
+        found = self._postings(words).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "field", "term", F.explode("positions").alias("at"))
+        by = found.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("p"))
+        begins = F.transform("p", lambda x, i: F.struct(F.size(F.array_distinct(F.transform(F.filter(F.slice("p", i + 1, AROUND), lambda y: y["at"] < x["at"] + AROUND), lambda y: y["term"]))).alias("n"), (-x["at"]).alias("back")))
+        best = by.select("doc_id", "field", F.array_max(begins).alias("b")).groupBy("doc_id").agg(F.max(F.struct("b.n", -order[F.col("field")], "b.back", "field")).alias("m"))
+        best = best.select("doc_id", F.col("m.field").alias("field"), (-F.col("m.back")).alias("at"))
+        value = F.coalesce(*[F.when(F.col("field") == f, F.coalesce(F.col(c), F.lit(""))) for f, c in self.columns.items()], F.lit(""))
+        text = docs.join(F.broadcast(best), "doc_id").select("doc_id", "field", "at", F.regexp_extract_all(value, F.lit(TOKEN_MARKED)).alias("t"))
+        shown = F.transform(F.slice("t", F.col("at") + 1, AROUND), lambda t: F.when(fold(t).isin(words), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+        joined = F.concat(F.when(F.col("at") > 0, "… ").otherwise(""), F.array_join(shown, " "), F.when(F.size("t") > F.col("at") + AROUND, " …").otherwise(""))
+        return hits.join(text.select("doc_id", "field", joined.alias("snippet")), "doc_id", "left")
+
+
+def source_state(spark: SparkSession, path: str) -> str:
+    """A hash of the names, sizes and times of the files below a path; a file is replaced, never rewritten."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    one = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{one[0]}-{one[1]}"
+
 
-def index_of(key: tuple, docs: DataFrame, columns: dict[str, str]) -> SearchIndex:
-    """The index of a corpus, written at its first use in this program; ``key`` names the corpus."""
+def index_of(name: str, path: str, docs: DataFrame, columns: dict[str, str]) -> SearchIndex:
+    """The index of ``docs``, which come from the files at ``path``: written at its first use in this program, brought up to date when the files have changed."""
     spark = docs.sparkSession
-    key = (*key, tuple(columns.items()), spark.sparkContext.applicationId)
+    key = (name, path, tuple(columns.items()), spark.sparkContext.applicationId)
+    state = source_state(spark, path)
     if key not in _open:
-        _open[key] = SearchIndex.build(docs, columns, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        _open[key] = SearchIndex.build(docs, columns, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", state)
+    elif _open[key].manifest["source"] != state:
+        _open[key] = _open[key].update(docs, state)
     return _open[key]
 
 
@@ -153,5 +384,5 @@ def index_of(key: tuple, docs: DataFrame, columns: dict[str, str]) -> SearchInde
 def _delete() -> None:
     for index in _open.values():
         with contextlib.suppress(Exception):  # the session may have ended before
-            at = index.spark._jvm.org.apache.hadoop.fs.Path(index.path)
-            at.getFileSystem(index.spark._jsc.hadoopConfiguration()).delete(at, True)
+            fs, at = _at(index.spark, index.path)
+            fs.delete(at, True)

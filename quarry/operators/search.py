@@ -1,16 +1,15 @@
-"""Ranked full-text search: weighted columns, AND, OR, phrases, typo fallback."""
+"""What search is made of: fixed words and weights, query terms, similarity, the vocabulary, synonyms, body changes."""
 
 from __future__ import annotations
 
 import difflib
-import math
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import fold, phrase_count, tokens
+from quarry.functions.exprs import tokens
 
 # Single words left out of an OR query, French and English.
 STOP_WORDS = set(
@@ -23,68 +22,19 @@ STOP_WORDS = set(
 WEIGHTS = {"name": 5.0, "keywords": 4.0, "entities": 3.0, "summary": 1.0, "content": 2.0, "category": 2.0}
 
 
-def indexed(docs: DataFrame, columns: dict[str, str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, a token array for each indexed column, and their total length."""
-    arrays = [tokens(F.col(source)).alias(f"t_{name}") for name, source in columns.items()]
-    return docs.select("doc_id", *extra, *arrays).withColumn("length", sum((F.size(f"t_{n}") for n in columns), F.lit(0)))
-
-
-def _weighted(columns: dict[str, str], phrase: list[str]) -> Column:
-    return sum((F.lit(WEIGHTS[n]) * phrase_count(F.col(f"t_{n}"), phrase) for n in columns), F.lit(0.0))
-
-
-def ranked(docs: DataFrame, columns: dict[str, str], phrases: list[list[str]], need_all: bool = True, limit: int = 20) -> DataFrame:
-    """doc_id and score of the best documents, by BM25 over weighted columns.
-
-    A phrase counts with the weight of the column it stands in; k1 is 1.2, b is
-    0.75, and an idf of 0 or less counts as 1e-6.  Term counts are computed in
-    the scan; only one row of corpus statistics reaches the driver.
-    """
-    if not phrases:
-        return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    table = indexed(docs, columns)
-    table = table.select("doc_id", "length", *[_weighted(columns, p).alias(f"f{i}") for i, p in enumerate(phrases)])
-    stats = table.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg"), *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))]).first()
-    total, mean = stats["n"], stats["avg"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = math.log((total - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
-        f = F.col(f"f{i}")
-        score = score + F.when(f > 0, F.lit(idf if idf > 0 else 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / mean))).otherwise(0.0)
-    hit = [F.col(f"f{i}") > 0 for i in range(len(phrases))]
-    keep = hit[0]
-    for h in hit[1:]:
-        keep = keep & h if need_all else keep | h
-    return table.filter(keep).select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
-
-
-def terms_of(docs: DataFrame, query: str) -> list[list[str]]:
-    """The phrases of a query: its words, each as its tokens."""
-    row = docs.sparkSession.range(1).select(F.array(*[tokens(F.lit(w)) for w in query.split()]).alias("p")).first() if query.split() else None
-    return [list(p) for p in (row["p"] if row else []) if p]
-
-
-def search(docs: DataFrame, columns: dict[str, str], query: str, limit: int = 20) -> DataFrame:
-    """All words of the query; if nothing has them all, their near spellings too."""
-    found = ranked(docs, columns, terms_of(docs, query), True, limit)
-    if query.split() and not found.take(1):
-        groups = near_terms(docs, columns, query)
-        if any(len(g) > 1 for g in groups):
-            return ranked_groups(docs, columns, groups, limit)
-    return found
-
-
-def search_any(docs: DataFrame, columns: dict[str, str], query: str, limit: int = 20) -> DataFrame:
-    """Any word of the query, stop words left out."""
-    phrases = [p for p in terms_of(docs, query) if not (len(p) == 1 and p[0] in STOP_WORDS)]
-    return ranked(docs, columns, phrases, False, limit)
+def terms_of(spark: SparkSession, query: str) -> list[list[str]]:
+    """The phrases of a query: its words, each as its tokens; a local relation, which runs no job."""
+    if not query.split():
+        return []
+    rows = spark.sql("SELECT * FROM VALUES (:words) AS t(words)", args={"words": F.array(*map(F.lit, query.split()))})
+    found = rows.select(F.transform("words", tokens).alias("p")).first()["p"]
+    return [list(p) for p in found if p]
 
 
 def vocabulary(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     """term and df: the documents that hold it."""
-    table = indexed(docs, columns)
-    every = F.array_distinct(F.concat(*[F.col(f"t_{n}") for n in columns]))
-    return table.select(F.explode(every).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    every = F.array_distinct(F.concat(*[tokens(F.col(source)) for source in columns.values()]))
+    return docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def folded(word: str) -> str:
@@ -92,7 +42,7 @@ def folded(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def _similarity(low: str, cutoff: float):
+def similarity(low: str, cutoff: float):
     """Ratcliff-Obershelp similarity of a term to the query word ``low``; 0 below the cutoff."""
 
     @F.pandas_udf("double")
@@ -108,39 +58,6 @@ def _similarity(low: str, cutoff: float):
     return ratio
 
 
-def near_terms(docs: DataFrame, columns: dict[str, str], query: str, cutoff: float = 0.8, most: int = 5) -> list[list[str]]:
-    """For each word of the query, itself and the most similar terms of the vocabulary."""
-    terms = vocabulary(docs, columns).select("term")
-    groups = []
-    for word in query.split():
-        low = word.lower()
-        ratio = _similarity(low, cutoff)
-        span = F.abs(F.length("term") - len(low)) <= 0.2 * (F.length("term") + len(low))  # ratio >= 0.8 needs it
-        best = terms.filter(span).withColumn("r", ratio("term")).filter(F.col("r") >= cutoff).orderBy(F.desc("r"), F.desc("term")).limit(most)
-        groups.append(list(dict.fromkeys([folded(low), *(r["term"] for r in best.collect())])))
-    return groups
-
-
-def ranked_groups(docs: DataFrame, columns: dict[str, str], groups: list[list[str]], limit: int = 20) -> DataFrame:
-    """Documents with a term of every group, scored over all terms."""
-    flat = [t for g in groups for t in g]
-    allowed = ranked(docs, columns, [[t] for t in flat], False, 1 << 30)
-    table = indexed(docs, columns).select("doc_id", F.concat(*[F.col(f"t_{n}") for n in columns]).alias("t"))
-    keep = None
-    for g in groups:
-        one = F.arrays_overlap("t", F.array(*map(F.lit, g)))
-        keep = one if keep is None else keep & one
-    return allowed.join(table.filter(keep).select("doc_id"), "doc_id", "left_semi").orderBy(F.desc("score"), "doc_id").limit(limit)
-
-
-def snippet(text: Column, word: str, around: int = 5) -> Column:
-    """The tokens around the first hit, the hit in brackets."""
-    toks = F.split(text, "\\s+")
-    at = F.array_position(F.transform(toks, lambda t: F.regexp_extract(fold(t), "([\\p{L}\\p{N}]+)", 1)), word)
-    marked = F.transform(toks, lambda t, i: F.when(i == at - 1, F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
-    return F.when(at > 0, F.array_join(F.slice(marked, F.greatest(at - around, F.lit(1)).cast("int"), F.lit(2 * around)), " "))
-
-
 def with_synonyms(category: Column, synonyms: dict[str, list[str]]) -> Column:
     """The segments of a category and their synonyms, as one text."""
     table = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

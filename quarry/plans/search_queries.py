@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import tokens
 from quarry.operators import catalog as C
 from quarry.operators import search as S
-from quarry.operators.index import index_of
+from quarry.operators.index import SearchIndex, index_of, shared_dir
 from quarry.sources.readers import table
 
 COLUMNS = {"name": "source", "content": "text", "category": "lang"}
@@ -18,8 +20,12 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text", "source", "lang")
 
 
+def _source(d):
+    return f"{d}/documents.parquet"
+
+
 def _index(spark, d):
-    return index_of((d, "documents"), _docs(spark, d), COLUMNS)
+    return index_of("documents", _source(d), _docs(spark, d), COLUMNS)
 
 
 def search_all(spark, d):
@@ -51,7 +57,7 @@ def search_stored(spark, d):
         "status": F.when(F.col("doc_id") % 7 == 0, C.DELETED).otherwise(C.STORED), "name": F.concat_ws(" ", "source", "doc_id"), "keywords": F.when(F.col("doc_id") % 3 == 0, "tax moron"),
         "entities": F.col("source"), "summary": F.substring_index("text", "\n", 1), "body": F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("scan "), "lang")).otherwise(F.col("text")), "category": F.concat(F.lit("Home/"), "lang"),
     })
-    return index_of((d, "stored"), docs, SIX).search_any("moron scan")
+    return index_of("stored", _source(d), docs, SIX).search_any("moron scan")
 
 
 SYNONYMS = {"fr": ["french", "francais"], "de": ["german", "deutsch"], "en": ["english"], "es": ["spanish"]}
@@ -59,7 +65,30 @@ SYNONYMS = {"fr": ["french", "francais"], "de": ["german", "deutsch"], "en": ["e
 
 def search_category_synonyms(spark, d):
     docs = _docs(spark, d).withColumn("category", S.with_synonyms(F.col("lang"), SYNONYMS))
-    return S.ranked(docs.select("doc_id", "category"), {"category": "category"}, [["deutsch"]])
+    return index_of("synonyms", _source(d), docs, {"category": "category"}).ranked([[["deutsch"]]])
+
+
+def search_after_changes(spark, d):
+    """The same question to an index before and after rows came, changed and went; only what changed is tokenised."""
+    docs = _docs(spark, d)
+    before = docs.filter("doc_id % 5 != 0").withColumn("text", F.when(F.col("doc_id") % 7 == 1, F.concat_ws(" ", "lang", F.lit("pathetic"))).when(F.col("doc_id") % 11 != 3, F.col("text")))
+    first = SearchIndex.build(before, COLUMNS, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    second = first.update(docs.filter("doc_id % 13 != 4"))
+    state = lambda index, n: index.search_any("the pathetic moron").withColumn("state", F.lit(n))
+    return state(first, 1).unionByName(state(second, 2))
+
+
+def search_snippets(spark, d):
+    """The best documents with the ten tokens that tell most of the query."""
+    index = _index(spark, d)
+    return index.snippets(index.search_any("the pathetic moron"), _docs(spark, d), "the pathetic moron")
+
+
+def near_spellings(spark, d):
+    """Candidates of the pair index for a misspelt word, of all terms; those that pass are ``search_fuzzy``'s."""
+    index = _index(spark, d)
+    found = index.near_candidates(NEAR).join(index.terms, "term").agg(F.count(F.lit(1)).alias("n_scored"))
+    return found.join(index.terms.agg(F.count(F.lit(1)).alias("n_terms")))  # one row each
 
 
 def vocabulary(spark, d):
@@ -190,8 +219,22 @@ def body_cache_refresh(spark, d):
 
 
 _H = "SELECT doc_id, sha256(text) AS sha256, source, lang FROM documents"
-QUERIES = {f.__name__: f for f in (search_all, search_any, search_columns_weighted, search_phrase, search_fuzzy, search_stored, search_category_synonyms, vocabulary, token_totals, majority_language, exact_duplicates, batch_first_wins, redeposit_lookup, catalog_upsert, catalog_tombstone, catalog_purge, mark_verified, scrub_queue, integrity_status, scrub_matrix, rescan_plan, restore_plan, snapshot_diff, body_cache_refresh)}
+QUERIES = {f.__name__: f for f in (search_all, search_any, search_columns_weighted, search_phrase, search_fuzzy, search_stored, search_category_synonyms, search_after_changes, search_snippets, near_spellings, vocabulary, token_totals, majority_language, exact_duplicates, batch_first_wins, redeposit_lookup, catalog_upsert, catalog_tombstone, catalog_purge, mark_verified, scrub_queue, integrity_status, scrub_matrix, rescan_plan, restore_plan, snapshot_diff, body_cache_refresh)}
+_BEFORE = "SELECT doc_id, source, lang, CASE WHEN doc_id % 7 = 1 THEN lang || ' pathetic' WHEN doc_id % 11 != 3 THEN text END AS text FROM documents WHERE doc_id % 5 != 0"
+_ANY = [["pathetic"], ["moron"]]
+_SNIPPETS = f"""
+WITH hits AS ({_bm25(_F, _ANY, False)}), docs AS (SELECT * FROM documents SEMI JOIN hits USING (doc_id)),
+v AS (SELECT doc_id, 0 AS o, 'name' AS field, source AS x FROM docs UNION ALL SELECT doc_id, 1, 'content', text FROM docs UNION ALL SELECT doc_id, 2, 'category', lang FROM docs),
+t AS (SELECT doc_id, o, field, regexp_extract_all(coalesce(x, ''), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{Mn}}]*') AS t FROM v),
+w AS (SELECT *, list_transform(t, lambda y: CASE WHEN lower(strip_accents(y)) IN ('pathetic', 'moron') THEN '[' || y || ']' ELSE y END) AS s, list_transform(t, lambda y: lower(strip_accents(y))) AS l FROM t),
+p AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM w),
+b AS (SELECT doc_id, field, s, i, len(list_distinct(list_filter(l[i : i + 9], lambda y: y IN ('pathetic', 'moron')))) AS n, o FROM p WHERE l[i] IN ('pathetic', 'moron')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o, i) AS k FROM b)
+SELECT h.doc_id, h.score, r.field, CASE WHEN i > 1 THEN '… ' ELSE '' END || array_to_string(s[i : i + 9], ' ') || CASE WHEN len(s) > i + 9 THEN ' …' ELSE '' END AS snippet
+FROM hits h LEFT JOIN r ON h.doc_id = r.doc_id AND r.k = 1"""
 ORACLES = {
+    "search_after_changes": f"SELECT 1 AS state, * FROM ({_bm25(_F, _ANY, False, _BEFORE)}) UNION ALL SELECT 2, * FROM ({_bm25(_F, _ANY, False, 'SELECT * FROM documents WHERE doc_id % 13 != 4')})",
+    "search_snippets": _SNIPPETS,
     "search_all": _bm25(_F, [["worthless"], ["clown"]], True),
     "search_any": _bm25(_F, [["pathetic"], ["moron"]], False),
     "search_columns_weighted": _bm25(_F, [["src3"], ["en"]], True),

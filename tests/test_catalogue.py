@@ -13,7 +13,6 @@ from quarry.functions import paths as P
 from quarry.operators import catalog as C
 from quarry.operators import metering as M
 from quarry.operators import sampling as G
-from quarry.operators import search as S
 from quarry.sources import readers as R
 
 from .conftest import SF
@@ -102,17 +101,6 @@ def test_noisy_json(spark):
     assert [r[0] for r in df.select(E.json_object(df.t)).collect()] == ['{"a":1}', '{"a":2}', '{"a":3}', None]
 
 
-def test_search_scenarios(spark):
-    docs = spark.createDataFrame([(1, "invoice water", "the café bill"), (2, "notes", "invoice of water"), (3, "other", "nothing")], "doc_id bigint, name string, content string")
-    cols = {"name": "name", "content": "content"}
-    ids = lambda df: [r.doc_id for r in df.collect()]
-    assert ids(S.search(docs, cols, "invoice water")) == [1, 2]
-    assert ids(S.search(docs, cols, "cafe")) == [1]
-    assert ids(S.search(docs, cols, "inovice")) == [1, 2]  # a misspelling
-    assert ids(S.search(docs, cols, "  ")) == ids(S.search(docs, cols, "zzzzzz")) == []
-    assert ids(S.search_any(docs, cols, "the nothing")) == [3]
-
-
 def test_sources(spark, tmp_path):
     log = tmp_path / "log.jsonl"
     log.write_text('{"event_id":"1","action":"a","run_id":"r"}\n\n[1]\n{"event_id": "2", broken\n{"event_id":"3"}\n')
@@ -199,24 +187,6 @@ def test_prices_are_of_the_sellers_own_family(spark):
     assert units.select(M.cost(units.columns).alias("c")).first()["c"] == 1.0 + 6.0 + 6.0
 
 
-def test_index_holds_stored_rows_and_phrases(spark, tmp_path):
-    from quarry.operators.index import SearchIndex
-
-    docs = spark.createDataFrame(
-        [(1, "Café invoice", "a b a", C.STORED), (2, None, "b a café", C.STORED), (3, "café", "", C.DELETED), (4, "x", "a  B", C.STORED)],
-        "doc_id bigint, name string, content string, status string",
-    )
-    index = SearchIndex.build(docs, {"name": "name", "content": "content"}, f"file://{tmp_path}/index")
-    ids = lambda df: [r.doc_id for r in df.collect()]
-    assert index.n == 3 and sorted(ids(index.ranked([[["a", "b"]]]))) == [1, 4] and ids(index.ranked([[["b", "a", "cafe"]]])) == [2]
-    assert sorted(ids(index.search("CAFÉ"))) == [1, 2] and ids(index.search("café inovice")) == [1]
-    assert ids(index.search_any("the of")) == [] and ids(index.search("")) == [] and sorted(ids(index.search_any("x b a"))) == [1, 2, 4]
-    plain = {r.doc_id: r.score for r in S.ranked(docs.filter(F.col("status") == C.STORED), {"name": "name", "content": "content"}, [["a"], ["cafe"]], False).collect()}
-    assert plain == {r.doc_id: r.score for r in index.ranked([[["a"]], [["cafe"]]], False).collect()}
-    empty = SearchIndex.build(docs.limit(0), {"name": "name"}, f"file://{tmp_path}/empty")
-    assert ids(empty.search("a")) == []
-
-
 def test_entry_tells_what_is_missing():
     import __spark_entry__ as entry
 
