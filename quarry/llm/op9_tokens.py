@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-import base64
-
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import loaded
 from .staging import NO_ID, from_key, table
 from .vectext import slices, text_column, tidy
 
 RULES = ("first", "last", "most")
-_encoders: dict = {}
-
-
-def encoder(path: str, pattern: str):
-    """(encoding, byte length of each token) of this worker process."""
-    if (path, pattern) not in _encoders:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, r in ranks.items():
-            size[r] = len(token)
-        _encoders[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
-    return _encoders[path, pattern]
+BATCH_BYTES = 1 << 20
 
 
-def token_spans(text: str, enc, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Character spans [start, end) of the tokens; one that holds part of a character spans it."""
-    ids = np.asarray(enc.encode_ordinary(text), np.int64)
+def token_spans(text: str, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Character spans [start, end) of the tokens ``ids`` of a text, ``size`` being the bytes of each id; one that holds part of a character spans it."""
     ends = np.cumsum(size[ids])
     raw = np.frombuffer(text.encode(), np.uint8)
     if len(raw) == len(text):
@@ -67,15 +51,17 @@ def line_edges(text: str) -> np.ndarray:
 
 def _count_batches(path: str, pattern: str, rule: str):
     def run(batches):
-        enc, size = encoder(path, pattern)
+        bpe = loaded(path, pattern)
+        size = np.diff(bpe.token_at)
         for batch in batches:
             _, offsets = text_column(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 total, crossing, ends, counts = [], [], [], []
-                for text in part.column("text").to_pylist():
-                    text = text or ""
-                    start, end = token_spans(text, enc, size)
+                texts = [x or "" for x in part.column("text").to_pylist()]
+                ids, at = bpe.encode(texts)
+                for i, text in enumerate(texts):
+                    start, end = token_spans(text, ids[at[i] : at[i + 1]], size)
                     edges = line_edges(text)
                     n, over = attribute(start, end, edges, rule) if len(edges) > 1 else (np.zeros(0, np.int64), 0)
                     total.append(len(start))
@@ -100,7 +86,8 @@ def section_tokens(docs: DataFrame, path: str, pattern: str = public_tokenizers.
     so the sections' counts add up to n_tokens.  section_ends are in code
     points.  A null or empty text has no section and no token; repeated rows
     give a row each; other columns are ignored; an empty table gives an empty
-    result.  No shuffle; a task holds a megabyte of text or one longer text.
+    result.  No shuffle; a task holds a megabyte of
+    text or one longer text, whatever runs of one character it has.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

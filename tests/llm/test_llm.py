@@ -5,12 +5,24 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id bigint, text string, k string, tk bigint, h string, source string, n bigint"
 
 
+def encoder(path):
+    """The tiktoken library's encoding of a file of ranks."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb") if line.strip())}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def frame(spark, texts, ids=None):
     """Documents with clashing extra columns."""
     ids = ids or range(len(texts))
@@ -182,17 +194,20 @@ def test_quality(spark, texts):
 def test_token_counts(spark, texts):
     import public_tokenizers
 
-    from quarry.llm.op9_tokens import attribute, encoder, line_edges, section_tokens, token_spans
+    from quarry.llm.op9_tokens import attribute, line_edges, section_tokens, token_spans
 
     path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    enc, size = encoder(path, public_tokenizers.PATTERN)
+    enc = encoder(path)
     more = [*texts, "é\n🙂🙂\n\n\nend", "\n"]
     for rule in ("first", "most"):
         for r in section_tokens(frame(spark, more), path, rule=rule).collect():
             t = more[r.doc_id] or ""
             assert r.n_tokens == len(enc.encode_ordinary(t)) == sum(r.section_tokens)
             assert list(r.section_ends) == [sum(map(len, t.splitlines(True)[: i + 1])) for i in range(len(t.splitlines(True)))] or "　" in t
-    a, b = token_spans("é🙂", enc, size)
+    from quarry.llm.bpe import loaded
+
+    bpe = loaded(path, public_tokenizers.PATTERN)
+    a, b = token_spans("é🙂", bpe.encode(["é🙂"])[0], np.diff(bpe.token_at))
     assert a[0] == 0 and b[-1] == 2 and line_edges("a\nb").tolist() == [0, 2, 3]
     assert attribute(a * 0, a * 0 + 2, line_edges("a\nb"), "first")[1] == 0
 
@@ -694,13 +709,31 @@ def test_staging(spark, tmp_path):
     assert spark.conf.get(key) == before
 
 
+def test_token_counts_of_long_runs(spark):
+    """A million blanks, newlines or tabs are a text like others, and repeated rows give a row each."""
+    import public_tokenizers
+
+    from quarry.llm.op9_tokens import section_tokens
+
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [c * 1_000_000 + "a" for c in " \n\t"] + ["a b\nc"] * 3
+    got = {r.doc_id: r for r in section_tokens(frame(spark, texts, [0, 1, 2, 3, 3, 3]), path).select("doc_id", "n_tokens", "section_ends", "section_tokens").collect()}
+    enc = encoder(path)
+    for i, c in enumerate(" \n\t"):  # of 20,000 the library takes all three
+        short = len(enc.encode_ordinary(c * 20_000 + "a"))
+        assert 0 < got[i].n_tokens <= 1_000_001 and abs(got[i].n_tokens / short - 50) < 1
+        assert sum(got[i].section_tokens) == got[i].n_tokens and got[i].section_ends[-1] == 1_000_001
+    assert len(got[1].section_ends) == 1_000_001 and got[3].n_tokens == len(enc.encode_ordinary("a b\nc"))
+    assert section_tokens(frame(spark, ["a b\nc"] * 3, [3, 3, 3]), path).count() == 3
+
+
 def test_attribution_against_brute_force(spark, texts):
     import public_tokenizers
 
-    from quarry.llm.op9_tokens import encoder, section_tokens
+    from quarry.llm.op9_tokens import section_tokens
 
     path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    enc, _ = encoder(path, public_tokenizers.PATTERN)
+    enc = encoder(path)
     more = [*texts[:30], "é\n🙂🙂\n\n\nend", "\n", "a \n  \n\n b\r\n\n\n\n\n x\n", "x" * 300 + "\n\n\n" + "y", "\n \n \n \n"]
     crossed = 0
     for rule in ("first", "last", "most"):
