@@ -29,7 +29,8 @@ from .vectext import slices, text_column, tidy
 
 DEPTH, SPLIT = 5, 3  # bytes of a context; of them those that a group shares
 BLOCK = 32 << 20  # bytes of text; a longer text is a block
-SLICE = 4 << 20
+SLICE = 1 << 20  # bytes of text whose contexts are looked up together
+WORDS = 8 << 20  # and whose words are
 CHUNK = 1 << 20  # rows of the counts that are worked out together, whole groups at least
 EDGE = 255  # no byte of UTF-8; fills the context at the start, and ends a text
 FOUND = "block bigint, gram bigint, token string, n bigint"
@@ -317,13 +318,15 @@ def _score(n_all: int, n_kinds: int):
         out = []
         for batch in docs.to_batches():
             data, offsets = text_column(batch.column("text"))
+            score = np.zeros(batch.num_rows)
             for a, b in slices(offsets, SLICE):
                 gram, row = grams(data, offsets, a, b)
                 packed = np.sort((gram << np.uint64(16)) | row.astype(np.uint64))  # a slice has fewer rows than 2 ** 16
                 gram = packed >> np.uint64(16)
                 at = _runs(gram)
                 logs = np.repeat(value[np.searchsorted(key, gram[at])], np.diff(np.r_[at, len(gram)]))
-                score = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), logs, b - a)
+                score[a:b] = np.bincount((packed & np.uint64(0xFFFF)).astype(np.int64), logs, b - a)
+            for a, b in slices(offsets, WORDS):
                 word, row = tokens(data, offsets, a, b)
                 c = count[pc.index_in(word.dictionary, words).to_numpy()][word.indices.to_numpy()]
                 base = np.bincount(row, np.log10(c + 1.0) - floor, b - a)
@@ -331,7 +334,7 @@ def _score(n_all: int, n_kinds: int):
                 n = np.bincount(row, minlength=b - a)
                 size = np.diff(offsets[a : b + 1])
                 part = batch.slice(a, b - a)
-                columns = [part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (n, known, base, score, size + 1))]
+                columns = [part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (n, known, base, score[a:b], size + 1))]
                 out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]))
         return pa.Table.from_batches(out)
 
@@ -357,7 +360,7 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     stage = Stage(docs.sparkSession, "ctw")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    blocks = stage.cut(rows.mapInArrow(tidy(_blocks), f"block bigint, doc_id {kind}, held_out boolean, text string"), "blocks")
+    blocks = stage.cut(rows.mapInArrow(tidy(_blocks), f"block bigint, doc_id {kind}, held_out boolean, text string"), "blocks", "zstd")
     asked = stage.cut(blocks.select("block", "held_out", "text").mapInArrow(tidy(_ask), FOUND), "asked")
     by_gram, by_token = asked.filter("gram is not null"), asked.filter("token is not null")
     counts = stage.cut(by_gram.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
@@ -367,7 +370,7 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     none = F.lit(None)
     told = by_gram.select("block", "gram").join(values, "gram").select("block", "gram", none.cast("string").alias("token"), "value", none.cast("long").alias("n"))
     told = told.unionByName(by_token.select("block", "token").join(words, "token").select("block", none.cast("long").alias("gram"), "token", none.cast("double").alias("value"), "n"))
-    told = stage.cut(told, "told")
+    told = stage.cut(told, "told", "zstd")
     stage.keep(blocks, told)
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint"
     out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(*total), schema)

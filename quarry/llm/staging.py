@@ -102,12 +102,12 @@ class Stage:
         self.n = 0
         self.paths: set[str] = set()
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:02d}-{name}"
         _open[self.root] = self.spark
         with lean(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression=codec)
         self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._quarry_path = path
