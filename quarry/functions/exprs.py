@@ -96,8 +96,8 @@ def timestamped_name(name: Column, ts: Column) -> Column:
 
 
 def day(x: Column) -> Column:
-    """A ``y-M-d`` string as a date; null if it is none."""
-    return F.try_to_timestamp(x, F.lit("y-M-d")).cast("date")
+    """A date of four digits, one or two and one or two as a date; null if it is none."""
+    return F.when(x.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_timestamp(x, F.lit("y-M-d")).cast("date"))
 
 
 def whole(x: Column) -> Column:

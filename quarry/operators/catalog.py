@@ -20,9 +20,9 @@ def upsert(base: DataFrame, updates: DataFrame, keep: tuple[str, ...] = ("last_v
 
 
 def tombstone(rows: DataFrame, which: Column, when: Column) -> DataFrame:
-    """Deleted rows keep id, hash and date only."""
+    """Deleted rows keep id and hash, get their date, and lose name, path, flow state, decision and fiche."""
     # What a tombstone leaves in each column.
-    left = {"current_filename": F.lit(""), "current_path": F.lit(""), "status": F.lit(DELETED), "updated_at_utc": when, "content_json": F.lit(None).cast("string"), "pending_decision": F.lit(None).cast("string"), "last_verified_utc": F.lit(None).cast("string")}
+    left = {"current_filename": F.lit(""), "current_path": F.lit(""), "status": F.lit(DELETED), "updated_at_utc": when, "content_json": F.lit(None).cast("string"), "pending_decision": F.lit(None).cast("string"), "flow_state": F.lit(None).cast("string")}
     return rows.select(*[F.when(which, left[c]).otherwise(F.col(c)).alias(c) if c in left else F.col(c) for c in rows.columns])
 
 

@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +27,8 @@ from pyspark.sql import functions as F
 from quarry.functions.exprs import TOKEN_MARKED, fold, let, tokens
 from quarry.operators.catalog import STORED
 from quarry.operators.search import STOP_WORDS, WEIGHTS, folded, similarity, terms_of
+from quarry.operators.staged import at as at_path
+from quarry.operators.staged import Manifests, delete, shared_dir
 
 POSTINGS = "term string, doc_id bigint, field string, positions array<int>, length bigint"
 SCHEMAS = {
@@ -40,26 +40,6 @@ TIER = 4  # a segment this many times as large as all smaller ones is not rewrit
 AROUND = 10  # tokens of a snippet
 KEPT = 1000  # top rows that a search may hold
 _open: dict[tuple, SearchIndex] = {}
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where driver and executors are one process."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="quarry-index-")
-    return _own_dir
-
-
-def _at(spark: SparkSession, path: str):
-    """(file system, path) of a path."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def _placed(toks: Column) -> Column:
@@ -93,16 +73,8 @@ class SearchIndex:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SearchIndex | None:
         """The last version below a folder, or None."""
-        fs, at = _at(spark, f"{path}/manifests")
-        names = sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-        names = [x for x in names if x.endswith(".json")]
-        if not names:
-            return None
-        stream = fs.open(_at(spark, f"{path}/manifests/{names[-1]}")[1])
-        try:
-            return cls(spark, path, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        manifest = Manifests(spark, path).last()
+        return None if manifest is None else cls(spark, path, manifest)
 
     @classmethod
     def build(cls, docs: DataFrame, columns: dict[str, str], path: str, source: str = "") -> SearchIndex:
@@ -111,22 +83,12 @@ class SearchIndex:
         return empty.update(docs, source)
 
     def _switched(self, **changes) -> SearchIndex:
-        """The next version: its manifest is written aside and renamed, which fails if another writer was first."""
-        manifest = self.manifest | changes | {"version": self.manifest["version"] + 1}
-        fs, aside = _at(self.spark, f"{self.path}/manifests/.{uuid.uuid4().hex}")
-        out = fs.create(aside, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        final = _at(self.spark, f"{self.path}/manifests/{manifest['version']:09d}.json")[1]
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, False)
-            raise RuntimeError(f"another writer has made version {manifest['version']} of {self.path}")
-        return SearchIndex(self.spark, self.path, manifest)
+        return SearchIndex(self.spark, self.path, Manifests(self.spark, self.path).put(self.manifest | changes))
 
     def vacuum(self) -> None:
         """Delete segments and manifests that this version, which must be the last, doesn't have; no reader may hold an older one."""
-        for kind, keep in (("segments", {s["id"] for s in self.manifest["segments"]}), ("manifests", {f"{self.manifest['version']:09d}.json"})):
-            fs, at = _at(self.spark, f"{self.path}/{kind}")
+        for kind, keep in (("segments", {s["id"] for s in self.manifest["segments"]}), ("manifests", {Manifests.name(self.manifest)})):
+            fs, at = at_path(self.spark, f"{self.path}/{kind}")
             for s in fs.listStatus(at) if fs.exists(at) else []:
                 if s.getPath().getName() not in keep:
                     fs.delete(s.getPath(), True)
@@ -200,8 +162,7 @@ class SearchIndex:
         total = lambda d: d.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
         plus, minus = total(fresh), total(out)
         for extra in ("forward", "changes"):
-            fs, path = _at(self.spark, f"{at}/{extra}")
-            fs.delete(path, True)
+            delete(self.spark, f"{at}/{extra}")
         segments = [*self.manifest["segments"], {"id": name, "n": plus[0]}]
         new = self._switched(segments=segments, n=self.n + plus[0] - minus[0], length=self.manifest["length"] + plus[1] - minus[1], n_gone=self.manifest["n_gone"] + minus[0], source=source)
         return new.merged() if len(segments) > SEGMENTS else new
@@ -248,7 +209,7 @@ class SearchIndex:
 
     def _hits(self, postings: DataFrame, phrase: list[str], i: int) -> DataFrame:
         """doc_id, length, i and weighted count of a phrase."""
-        weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("field")), F.lit(0.0))
+        weight = F.coalesce(F.try_elementat_path(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair]), F.col("field")), F.lit(0.0))
         if len(phrase) == 1:
             found = postings.filter(F.col("term") == phrase[0]).select("doc_id", "length", (weight * F.size("positions")).alias("f"))
         else:
@@ -384,5 +345,4 @@ def index_of(name: str, path: str, docs: DataFrame, columns: dict[str, str]) ->
 def _delete() -> None:
     for index in _open.values():
         with contextlib.suppress(Exception):  # the session may have ended before
-            fs, at = _at(index.spark, index.path)
-            fs.delete(at, True)
+            delete(index.spark, index.path)

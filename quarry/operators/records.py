@@ -112,27 +112,6 @@ def enrich_keywords(rows: DataFrame, added: DataFrame, force: bool = False) -> D
     return j.select("doc_id", "outcome", F.when(F.col("outcome") == "enriched", F.array_distinct(F.concat("own", "terms"))).otherwise(F.col("own")).alias("keywords"))
 
 
-def unique_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """doc_id and path of ``wanted`` (doc_id, path), with ``__1``, ``__2`` ... where a path is taken, earlier ids first.
-
-    A number that a taken path has is passed over: the i-th free number goes to the i-th row.
-    """
-    stem, ext = F.regexp_extract("path", "^(.*?)((?<=[^./])\\.[^./]*)?$", 1), F.regexp_extract("path", "(?<=[^./])(\\.[^./]*)$", 1)
-    rows = wanted.select("doc_id", "path", stem.alias("stem"), ext.alias("ext"))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("doc_id")))
-    had = taken.select(F.col("path").alias("held")).distinct().withColumn("hstem", F.regexp_extract("held", "^(.*?)((?<=[^./])\\.[^./]*)?$", 1)).withColumn("hext", F.regexp_extract("held", "(?<=[^./])(\\.[^./]*)$", 1))
-    number = F.regexp_extract("hstem", "^(.*)__([1-9][0-9]*)$", 2).try_cast("long")
-    gaps = had.select(F.when(number.isNotNull(), F.regexp_extract("hstem", "^(.*)__([1-9][0-9]*)$", 1)).otherwise(F.col("hstem")).alias("stem"), F.col("hext").alias("ext"), F.coalesce(number, F.lit(0)).alias("number"))
-    # 0 stands for the plain path; a numbered path blocks its own plain form as well, which is told apart by its stem
-    plain = had.select(F.col("hstem").alias("stem"), F.col("hext").alias("ext"), F.lit(0).cast("long").alias("number"))
-    gaps = gaps.unionByName(plain).distinct().groupBy("stem", "ext").agg(F.array_sort(F.collect_set("number")).alias("held"))
-    j = rows.join(gaps, ["stem", "ext"], "left")
-    # the i-th number from 0 on that is not held: i - 1, plus the held numbers up to it
-    free = F.aggregate(F.coalesce("held", F.array().cast("array<bigint>")), F.col("i").cast("bigint") - 1, lambda acc, n: F.when(n <= acc, acc + 1).otherwise(acc))
-    path = F.when(free == 0, F.col("path")).otherwise(F.concat("stem", F.lit("__"), free.cast("string"), "ext"))
-    return j.select("doc_id", path.alias("path"))
-
-
 def aligned(documents: DataFrame, verdicts: DataFrame, value: str, fallback: str) -> DataFrame:
     """Each document of a set (set_id, index) with the verdict of its place, the last one told, or its own fallback.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quarry.functions.exprs import tokens
 from quarry.operators import catalog as C
 from quarry.operators import search as S
-from quarry.operators.index import SearchIndex, index_of, shared_dir
+from quarry.operators.index import SearchIndex, index_of
+from quarry.operators.staged import shared_dir
 from quarry.sources.readers import table
 
 COLUMNS = {"name": "source", "content": "text", "category": "lang"}

@@ -165,10 +165,6 @@ def test_walks_with_hard_cases(spark):
 def test_records_with_hard_cases(spark):
     from quarry.operators import records as R
 
-    wanted = spark.createDataFrame([(1, "a/x.txt"), (2, "a/x.txt"), (3, "a/x.txt"), (4, "b"), (5, "b"), (6, ".rc")], "doc_id int, path string")
-    taken = spark.createDataFrame([("a/x.txt",), ("a/x__2.txt",), ("c",)], "path string")
-    got = {r.doc_id: r.path for r in R.unique_names(wanted, taken).collect()}
-    assert got == {1: "a/x__1.txt", 2: "a/x__3.txt", 3: "a/x__4.txt", 4: "b", 5: "b__1", 6: ".rc"}
     lines = R.snapshot(spark.createDataFrame([(1, "p", "t1", '{"name": "n"}', None, None), (2, None, "t2", "bad", "x", "y")], "doc_id bigint, current_path string, updated_at_utc string, content_json string, pending_decision string, last_verified_utc string"), "/r", "now", "db")
     whole = json.loads("".join(r.value for r in lines.collect()))
     assert [d["doc_id"] for d in whole["documents"]] == [2, 1] and whole["documents"][1]["content"] == {"name": "n"} and whole["meta"]["documents_count"] == 2
