@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.plans import log_queries, record_queries, search_queries
+from quarry.plans import change_queries, log_queries, record_queries, search_queries
 
-_MODULES = (search_queries, log_queries, record_queries)
+_MODULES = (search_queries, log_queries, record_queries, change_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -234,26 +234,56 @@ def estimate_calls(files: DataFrame, chains: dict[str, bool]) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def forecast(calls: DataFrame, chain: DataFrame, profiles: DataFrame, prices: DataFrame, local: tuple[str, ...], ceiling: float | None = None) -> DataFrame:
-    """One row: low and high cost by call estimates, with the currencies, unpriced models and calibrated tasks as sorted texts.
-
-    ``chain`` has task, provider and model (the first entry); ``profiles``
-    task, mean_in, mean_out, calibrated; ``prices`` provider, model, currency,
-    in_per_mtok, out_per_mtok, free.  Means times counts are cut to whole
-    tokens.  Several currencies give no total; an unpriced seller makes it a floor.
+# What a call of a task weighs until it has been measured (tokens in, tokens out, pages), and the tasks whose values are guesses.
+DEFAULT_PROFILES = {
+    "ANALYSIS": (2650.0, 300.0, 0.0),
+    "VIDEO": (2000.0, 200.0, 0.0),
+    "NAMING": (1060.0, 250.0, 0.0),
+    "ORGANIZE": (1060.0, 250.0, 0.0),
+    "IMAGE": (1500.0, 350.0, 0.0),
+    "OCR": (0.0, 0.0, 2.0),
+}
+COARSE_TASKS = ("IMAGE", "OCR")
+PRICES = ("in_per_mtok", "out_per_mtok", "per_1k_pages", "per_audio_minute", "per_audio_second")
+
+
+def forecast(calls: DataFrame, chain: DataFrame, measured: DataFrame, prices: DataFrame, local: tuple[str, ...], audio_seconds: float = 0.0, ceiling: float | None = None) -> DataFrame:
+    """One row: low and high cost of the calls to come, and what the figure rests on.
+
+    ``calls`` has task, calls_low, calls_high; ``chain`` task, provider and model (the
+    first entry); ``measured`` task, mean_in, mean_out, mean_pages of tasks with a
+    history, others weigh DEFAULT_PROFILES; ``prices`` provider, model,
+    currency, the columns PRICES, free, absent_since.  Means times counts are
+    cut to whole units; transcription is billed by ``audio_seconds``
+    alone.  Each unit costs what the table names a price for.  A model without any
+    price is told as unpriced, unless its provider is local, and makes the
+    figure a floor; tasks without a chain make no calls.  Several currencies give no total.
+    calibrated, coarse, currencies, unpriced and withdrawn (model:day) are sorted texts.
     """
-    j = calls.filter("calls_high > 0").join(chain, "task").join(profiles, "task", "left").join(prices, ["provider", "model"], "left")
-    priced = F.col("free") | F.col("in_per_mtok").isNotNull() | F.col("out_per_mtok").isNotNull()
-    is_local = F.col("provider").isin(*local)
-    part = lambda n: F.when(is_local | F.coalesce("free", F.lit(False)), 0.0).otherwise(F.coalesce(F.floor(F.col(n) * F.col("mean_in")) / 1e6 * F.col("in_per_mtok"), F.lit(0.0)) + F.coalesce(F.floor(F.col(n) * F.col("mean_out")) / 1e6 * F.col("out_per_mtok"), F.lit(0.0)))
+    spark = calls.sparkSession
+    seeds = spark.createDataFrame([(t, *v) for t, v in DEFAULT_PROFILES.items()], "task string, seed_in double, seed_out double, seed_pages double")
+    told = measured.select("task", F.struct("mean_in", "mean_out", "mean_pages").alias("m"))
+    j = calls.filter("calls_high > 0").join(chain, "task").join(told, "task", "left").join(F.broadcast(seeds), "task", "left").join(prices, ["provider", "model"], "left")
+    audio, free = F.col("task") == "TRANSCRIBE", F.coalesce("free", F.lit(False))
+    priced = free | F.coalesce(*PRICES).isNotNull()
+    weight = lambda name: F.when(F.col("m").isNotNull(), F.coalesce(f"m.mean_{name}", F.lit(0.0))).otherwise(F.coalesce(f"seed_{name}", F.lit(0.0)))
+    units = lambda n, name: F.when(audio, 0).otherwise(F.floor(F.col(n) * weight(name)))
+    seconds = F.when(audio, F.lit(float(audio_seconds))).otherwise(0.0)
+    cost = lambda x, price: F.coalesce(x * F.col(price), F.lit(0.0))
+    part = lambda n: F.when(priced & ~free, cost(units(n, "in") / 1e6, "in_per_mtok") + cost(units(n, "out") / 1e6, "out_per_mtok") + cost(units(n, "pages") / 1e3, "per_1k_pages") + cost(seconds / 60, "per_audio_minute") + cost(seconds, "per_audio_second")).otherwise(0.0)
     names = lambda when, c: F.array_join(F.array_sort(F.collect_set(F.when(when, c))), ",")
-    paid = ~is_local & F.coalesce(priced, F.lit(False))
+    seen = F.col("m").isNotNull()
     one = j.agg(
-        F.sum(part("calls_low")).alias("low"), F.sum(part("calls_high")).alias("high"),
-        names(paid, F.col("currency")).alias("currencies"), names(~is_local & ~F.coalesce(priced, F.lit(False)), F.concat_ws(":", "provider", "model")).alias("unpriced"), names(F.col("calibrated"), F.col("task")).alias("calibrated"),
+        F.coalesce(F.sum(part("calls_low")), F.lit(0.0)).alias("low"), F.coalesce(F.sum(part("calls_high")), F.lit(0.0)).alias("high"),
+        F.coalesce(F.sum(F.when(priced, F.col("calls_low"))), F.lit(0)).alias("calls_low"), F.coalesce(F.sum(F.when(priced, F.col("calls_high"))), F.lit(0)).alias("calls_high"),
+        names(priced, F.col("currency")).alias("currencies"), names(~priced & ~F.col("provider").isin(*local), F.col("model")).alias("unpriced"),
+        names(priced & ~audio & seen, F.col("task")).alias("calibrated"), names(priced & ~seen & F.col("task").isin(*COARSE_TASKS), F.col("task")).alias("coarse"),
+        names(priced & F.col("absent_since").isNotNull(), F.concat_ws(":", "model", "absent_since")).alias("withdrawn"),
     )
     several = F.col("currencies").contains(",")
-    one = one.select(F.when(~several, F.round("low", 9)).alias("cost_low"), F.when(~several, F.round("high", 9)).alias("cost_high"), "currencies", "unpriced", "calibrated", (F.col("unpriced") != "").alias("is_floor"))
+    one = one.select(
+        F.when(~several, F.round("low", 9)).alias("cost_low"), F.when(~several, F.round("high", 9)).alias("cost_high"), "calls_low", "calls_high", "currencies", "unpriced", "calibrated", "coarse", "withdrawn", (F.col("unpriced") != "").alias("is_floor"),
+    )
     return one.withColumn("over_ceiling", F.coalesce(F.col("cost_high") > ceiling, F.lit(False)) if ceiling is not None else F.lit(False))
 
 

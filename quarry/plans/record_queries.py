@@ -189,12 +189,6 @@ def review_route(spark, d):
     return P.review_path(rows, "label", P.classifiable(spark), 4).select("doc_id", "category")
 
 
-def unique_names(spark, d):
-    wanted = _made(spark, d, {"doc_id": "doc_id", "path": "lang || '/' || source || '.txt'"})
-    taken = wanted.select("path").distinct().unionByName(wanted.select(F.regexp_replace("path", "\\.txt$", "__2.txt").alias("path")).distinct())
-    return R.unique_names(wanted, taken.filter("path not like 'en/%'"))
-
-
 def placements(spark, d):
     docs = _made(spark, d, {"set_id": "CAST(floor(doc_id / 10) AS BIGINT)", "index": "doc_id % 10", "own": "'own/' || source"})
     told = _made(spark, d, {"set_id": "CAST(floor(doc_id / 10) AS BIGINT)", "seq": "doc_id", "index": "(doc_id * 3) % 14", "path": "CASE WHEN doc_id % 6 = 0 THEN ' ' ELSE '/told/' || lang || '/' END"})
@@ -255,14 +249,6 @@ def calls_estimate(spark, d):
     return a.unionByName(R.estimate_calls(_made(spark, d, AV), every | {"OCR": False, "TRANSCRIBE": False}).withColumn("chains", F.lit("some")))
 
 
-def cost_forecast(spark, d):
-    calls = _made(spark, d, {"task": "'T' || (doc_id % 5)", "n": "doc_id % 50"}).groupBy("task").agg(F.sum("n").alias("calls_low"), (F.sum("n") * 2).alias("calls_high"))
-    chain = spark.createDataFrame([("T0", "paid", "m0"), ("T1", "paid", "m1"), ("T2", "home", "m2"), ("T3", "paid", "m9")], "task string, provider string, model string")
-    profiles = spark.createDataFrame([("T0", 1000.7, 33.3, True), ("T1", 250.0, 10.5, False), ("T3", 5.0, 5.0, False)], "task string, mean_in double, mean_out double, calibrated boolean")
-    prices = spark.createDataFrame([("paid", "m0", "EUR", 1.0, 3.0, None), ("paid", "m1", "EUR", 0.5, None, None)], "provider string, model string, currency string, in_per_mtok double, out_per_mtok double, free boolean")
-    return R.forecast(calls, chain, profiles, prices, ("home",), 0.001)
-
-
 def stranded_files(spark, d):
     files = _made(spark, d, {"path": "'queue/q' || doc_id || '.txt'"})
     origins = _made(spark, d, {"queued": "'queue/q' || doc_id || '.txt'", "origin": "CASE WHEN doc_id % 3 = 0 THEN 'elsewhere/a' ELSE 'inbox/' || lang || '/a' || doc_id || '.txt' END", "doc_id": "doc_id"}).filter("doc_id % 5 != 0")
@@ -440,8 +426,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         inbox_walk, library_walk, indexable_walk, repository_roots, category_paths, branch_files, empty_folders, nearest_branches, body_texts, work_sets, repository_inventory, mirror_plan, trash_expired, zones,
-        classifiable_folders, list_documents, pending_decisions, confirmed_timestamps, name_sync, enrich_keywords, fiche_dates, clean_analysis, route_analysis, review_route, unique_names, placements, listed_files,
-        regroup_refusals, nesting_conflicts, snapshot_rebuild, snapshot_meta, verify_catalog, dry_run_batch, calls_estimate, cost_forecast, stranded_files, media_tags, provider_chains, configured_providers,
+        classifiable_folders, list_documents, pending_decisions, confirmed_timestamps, name_sync, enrich_keywords, fiche_dates, clean_analysis, route_analysis, review_route, placements, listed_files,
+        regroup_refusals, nesting_conflicts, snapshot_rebuild, snapshot_meta, verify_catalog, dry_run_batch, calls_estimate, stranded_files, media_tags, provider_chains, configured_providers,
         price_sources, model_families, can_price, reminders, user_language, document_markers, context_texts, probe_plan, run_settings, reply_units, versions, reply_json, date_hints, highlights, scrub_counters,
         sidecars_kept, log_prefilter, search_expanded, analysis_injected, media_folders, filed_names, trash_plan, diagnostics,
     )
@@ -492,8 +478,6 @@ ORACLES = {
     "route_analysis": """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Work/Misc/Sub-folder' WHEN doc_id % 5 != 0 THEN 'Personal/' || CASE WHEN doc_id % 2 = 0 THEN 'Hobbies/' ELSE 'Nowhere/' END || lang END AS r, CASE WHEN doc_id % 3 != 0 THEN 'Work/Business' END AS o FROM documents)
     SELECT doc_id, CASE WHEN r IS NULL THEN 'Manual_Review' WHEN r LIKE 'Personal/Nowhere/%' THEN 'Personal/Nowhere/' || split_part(r, '/', 3) ELSE r END AS route, CASE WHEN r IS NULL THEN o END AS options, CASE WHEN r IS NULL AND o IS NOT NULL THEN CASE WHEN doc_id % 7 = 0 THEN 'low' ELSE 'uncertain_with_options' END END AS reason FROM x""",
     "review_route": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Personal/Hobbies/My-' || lang WHEN 1 THEN 'New-Root/' || source WHEN 3 THEN 'Work/Misc/a/b' END AS category FROM documents",
-    "unique_names": """WITH w AS (SELECT doc_id, lang || '/' || source AS s, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS i, lang = 'en' AS free FROM documents)
-    SELECT doc_id, s || CASE WHEN free THEN CASE WHEN i = 1 THEN '' ELSE '__' || (i - 1) END ELSE '__' || CASE WHEN i = 1 THEN 1 ELSE i + 1 END END || '.txt' AS path FROM w""",
     "placements": """WITH t AS (SELECT doc_id // 10 AS set_id, (doc_id * 3) % 14 AS index, arg_max(CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'told/' || lang END, doc_id) AS p FROM documents GROUP BY 1, 2)
     SELECT d.doc_id // 10 AS set_id, d.doc_id % 10 AS index, CASE WHEN p IS NULL THEN 'own/' || source WHEN p != '' THEN p END AS path FROM documents d LEFT JOIN t ON t.set_id = d.doc_id // 10 AND t.index = d.doc_id % 10""",
     "listed_files": f"""WITH l AS (SELECT DISTINCT lang || '/2024-05-06_10-11-12__' || source || '-' || (doc_id % 40) || '.txt' AS p FROM documents), n AS (SELECT {_bare('p')} AS b, min(p) AS p FROM l GROUP BY 1 HAVING count(*) = 1)
@@ -506,8 +490,6 @@ ORACLES = {
     "dry_run_batch": f"""WITH k AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 6 = 0 AND doc_id % 11 != 0), f AS (SELECT *, sha256(text) AS h, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS later FROM {_sql(FILES | {'text': 'text'})}), g AS (SELECT later OR h IN (SELECT h FROM k) AS dup, {_kind} != 'unknown' AS ok FROM f)
     SELECT count(*)::BIGINT AS total, count_if(dup)::BIGINT AS duplicates, count_if(NOT dup AND NOT ok)::BIGINT AS manual_reviews, count_if(NOT dup AND ok)::BIGINT AS processed FROM g""",
     "calls_estimate": f"SELECT chains, x.task AS task, x.l::BIGINT AS calls_low, x.h::BIGINT AS calls_high FROM ({_estimate('all', True, True)} UNION ALL {_estimate('some', False, False)})",
-    "cost_forecast": """WITH c AS (SELECT doc_id % 5 AS t, sum(doc_id % 50) AS n FROM documents GROUP BY 1), r AS (SELECT sum(CASE t WHEN 0 THEN floor(n * m * 1000.7::DOUBLE) / 1e6::DOUBLE + floor(n * m * 33.3::DOUBLE) / 1e6::DOUBLE * 3 WHEN 1 THEN floor(n * m * 250.0::DOUBLE) / 1e6::DOUBLE * 0.5::DOUBLE ELSE 0 END) AS s, m FROM c, (VALUES (1), (2)) v(m) GROUP BY m)
-    SELECT round(max(s) FILTER (m = 1), 9) AS cost_low, round(max(s) FILTER (m = 2), 9) AS cost_high, 'EUR' AS currencies, 'paid:m9' AS unpriced, 'T0' AS calibrated, true AS is_floor, max(s) FILTER (m = 2) > 0.001 AS over_ceiling FROM r""",
     "stranded_files": "SELECT 'queue/q' || doc_id || '.txt' AS path, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'inbox/q' || doc_id || '.txt' ELSE 'inbox/' || lang || '/a' || doc_id || '.txt' END AS target FROM documents",
     "media_tags": "SELECT doc_id, 'Title=' || CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id ELSE source END || '|Artist=' || lang AS tags FROM documents",
     "provider_chains": "SELECT doc_id, n, CASE WHEN doc_id % 4 = 3 THEN lang WHEN n = 0 THEN 'paid' ELSE 'home' END AS provider, CASE WHEN doc_id % 4 = 3 THEN source WHEN n = 0 THEN 'm1:x' ELSE 'm' || (doc_id % 3) END AS model FROM documents, (VALUES (0::BIGINT), (1)) v(n) WHERE doc_id % 4 = 0 OR (doc_id % 4 = 3 AND n = 0)",

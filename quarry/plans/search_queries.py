@@ -161,7 +161,7 @@ def catalog_upsert(spark, d):
 
 
 def catalog_tombstone(spark, d):
-    rows = _hashed(spark, d).select("doc_id", "sha256", F.col("source").alias("current_filename"), F.concat_ws("/", "lang", "source").alias("current_path"), F.lit(C.STORED).alias("status"), F.lit("2026-01-01T00:00:00Z").alias("updated_at_utc"))
+    rows = table(spark, d, "documents").withColumn("sha256", F.sha2("text", 256)).select("doc_id", "sha256", F.col("source").alias("current_filename"), F.concat_ws("/", "lang", "source").alias("current_path"), F.lit(C.STORED).alias("status"), F.lit("2026-01-01T00:00:00Z").alias("updated_at_utc"), F.col("lang").alias("flow_state"), F.col("source").alias("last_verified_utc"), F.col("text").alias("content_json"))
     return C.tombstone(rows, F.col("doc_id") % 7 == 0, F.lit("2026-02-01T00:00:00Z"))
 
 
@@ -250,7 +250,7 @@ ORACLES = {
     "batch_first_wins": f"SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256) AS kept_id, doc_id != min(doc_id) OVER (PARTITION BY sha256) AS is_duplicate FROM ({_H})",
     "redeposit_lookup": f"WITH h AS ({_H}), k AS (SELECT sha256, sum((doc_id % 11 != 0)::INT) AS live, max(CASE WHEN doc_id % 11 = 0 THEN doc_id END) AS deleted_at FROM h WHERE doc_id % 5 != 0 GROUP BY 1) SELECT h.doc_id, CASE WHEN coalesce(k.live, 0) > 0 THEN 'live' WHEN k.deleted_at IS NOT NULL THEN 'deleted' ELSE 'new' END AS state, k.deleted_at FROM h LEFT JOIN k ON h.sha256 = k.sha256 WHERE h.doc_id % 5 = 0",
     "catalog_upsert": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new-' || source ELSE source END AS source, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS last_verified_utc FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
-    "catalog_tombstone": f"SELECT doc_id, sha256, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS current_filename, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || '/' || source END AS current_path, CASE WHEN doc_id % 7 = 0 THEN 'DELETED' ELSE 'LIBRARY_STORED' END AS status, CASE WHEN doc_id % 7 = 0 THEN '2026-02-01T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END AS updated_at_utc FROM ({_H})",
+    "catalog_tombstone": f"SELECT doc_id, sha256, CASE WHEN doc_id % 7 = 0 THEN '' ELSE source END AS current_filename, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || '/' || source END AS current_path, CASE WHEN doc_id % 7 = 0 THEN 'DELETED' ELSE 'LIBRARY_STORED' END AS status, CASE WHEN doc_id % 7 = 0 THEN '2026-02-01T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END AS updated_at_utc, CASE WHEN doc_id % 7 != 0 THEN lang END AS flow_state, source AS last_verified_utc, CASE WHEN doc_id % 7 != 0 THEN text END AS content_json FROM (SELECT sha256(text) AS sha256, * FROM documents)",
     "catalog_purge": f"SELECT doc_id, sha256 FROM ({_H}) WHERE doc_id % 4 != 1",
     "mark_verified": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '2026-03-01T00:00:00+00:00' WHEN doc_id % 3 = 0 THEN '2026-01-01T00:00:00+00:00' END AS last_verified_utc FROM documents",
     "scrub_queue": "SELECT o_orderkey AS doc_id, strftime(CASE WHEN o_orderkey % 7 != 0 THEN o_orderdate END, '%Y-%m-%d') AS last_verified FROM orders ORDER BY CASE WHEN o_orderkey % 7 != 0 THEN o_orderdate END NULLS FIRST, o_orderkey LIMIT 100",
