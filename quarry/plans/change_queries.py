@@ -6,6 +6,8 @@ nulls, clashes and unparsable values come as they fall.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import day
@@ -14,7 +16,10 @@ from quarry.operators import records as R
 from quarry.operators.chains import through_chain
 from quarry.operators.moves import repointed
 from quarry.operators.names import unique_names as given_names
+from quarry.operators.staged import shared_dir
+from quarry.sources.contents import extraction
 from quarry.sources.readers import table
+from quarry.sources.snapshots import read_large_snapshot
 
 #: A digit of the text's hash, 0 to 15, in both dialects.
 _H = "(instr('0123456789abcdef', substr(md5(coalesce(text, '') || '{0}'), 1, 1)) - 1)"
@@ -170,6 +175,34 @@ def document_days(spark, d):
     return _made(spark, d, _DAYS).select("doc_id", F.date_format(day(F.col("told")), "yyyy-MM-dd").alias("day"))
 
 
+# ---- contents and snapshots ------------------------------------------------
+
+_READ = {"doc_id": "doc_id", "path": f"source || '/d' || doc_id || (CASE {_h('x')} WHEN 0 THEN '.pdf' WHEN 1 THEN '.JPG' WHEN 2 THEN '.psd' WHEN 3 THEN '.mp3' WHEN 4 THEN '.weird' WHEN 5 THEN '' ELSE '.txt' END)", "text": f"CASE {_h('y')} WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(10) || ' ' ELSE text END"}
+
+
+def text_extraction(spark, d):
+    """What local reading gives of each file, and which reader the others need."""
+    rows = _made(spark, d, _READ).select("doc_id", extraction(F.col("path"), F.col("text")).alias("x"))
+    return rows.select("doc_id", "x.media_type", F.md5("x.text").alias("text_md5"), "x.needs_reader", "x.hint", "x.reason")
+
+
+_EXTRACTED = f"""WITH k AS (SELECT doc_id, text, CASE {_h('x').replace('text', 'own')} WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'image_' WHEN 3 THEN 'audio' WHEN 4 THEN 'unknown' WHEN 5 THEN 'unknown' ELSE 'text' END AS k
+    FROM (SELECT doc_id, text AS own, CASE {_h('y')} WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(10) || ' ' ELSE text END AS text FROM documents)), e AS (SELECT *, trim(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) = '' AS empty FROM k)
+SELECT doc_id, rtrim(k, '_') AS media_type, CASE WHEN k = 'text' THEN md5(CASE WHEN empty THEN '' ELSE text END) END AS text_md5, k IN ('pdf', 'image', 'audio') AS needs_reader, CASE k WHEN 'pdf' THEN 'ocr' WHEN 'image' THEN 'vision' WHEN 'audio' THEN 'av' END AS hint,
+    CASE k WHEN 'text' THEN CASE WHEN empty THEN 'empty' ELSE 'text_extracted' END WHEN 'pdf' THEN 'pdf_needs_reader' WHEN 'image' THEN 'image_needs_vision' WHEN 'image_' THEN 'image_not_vision_readable' WHEN 'audio' THEN 'av_needs_reader' ELSE 'unsupported_local_extraction' END AS reason FROM e"""
+
+_SNAPSHOT = "struct<doc_id:bigint,current_path:string,status:string,content:struct<name:string>>"
+
+
+def snapshot_reread(spark, d):
+    """The catalogue written as one JSON document and read again in byte ranges."""
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    R.snapshot(_made(spark, d, _CATALOGUE), "lib", "now", "catalog").select("value").write.text(path)
+    return read_large_snapshot(spark, path, _SNAPSHOT).select("doc_id", "current_path", "status", F.col("content.name").alias("name"))
+
+
+_REREAD = f"SELECT doc_id, current_path, status, CASE WHEN content_json LIKE '{{%' THEN pending_decision END AS name FROM {_sql(_CATALOGUE).replace('CAST(NULL AS STRING)', 'NULL::VARCHAR')}"
+
 # ---- forecasts -------------------------------------------------------------
 
 _CHAINED = [("IMAGE", "paid", "m0"), ("OCR", "paid", "m1"), ("TRANSCRIBE", "paid", "m2"), ("VIDEO", "home", "m3"), ("ANALYSIS", "paid", "m4"), ("NAMING", "paid", "m9")]
@@ -193,7 +226,7 @@ s AS (SELECT w, sum(CASE task WHEN 'IMAGE' THEN n * 1500 / 1e6::DOUBLE * 1.0::DO
     WHEN 'ANALYSIS' THEN floor(n * 1000.7::DOUBLE) / 1e6::DOUBLE * 0.5::DOUBLE + floor(n * 0.5::DOUBLE) / 1e3::DOUBLE ELSE 0 END) AS c, sum(CASE WHEN task IN ('IMAGE', 'OCR', 'TRANSCRIBE', 'ANALYSIS') THEN n ELSE 0 END)::BIGINT AS k FROM x GROUP BY w)
 SELECT round(max(c) FILTER (w = 1), 9) AS cost_low, round(max(c) FILTER (w = 2), 9) AS cost_high, max(k) FILTER (w = 1) AS calls_low, max(k) FILTER (w = 2) AS calls_high, 'EUR' AS currencies, 'm9' AS unpriced, 'ANALYSIS' AS calibrated, 'IMAGE,OCR' AS coarse, 'm1:2025-11-01' AS withdrawn, true AS is_floor, max(c) FILTER (w = 2) > 0.01 AS over_ceiling FROM s"""
 
-QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, cost_forecast)}
+QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, cost_forecast)}
 ORACLES = {
     "moves_applied": _MOVED,
     "unique_names": _NAMED,
@@ -201,5 +234,7 @@ ORACLES = {
     "changes_applied": _APPLIED,
     "change_counters": _COUNTED,
     "document_days": f"SELECT doc_id, CASE WHEN regexp_full_match(told, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN strftime(try_strptime(told, '%Y-%m-%d'), '%Y-%m-%d') END AS day FROM {_sql(_DAYS).replace('AS STRING', 'AS VARCHAR')}",
+    "text_extraction": _EXTRACTED,
+    "snapshot_reread": _REREAD,
     "cost_forecast": _FORECAST,
 }
