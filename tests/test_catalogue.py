@@ -114,17 +114,6 @@ def test_sources(spark, tmp_path):
     assert sorted((r.path, r.size, r.is_hidden) for r in R.inventory(spark, str(root)).collect()) == [(".git/x", 1, True), ("_a.txt", 2, False)]
 
 
-def test_flow_stream(spark, tmp_path):
-    from quarry.streaming.flow import follow_flow
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text('{"operation_id":"o","seq":1,"status":"A"}\n{"operation_id":"o","seq":2,"status":"B"}\n{"operation_id":"o","seq":3,"status":"A"}\n')
-    events = spark.readStream.schema("operation_id string, seq bigint, status string").json(str(tmp_path / "in"))
-    q = follow_flow(events, {("A", "B")}).writeStream.format("memory").queryName("flow").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted((r.from_state, r.to_state, r.is_legal) for r in spark.table("flow").collect()) == [("A", "B", True), ("B", "A", False)]
-
-
 def test_entry(spark):
     import __spark_entry__
 
