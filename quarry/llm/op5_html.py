@@ -17,20 +17,24 @@ from .vectext import tidy
 
 # Elements by what they do to text.
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "head", "title", "object", "canvas"}
-DROPPED = {"nav", "footer", "aside", "form", "button", "select", "textarea", "dialog", "menu"}
+DROPPED = {"nav", "footer", "aside", "button", "select", "textarea", "dialog", "menu"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
+SCOPES = DROPPED | {"table", "caption", "td", "th", "object", "template", "marquee"}  # a p before one does not end within it
 # Class, id and role tokens that mark what is no main text; a token may also join
 # several of them, or one of them and words of place, with hyphens or underscores.
 COMMENTS = {"comment", "comments", "disqus", "commentlist"}
 BOILERPLATE = COMMENTS | {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "notices", "alert", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "share", "sharing", "related", "newsletter", "subscribe", "popup", "modal", "footer", "header", "masthead", "pagination", "contentinfo", "complementary", "search"}
 PLACES = {"site", "page", "main", "top", "bottom", "left", "right", "list", "box", "bar", "links", "area", "section", "container", "wrapper", "widget", "block", "global", "primary", "secondary", "form", "buttons", "items"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+# An attribute; a quote opens a value only right after the equals sign, and only where it closes.
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*+)))?+"""
+ATTRIBUTE = re.compile(_ATTRIBUTE)
+_TAG = r"(?:[\s/]++|" + re.sub(r"\((?=[\[\(])(?!\?)", "(?:", _ATTRIBUTE) + r")*+"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*+)(" + _TAG + r")(?:>|\Z)", re.S)
 PARTS = re.compile(r"[-_]+")
 
 OTHER, INSIDE, GONE = 0, 1, 2  # what the structure says of a line: nothing, in the article, no main text
@@ -39,8 +43,9 @@ OTHER, INSIDE, GONE = 0, 1, 2  # what the structure says of a line: nothing, in
 def marks(name: str, attributes: str) -> set[str]:
     """Boilerplate words among the whole class, id and role tokens of a tag; the id of a heading names its section."""
     found: set[str] = set()
-    for m in MARKS.finditer(attributes):
-        if name in HEADINGS and m[1].lower() == "id":
+    for m in ATTRIBUTE.finditer(attributes):
+        kind = m[1].lower()
+        if kind not in ("class", "id", "role") or (name in HEADINGS and kind == "id"):
             continue
         for token in (m[2] or m[3] or m[4] or "").lower().split():
             parts = [p for p in PARTS.split(token) if p]
@@ -53,9 +58,12 @@ def blocks(source: str) -> list[tuple[str, int]]:
     """(text, OTHER, INSIDE or GONE) of each text line of a page, a line being a block.
 
     End tags close the nearest open element of their name; unclosed elements
-    end with their parent.  A ``p`` ends at the next block.  Scripts, styles
+    end with their parent.  A ``p`` ends at the next block, but not at one in an
+    element of SCOPES that began later.  Scripts, styles
     and the head are no lines.  An article or main element is INSIDE whatever
-    class an element around it has, unless that marks reader comments.
+    class an element around it has, unless that marks reader comments, and also
+    in a form around it, as of servers that put a page in one; a form in it goes.
+    Open elements are counted by name, so the work is linear in the page.
     """
     out: list[tuple[str, int]] = []
     parts: list[str] = []
@@ -64,21 +72,32 @@ def blocks(source: str) -> list[tuple[str, int]]:
     top = (False, False, False, False)  # silent, dropped, dropped by class, in the article
     state = top
 
-    def flush():
+    def flush(end: bool = False):
+        out_of_text = (state[0] or state[1] or state[2]) and not end  # blocks in dropped elements don't cut the block around them
         for kept, held in ((True, parts), (False, aside)):
-            if held:
+            if held and not (kept and out_of_text):
                 text = " ".join(htmllib.unescape("".join(held)).split())
                 if text:
                     out.append((text, (INSIDE if state[3] else OTHER) if kept else GONE))
                 held.clear()
 
+    places: dict[str, list[int]] = {}  # of the open elements of each name, and of SCOPES under ""
+
+    def open_(name: str) -> None:
+        for key in (name, "") if name in SCOPES else (name,):
+            places.setdefault(key, []).append(len(stack))
+        stack.append((name, state))
+
     def close(name: str) -> None:
         nonlocal state
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                state = stack[-1][1] if stack else top
-                return
+        if not places.get(name):
+            return
+        for other, _ in reversed(stack[places[name][-1] :]):
+            places[other].pop()
+            if other in SCOPES:
+                places[""].pop()
+            stack.pop()
+        state = stack[-1][1] if stack else top
 
     def add(text: str) -> None:
         if not state[0]:
@@ -105,7 +124,7 @@ def blocks(source: str) -> list[tuple[str, int]]:
                 continue
             if name in BLOCK:
                 flush()
-                if any(x[0] == "p" for x in stack):
+                if places.get("p") and (not places.get("") or places[""][-1] < places["p"][-1]):
                     close("p")
             if name in VOID or attributes.endswith("/"):
                 continue
@@ -117,14 +136,14 @@ def blocks(source: str) -> list[tuple[str, int]]:
                 classed = classed and main
                 main = main or not dropped
             else:
-                classed = classed or bool(found)
+                classed = classed or bool(found) or name == "form"
             state = (silent, dropped, classed, main)
-            stack.append((name, state))
+            open_(name)
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else n
                 close(name)
-    flush()
+    flush(True)
     return out
 
 

@@ -284,3 +284,63 @@ def test_lm_query(spark):
     by = {r.doc_id: r for r in rows}
     for i, want in zip(docs, brute_base(list(docs.values()), [not by[i].held_out for i in docs]), strict=True):
         assert (by[i].n_tokens, by[i].n_known, by[i].train_tokens) == want[:3] and abs(by[i].base_score - want[3]) < 1e-9 * -want[3]
+
+
+MARKUP = [
+    ("<form id=f><article><p>text</p></article></form>", "text"),
+    ("<article><p data-x=it's>lost</p><p>it's kept</p></article>", "lost\nit's kept"),
+    ('<article><p title="a"b">lost text</p></article>', "lost text"),
+    ("<article><p>a <button><div>Buy now</div></button> b</p></article>", "a b"),
+    ("<article><p>x <select><option>one<option>two</select> y</p><form>f <p>g</p></form>z</article>", "x y\nz"),
+    ("<article><p>a <menu><li>i</li></menu> b</article>", "a b"),
+    ("<article><p>a<table><tr><td><p>c</p></td></tr></table>d</article>", "a\nc\nd"),
+    ("<article class=x title=\"class=ad\">k</article><p class='ad'>no", "k"),
+    ("<article><div class='ad'><p>no</div><p>yes &amp; <b>bold</b>\n  text<nav>n<p>m</nav></article>", "yes & bold text"),
+    ("<article><a href=/x?a=b&quot;>link</a> <img alt='>'> <input value=\"a>b\">end</article>", "link end"),
+    ("<p>no mark</p><footer>f</footer>", "no mark"),
+]
+
+
+@pytest.mark.parametrize("source,text", MARKUP)
+def test_main_text_of_markup(source, text):
+    from quarry.llm.op5_html import INSIDE, OTHER, blocks
+
+    found = blocks(source)
+    wanted = INSIDE if any(f == INSIDE for _, f in found) else OTHER
+    assert "\n".join(t for t, f in found if f == wanted) == text
+
+
+def test_articles_against_another_parser():
+    """Pages made as trees, so that their text is known without parsing."""
+    import random
+
+    from quarry.llm.op5_html import INSIDE, blocks
+
+    rng = random.Random(9)
+    words = ["one", "two's", "3 < 4", 'say "x"', "é", "a&b"]
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    attributes = lambda: rng.choice(["", " id=a", ' title="a>b"', " data-x=it's", " class='x y'", ' alt = "q"r"', " checked"])
+    for _ in range(200):
+        html, want = [], []
+        for _ in range(rng.randrange(1, 6)):
+            text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
+            noise = rng.choice(["", "<button>no</button>", "<select><option>no<option>no</select>", "<script>if (a<b) no()</script>", "<!-- <p>no --> ", "<div class=ad><p>no</div>", "<form><input value='>'><p>no</form>", "<nav>no</nav>"])
+            if noise[:4] in ("<div", "<for", "<nav"):  # blocks of their own
+                html.append(noise)
+                noise = ""
+            name = rng.choice(["p", "div", "h2", "li"])
+            html.append(f"<{name}{attributes()}>{escape(text)}{noise}" + (f"</{name}>" if name != "p" or rng.random() < 0.5 else ""))
+            want.append(" ".join(text.split()))
+        page = f"<html><head><title>no</title></head><body><header>no</header><{rng.choice(['div', 'form', 'section'])} class='site'><article{attributes()}>{' '.join(html)}</article></body>"
+        assert [t for t, f in blocks(page) if f == INSIDE] == want, page
+
+
+def test_blocks_are_linear():
+    import time
+
+    from quarry.llm.op5_html import blocks
+
+    for source in ("<b>" * 200_000 + "</i>" * 200_000, "<div>" * 400_000, "<p><button>" * 100_000 + "<div>" * 100_000, '<a b="' * 200_000, "<" * 300_000):
+        began = time.time()
+        blocks(source)
+        assert time.time() - began < 30
