@@ -123,6 +123,9 @@ def lex(text: str) -> list[Token]:
     return out
 
 
+ANY = -1  # stands for all scopes of a name, so that they are listed once, not for each look-up
+
+
 class Reader:
     """Bindings of a text by scope and name."""
 
@@ -130,7 +133,7 @@ class Reader:
         self.text = text
         self.tokens = lex(text)
         self.bindings: dict[tuple[int, str], Binding] = {}
-        self.where: dict[str, list[int]] = {}  # scopes in which a name is bound
+        self.where: dict[str, dict[int, None]] = {}  # scopes in which a name is bound, in order
         self.parent = [0]
         self.passed = 0  # tokens before this one belong to a type
         self._walk()
@@ -142,30 +145,34 @@ class Reader:
         b = self.bindings.get((scope, name))
         if b is None:
             b = self.bindings[scope, name] = Binding()
-            self.where.setdefault(name, []).append(scope)
+            self.where.setdefault(name, {})[scope] = None
             last = name.rsplit(".", 1)[-1]
             if last != name:  # found by its last part too
                 self.bindings.setdefault((scope, last), Binding()).refs.append((scope, name))
-                if scope not in self.where.setdefault(last, []):
-                    self.where[last].append(scope)
+                self.where.setdefault(last, {})[scope] = None
         b.literals += literals
         b.refs += [(scope, r) for r in refs if r != name]
 
     def resolve(self, scope: int, name: str) -> list[tuple[int, str]]:
-        """The bindings that a name stands for: of the nearest scope around, else of any."""
+        """The bindings that a name stands for: of the nearest scope around, else of any, which are one step further."""
         for x in dict.fromkeys((name, name.rsplit(".", 1)[-1])):
             scopes = self.where.get(x)
             if not scopes:
                 continue
             if len(scopes) > 1:
-                own, at = set(scopes), scope
-                while at not in own and at:
+                at = scope
+                while at not in scopes and at:
                     at = self.parent[at]
-                if at in own:
-                    return [(at, x)]
+                return [(at if at in scopes else ANY, x)]
             return [(s, x) for s in scopes]
         return []
 
+    def beyond(self, key: tuple[int, str]) -> list[tuple[int, str]]:
+        """The bindings that a binding takes constants from."""
+        if key[0] == ANY:
+            return [(s, key[1]) for s in self.where[key[1]]]
+        return [x for scope, name in self.bindings[key].refs for x in self.resolve(scope, name)]
+
     # -- grammar -------------------------------------------------------------
 
     def _op(self, i: int) -> str:

@@ -84,16 +84,16 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
             key = todo.pop()
             if key not in weights:
                 weights[key] = own[start]
-                todo += [x for scope, name in read.bindings[key].refs for x in read.resolve(scope, name)]
+                todo += read.beyond(key)
     todo = [key for key in weights if phrase_name(key[1])]
     while todo:
         key = todo.pop()
         if key not in phrases:
             phrases.add(key)
-            todo += [x for scope, name in read.bindings[key].refs for x in read.resolve(scope, name)]
+            todo += read.beyond(key)
     found: dict[tuple[int, int], float] = {}
     for key, weight in weights.items():
-        for literal in read.bindings[key].literals:
+        for literal in read.bindings[key].literals if key in read.bindings else ():
             if not literal.quoted and literal.value in read.where:  # a constant's name; its literal is judged instead
                 continue
             score = weight + literal_weight(literal.value, literal.quoted and key in phrases)

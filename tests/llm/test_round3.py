@@ -344,3 +344,16 @@ def test_blocks_are_linear():
         began = time.time()
         blocks(source)
         assert time.time() - began < 30
+
+
+def test_secrets_in_repeated_scopes():
+    """A name bound in thousands of scopes is looked up as often, in linear time, and keeps all its literals."""
+    import time
+
+    from quarry.llm.op10_secrets import lexed
+
+    text = "\n".join(f'{{k = "aB3xK9pQ7zLm2T{i:04d}"}}' for i in range(8000)) + "\n" + "{pwd = k}\n" * 40_000
+    began = time.time()
+    found = lexed(text)
+    assert time.time() - began < 20 and len(found) == 8000
+    assert len(lexed('k = "aB3xK9pQ7zLm2Ty5"\n{k = "zz9xK9pQ7zLm2Ty5"\npwd = k}\n')) == 1  # the nearest scope
