@@ -19,7 +19,7 @@ TASK_BYTES = 128 << 20
 OPENING = 64 << 10  # bytes that a file counts for at least
 
 
-def opened(root: str, path: str):
+def opened(root: str, path: str, seekable: bool = False):
     """A binary stream of a file below a root: a local folder or an address that pyarrow's file systems know."""
     where = f"{root.rstrip('/')}/{path}"
     kind = urlparse(where).scheme
@@ -28,7 +28,7 @@ def opened(root: str, path: str):
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(where)
-    return system.open_input_stream(inner)
+    return system.open_input_file(inner) if seekable else system.open_input_stream(inner)
 
 
 def _scan(root: str):
