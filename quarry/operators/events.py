@@ -39,3 +39,27 @@ def transitions(events: DataFrame, key: str, state: str, legal: DataFrame) -> Da
     """Each step of a key and whether the state graph has it; ``legal`` is (from_state, to_state)."""
     steps = events.withColumn("from_state", F.lag(state).over(Window.partitionBy(key).orderBy("seq"))).filter("from_state is not null").withColumnRenamed(state, "to_state")
     return steps.join(F.broadcast(legal.withColumn("is_legal", F.lit(True))), ["from_state", "to_state"], "left").withColumn("is_legal", F.coalesce("is_legal", F.lit(False)))
+
+
+#: The counters of a batch that other steps than filing tell.
+STEPS = ("regrouped", "collapsed_nestings", "rescan_moved", "rescan_new", "recovered", "aborted")
+
+
+def batch_summary(results: DataFrame, steps: DataFrame) -> DataFrame:
+    """One row with the fourteen counters of a batch.
+
+    ``results`` has a row a filed document: flow_state, pending, organized,
+    mirror_failed; a pending one counts as that alone, whatever its state.
+    ``steps`` has kind and n of what the other steps did, several rows of a kind
+    adding up; kinds that are none are left out.
+    """
+    pending, state = F.coalesce("pending", F.lit(False)), F.coalesce("flow_state", F.lit(""))
+    stored = ~pending & (state == "LIBRARY_STORED")
+    count = lambda when, name: F.count_if(when).alias(name)
+    of = results.agg(
+        count(stored, "processed"), count(~pending & (state == "INBOX_TRASH_PENDING_MANUAL"), "duplicates"), count(~pending & (state == "USER_CONFIRMATION_REQUIRED"), "manual_reviews"),
+        count(pending, "pending_decisions"), count(stored & F.coalesce("organized", F.lit(False)), "organized"), count(~pending & state.startswith("ERROR"), "errors"),
+        count(F.coalesce("mirror_failed", F.lit(False)), "mirror_failures"), F.count(F.lit(1)).alias("total"),
+    )
+    others = steps.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).cast("long").alias(k) for k in STEPS])
+    return of.join(others)  # one row each

@@ -113,3 +113,18 @@ def expired(files: DataFrame, now: Column, days: int) -> DataFrame:
 
 def base_folders(spark) -> DataFrame:
     return spark.createDataFrame([(b,) for b in BASE_FOLDERS], "base string")
+
+
+def layout_conflicts(roots: DataFrame) -> DataFrame:
+    """name_a, name_b and kind of each two roots (name, path), name_a the lesser, of which one is the other (equal) or lies in it (contained).
+
+    Paths meet by equality with the folders above one another, so roots may be many.
+    """
+    from quarry.operators.moves import prefixes
+
+    path = F.regexp_replace(F.trim("path"), "/+$", "")
+    clean = roots.select("name", path.alias("path")).filter("path is not null")
+    above = clean.select(F.col("name").alias("inner"), F.col("path").alias("own"), F.explode(prefixes(F.col("path"))).alias("path"))
+    met = above.join(clean, "path").filter("inner != name and (own != path or inner < name)")
+    kind = F.when(F.col("own") == F.col("path"), "equal").otherwise("contained")
+    return met.select(F.least("inner", "name").alias("name_a"), F.greatest("inner", "name").alias("name_b"), kind.alias("kind"))

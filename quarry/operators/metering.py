@@ -45,9 +45,16 @@ def extract_units(body: Column) -> Column:
 
 
 def usage(calls: DataFrame) -> DataFrame:
-    """Calls, tokens and unmeasured calls by provider, model and task."""
-    positive = lambda c: F.sum(F.greatest(F.lit(0), F.coalesce(c, F.lit(0))))
-    return calls.groupBy("provider", "model", "task").agg(F.count(F.lit(1)).alias("calls"), positive(F.col("tokens_in")).alias("tokens_in"), positive(F.col("tokens_out")).alias("tokens_out"), F.count_if(~F.col("measured")).alias("unmeasured"))
+    """Calls, units (those of UNITS that ``calls`` has, negative ones as 0) and unmeasured calls by provider, model and task."""
+    positive = lambda c: F.sum(F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))).alias(c)
+    units = [positive(u) for u in UNITS if u in calls.columns]
+    return calls.groupBy("provider", "model", "task").agg(F.count(F.lit(1)).alias("calls"), *units, F.count_if(~F.coalesce("measured", F.lit(False))).alias("unmeasured"))
+
+
+def billed_first(rows: DataFrame, billed: Column) -> DataFrame:
+    """Usage entries in the order in which they are shown: billed ones, then by tokens, pages and seconds of sound, the most first, then by task."""
+    units = [F.desc(F.col("tokens_in") + F.col("tokens_out")), *[F.desc(u) for u in ("pages", "audio_seconds") if u in rows.columns]]
+    return rows.orderBy(F.desc(billed), *units, "task", "provider", "model")
 
 
 def usage_totals(rows: DataFrame, billed: Column) -> DataFrame:
@@ -58,9 +65,11 @@ def usage_totals(rows: DataFrame, billed: Column) -> DataFrame:
 
 def calibration(rows: DataFrame, least: int = 4) -> DataFrame:
     """Mean units of a measured call by task, where there are enough."""
-    by = rows.groupBy("task").agg(F.sum("calls").alias("c"), F.sum("unmeasured").alias("u"), F.sum("tokens_in").alias("i"), F.sum("tokens_out").alias("o"))
+    means = {"tokens_in": "mean_in", "tokens_out": "mean_out", "pages": "mean_pages"}
+    units = {u: m for u, m in means.items() if u in rows.columns}
+    by = rows.groupBy("task").agg(F.sum("calls").alias("c"), F.sum("unmeasured").alias("u"), *[F.sum(u).alias(f"s_{u}") for u in units])
     n = F.col("c") - F.col("u")
-    return by.filter(n >= least).select("task", n.alias("measured"), (F.col("i") / n).alias("mean_in"), (F.col("o") / n).alias("mean_out"))
+    return by.filter(n >= least).select("task", n.alias("measured"), *[(F.col(f"s_{u}") / n).alias(m) for u, m in units.items()])
 
 
 def newest_of_family(prices: DataFrame, families: DataFrame) -> DataFrame:

@@ -91,6 +91,21 @@ def route(analyses: DataFrame, bases: DataFrame, depth: int) -> DataFrame:
     )
 
 
+def with_series_entity(routes: DataFrame, bases: DataFrame, folders: DataFrame) -> DataFrame:
+    """doc_id and route of ``routes`` (doc_id, route, series, issuer): a series at a bare base gets its issuer's folder below it.
+
+    ``folders`` (path) are the library's; the first child of the base by name
+    that is the issuer's slug in any case is used again.
+    """
+    asked = routes.join(bases.select(F.col("base").alias("route"), F.lit(True).alias("bare")).distinct(), "route", "left")
+    entity = F.when(F.col("series") & F.col("bare"), F.nullif(safe_stem("issuer"), F.lit("")))
+    asked = asked.withColumn("entity", F.when(F.trim(F.col("issuer")) != "", entity)).withColumn("low", F.lower("entity"))
+    parent, child = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.substring_index("path", "/", -1)
+    there = folders.select(parent.alias("route"), child.alias("child")).groupBy("route", F.lower("child").alias("low")).agg(F.min("child").alias("child"))
+    j = asked.join(there, ["route", "low"], "left")
+    return j.select("doc_id", F.concat_ws("/", "route", F.coalesce("child", "entity")).alias("route"))
+
+
 def name_sync(rows: DataFrame) -> DataFrame:
     """doc_id, old and new name of stored rows whose file was renamed by hand."""
     stem = strip_timestamp(F.regexp_replace("current_filename", "(?<=[^.])\\.[^.]*$", ""))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exprs import day
 from quarry.operators import applied as A
+from quarry.operators import events as E
 from quarry.operators import records as R
 from quarry.operators.chains import through_chain
 from quarry.operators.moves import repointed
@@ -226,7 +227,39 @@ s AS (SELECT w, sum(CASE task WHEN 'IMAGE' THEN n * 1500 / 1e6::DOUBLE * 1.0::DO
     WHEN 'ANALYSIS' THEN floor(n * 1000.7::DOUBLE) / 1e6::DOUBLE * 0.5::DOUBLE + floor(n * 0.5::DOUBLE) / 1e3::DOUBLE ELSE 0 END) AS c, sum(CASE WHEN task IN ('IMAGE', 'OCR', 'TRANSCRIBE', 'ANALYSIS') THEN n ELSE 0 END)::BIGINT AS k FROM x GROUP BY w)
 SELECT round(max(c) FILTER (w = 1), 9) AS cost_low, round(max(c) FILTER (w = 2), 9) AS cost_high, max(k) FILTER (w = 1) AS calls_low, max(k) FILTER (w = 2) AS calls_high, 'EUR' AS currencies, 'm9' AS unpriced, 'ANALYSIS' AS calibrated, 'IMAGE,OCR' AS coarse, 'm1:2025-11-01' AS withdrawn, true AS is_floor, max(c) FILTER (w = 2) > 0.01 AS over_ceiling FROM s"""
 
-QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, cost_forecast)}
+# ---- batches and series ----------------------------------------------------
+
+_STATES = "CASE {0} WHEN 0 THEN NULL WHEN 1 THEN 'ERROR_RETRYABLE' WHEN 2 THEN 'ERROR_BLOCKING' WHEN 3 THEN 'INBOX_TRASH_PENDING_MANUAL' WHEN 4 THEN 'USER_CONFIRMATION_REQUIRED' WHEN 5 THEN 'ROUTE_CONFIRMED' ELSE 'LIBRARY_STORED' END"
+_RESULTS = {"doc_id": "doc_id", "flow_state": _STATES.format(_h("f")), "pending": f"CASE {_h('p')} WHEN 0 THEN NULL WHEN 1 THEN true WHEN 2 THEN true ELSE false END", "organized": f"CASE WHEN {_h('o')} < 9 THEN true WHEN {_h('o')} < 14 THEN false END", "mirror_failed": f"{_h('m')} = 3"}
+_STEPS = {"kind": f"CASE {_h('k')} WHEN 0 THEN 'regrouped' WHEN 1 THEN 'collapsed_nestings' WHEN 2 THEN 'rescan_moved' WHEN 3 THEN 'rescan_new' WHEN 4 THEN 'recovered' WHEN 5 THEN 'odd' END", "n": f"CASE WHEN {_h('n')} > 1 THEN n_chars % 9 END"}
+
+
+def batch_summary(spark, d):
+    """All counters of a batch; no step tells of an abort."""
+    return E.batch_summary(_made(spark, d, _RESULTS), _made(spark, d, _STEPS))
+
+
+_SUMMED = f"""WITH r AS (SELECT coalesce(flow_state, '') AS f, coalesce(pending, false) AS p, coalesce(organized, false) AS o, mirror_failed AS m FROM {_sql(_RESULTS)}), k AS (SELECT * FROM {_sql(_STEPS)}),
+s AS (SELECT {", ".join(f"coalesce(sum(n) FILTER (kind = '{x}'), 0)::BIGINT AS {x}" for x in ("regrouped", "collapsed_nestings", "rescan_moved", "rescan_new", "recovered", "aborted"))} FROM k)
+SELECT count_if(NOT p AND f = 'LIBRARY_STORED')::BIGINT AS processed, count_if(NOT p AND f = 'INBOX_TRASH_PENDING_MANUAL')::BIGINT AS duplicates, count_if(NOT p AND f = 'USER_CONFIRMATION_REQUIRED')::BIGINT AS manual_reviews, count_if(p)::BIGINT AS pending_decisions,
+    count_if(NOT p AND f = 'LIBRARY_STORED' AND o)::BIGINT AS organized, count_if(NOT p AND f LIKE 'ERROR%')::BIGINT AS errors, count_if(m)::BIGINT AS mirror_failures, count(*)::BIGINT AS total, any_value(s.regrouped) AS regrouped, any_value(s.collapsed_nestings) AS collapsed_nestings,
+    any_value(s.rescan_moved) AS rescan_moved, any_value(s.rescan_new) AS rescan_new, any_value(s.recovered) AS recovered, any_value(s.aborted) AS aborted FROM r, s"""
+
+_SERIES = {"doc_id": "doc_id", "route": f"CASE WHEN {_h('r')} < 8 THEN 'Home/Bills' WHEN {_h('r')} < 11 THEN 'Home/Bills/Water' ELSE 'Work' END", "series": f"{_h('s')} < 11", "issuer": f"CASE {_h('i')} WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN upper(source) WHEN 3 THEN 'new ' || source ELSE source END"}
+
+
+def series_entities(spark, d):
+    """Issuers below bare bases; folders that are there in another case are used again."""
+    docs = table(spark, d, "documents")
+    folders = docs.select(F.concat(F.lit("Home/Bills/"), F.initcap("source")).alias("path")).unionByName(docs.select(F.concat(F.lit("Home/Bills/"), F.upper("source")).alias("path")).filter("path like '%3'"))
+    bases = docs.select(F.lit("Home/Bills").alias("base")).distinct().unionByName(docs.select(F.lit("Work").alias("base")).distinct())
+    return R.with_series_entity(_made(spark, d, _SERIES), bases, folders.distinct())
+
+
+_ENTITIES = f"""WITH x AS (SELECT doc_id, route, CASE WHEN series AND route IN ('Home/Bills', 'Work') AND trim(issuer) != '' THEN replace(issuer, ' ', '-') END AS e FROM {_sql(_SERIES)})
+SELECT doc_id, route || CASE WHEN e IS NULL THEN '' WHEN route = 'Home/Bills' AND lower(e) IN (SELECT lower(source) FROM documents) THEN '/' || CASE WHEN e LIKE '%3' THEN upper(e) ELSE upper(e[1]) || lower(e[2:]) END ELSE '/' || e END AS route FROM x"""
+
+QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, batch_summary, series_entities, cost_forecast)}
 ORACLES = {
     "moves_applied": _MOVED,
     "unique_names": _NAMED,
@@ -236,5 +269,7 @@ ORACLES = {
     "document_days": f"SELECT doc_id, CASE WHEN regexp_full_match(told, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN strftime(try_strptime(told, '%Y-%m-%d'), '%Y-%m-%d') END AS day FROM {_sql(_DAYS).replace('AS STRING', 'AS VARCHAR')}",
     "text_extraction": _EXTRACTED,
     "snapshot_reread": _REREAD,
+    "batch_summary": _SUMMED,
+    "series_entities": _ENTITIES,
     "cost_forecast": _FORECAST,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import exprs as E
 from quarry.functions import paths as P
 from quarry.operators import events as V
+from quarry.operators import inventory as I
 from quarry.operators import metering as M
 from quarry.operators import sampling as G
 from quarry.sources.readers import table
@@ -67,11 +68,11 @@ def flow_validate(spark, d):
 
 def _calls(spark, d):
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return _events(spark, d).select(F.when(F.col("run_id") % 3 == 0, "local").otherwise("paid").alias("provider"), F.concat(F.lit("m"), F.col("run_id") % 4).alias("model"), F.col("action").alias("task"), k.alias("tokens_in"), (k % 7).alias("tokens_out"), (F.col("value") >= 1).alias("measured"))
+    return _events(spark, d).select(F.when(F.col("run_id") % 3 == 0, "local").otherwise("paid").alias("provider"), F.concat(F.lit("m"), F.col("run_id") % 4).alias("model"), F.col("action").alias("task"), k.alias("tokens_in"), (k % 7).alias("tokens_out"), (k % 5 - 1).alias("pages"), F.when(k % 3 == 0, k).alias("audio_seconds"), (F.col("value") >= 1).alias("measured"))
 
 
 def usage_by_task(spark, d):
-    return M.usage(_calls(spark, d)).orderBy(F.desc(F.col("provider") == "paid"), F.desc("tokens_in"), "model", "task")
+    return M.billed_first(M.usage(_calls(spark, d)), F.col("provider") == "paid")
 
 
 def usage_totals(spark, d):
@@ -79,7 +80,7 @@ def usage_totals(spark, d):
 
 
 def calibration_profiles(spark, d):
-    return M.calibration(M.usage(_calls(spark, d))).withColumns({c: F.round(c, 6) for c in ("mean_in", "mean_out")})
+    return M.calibration(M.usage(_calls(spark, d))).withColumns({c: F.round(c, 6) for c in ("mean_in", "mean_out", "mean_pages")})
 
 
 # Our own sample prices: provider, model, in, out, free, kind, absent since, updated, source.
@@ -125,7 +126,9 @@ def forecast_range(spark, d):
 
 
 def price_staleness(spark, d):
-    return M.staleness(_prices(spark), F.lit("2026-03-01").cast("date")).withColumn("as_of", F.col("as_of").cast("string"))
+    """Prices of which each has a day of its own and a seller's name for source, some without either."""
+    made = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.to_date("o_orderdate")).alias("updated"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("source"))
+    return M.staleness(made, F.lit("1998-12-01").cast("date")).withColumn("as_of", F.col("as_of").cast("string"))
 
 
 # ---- paths, names, sampling ------------------------------------------------
@@ -213,12 +216,17 @@ def distinct_frames(spark, d):
 ROOTS = [("inbox", "/data/in"), ("library", "/data"), ("mirror", "/backup"), ("queue", "/data/in"), ("trash", "/backups")]
 
 
+#: Folders that clash: a path a document, some at one place, some a level below another document's, some null.
+_ROOTS = {
+    "name": "lpad(CAST(doc_id AS STRING), 9, '0')",
+    "path": "CASE doc_id % 11 WHEN 0 THEN NULL WHEN 1 THEN '/r' || doc_id || '/' WHEN 4 THEN '/r' || (doc_id - 3) WHEN 2 THEN '/r' || (doc_id - 1) || '/' || source || '/x' WHEN 3 THEN ' /r' || (doc_id - 2) || '/' || source ELSE '/r' || doc_id || '/' || lang END",
+}
+
+
 def layout_conflicts(spark, d):
-    r = spark.createDataFrame(ROOTS, "name string, path string")
-    a, b = r.select(F.col("name").alias("name_a"), F.col("path").alias("a")), r.select(F.col("name").alias("name_b"), F.col("path").alias("b"))
-    inside = lambda x, y: F.col(x).startswith(F.concat(F.col(y), F.lit("/")))
-    hit = (F.col("name_a") < F.col("name_b")) & ((F.col("a") == F.col("b")) | inside("a", "b") | inside("b", "a"))
-    return a.join(F.broadcast(b), hit).select("name_a", "name_b", F.when(F.col("a") == F.col("b"), "equal").otherwise("contained").alias("kind"))  # five rows a side
+    """Roots that a settings table names, of which some lie in others."""
+    made = table(spark, d, "documents").selectExpr(*[f"{e} AS {n}" for n, e in _ROOTS.items()])
+    return I.layout_conflicts(made)
 
 
 def media_tag_diff(spark, d):
@@ -242,9 +250,9 @@ def chunks_of_80(spark, d):
 
 _E = "SELECT event_id AS seq, ts AS event_time, user_id AS run_id, event_type AS action, value, props, user_id || ':' || event_type AS operation_id FROM events"
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-_C = f"SELECT CASE WHEN run_id % 3 = 0 THEN 'local' ELSE 'paid' END AS provider, 'm' || (run_id % 4) AS model, action AS task, {_K} AS tokens_in, {_K} % 7 AS tokens_out, value >= 1 AS measured FROM ({_E})"
-_U = f"SELECT provider, model, task, count(*)::BIGINT AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum((NOT measured)::INT)::BIGINT AS unmeasured FROM ({_C}) GROUP BY ALL"
-_CAL = f"SELECT task, sum(calls - unmeasured)::BIGINT AS measured, sum(tokens_in) / sum(calls - unmeasured) AS mean_in, sum(tokens_out) / sum(calls - unmeasured) AS mean_out FROM ({_U}) GROUP BY task HAVING sum(calls - unmeasured) >= 4"
+_C = f"SELECT CASE WHEN run_id % 3 = 0 THEN 'local' ELSE 'paid' END AS provider, 'm' || (run_id % 4) AS model, action AS task, {_K} AS tokens_in, {_K} % 7 AS tokens_out, {_K} % 5 - 1 AS pages, CASE WHEN {_K} % 3 = 0 THEN {_K} END AS audio_seconds, value >= 1 AS measured FROM ({_E})"
+_U = f"SELECT provider, model, task, count(*)::BIGINT AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, coalesce(sum(pages) FILTER (pages > 0), 0)::BIGINT AS pages, coalesce(sum(audio_seconds) FILTER (audio_seconds > 0), 0)::BIGINT AS audio_seconds, sum((NOT measured)::INT)::BIGINT AS unmeasured FROM ({_C}) GROUP BY ALL"
+_CAL = f"SELECT task, sum(calls - unmeasured)::BIGINT AS measured, sum(tokens_in) / sum(calls - unmeasured) AS mean_in, sum(tokens_out) / sum(calls - unmeasured) AS mean_out, sum(pages) / sum(calls - unmeasured) AS mean_pages FROM ({_U}) GROUP BY task HAVING sum(calls - unmeasured) >= 4"
 _sql = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v)
 _P = "SELECT * REPLACE (in_per_mtok::DOUBLE AS in_per_mtok, out_per_mtok::DOUBLE AS out_per_mtok) FROM (VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in PRICES) + ") AS t(provider, model, in_per_mtok, out_per_mtok, free, kind, absent_since, updated, source)"
 _R = f"""SELECT w.provider, w.model, min_by(p.in_per_mtok, p.o) FILTER (p.o IS NOT NULL) AS in_per_mtok, arg_min_null(p.out_per_mtok, p.o) AS out_per_mtok, arg_min_null(p.free, p.o) AS free, min(p.o)::INT AS priority
@@ -270,11 +278,11 @@ ORACLES = {
     "flow_validate": f"WITH s AS (SELECT lag(action) OVER (PARTITION BY run_id ORDER BY seq) AS from_state, action AS to_state FROM ({_E})) SELECT from_state, to_state, (from_state || '>' || to_state) IN ({', '.join(repr(a + '>' + b) for a, b in LEGAL)}) AS is_legal, count(*)::BIGINT AS n FROM s WHERE from_state IS NOT NULL GROUP BY ALL",
     "usage_by_task": _U,
     "usage_totals": f"SELECT sum(calls)::BIGINT AS calls, sum(calls) FILTER (provider = 'paid')::BIGINT AS billed_calls, sum(calls) FILTER (provider != 'paid')::BIGINT AS local_calls, sum(tokens_in) FILTER (provider = 'paid')::BIGINT AS billed_in, sum(tokens_out) FILTER (provider = 'paid')::BIGINT AS billed_out FROM ({_U})",
-    "calibration_profiles": f"SELECT task, measured, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out FROM ({_CAL})",
+    "calibration_profiles": f"SELECT task, measured, round(mean_in, 6) AS mean_in, round(mean_out, 6) AS mean_out, round(mean_pages, 6) AS mean_pages FROM ({_CAL})",
     "price_resolution": _R,
     "run_cost": f"SELECT u.provider, u.model, task, round(CASE WHEN coalesce(free, false) THEN 0.0 WHEN in_per_mtok IS NULL AND out_per_mtok IS NULL THEN NULL ELSE coalesce(tokens_in / 1e6 * in_per_mtok, 0) + coalesce(tokens_out / 1e6 * out_per_mtok, 0) END, 9)::DOUBLE AS cost FROM ({_U}) u JOIN ({_R}) r ON u.provider = r.provider AND u.model = r.model",
     "forecast_range": f"WITH c AS (SELECT sum((doc_id % 4 = 0)::INT)::BIGINT AS text, sum((doc_id % 4 = 1)::INT)::BIGINT AS pdf, sum((doc_id % 4 = 2)::INT)::BIGINT AS image, sum((doc_id % 4 = 3)::INT)::BIGINT AS audio FROM documents), r AS (SELECT *, text + pdf + 2 * image + audio AS calls_low, text + 2 * pdf + 3 * image + audio AS calls_high FROM c), m AS (SELECT avg(mean_in) AS i, avg(mean_out) AS o FROM ({_CAL})) SELECT text, pdf, image, audio, calls_low, calls_high, round((floor(calls_low * i) + floor(calls_low * o) * 3.0) / 1e6, 9) AS cost_low, round((floor(calls_high * i) + floor(calls_high * o) * 3.0) / 1e6, 9) AS cost_high FROM r, m",
-    "price_staleness": f"SELECT max(date_diff('day', updated::DATE, DATE '2026-03-01'))::BIGINT AS age_days, min(updated)::VARCHAR AS as_of, max(date_diff('day', updated::DATE, DATE '2026-03-01')) > 180 AS is_stale, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ({_P})",
+    "price_staleness": "WITH p AS (SELECT CASE WHEN o_orderkey % 5 != 0 THEN o_orderdate::DATE END AS updated, CASE WHEN o_orderkey % 7 != 0 THEN o_orderpriority END AS source FROM orders) SELECT max(date_diff('day', updated, DATE '1998-12-01'))::BIGINT AS age_days, min(updated)::VARCHAR AS as_of, max(date_diff('day', updated, DATE '1998-12-01')) > 180 AS is_stale, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM p",
     "dispatch_types": "SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'archive' WHEN 4 THEN 'image' WHEN 6 THEN 'audio' WHEN 7 THEN 'text' WHEN 8 THEN 'text' ELSE 'unknown' END AS media_type, CASE p_partkey % 9 WHEN 3 THEN 'unknown_extension' WHEN 5 THEN 'no_extension' ELSE 'known' END AS reason FROM part",
     "ext_top6": "SELECT CASE p_partkey % 9 WHEN 0 THEN 'txt' WHEN 1 THEN 'pdf' WHEN 2 THEN 'gz' WHEN 3 THEN 'weird' WHEN 4 THEN 'jpg' WHEN 5 THEN 'none' WHEN 6 THEN 'mp3' WHEN 7 THEN 'docx' ELSE 'txt' END AS ext, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, ext LIMIT 6",
     "stems": f"""WITH t AS (SELECT doc_id, {_slug("split_part(text, chr(10), 1)")} AS slug, {_slug("'2024-05-06 ' || split_part(text, chr(10), 1)")} AS l, {_slug('text')} AS s FROM documents)
@@ -295,7 +303,7 @@ ORACLES = {
     "distinct_frames": """WITH e AS (SELECT vec_id // 64 AS film, vec_id, list_transform(embedding[1:64], lambda x: x::DOUBLE) AS c FROM embeddings), m AS (SELECT *, list_sum(c) / len(c) AS mean FROM e),
     h AS (SELECT film, vec_id, array_to_string(list_transform(c, lambda x: CASE WHEN x > mean THEN '1' ELSE '0' END), '') AS bits FROM m), g AS (SELECT film, list([bits] ORDER BY vec_id) AS w FROM h GROUP BY 1)
     SELECT film, len(w)::BIGINT AS n_frames, len(list_reduce(w, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: hamming(y, x[1]) < 24)) = 0 THEN list_concat(acc, x) ELSE acc END))::BIGINT AS n_kept FROM g""",
-    "layout_conflicts": "WITH r(name, path) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ROOTS) + ") SELECT x.name AS name_a, y.name AS name_b, CASE WHEN x.path = y.path THEN 'equal' ELSE 'contained' END AS kind FROM r x JOIN r y ON x.name < y.name AND (x.path = y.path OR starts_with(x.path, y.path || '/') OR starts_with(y.path, x.path || '/'))",
+    "layout_conflicts": "WITH r AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ROOTS.items()) + " FROM documents), u AS (SELECT name, rtrim(trim(path), '/') AS path, string_split(rtrim(trim(path), '/'), '/') AS q FROM r WHERE path IS NOT NULL), a AS (SELECT name AS x, path AS own, unnest(list_transform(range(1, len(q) + 1), lambda k: array_to_string(q[1:k], '/'))) AS path FROM u) SELECT least(x, name) AS name_a, greatest(x, name) AS name_b, CASE WHEN own = a.path THEN 'equal' ELSE 'contained' END AS kind FROM a JOIN u ON a.path = u.path WHERE x != name AND (own != a.path OR x < name)",
     "media_tag_diff": "WITH f AS (SELECT p_brand, arg_min(p_type, p_partkey) AS t, arg_min(p_size, p_partkey) AS c, arg_min(p_name, p_partkey) AS m FROM part GROUP BY 1) SELECT p.p_brand, sum((p_type != t)::INT)::BIGINT AS n_p_type, sum((p_size != c)::INT)::BIGINT AS n_p_size, sum((p_name != m)::INT)::BIGINT AS n_p_name FROM part p JOIN f ON p.p_brand = f.p_brand GROUP BY 1",
     "weekly_activity": f"SELECT strftime(to_timestamp(floor(epoch(event_time) / 604800) * 604800) AT TIME ZONE 'UTC', '%Y-%m-%d') AS week, action, count(*)::BIGINT AS n FROM ({_E}) GROUP BY 1, 2",
     "chunks_of_80": "WITH r AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 80 AS chunk FROM documents) SELECT source, chunk::BIGINT AS chunk, count(*)::BIGINT AS n FROM r GROUP BY 1, 2",

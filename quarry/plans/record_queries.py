@@ -131,8 +131,15 @@ def zones(spark, d):
     return x
 
 
+_LABEL = "CASE doc_id % 17 WHEN 16 THEN NULL WHEN 15 THEN 'Nowhere' ELSE {0} END"
+_BASE_LIST = [*sorted(P.BASE_FOLDERS)]
+
+
 def classifiable_folders(spark, d):
-    return P.classifiable(spark)
+    """Documents by the base folder that a label names, of the folders that a document may be filed in."""
+    names = ", ".join(f"'{b}'" for b in _BASE_LIST)
+    made = _made(spark, d, {"base": _LABEL.format(f"element_at(array({names}), CAST(n_chars % {len(_BASE_LIST)} AS INT) + 1)")})
+    return made.join(P.classifiable(spark), "base").groupBy("base").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- rows and fiches -------------------------------------------------------
@@ -278,7 +285,8 @@ def configured_providers(spark, d):
 
 
 def price_sources(spark, d):
-    rows = spark.createDataFrame([(0, False, "a", 1.0), (1, True, "b", 2.0), (1, True, "c", 3.0), (2, True, "d", 4.0)], "priority int, usable boolean, model string, price double")
+    """Price rows of four tables, of which the first can't be used: those of the first that can."""
+    rows = _made(spark, d, {"priority": "doc_id % 4", "usable": "doc_id % 4 > 0", "model": "source || '-' || doc_id", "price": "CAST(CASE WHEN doc_id % 3 > 0 THEN n_chars END AS DOUBLE)"})
     return R.price_tables(rows).select(F.col("priority").cast("long").alias("priority"), "model", "price")
 
 
@@ -288,12 +296,14 @@ def model_families(spark, d):
 
 
 def can_price(spark, d):
-    prices = spark.createDataFrame([("paid", 1.0, None, None), ("dry", None, None, None), ("home", None, None, True)], "provider string, in_per_mtok double, out_per_mtok double, free boolean")
-    wanted = lambda *names: spark.createDataFrame([(n,) for n in names], "provider string")
-    cases = {"ok": wanted("paid", "home"), "dry": wanted("paid", "dry"), "none": wanted("home")}
+    """Whether the sellers that documents of a language name have each a price, which some sources lack."""
+    priced = {"provider": "source", "in_per_mtok": "CASE WHEN n_chars % 5 = 0 THEN CAST(n_chars AS DOUBLE) END", "out_per_mtok": "CASE WHEN n_chars % 7 = 0 THEN 0.5D END", "free": "CASE WHEN n_chars % 11 = 0 THEN true END"}
+    prices = _made(spark, d, priced).filter("provider not in ('src1', 'src2')").unionByName(_made(spark, d, priced | {"in_per_mtok": "CAST(NULL AS DOUBLE)", "out_per_mtok": "CAST(NULL AS DOUBLE)", "free": "CAST(NULL AS BOOLEAN)"}))
+    cases = {"all": "true", "some": "source in ('src3', 'src4')", "dry": "source in ('src2', 'src3')", "local": "source = 'src1'"}
     out = None
-    for name, w in cases.items():
-        one = R.can_price(prices, w, ("home",)).withColumn("case", F.lit(name))
+    for name, which in cases.items():
+        wanted = _made(spark, d, {"provider": "source"}).filter(which.replace("source", "provider"))
+        one = R.can_price(prices, wanted, ("src1",)).withColumn("case", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -466,7 +476,7 @@ ORACLES = {
     "mirror_plan": f"SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'copy' WHEN doc_id % 4 = 0 THEN 'replace' ELSE 'keep' END AS action FROM {_F}",
     "trash_expired": f"SELECT count(*)::BIGINT AS n, min(mtime) AS oldest FROM {_F} WHERE mtime < epoch(TIMESTAMP '{NOW}') - 30 * 86400",
     "zones": f"SELECT doc_id, path LIKE 'Personal/Archive/%' OR path LIKE 'Work/Archive/%' AS in_archive, path LIKE 'Media/%' AS in_media, path LIKE '.%' OR path LIKE '%/.%' AS is_hidden, lower(path) LIKE '%.jpg' AS vision FROM {_F}",
-    "classifiable_folders": f"WITH {_FREE} SELECT base FROM b",
+    "classifiable_folders": f"WITH {_FREE}, m AS (SELECT " + _LABEL.format("[" + ", ".join(f"'{b}'" for b in _BASE_LIST) + f"][(n_chars % {len(_BASE_LIST)})::INT + 1]") + " AS base FROM documents) SELECT base, count(*)::BIGINT AS n FROM m WHERE base IN (SELECT base FROM b) GROUP BY base",
     "list_documents": f"SELECT * EXCLUDE (pending_decision, last_verified_utc) FROM {_R} ORDER BY updated_at_utc DESC, doc_id",
     "pending_decisions": f"SELECT doc_id, updated_at_utc, 'r' || (doc_id % 2) AS reason, CASE WHEN doc_id % 3 != 0 THEN n END AS n, CASE WHEN doc_id % 3 != 0 THEN CASE n WHEN 0 THEN 'A/' || lang ELSE 'B' END END AS option FROM {_sql(ROWS | {'lang': 'lang'})}, (VALUES (0::BIGINT), (1)) v(n) WHERE status = 'DECISION_PENDING' AND (n = 0 OR doc_id % 3 != 0)",
     "confirmed_timestamps": f"SELECT doc_id, coalesce(last_verified_utc, updated_at_utc) AS confirmed_utc FROM {_R} WHERE status = 'LIBRARY_STORED'",
@@ -494,9 +504,11 @@ ORACLES = {
     "media_tags": "SELECT doc_id, 'Title=' || CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id ELSE source END || '|Artist=' || lang AS tags FROM documents",
     "provider_chains": "SELECT doc_id, n, CASE WHEN doc_id % 4 = 3 THEN lang WHEN n = 0 THEN 'paid' ELSE 'home' END AS provider, CASE WHEN doc_id % 4 = 3 THEN source WHEN n = 0 THEN 'm1:x' ELSE 'm' || (doc_id % 3) END AS model FROM documents, (VALUES (0::BIGINT), (1)) v(n) WHERE doc_id % 4 = 0 OR (doc_id % 4 = 3 AND n = 0)",
     "configured_providers": "SELECT DISTINCT CASE WHEN doc_id % 4 = 3 THEN lang WHEN n = 0 THEN 'paid' ELSE 'home' END AS provider FROM documents, (VALUES (0), (1)) v(n) WHERE doc_id % 4 = 0 OR (doc_id % 4 = 3 AND n = 0)",
-    "price_sources": "SELECT * FROM (VALUES (1::BIGINT, 'b', 2.0::DOUBLE), (1, 'c', 3.0)) t(priority, model, price)",
+    "price_sources": "SELECT 1::BIGINT AS priority, source || '-' || doc_id AS model, CASE WHEN doc_id % 3 > 0 THEN n_chars END::DOUBLE AS price FROM documents WHERE doc_id % 4 = 1",
     "model_families": "SELECT DISTINCT CASE doc_id % 3 WHEN 0 THEN 'paid' ELSE lang END AS provider, CASE doc_id % 3 WHEN 0 THEN 'm' || (doc_id % 7) ELSE 'x:y' END AS model, 'Fam ' || source AS family FROM documents WHERE doc_id % 3 != 1 AND doc_id % 5 != 0",
-    "can_price": "SELECT * FROM (VALUES ('ok', true), ('dry', false), ('none', true)) t(\"case\", can_price)",
+    "can_price": """WITH h AS (SELECT DISTINCT source FROM documents WHERE source NOT IN ('src1', 'src2') AND (n_chars % 5 = 0 OR n_chars % 7 = 0 OR n_chars % 11 = 0)), w AS (SELECT DISTINCT c, source FROM documents, (VALUES ('all'), ('some'), ('dry'), ('local')) v(c)
+    WHERE (c = 'all' OR c = 'some' AND source IN ('src3', 'src4') OR c = 'dry' AND source IN ('src2', 'src3') OR c = 'local' AND source = 'src1') AND source != 'src1')
+    SELECT v.c AS "case", CASE WHEN count(w.source) = 0 THEN (SELECT count(*) FROM h) > 0 ELSE count(*) FILTER (w.source IS NOT NULL AND w.source NOT IN (SELECT source FROM h)) = 0 END AS can_price FROM (VALUES ('all'), ('some'), ('dry'), ('local')) v(c) LEFT JOIN w ON w.c = v.c GROUP BY v.c""",
     "reminders": "WITH x AS (SELECT o_orderkey, epoch(TIMESTAMP '1996-06-15 12:00:00') - epoch(CASE WHEN o_orderkey % 7 != 0 THEN o_orderdate::TIMESTAMP END) AS s FROM orders) SELECT o_orderkey, coalesce(s >= 7 * 86400, true) AS refresh_due, coalesce(floor(s / 86400) >= 30, true) AS backup_due FROM x",
     "user_language": "WITH m AS (SELECT lower(trim(lang)) AS l, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY n DESC, l LIMIT 1) SELECT 'fr-be' AS language, 'set' AS \"case\" UNION ALL SELECT l, 'majority' FROM m UNION ALL SELECT 'en', 'none'",
     "document_markers": "SELECT doc_id, lang || CASE doc_id % 3 WHEN 0 THEN '/DOCUMENT: oui/x/' WHEN 1 THEN '/DOCUMENT: maybe/' ELSE '/' END || source AS text, CASE doc_id % 3 WHEN 0 THEN false WHEN 2 THEN true END AS is_document FROM documents",
