@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exprs import day
 from quarry.operators import applied as A
+from quarry.operators import catalog as C
 from quarry.operators import events as E
+from quarry.operators import health as H
 from quarry.operators import records as R
 from quarry.operators.chains import through_chain
 from quarry.operators.moves import repointed
@@ -259,7 +261,50 @@ def series_entities(spark, d):
 _ENTITIES = f"""WITH x AS (SELECT doc_id, route, CASE WHEN series AND route IN ('Home/Bills', 'Work') AND trim(issuer) != '' THEN replace(issuer, ' ', '-') END AS e FROM {_sql(_SERIES)})
 SELECT doc_id, route || CASE WHEN e IS NULL THEN '' WHEN route = 'Home/Bills' AND lower(e) IN (SELECT lower(source) FROM documents) THEN '/' || CASE WHEN e LIKE '%3' THEN upper(e) ELSE upper(e[1]) || lower(e[2:]) END ELSE '/' || e END AS route FROM x"""
 
-QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, batch_summary, series_entities, cost_forecast)}
+# ---- diagnostics -----------------------------------------------------------
+
+_CHAIN_ROWS = {"task": "source", "n": "doc_id", "provider": f"CASE WHEN {_h('p')} < 4 THEN 'home' WHEN {_h('p')} < 9 THEN 'paid' ELSE 'other' END", "model": f"'m' || {_h('m')}", "named": f"source != 'src1' AND {_h('e')} < 2"}
+_PRICE_ROWS = {"provider": "CASE WHEN n_chars % 2 = 0 THEN 'paid' ELSE 'other' END", "model": f"'m' || {_h('m')}", "in_per_mtok": f"CASE WHEN {_h('a')} < 3 THEN 1.5 END", "free": f"CASE WHEN {_h('b')} = 0 THEN true END", "absent_since": f"CASE WHEN {_h('s')} < 12 THEN '2025-0' || (n_chars % 9 + 1) END"}
+
+
+def health(spark, d):
+    """Queue, chains, prices and catalogue: what is wrong with an installation, of tables made of the documents."""
+    docs = table(spark, d, "documents")
+    chain = _made(spark, d, _CHAIN_ROWS).filter("named").drop("named")
+    keys = spark.range(3).selectExpr("element_at(array('paid', 'other', 'third'), CAST(id AS INT) + 1) AS provider", "id = 0 AS is_set")
+    prices = _made(spark, d, _PRICE_ROWS).withColumn("in_per_mtok", F.col("in_per_mtok").cast("double"))
+    left = docs.filter("n_chars % 50 = 7").select(F.concat(F.lit("queue/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"))
+    parts = [H.queue(left), H.queue(left.limit(0)), H.chains(docs.select(F.col("source").alias("task")), chain, keys), H.pricing(chain, prices, ("home",)), H.catalogue(_made(spark, d, _CATALOGUE)), H.catalogue(docs)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def status_lines(spark, d):
+    """The integrity line of orders by priority: each as a catalogue of its own."""
+    o = table(spark, d, "orders").select("o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).cast("timestamp").alias("last_verified"))
+    out = None
+    for which in ("o_orderpriority = '1-URGENT'", "o_orderpriority = '5-LOW' AND last_verified >= '1998-07-25'", "false"):
+        one = H.integrity_line(C.integrity_status(o.filter(which), F.lit("1998-08-03").cast("timestamp")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_HEALTH = f"""WITH c AS (SELECT * FROM {_sql(_CHAIN_ROWS)} WHERE named), q AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS name FROM documents WHERE n_chars % 50 = 7), qn AS (SELECT count(*) AS n, array_to_string(list_sort(list(name))[1:5], ', ') AS s FROM q),
+t AS (SELECT DISTINCT source AS task FROM documents), g AS (SELECT task, string_agg(provider || ':' || model, ',' ORDER BY n) AS a, arg_min(provider, n) AS p, arg_min(model, n) AS m FROM c GROUP BY task),
+r AS (SELECT provider, model, CASE WHEN count(*) FILTER (absent_since IS NULL) = 0 THEN max(absent_since) END AS gone FROM {_sql(_PRICE_ROWS)} WHERE in_per_mtok IS NOT NULL OR free GROUP BY ALL)
+SELECT 'Queue' AS section, 'queue_empty' AS "check", CASE WHEN n > 0 THEN 'FAIL' ELSE 'OK' END AS state, CASE WHEN n > 0 THEN n || ': ' || s || CASE WHEN n > 5 THEN ', and ' || (n - 5) || ' more' ELSE '' END ELSE 'empty' END AS detail FROM qn UNION ALL SELECT 'Queue', 'queue_empty', 'OK', 'empty'
+UNION ALL SELECT 'AI', 'task_' || lower(task), CASE WHEN a IS NULL THEN 'WARN' ELSE 'OK' END, coalesce(a, 'no provider chain') FROM t LEFT JOIN g USING (task)
+UNION ALL SELECT 'AI', 'key_' || k, CASE WHEN k NOT IN (SELECT provider FROM c) THEN 'SKIP' WHEN ok THEN 'OK' ELSE 'FAIL' END, CASE WHEN k NOT IN (SELECT provider FROM c) THEN 'no chain calls it' WHEN ok THEN 'set' ELSE 'unset, but a chain calls it' END FROM (VALUES ('paid', true), ('other', false), ('third', false)) v(k, ok)
+UNION ALL SELECT 'Pricing', 'price_' || lower(task), CASE WHEN p = 'home' THEN 'SKIP' WHEN r.provider IS NULL OR gone IS NOT NULL THEN 'WARN' ELSE 'OK' END, CASE WHEN p = 'home' THEN 'home bills nothing' WHEN r.provider IS NULL THEN p || ':' || m || ' has no price' WHEN gone IS NOT NULL THEN p || ':' || m || ' is listed no more since ' || gone ELSE p || ':' || m END
+    FROM g LEFT JOIN r ON r.provider = g.p AND r.model = g.m
+UNION ALL SELECT 'Catalog', 'catalog_db', 'OK', count(*) || ' documents' FROM documents UNION ALL SELECT 'Catalog', 'catalog_schema', 'OK', 'flow_state is there' UNION ALL SELECT 'Catalog', 'catalog_db', 'OK', count(*) || ' documents' FROM documents UNION ALL SELECT 'Catalog', 'catalog_schema', 'WARN', 'flow_state is not there'"""
+_STATUS = """WITH o AS (SELECT o_orderpriority AS p, CASE WHEN o_orderkey % 7 != 0 THEN o_orderdate END::TIMESTAMP AS v FROM orders), c(k) AS (VALUES (1), (2), (3)), x AS (SELECT k, CASE WHEN p IS NOT NULL THEN floor(epoch(TIMESTAMP '1998-08-03' - v) / 86400)::BIGINT END AS age, p IS NOT NULL AS there FROM c LEFT JOIN o ON k = 1 AND p = '1-URGENT' OR k = 2 AND p = '5-LOW' AND v >= TIMESTAMP '1998-07-25'),
+s AS (SELECT k, count_if(there) AS n, count_if(there AND coalesce(age >= 30, true)) AS late, max(age) AS old FROM x GROUP BY k)
+SELECT CASE WHEN n = 0 THEN 'no documents filed yet' WHEN late = 0 THEN 'all ' || n || ' document(s) verified within 30 days' || coalesce(', oldest ' || old || ' day(s) ago', '') ELSE n || ' document(s)' || coalesce(', oldest ' || old || ' day(s) ago', '') || '; ' || late || ' overdue' END AS line FROM s"""
+
+QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, batch_summary, series_entities, health, status_lines, cost_forecast)}
 ORACLES = {
     "moves_applied": _MOVED,
     "unique_names": _NAMED,
@@ -271,5 +316,7 @@ ORACLES = {
     "snapshot_reread": _REREAD,
     "batch_summary": _SUMMED,
     "series_entities": _ENTITIES,
+    "health": _HEALTH,
+    "status_lines": _STATUS,
     "cost_forecast": _FORECAST,
 }
