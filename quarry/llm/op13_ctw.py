@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import Stage, table
-from .vectext import slices, text_column, tidy
+from .vectext import release, slices, text_column, tidy
 
 DEPTH, SPLIT = 5, 3  # bytes of a context; of them those that a group shares
 BLOCK = 32 << 20  # bytes of text; a longer text is a block
 SLICE = 1 << 20  # bytes of text whose contexts are looked up together
-WORDS = 8 << 20  # and whose words are
-CHUNK = 1 << 20  # rows of the counts that are worked out together, whole groups at least
+WORDS = 2 << 20  # and whose words are
+PENDING = 2 << 20  # distinct contexts of slices that wait to be merged
+CHUNK = 1 << 18  # rows of the counts that are worked out together, whole groups at least
 EDGE = 255  # no byte of UTF-8; fills the context at the start, and ends a text
 FOUND = "block bigint, gram bigint, token string, n bigint"
 
@@ -113,6 +114,7 @@ class _Questions:
     def __init__(self):
         self.keys, self.n = [], []
         self.names, self.c = [], []
+        self.waiting = 0
 
     def add(self, data, offsets, a, b, learn: np.ndarray) -> None:
         key, row = grams(data, offsets, a, b)
@@ -123,15 +125,23 @@ class _Questions:
         word, row = tokens(data, offsets, a, b)
         self.names.append(word.dictionary)
         self.c.append(np.bincount(word.indices.to_numpy(), learn[row], len(word.dictionary)).astype(np.int64))
+        self.waiting += len(at)
+        if self.waiting > PENDING:
+            self.merge()
 
-    def told(self, block: int):
-        key = np.concatenate(self.keys)
+    def merge(self) -> None:
+        key, n = np.concatenate(self.keys), np.concatenate(self.n)
         order = np.argsort(key, kind="stable")
-        key, n = key[order], np.concatenate(self.n)[order]
+        key = key[order]
         at = _runs(key)
+        self.keys, self.n = [key[at]], [np.add.reduceat(n[order], at)]
         names = pa.concat_arrays(self.names).dictionary_encode()
         c = np.bincount(names.indices.to_numpy(), np.concatenate(self.c), len(names.dictionary)).astype(np.int64)
-        for name, values, counts in (("gram", pa.array(key[at].astype(np.int64)), np.add.reduceat(n, at)), ("token", names.dictionary.cast(pa.string()), c)):
+        self.names, self.c, self.waiting = [names.dictionary], [c], 0
+
+    def told(self, block: int):
+        self.merge()
+        for name, values, counts in (("gram", pa.array(self.keys[0].astype(np.int64)), self.n[0]), ("token", self.names[0].cast(pa.string()), self.c[0])):
             for i in range(0, len(values), 1 << 16):
                 part = values[i : i + (1 << 16)]
                 none = {"gram": pa.nulls(len(part), pa.int64()), "token": pa.nulls(len(part), pa.string())}
@@ -307,14 +317,14 @@ def _score(n_all: int, n_kinds: int):
     floor = np.log10(n_all + n_kinds + 1)
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        is_gram = pc.is_valid(told.column("gram"))
-        one = told.filter(is_gram)
-        key, value = one.column("gram").to_numpy().astype(np.uint64), one.column("value").to_numpy()
+        one = told.select(["gram", "value"]).filter(pc.is_valid(told.column("gram")))
+        key = one.column("gram").to_numpy().astype(np.uint64)
         order = np.argsort(key)
-        key, value = key[order], value[order]
-        rest = told.filter(pc.invert(is_gram))
-        words = rest.column("token").combine_chunks().cast(pa.binary())
-        count = rest.column("n").to_numpy()
+        key, value = key[order], one.column("value").to_numpy()[order]
+        one = told.select(["token", "n"]).filter(pc.is_valid(told.column("token")))
+        words = one.column("token").combine_chunks().cast(pa.binary())
+        count = one.column("n").to_numpy()
+        del told, one, order
         out = []
         for batch in docs.to_batches():
             data, offsets = text_column(batch.column("text"))
@@ -336,6 +346,8 @@ def _score(n_all: int, n_kinds: int):
                 part = batch.slice(a, b - a)
                 columns = [part.column("doc_id"), part.column("held_out"), *(pa.array(x) for x in (n, known, base, score[a:b], size + 1))]
                 out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]))
+        del docs, key, value, words, count
+        release()
         return pa.Table.from_batches(out)
 
     return run
@@ -373,7 +385,8 @@ def lm_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     told = stage.cut(told, "told", "zstd")
     stage.keep(blocks, told)
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, n_bytes bigint"
-    out = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(*total), schema)
+    out = stage.cut(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(*total), schema), "scores")
+    stage.keep(out)
     bits = (-F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes")).alias("bits_per_byte")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total[0]).cast("long").alias("train_tokens"), "base_score", "score", bits)
 
