@@ -21,7 +21,7 @@ from quarry.operators.moves import repointed
 from quarry.operators.names import unique_names as given_names
 from quarry.operators.staged import shared_dir
 from quarry.sources.contents import extraction
-from quarry.sources.readers import table
+from quarry.sources.readers import append_events, read_events, read_prices, table
 from quarry.sources.snapshots import read_large_snapshot
 
 #: A digit of the text's hash, 0 to 15, in both dialects.
@@ -261,6 +261,44 @@ def series_entities(spark, d):
 _ENTITIES = f"""WITH x AS (SELECT doc_id, route, CASE WHEN series AND route IN ('Home/Bills', 'Work') AND trim(issuer) != '' THEN replace(issuer, ' ', '-') END AS e FROM {_sql(_SERIES)})
 SELECT doc_id, route || CASE WHEN e IS NULL THEN '' WHEN route = 'Home/Bills' AND lower(e) IN (SELECT lower(source) FROM documents) THEN '/' || CASE WHEN e LIKE '%3' THEN upper(e) ELSE upper(e[1]) || lower(e[2:]) END ELSE '/' || e END AS route FROM x"""
 
+# ---- files written and read ------------------------------------------------
+
+_MODELS = {"provider": "source", "model": "'m-' || lang", "low": "n_chars", "cheap": f"{_h('c')}", "named": "lang"}
+
+
+def price_files(spark, d):
+    """Price files of three schemas written from the documents and read again; too high and negative prices are none."""
+    path = f"{shared_dir(spark)}/prices-{uuid.uuid4().hex}"
+    by = _made(spark, d, _MODELS).groupBy("provider", "model").agg(F.max("low").alias("high"), F.min("low").alias("low"), F.max("cheap").alias("c"))
+    spec = F.struct(F.col("high").cast("double").alias("in_per_mtok"), (F.col("low") - 100).cast("double").alias("out_per_mtok"), F.when(F.col("c") > 14, True).alias("free"), F.when(F.col("c") % 2 == 0, "").otherwise("ocr").alias("kind"), F.when(F.col("low") % 3 == 0, F.col("model")).alias("display_name"))
+    models = lambda rows: F.map_from_entries(F.collect_list(rows))
+    sellers = by.groupBy("provider").agg(models(F.struct("model", spec.alias("s"))).alias("models"))
+    seller = F.struct(F.when(F.col("provider") != "src1", F.lit("EUR")).alias("currency"), F.lit("2026-01-01").alias("updated"), F.lit("").alias("source"), "models")
+    two = sellers.agg(models(F.struct("provider", seller.alias("p"))).alias("providers")).select(F.lit(2).alias("schema_version"), "providers")
+    one = by.filter("provider = 'src1'").agg(models(F.struct("model", spec.alias("s"))).alias("models"))
+    for df in (two, one.select(F.lit(1).alias("schema_version"), F.lit("GBP").alias("currency"), "models"), one.select(F.lit(3).alias("schema_version"), "models")):
+        df.write.mode("append").json(path)
+    return read_prices(spark, path).select("provider", "model", "currency", "updated", "source", "display_name", "in_per_mtok", "out_per_mtok", "free", "kind")
+
+
+_PRICE_FILES = f"""WITH b AS (SELECT provider, model, max(low) AS hi, min(low) AS lo, max(cheap) AS c FROM {_sql(_MODELS)} GROUP BY ALL),
+x AS (SELECT provider, model, CASE WHEN provider != 'src1' THEN 'EUR' ELSE 'USD' END AS currency, '2026-01-01' AS updated, hi, lo, c FROM b UNION ALL SELECT '*', model, 'GBP', NULL, hi, lo, c FROM b WHERE provider = 'src1')
+SELECT provider, model, currency, updated, NULL::VARCHAR AS source, model AS display_name, CASE WHEN hi <= 10000 THEN hi::DOUBLE END AS in_per_mtok, CASE WHEN lo - 100 BETWEEN 0 AND 10000 THEN (lo - 100)::DOUBLE END AS out_per_mtok, coalesce(c > 14, false) AS free, CASE WHEN c % 2 != 0 THEN 'ocr' END AS kind FROM x"""
+
+
+def log_reread(spark, d):
+    """Events appended to a log in two steps, with broken, blank and foreign lines between them, and read again."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("event_id"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss").alias("event_time_utc"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("run_id"), F.when(F.col("value") > 1, F.col("props")).alias("message"))
+    append_events(e.filter("event_id % 2 = 0"), path)
+    bad = table(spark, d, "events").select(F.element_at(F.array(F.lit('{"event_id": "x", '), F.lit(""), F.lit("[1, 2]"), F.lit("7"), F.lit("{}"), F.lit('"text"')), (F.col("event_id") % 6 + 1).cast("int")).alias("value"))
+    bad.write.mode("append").text(path)
+    append_events(e.filter("event_id % 2 = 1"), path)
+    return read_events(spark, path).select("event_id", "event_time_utc", "action", "run_id", "message")
+
+
+_LOG = "SELECT event_id::VARCHAR AS event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS event_time_utc, event_type AS action, user_id::VARCHAR AS run_id, CASE WHEN value > 1 THEN props END AS message FROM events"
+
 # ---- diagnostics -----------------------------------------------------------
 
 _CHAIN_ROWS = {"task": "source", "n": "doc_id", "provider": f"CASE WHEN {_h('p')} < 4 THEN 'home' WHEN {_h('p')} < 9 THEN 'paid' ELSE 'other' END", "model": f"'m' || {_h('m')}", "named": f"source != 'src1' AND {_h('e')} < 2"}
@@ -304,7 +342,7 @@ _STATUS = """WITH o AS (SELECT o_orderpriority AS p, CASE WHEN o_orderkey % 7 !=
 s AS (SELECT k, count_if(there) AS n, count_if(there AND coalesce(age >= 30, true)) AS late, max(age) AS old FROM x GROUP BY k)
 SELECT CASE WHEN n = 0 THEN 'no documents filed yet' WHEN late = 0 THEN 'all ' || n || ' document(s) verified within 30 days' || coalesce(', oldest ' || old || ' day(s) ago', '') ELSE n || ' document(s)' || coalesce(', oldest ' || old || ' day(s) ago', '') || '; ' || late || ' overdue' END AS line FROM s"""
 
-QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, batch_summary, series_entities, health, status_lines, cost_forecast)}
+QUERIES = {f.__name__: f for f in (moves_applied, unique_names, analysis_chain, changes_applied, change_counters, document_days, text_extraction, snapshot_reread, batch_summary, series_entities, price_files, log_reread, health, status_lines, cost_forecast)}
 ORACLES = {
     "moves_applied": _MOVED,
     "unique_names": _NAMED,
@@ -316,6 +354,8 @@ ORACLES = {
     "snapshot_reread": _REREAD,
     "batch_summary": _SUMMED,
     "series_entities": _ENTITIES,
+    "price_files": _PRICE_FILES,
+    "log_reread": _LOG,
     "health": _HEALTH,
     "status_lines": _STATUS,
     "cost_forecast": _FORECAST,

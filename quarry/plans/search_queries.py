@@ -233,7 +233,12 @@ b AS (SELECT doc_id, field, s, i, len(list_distinct(list_filter(l[i : i + 9], la
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o, i) AS k FROM b)
 SELECT h.doc_id, h.score, r.field, CASE WHEN i > 1 THEN '… ' ELSE '' END || array_to_string(s[i : i + 9], ' ') || CASE WHEN len(s) > i + 9 THEN ' …' ELSE '' END AS snippet
 FROM hits h LEFT JOIN r ON h.doc_id = r.doc_id AND r.k = 1"""
+_NEAR = f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(coalesce(source, '') || ' ' || coalesce(text, '') || ' ' || coalesce(lang, ''))), '[\\p{{L}}\\p{{N}}]+')) AS t FROM documents),
+g AS (SELECT t, length(t) AS b, len(list_filter(list_transform(range(1, {len(NEAR)}), lambda i: substr('{NEAR}', i, 2)), lambda x: contains(t, x))) AS c FROM v),
+u AS (SELECT *, ({len(NEAR)} + b) // 5 - (({len(NEAR)} + b) // 5 + {len(NEAR)} + b) % 2 AS u FROM g)
+SELECT count_if(u >= abs({len(NEAR)} - b) AND c >= ({len(NEAR)} + b - u) // 2 - u - 1)::BIGINT AS n_scored, count(*)::BIGINT AS n_terms FROM u"""  # no pair of letters comes twice in the word
 ORACLES = {
+    "near_spellings": _NEAR,
     "search_after_changes": f"SELECT 1 AS state, * FROM ({_bm25(_F, _ANY, False, _BEFORE)}) UNION ALL SELECT 2, * FROM ({_bm25(_F, _ANY, False, 'SELECT * FROM documents WHERE doc_id % 13 != 4')})",
     "search_snippets": _SNIPPETS,
     "search_all": _bm25(_F, [["worthless"], ["clown"]], True),

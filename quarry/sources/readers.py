@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quarry.functions.exprs import price
+
 EVENT = "event_id string, event_time_utc string, operation_id string, action string, status string, message string, path_before string, path_after string, run_id string, _corrupt_record string"
 FICHE = "name string, document_date string, series boolean, category_path string, alternatives array<string>, summary string, keywords array<string>, entities map<string,string>, language string, source_folder string, original_filename string, effective_date string, read_via string, provider string, model string, analyzed_at string"
 _MODEL = "struct<in_per_mtok:double,out_per_mtok:double,per_1k_pages:double,per_audio_minute:double,per_audio_second:double,free:boolean,absent_since:string,kind:string,display_name:string>"
@@ -34,12 +36,26 @@ def read_snapshot(spark: SparkSession, path: str, document: str) -> DataFrame:
     return whole.select(F.explode("documents").alias("d")).select("d.*")
 
 
+UNIT_PRICES = ("in_per_mtok", "out_per_mtok", "per_1k_pages", "per_audio_minute", "per_audio_second")
+
+
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """provider, model, currency, updated, source and prices of a price file of schema 1 or 2."""
-    whole = spark.read.schema(PRICES).option("multiLine", True).json(path).filter("schema_version in (1, 2)")
+    """provider, model, currency, updated, checked_utc, source, display_name, prices, free, kind, absent_since of price files of schema 1 or 2.
+
+    A file of another schema has no rows.  One of schema 1 names no sellers, and
+    its models are those of ``*``.  A price that is no usable one is null, whatever
+    stands there; only a plain true is free; empty texts are none; a model goes
+    by its key where it has no name, and prices are in USD where no currency is told.
+    """
+    whole = spark.read.schema(PRICES).option("multiLine", True).json(path).filter("coalesce(schema_version, 1) in (1, 2)")
     any_provider = F.map_from_arrays(F.array(F.lit("*")), F.array(F.struct("currency", "updated", F.lit(None).cast("string").alias("checked_utc"), "source", "models")))
     rows = whole.select(F.explode(F.coalesce("providers", any_provider)).alias("provider", "p"))
-    return rows.select("provider", "p.currency", "p.updated", "p.source", F.explode("p.models").alias("model", "m")).select("provider", "model", "currency", "updated", "source", "m.*")
+    rows = rows.select("provider", "p.*").select("provider", "currency", "updated", "checked_utc", "source", F.explode("models").alias("model", "m")).filter("m is not null")
+    told = lambda c: F.nullif(F.col(c), F.lit(""))
+    return rows.select(
+        "provider", "model", F.coalesce(told("currency"), F.lit("USD")).alias("currency"), told("updated").alias("updated"), told("checked_utc").alias("checked_utc"), told("source").alias("source"),
+        F.coalesce(told("m.display_name"), F.col("model")).alias("display_name"), *[price(F.col(f"m.{u}")).alias(u) for u in UNIT_PRICES], F.coalesce("m.free", F.lit(False)).alias("free"), told("m.kind").alias("kind"), told("m.absent_since").alias("absent_since"),
+    )
 
 
 def parse_fiche(rows: DataFrame, column: str = "content_json") -> DataFrame:
