@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.staged import staged
+from quarry.operators.staged import running_sum, staged
 
 
 def prefixes(path: Column, own: bool = True) -> Column:
@@ -59,12 +59,11 @@ def composed(moves: DataFrame) -> DataFrame:
     rounds, however long a chain of them is.
     """
     numbered = moves.select("ord", F.col("src").alias("prefix"), F.col("dst").alias("target"))
-    ranks = numbered.select("ord").distinct()
-    top = ranks.agg(F.min("ord"), F.max("ord")).first()
-    if top[0] is None:
+    places = running_sum(numbered.select("ord", F.lit(1).cast("long").alias("one")), [], ["ord"], "one", "place").select("ord", (F.col("place") - 1).alias("g"))
+    rules = staged(numbered.join(places, "ord").select("g", "prefix", "target"))
+    last = rules.agg(F.max("g")).first()[0]
+    if last is None:
         return numbered.select("prefix", "target")
-    rules = staged(numbered.select((F.col("ord") - top[0]).cast("long").alias("g"), "prefix", "target"))
-    last = top[1] - top[0]
     while last:
         rules = staged(_composed(rules))
         last //= 2
@@ -75,8 +74,7 @@ def repointed(rows: DataFrame, moves: DataFrame, now: str) -> DataFrame:
     """Catalogue rows after the moves (ord, src, dst), each of one file or of a folder with all below it, in order.
 
     A row that some move meets gets its new path and name, ``now`` as date, and
-    no pending decision.  A null path is met by none.  ``ord`` is a whole number
-    of a small range, one move each.
+    no pending decision.  A null path is met by none.  Each move has an ``ord`` of its own.
     """
     rules = composed(moves)
     hit = _longest(rows.select("doc_id", "current_path").filter("current_path is not null"), ["doc_id", "current_path"], "current_path", rules, "target")
