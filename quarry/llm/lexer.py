@@ -3,15 +3,18 @@
 ``lex`` cuts a text into names, strings, numbers, operators and line ends, in
 one pass.  ``Reader`` walks the tokens and binds names to values: assignments
 with or without a type, chains, comparisons, mapping entries, subscripts, named
-arguments, call pairs, setters, shell flags, YAML blocks; XML elements and
-attributes have patterns of their own.  A value is a string, several joined
-ones, a bare word, or the name of another constant, which is looked up from
-the scope outwards.  Every pass over the tokens is linear in the text.
+arguments, call pairs, setters, shell flags, YAML blocks, here-documents; XML
+elements and attributes have patterns of their own.  A value is a string,
+several joined ones, a bare word, the name of another constant, which is looked
+up from the scope outwards, or names and strings joined.  A quote that would
+close right before a value, as an apostrophe of the words before it does, opens
+none.  Every pass over the tokens is linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 NAME, STRING, OP, LINE, OTHER = "name", "string", "op", "line", "other"
@@ -31,6 +34,8 @@ BARE = re.compile(r"[^\s\"',;#]++")
 IDENTIFIER = re.compile(r"[A-Za-z_]\w*+(?:\.[A-Za-z_]\w*+)*+", re.A)
 PADDING = re.compile(r"={1,2}(?=[^\S\n]*(?:[\n,;)\]}]|\Z))")
 INDENT = re.compile(r"[^\S\n]*")
+HEREDOC = re.compile(r"""(?:\$\([^\S\n]*cat[^\S\n]*)?<<[<~\-]?[^\S\n]*(["']?)([A-Za-z_]\w*+)\1[^\n]*+\n""", re.A)
+MARKER = re.compile(r"^[^\S\n]*+([A-Za-z_]\w*+)[^\S\n]*+[;,)\"]*+[^\S\n]*+$", re.A | re.M)
 # Places of a literal that another value fills in.
 FILLED = re.compile(r"\$\{([^{}]*)\}|\{\{([^{}]*)\}\}|\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)|%([A-Za-z_]\w*)%", re.A)
 ELEMENT = re.compile(r"<([A-Za-z_][\w.\-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1>", re.A)
@@ -65,14 +70,32 @@ class Literal:
     quoted: bool
 
 
+@dataclass(slots=True)
+class Join:
+    """A value of several parts, some of them names."""
+
+    scope: int
+    literals: list[Literal]
+    refs: list[str]
+
+
 @dataclass(slots=True)
 class Binding:
     literals: list[Literal] = field(default_factory=list)
     refs: list[tuple[int, str]] = field(default_factory=list)  # scope and name of constants it takes
+    joins: list[Join] = field(default_factory=list)
+
+
+def closes_too_late(text: str, m: re.Match) -> bool:
+    """Whether what closes a string stands where a value begins: after a name and its operator, before a letter or digit."""
+    body = m[1].rstrip(" \t")
+    if not body.endswith(("=", ":")) or not text[m.end() : m.end() + 1].isalnum():
+        return False
+    return body[:-1].rstrip(" \t")[-1:].isidentifier() or body[:-1].rstrip(" \t")[-1:].isdigit()
 
 
 def lex(text: str) -> list[Token]:
-    """Tokens in order.  A quote that closes nowhere (on its line, or at all for triple ones) is skipped."""
+    """Tokens in order.  A quote that closes nowhere (on its line, or at all for triple ones), or closes too late, is skipped."""
     out: list[Token] = []
     at, n = 0, len(text)
     dead = {q: 0 for q in ("\"", "'", "`", '"""', "'''")}  # up to where a quote is known not to close
@@ -87,6 +110,8 @@ def lex(text: str) -> list[Token]:
             dead[q * 3] = n
         if at >= dead[q] and not (q == "'" and at and text[at - 1].isalnum() and not (out and out[-1].kind == OTHER and out[-1].text == "prefix")):
             m = SHORT[q].match(text, at)
+            if m and closes_too_late(text, m):
+                return at + 1
             if m:
                 out.append(Token(STRING, at, m.end(), m[1], m.start(1)))
                 return m.end()
@@ -136,12 +161,14 @@ class Reader:
         self.where: dict[str, dict[int, None]] = {}  # scopes in which a name is bound, in order
         self.parent = [0]
         self.passed = 0  # tokens before this one belong to a type
+        self.markers: dict[str, list[tuple[int, int]]] | None = None  # lines of one name, which may end a here-document
+        self.here = 0  # up to where here-documents have been read
         self._walk()
         self._markup()
 
     # -- bindings ------------------------------------------------------------
 
-    def bind(self, scope: int, name: str, literals: list[Literal], refs: list[str]) -> None:
+    def bind(self, scope: int, name: str, literals: list[Literal], refs: list[str], joined: bool = False) -> None:
         b = self.bindings.get((scope, name))
         if b is None:
             b = self.bindings[scope, name] = Binding()
@@ -152,6 +179,8 @@ class Reader:
                 self.where.setdefault(last, {})[scope] = None
         b.literals += literals
         b.refs += [(scope, r) for r in refs if r != name]
+        if joined and refs:
+            b.joins.append(Join(scope, literals, refs))
 
     def resolve(self, scope: int, name: str) -> list[tuple[int, str]]:
         """The bindings that a name stands for: of the nearest scope around, else of any, which are one step further."""
@@ -244,7 +273,7 @@ class Reader:
                 for m in FILLED.finditer(body):
                     refs += [g.strip() for g in m.groups() if g]
                 parts.append(FILLED.sub("", body))
-            elif t.kind == NAME and j > i and self._op(j + 1) not in BINDS:
+            elif t.kind == NAME and (j > i or self._names(i)) and self._op(j + 1) not in BINDS:
                 refs.append(t.text)
             else:
                 break
@@ -290,6 +319,29 @@ class Reader:
         lead = len(raw) - len(raw.lstrip())
         return [Literal([(start + lead, start + len(raw))], value, True)] if value else []
 
+    def _names(self, i: int) -> bool:
+        """Whether token i is a name that an operator joins with what follows."""
+        return self._kind(i) == NAME and self._op(i + 1) in JOINS and self._kind(i + 2) in (NAME, STRING) and self._op(i + 3) not in BINDS
+
+    def _heredoc(self, i: int) -> list[Literal] | None:
+        """The lines of the here-document that token i opens, up to its marker; one inside another is a part of it."""
+        m = HEREDOC.match(self.text, self.tokens[i].start)
+        if not m or m.start() < self.here:
+            return None
+        if self.markers is None:
+            self.markers = {}
+            for line in MARKER.finditer(self.text):
+                self.markers.setdefault(line[1], []).append((line.start(), line.end()))
+        ends = self.markers.get(m[2], [])
+        at = bisect_left(ends, (m.end(), 0))
+        if at == len(ends):
+            return None
+        stop, self.here = ends[at]
+        raw = self.text[m.end() : stop].rstrip()
+        value = "".join(x for x in (x.strip() for x in raw.split("\n")) if not (x.startswith("-----") and x.endswith("-----")))
+        lead = len(raw) - len(raw.lstrip())
+        return [Literal([(m.end() + lead, m.end() + len(raw))], value, True)] if value else []
+
     def _value(self, i: int, key: Token, op: str) -> tuple[list[Literal], list[str]]:
         while self._op(i) in ("(", "&", "*") or (self._kind(i) == NAME and self.tokens[i].text in ("new", "await")):
             i += 1
@@ -298,9 +350,11 @@ class Reader:
         if i >= len(self.tokens) or self.tokens[i].kind == LINE:
             return [], []
         t = self.tokens[i]
-        if t.kind == STRING:
+        if t.kind == STRING or self._names(i):
             literals, refs, _ = self._joined(i)
             return literals, refs
+        if (t.text in ("<", "$")) and (lines := self._heredoc(i)) is not None:
+            return lines, []
         if t.kind == OP and t.text in ("|", ">") and op == ":":
             return self._block(i, key), []
         if t.kind == OP and t.text in ("{", "[", ",", ";", ")", "]", "}", "#"):
@@ -329,9 +383,6 @@ class Reader:
                     continue
                 j += 1
             return literals, refs
-        if t.kind == NAME and self._op(i + 1) in ("+",) and self._kind(i + 2) == STRING:
-            literals, refs, _ = self._joined(i + 2)
-            return literals, [t.text, *refs]
         return self._bare(i)
 
     def _walk(self) -> None:
@@ -399,9 +450,9 @@ class Reader:
             if only and only not in TYPES and IDENTIFIER.fullmatch(only):
                 names.append(only)
         literals, refs = self._value(j, t, op)
-        self.bind(scope, target, literals, refs)
-        for name in names:
-            self.bind(scope, name, literals, refs)
+        joined = len(refs) > 1 or (bool(refs) and any(x.quoted for x in literals))
+        for name in (target, *names):
+            self.bind(scope, name, literals, refs, joined)
 
     def _markup(self) -> None:
         if "</" in self.text:

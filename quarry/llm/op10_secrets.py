@@ -6,13 +6,14 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lexer import Reader
+from .lexer import Join, Reader
 from .staging import NO_ID, from_key, table
 from .vectext import tidy
 
@@ -33,9 +34,14 @@ PLACEHOLDERS = {"", "none", "null", "true", "false", "changeme", "change_me", "e
 # Names whose quoted literals may hold blanks.
 PHRASES = {"password", "passwd", "pwd", "passphrase"}
 
+# Last words of names that say something about a secret and hold none.
+ABOUT = {"hint", "label", "prompt", "help", "message", "placeholder", "title", "description", "column", "type", "policy", "header", "prefix"}
+
 # No name without one of these has a weight.
 HINT = re.compile("pass|pwd|secret|api|credential|token|private|auth|bearer|access|key|signing|encryption", re.I)
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+# Lower-case words in a row, as of a slug, are no secret except under a phrase's name.
+PLAIN = re.compile(r"[a-z]+(?:[-_./][a-z]+){2,}+")
 MIN_SCORE, MIN_LITERAL = 4.0, 8
 MAX_LITERAL_WEIGHT = 3.0
 
@@ -43,18 +49,85 @@ MAX_LITERAL_WEIGHT = 3.0
 def name_weight(name: str) -> float:
     """How sensitive a target is by the words of its name, written in any case style."""
     words = [w.lower() for w in NAME_WORDS.findall(name)]
+    if words and words[-1] in ABOUT:
+        return 0
     joined = [a + b for a, b in zip(words, words[1:])]  # api_key, pass_word
     return max((SENSITIVE.get(w, 0) for w in words + joined), default=0) + 0.5 * (sum(w in SENSITIVE for w in words) > 1)
 
 
-def literal_weight(text: str, blanks: bool = False) -> float:
+@dataclass(slots=True)
+class Shape:
+    """What the weight of a literal depends on; shapes of parts add up to that of the whole, whose words may be phrases."""
+
+    size: int = 0
+    counts: Counter = field(default_factory=Counter)
+    stops: bool = False  # it stands for a secret, or is plain words
+
+    def __iadd__(self, other: Shape) -> Shape:
+        self.stops = other.stops and (self.stops or not self.size)
+        self.size += other.size
+        self.counts.update(other.counts)
+        return self
+
+
+def shape(text: str) -> Shape:
+    return Shape(len(text), Counter(text), text.lower() in PLACEHOLDERS if len(text) < 20 else bool(PLAIN.fullmatch(text)))
+
+
+def shape_weight(x: Shape, blanks: bool = False) -> float:
     """How much a literal looks like a secret: its length, mix and entropy."""
-    if len(text) < MIN_LITERAL or text.lower() in PLACEHOLDERS or len(set(text)) < 4 or (not blanks and any(c.isspace() for c in text)):
+    if x.size < MIN_LITERAL or len(x.counts) < 4 or (x.stops and not blanks) or (not blanks and any(c.isspace() for c in x.counts)):
+        return -10.0
+    entropy = -sum(c / x.size * math.log2(c / x.size) for c in x.counts.values())
+    present = "".join(x.counts)
+    kinds = sum(bool(re.search(p, present)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return (entropy >= 2.8) + (x.size >= 16) + 0.5 * (kinds >= 2) + 0.5 * (kinds >= 3)
+
+
+def literal_weight(text: str, blanks: bool = False) -> float:
+    if text.lower() in PLACEHOLDERS:
         return -10.0
-    n = len(text)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
-    kinds = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return (entropy >= 2.8) + (n >= 16) + 0.5 * (kinds >= 2) + 0.5 * (kinds >= 3)
+    return shape_weight(shape(text), blanks)
+
+
+def wholes(read: Reader, keys: list[tuple[int, str]]) -> dict[tuple[int, str], Shape]:
+    """Shapes of the values of constants and of all they are made of: the first join, else the first literal, else the first constant.
+
+    A constant that is made of itself adds nothing where it comes again.
+    """
+    done: dict[tuple[int, str], Shape] = {}
+    begun: set[tuple[int, str]] = set()
+    todo = list(keys)
+    while todo:
+        key = todo[-1]
+        if key in done:
+            todo.pop()
+            continue
+        b = read.bindings.get(key)
+        if b and b.joins:
+            own, below = b.joins[0].literals, parts(read, b.joins[0])
+        else:
+            own = [x for x in b.literals if x.quoted or x.value not in read.where][:1] if b else []
+            below = [] if own else read.beyond(key)[:1]
+        if key not in begun:
+            begun.add(key)
+            rest = [x for x in below if x not in begun]
+            if rest:
+                todo += rest
+                continue
+        total = Shape()
+        for literal in own:
+            total += shape(literal.value)
+        for x in below:
+            total += done.get(x, Shape())
+        done[key] = total
+        todo.pop()
+    return done
+
+
+def parts(read: Reader, join: Join) -> list[tuple[int, str]]:
+    """The constants that a join takes, one for each of its names that is bound."""
+    return [x for name in join.refs for x in read.resolve(join.scope, name)[:1]]
 
 
 def phrase_name(name: str) -> bool:
@@ -68,7 +141,7 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
     Name-literal pairs come from ``lexer.Reader``.  A value that names a
     constant passes its target's name on to the literals of that constant, in
     the nearest scope around it, through any number of steps.  The parts of a
-    joined literal are judged as one and reported each.
+    joined literal are judged as one and reported each, names among them too.
     """
     if not HINT.search(text):
         return []
@@ -100,6 +173,30 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
             if score >= MIN_SCORE:
                 for span in literal.spans:
                     found[span] = max(score, found.get(span, score))
+    joins = [(key, join) for key in weights if key in read.bindings for join in read.bindings[key].joins]
+    whole = wholes(read, [x for _, join in joins for x in parts(read, join)]) if joins else {}
+    judged = []
+    for key, join in joins:
+        total = Shape()
+        for literal in join.literals:
+            total += shape(literal.value)
+        for x in parts(read, join):
+            total += whole[x]
+        score = weights[key] + shape_weight(total, key in phrases)
+        if score >= MIN_SCORE:
+            judged.append((score, join))
+    told: set[tuple[int, str]] = set()
+    for score, join in sorted(judged, key=lambda x: -x[0]):
+        literals, todo = list(join.literals), parts(read, join)
+        while todo:
+            key = todo.pop()
+            if key not in told:
+                told.add(key)
+                todo += read.beyond(key)
+                literals += read.bindings[key].literals if key in read.bindings else ()
+        for literal in literals:
+            for span in literal.spans if literal.quoted else ():
+                found[span] = max(score, found.get(span, score))
     return [(a, b, s) for (a, b), s in found.items()]
 
 
@@ -150,7 +247,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     ``redacted`` is the text with its spans replaced, null where there is none.
     One row per input row; a null or empty text has no span; repeated rows are
     scanned each; other columns are ignored; an empty table gives an empty
-    result.  No shuffle and no state: a task holds a few hundred texts.
+    result.  No shuffle and no state: a task holds a few hundred texts.  A very
+    long text is scanned whole, in time linear in its length.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), "text")
     schema = "k bigint, spans array<struct<kind:string,start:bigint,end:bigint,score:double>>, redacted string"

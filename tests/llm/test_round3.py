@@ -357,3 +357,51 @@ def test_secrets_in_repeated_scopes():
     found = lexed(text)
     assert time.time() - began < 20 and len(found) == 8000
     assert len(lexed('k = "aB3xK9pQ7zLm2Ty5"\n{k = "zz9xK9pQ7zLm2Ty5"\npwd = k}\n')) == 1  # the nearest scope
+
+
+KEY = "aB3xK9pQ7zLm2Ty5"
+HEREDOCS = [
+    "DB_PWD=$(cat <<EOF\n{}\nEOF\n)", 'DB_PWD="$(cat <<\'EOF\'\n{}\nEOF\n)"', "db_pwd = <<~TEXT\n   {}\n  TEXT\n", "$pwd = <<<EOT\n{}\nEOT;\n", "pwd = <<-EOT\n  {}\n  EOT\nx = 1",
+]
+QUOTES = ["the dogs ' bone and db_pwd = '{}'", "dogs ' x pwd = '{}' cats ' y", "db = 'x' the dogs ' bone db_pwd: '{}'", '6" pipe, pwd = "{}"', "the cooks' pots, pwd='{}'"]
+ABOUT_SECRETS = [
+    'password_hint = "the-name-of-your-dog"', 'private = "see-the-docs-for-details"', 'token_type = "Bearer9x8y7z6w5v"', "pwd = A + B", 'A = "Hello, "\nB = "world of words"\nauth_token = A + B',
+    "the cooks' pots = 'aB3xK9pQ7zLm2Ty5'", "text = <<EOT\n" + "aB3xK9pQ7zLm2Ty5\nEOT\n", 'A = B + A\nB = A + "x"\npwd = A + B', 'A = "aB3xK9pQ"\nB = "7zLm2Ty5"\ncolour = A + B',
+]
+
+
+def test_secrets_behind_odd_quotes_and_in_heredocs():
+    from quarry.llm.op10_secrets import lexed, redact, scan
+
+    for form in HEREDOCS + QUOTES:
+        text = form.format(KEY)
+        assert [text[a:b] for a, b, _ in lexed(text)] == [KEY], text
+        assert KEY not in redact(text, scan(text))
+    assert [t for t in ABOUT_SECRETS if lexed(t)] == []
+
+
+def test_secrets_joined_from_names():
+    from quarry.llm.op10_secrets import lexed
+
+    def found(text):
+        return {text[a:b] for a, b, _ in lexed(text)}
+
+    assert found('A = "aB3xK9pQ"\nB = "7zLm2Ty5"\npwd = A + B') == {"aB3xK9pQ", "7zLm2Ty5"}
+    assert found('$a = "aB3x";\n$b = "K9pQ7z";\n$db_pwd = $a . $b;') == {"aB3x", "K9pQ7z"}
+    assert found('a = "aB3x"\nb = a + "K9pQ7z"\nother = "keep this"\npwd = b + "Lm2T"') == {"aB3x", "K9pQ7z", "Lm2T"}
+    assert found('a = "aB3x"\nb = a\nc = b\npwd = c + c + c') == {"aB3x"}
+
+
+def test_joins_quotes_and_heredocs_in_linear_time():
+    import time
+
+    from quarry.llm.op10_secrets import lexed
+
+    texts = [
+        'A = "' + KEY * 1000 + '"\n' + "pwd = A + A\n" * 50_000, 'c0 = "aB3x"\n' + "".join(f"c{i + 1} = c{i} + c{i}\n" for i in range(3000)) + "pwd = c3000 + c1",
+        "x ' y = 'z \"" * 80_000, "pwd = <<E\n" * 100_000, "pwd = <<E\n" * 100_000 + "E\n", "pwd = " + "a + " * 250_000 + "b",
+    ]
+    for text in texts:
+        start = time.time()
+        lexed(text)
+        assert time.time() - start < 20
