@@ -22,6 +22,10 @@ SAME, OF = 4, 5  # so many of so many positions of an overlap must agree
 CELL = 64  # words of a document that share a row of hits, at least
 FILTER_BITS = (1 << 16, 1 << 28)  # least and greatest size of the seed filter: 32 MB at most
 FILTER_PROBES = 3
+HOT = 16  # places of items from which a seed is joined by the words around it
+REACH = 9  # words on either side that are looked at then
+LONE = (-3, SPAN + 2)  # where the only agreement around a seed can lie: at the end of an overlap of 13 words
+AROUND = (*range(-REACH, 0), *range(SPAN, SPAN + REACH))  # places of these words, from a seed's first one on
 BROADCAST_SEEDS = 1 << 20  # benchmark seeds, or items, that are broadcast at most
 BROADCAST_WORDS = 1 << 22  # and words of broadcast items
 BROADCAST_DOCS = 100_000
@@ -85,11 +89,77 @@ def _item_batches(lengths: list[int]):
                     at = at[fits]
                     if len(at):
                         r = row[at]
-                        yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(item[a + r]), pa.array(ik[a + r]), pa.array((at - w.rows[r]).astype(np.int32))], ["seed", "item", "ik", "at"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(h[at].view(np.int64)), pa.array(item[a + r]), pa.array(ik[a + r]), pa.array((at - w.rows[r]).astype(np.int32)), pa.array(np.full(len(at), n == 0))],
+                            ["seed", "item", "ik", "at", "long"],
+                        )
 
     return run
 
 
+def _around(word: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, seed: np.ndarray):
+    """(bit of a place, rows, keys): a seed's hash with the word at each place around it, where its text has one."""
+    for bit, d in enumerate(AROUND):
+        x = at + d
+        has = np.flatnonzero((x >= lo) & (x < hi))
+        yield bit, has, mix(mix(seed[has].view(U64) + U64(bit + 1)) ^ word[x[has]]).view(np.int64)
+
+
+def _item_around_batches(batches):
+    """Hot seeds of items with the words around them."""
+    for batch in batches:
+        data, offsets = text_column(batch.column("text"))
+        yield from _around_rows(batch, data, offsets, batch.column("places"), np.zeros(batch.num_rows, np.int64), ["item", "ik"])
+
+
+def _hit_around_batches(batches):
+    """Hot seeds of cells of documents with the words around them."""
+    for batch in batches:
+        data, offsets = text_column(batch.column("text"))
+        yield from _around_rows(batch, data, offsets, batch.column("places"), np.asarray(batch.column("first")).astype(np.int64), ["k", "tk", "cell"])
+
+
+def _around_rows(batch, data, offsets, places, first, names):
+    """Rows of ``places`` (seed, at) with their keys; ``first`` is the place of a text's first word."""
+    ends = np.asarray(places.offsets)
+    flat = places.values
+    seed, at = (np.asarray(flat.field(x)) for x in ("seed", "at"))
+    for a, b in slices(offsets):
+        w = Words(data, offsets, a, b, lower=True)
+        lo, hi = int(ends[a]), int(ends[b])
+        row = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
+        here = at[lo:hi].astype(np.int64) - first[a + row]
+        for bit, has, key in _around(w.hash, w.rows[row] + here, w.rows[row], w.rows[row + 1], seed[lo:hi]):
+            if len(has):
+                take = pa.array(a + row[has])
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(x).take(take) for x in names), pa.array(at[lo:hi][has].astype(np.int32)), pa.array(np.full(len(has), 1 << bit, np.int32)), pa.array(key)],
+                    [*names, "at", "bit", "key"],
+                )
+
+
+def hot_pairs(own: DataFrame, known: DataFrame, hits: DataFrame, items: DataFrame, hot: DataFrame) -> DataFrame:
+    """Pairs of documents and items that share a hot seed and what an overlap around it needs.
+
+    ``hot`` is broadcast by the caller if it may be.  A window of 13 to 39 words
+    of which four fifths agree has 7 disagreements at most, so two of the words
+    that agree outside a seed in it lie within 9 places of the seed; a window of
+    13 words may have only one, which is the third word from it.  A longer
+    overlap holds such a window of 20 words or more.  So seeds meet by the words
+    around them, and a phrase of many items meets only what goes on alike.
+    """
+    places = lambda at: F.collect_set(F.struct("seed", F.col(at).alias("at"))).alias("places")
+    of_items = known.join(hot, "seed").groupBy("item", "ik").agg(places("at")).join(items, ["item", "ik"])
+    of_items = of_items.select("item", "ik", "text", "places").mapInArrow(tidy(_item_around_batches), "item bigint, ik bigint, at int, bit int, key bigint")
+    of_docs = own.join(hot, "seed").groupBy("k", "tk", "cell").agg(places("p"))
+    of_docs = of_docs.join(hits.select("k", "tk", "cell", "first", "text"), ["k", "tk", "cell"])
+    of_docs = of_docs.select("k", "tk", "cell", "first", "text", "places").mapInArrow(tidy(_hit_around_batches), "k bigint, tk bigint, cell int, at int, bit int, key bigint")
+    both = of_docs.withColumnRenamed("at", "p").distinct().join(of_items, ["key", "bit"])
+    agree = both.groupBy("k", "tk", "cell", "item", "ik", "p", "at").agg(F.bit_or("bit").alias("bits"))
+    lone = sum(1 << AROUND.index(x) for x in LONE)
+    return agree.filter((F.bit_count("bits") >= 2) | (F.col("bits").bitwiseAND(lone) != 0)).select("k", "tk", "cell", "item", "ik", (F.col("p") - F.col("at")).alias("place"))
+
+
 def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(h ^ _ODD[i]) & U64(bits - 1)) for i in range(FILTER_PROBES)]
 
@@ -233,7 +303,7 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, stage: Stage) -> D
     if not sizes["items"]:
         return docs.sparkSession.createDataFrame([], MATCH)
     lengths = sorted(n for n in sizes["short"] if n >= MIN_ITEM)
-    known = stage.cut(items.mapInArrow(tidy(_item_batches(lengths)), "seed bigint, item bigint, ik bigint, at int"), "seeds")
+    known = stage.cut(items.mapInArrow(tidy(_item_batches(lengths)), "seed bigint, item bigint, ik bigint, at int, long boolean"), "seeds")
     count = known.count()
     if not count:
         return docs.sparkSession.createDataFrame([], MATCH)
@@ -241,9 +311,15 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, stage: Stage) -> D
     hits = keyed.mapInArrow(tidy(_hit_batches(lengths, passing, int(sizes["longest"]))), "k bigint, tk bigint, cell int, first int, text string, hits array<struct<seed:bigint,at:int>>")
     hits = stage.cut(hits, "hits")
     own = hits.select("k", "tk", "cell", F.explode("hits").alias("h")).select("k", "tk", "cell", "h.seed", F.col("h.at").alias("p"))
-    right = F.broadcast(known) if count <= BROADCAST_SEEDS else known
-    pairs = own.join(right, "seed").select("k", "tk", "cell", "item", "ik", (F.col("p") - F.col("at")).alias("place")).distinct()
-    pairs = stage.cut(pairs, "pairs")
+    hot = stage.cut(known.filter("long").groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("seed"), "hot")
+    some = hot.count()
+    hot = F.broadcast(hot) if some <= BROADCAST_SEEDS else hot
+    right = known.join(hot, "seed", "left_anti") if some else known
+    right = F.broadcast(right) if count <= BROADCAST_SEEDS else right
+    pairs = own.join(right, "seed").select("k", "tk", "cell", "item", "ik", (F.col("p") - F.col("at")).alias("place"))
+    if some:
+        pairs = pairs.union(hot_pairs(own, known, hits, items, hot))
+    pairs = stage.cut(pairs.distinct(), "pairs")
     texts = items.select("item", "ik", F.col("text").alias("item_text"))
     texts = F.broadcast(texts) if sizes["items"] <= BROADCAST_SEEDS and sizes["words"] <= BROADCAST_WORDS else texts
     stage.keep(items, hits, pairs)
@@ -272,9 +348,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Documents are read once, by a filter of the benchmark's seeds of bounded
     size; what passes it is a seed and the words around it, so texts do not
-    move, long ones are cut into cells, and a frequent seed costs one row a
-    cell.  The benchmark's side of a join is broadcast if its measured size
-    allows it, and shuffled otherwise.
+    move, long ones are cut into cells.  A seed of many items meets documents by
+    the words around it too (``hot_pairs``), so a phrase that items share does
+    not pair all of them with all documents that have it.  The benchmark's side
+    of a join is broadcast if its measured size allows it, and shuffled
+    otherwise.
     """
     found = benchmark_overlaps(docs, benchmark, Stage(docs.sparkSession, "decontam"))
     best = found.groupBy("k", "item_id").agg(F.max(F.struct("n_same", "n_overlap", (-F.col("first_word")).alias("f"))).alias("b"))

@@ -405,3 +405,58 @@ def test_joins_quotes_and_heredocs_in_linear_time():
         start = time.time()
         lexed(text)
         assert time.time() - start < 20
+
+
+def test_decontamination_of_items_with_one_prompt(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import types as T
+
+    from quarry.llm import op4_decontam as op4
+    from tests.llm.test_llm import brute_overlap
+
+    made = {}
+    cut = op4.Stage.cut
+
+    def counted(self, df, name, *rest):
+        out = cut(self, df, name, *rest)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(op4.Stage, "cut", counted)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(1000)]
+    words = lambda n: [rng.choice(vocab) for _ in range(n)]
+    frames = lambda docs, items: (
+        spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], schema),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"),
+    )
+
+    prompt = words(10)
+    docs, items = [words(20) + prompt + words(20) for _ in range(300)], [words(10) + prompt + words(10) for _ in range(300)]
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if brute_overlap(t, x)}
+    got = {(r.doc_id, r.item_id) for r in op4.decontaminate(*frames(docs, items)).collect()}
+    assert made["hot"] >= 4 and made["pairs"] < 1000 and got == want
+
+    # items that are leaked, whole or around the prompt, with words replaced
+    items = [words(rng.randrange(12)) + prompt + words(rng.randrange(3, 40)) for _ in range(60)]
+    docs = []
+    for _ in range(6):
+        for item in items:
+            part = list(item)
+            at = next(a for a in range(len(part)) if part[a : a + 10] == prompt)
+            a = rng.randrange(at + 1)
+            part = part[a : max(a + 13, rng.randrange(at + 10, len(part) + 1))]
+            for x in rng.sample(range(len(part)), rng.randrange(len(part) // 5 + 1)):
+                part[x] = rng.choice(vocab)
+            docs.append(words(rng.randrange(20)) + part + words(rng.randrange(20)))
+    docs.append(docs[0])
+    want = {(d, i): x for d, t in enumerate(docs) for i, item in enumerate(items) if (x := brute_overlap(t, item))}
+    got = {(r.doc_id, r.item_id): (r.n_same, r.n_overlap, -r.first_word) for r in op4.decontaminate(*frames(docs, items)).collect()}
+    assert len(want) > 200 and set(got) <= set(want) and len(got) >= 0.97 * len(want), (len(want), len(got))
+    assert sum(got[x] == want[x] for x in got) >= 0.98 * len(got)
+    monkeypatch.setattr(op4, "HOT", 1 << 60)  # all seeds joined alone
+    plain = {(r.doc_id, r.item_id) for r in op4.decontaminate(*frames(docs, items)).collect()}
+    print(made, len(want), len(got), len(plain))
+    assert len(plain - set(got)) <= 0.01 * len(want)
