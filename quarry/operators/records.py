@@ -353,6 +353,36 @@ def media_tags(probes: DataFrame, labels: dict[str, str]) -> DataFrame:
     return p.select("doc_id", tags.alias("t")).select("doc_id", F.filter(F.array(*[F.struct(F.lit(label).alias("label"), pick(key).alias("value")) for key, label in labels.items()]), lambda x: x["value"].isNotNull()).alias("tags"))
 
 
+# A number as a probe writes it; a sign, fraction or exponent may be there.
+_SECONDS = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
+
+
+def media_probe(probes: DataFrame) -> DataFrame:
+    """Duration, kinds of streams and verdict of a media probe's answer.
+
+    Takes ``code`` (the exit of the probe, null where the file was not there)
+    and ``probe`` (its answer in JSON) and adds duration_seconds, has_audio,
+    has_video, ok and reason; other columns stay.  An answer that is not JSON,
+    or of another exit than 0, is ``unreadable_media``, one without a stream of
+    sound or pictures ``no_media_stream``; both tell no duration.  A duration
+    that is no number, not finite or below 0 is 0; streams that are no objects
+    are passed over.  An object that names a key twice counts as not JSON.
+    """
+    read = probes.withColumn("_v", F.when(F.col("code") == 0, F.try_parse_json("probe")))
+    streams = F.coalesce(F.try_variant_get("_v", "$.streams", "array<variant>"), F.array().cast("array<variant>"))
+    read = read.withColumn("_kinds", F.transform(streams, lambda s: F.try_variant_get(s, "$.codec_type", "string")))
+    raw = F.trim(F.try_variant_get("_v", "$.format.duration", "string"))
+    seconds = F.when(raw.rlike(_SECONDS), raw.try_cast("double"))
+    sound, pictures = F.array_contains(F.array_compact("_kinds"), "audio"), F.array_contains(F.array_compact("_kinds"), "video")
+    reason = F.when(F.col("code").isNull(), "file_missing").when(F.col("_v").isNull(), "unreadable_media").when(~(sound | pictures), "no_media_stream")
+    out = read.select(*probes.columns, reason.alias("reason"), seconds.alias("_s"), sound.alias("has_audio"), pictures.alias("has_video"))
+    ok = F.col("reason").isNull()
+    usable = ok & (F.col("_s") >= 0) & (F.col("_s") < float("inf"))
+    return out.select(
+        *probes.columns, F.when(usable, F.col("_s")).otherwise(0.0).alias("duration_seconds"), (ok & F.col("has_audio")).alias("has_audio"), (ok & F.col("has_video")).alias("has_video"), ok.alias("ok"), "reason"
+    )
+
+
 def stranded(files: DataFrame, origins: DataFrame, inbox: str) -> DataFrame:
     """path and target of files left in the queue: back to where they came from inside the inbox, else to its root."""
     j = files.join(origins.select(F.col("queued").alias("path"), "origin"), "path", "left")

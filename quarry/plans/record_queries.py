@@ -271,6 +271,21 @@ def media_tags(spark, d):
     return R.media_tags(_made(spark, d, PROBE), LABELS).select("doc_id", text.alias("tags"))
 
 
+PROBED = {
+    "doc_id": "doc_id",
+    "code": "CASE WHEN n_chars % 11 != 0 THEN CASE WHEN n_chars % 13 = 0 THEN 1 ELSE 0 END END",
+    "probe": """CASE n_chars % 9 WHEN 0 THEN '{"format":{"duration":"' || n_chars || '.5"},"streams":[{"codec_type":"audio"},null,3,{"codec_type":"' || lang || '"}]}'
+        WHEN 1 THEN '{"format":{"duration":' || n_chars || '},"streams":[{"codec_type":"video"},{"codec_type":"audio","tags":{"title":"' || source || '"}}]}'
+        WHEN 2 THEN '{"format":{"duration":"N/A"},"streams":[{"codec_type":"video"}]}' WHEN 3 THEN '{"format":{"duration":"-' || n_chars || '"},"streams":[{"codec_type":"audio"}]}'
+        WHEN 4 THEN '{"format":{"duration":"' || n_chars || '"},"streams":[{"codec_type":"' || lang || '"}]}' WHEN 5 THEN text
+        WHEN 6 THEN '{"format":{"duration":"9"},"streams":[{"codec_type":"audio"}]' WHEN 7 THEN '{"streams":[{"codec_type":"video"},{}],"format":null}' END""",
+}
+
+
+def media_probes(spark, d):
+    return R.media_probe(_made(spark, d, PROBED)).select("doc_id", "duration_seconds", "has_audio", "has_video", "ok", "reason")
+
+
 # ---- providers, prices, settings, texts ------------------------------------
 
 
@@ -437,7 +452,7 @@ QUERIES = {
     for f in (
         inbox_walk, library_walk, indexable_walk, repository_roots, category_paths, branch_files, empty_folders, nearest_branches, body_texts, work_sets, repository_inventory, mirror_plan, trash_expired, zones,
         classifiable_folders, list_documents, pending_decisions, confirmed_timestamps, name_sync, enrich_keywords, fiche_dates, clean_analysis, route_analysis, review_route, placements, listed_files,
-        regroup_refusals, nesting_conflicts, snapshot_rebuild, snapshot_meta, verify_catalog, dry_run_batch, calls_estimate, stranded_files, media_tags, provider_chains, configured_providers,
+        regroup_refusals, nesting_conflicts, snapshot_rebuild, snapshot_meta, verify_catalog, dry_run_batch, calls_estimate, stranded_files, media_tags, media_probes, provider_chains, configured_providers,
         price_sources, model_families, can_price, reminders, user_language, document_markers, context_texts, probe_plan, run_settings, reply_units, versions, reply_json, date_hints, highlights, scrub_counters,
         sidecars_kept, log_prefilter, search_expanded, analysis_injected, media_folders, filed_names, trash_plan, diagnostics,
     )
@@ -502,6 +517,11 @@ ORACLES = {
     "calls_estimate": f"SELECT chains, x.task AS task, x.l::BIGINT AS calls_low, x.h::BIGINT AS calls_high FROM ({_estimate('all', True, True)} UNION ALL {_estimate('some', False, False)})",
     "stranded_files": "SELECT 'queue/q' || doc_id || '.txt' AS path, CASE WHEN doc_id % 5 = 0 OR doc_id % 3 = 0 THEN 'inbox/q' || doc_id || '.txt' ELSE 'inbox/' || lang || '/a' || doc_id || '.txt' END AS target FROM documents",
     "media_tags": "SELECT doc_id, 'Title=' || CASE WHEN doc_id % 3 = 0 THEN 's' || doc_id ELSE source END || '|Artist=' || lang AS tags FROM documents",
+    "media_probes": f"""WITH p AS (SELECT {', '.join(f'{x} AS {name}' for name, x in PROBED.items())} FROM documents), j AS (SELECT doc_id, code, CASE WHEN code = 0 AND json_valid(probe) THEN probe END AS v FROM p),
+    k AS (SELECT doc_id, code, v, try_cast(json_extract_string(v, '$.format.duration') AS DOUBLE) AS s, coalesce(list_contains(json_extract(v, '$.streams[*].codec_type')::VARCHAR[], '"audio"'), false) AS a,
+        coalesce(list_contains(json_extract(v, '$.streams[*].codec_type')::VARCHAR[], '"video"'), false) AS w FROM j),
+    r AS (SELECT *, CASE WHEN code IS NULL THEN 'file_missing' WHEN v IS NULL THEN 'unreadable_media' WHEN NOT (a OR w) THEN 'no_media_stream' END AS reason FROM k)
+    SELECT doc_id, CASE WHEN reason IS NULL AND s >= 0 AND isfinite(s) THEN s ELSE 0 END::DOUBLE AS duration_seconds, reason IS NULL AND a AS has_audio, reason IS NULL AND w AS has_video, reason IS NULL AS ok, reason FROM r""",
     "provider_chains": "SELECT doc_id, n, CASE WHEN doc_id % 4 = 3 THEN lang WHEN n = 0 THEN 'paid' ELSE 'home' END AS provider, CASE WHEN doc_id % 4 = 3 THEN source WHEN n = 0 THEN 'm1:x' ELSE 'm' || (doc_id % 3) END AS model FROM documents, (VALUES (0::BIGINT), (1)) v(n) WHERE doc_id % 4 = 0 OR (doc_id % 4 = 3 AND n = 0)",
     "configured_providers": "SELECT DISTINCT CASE WHEN doc_id % 4 = 3 THEN lang WHEN n = 0 THEN 'paid' ELSE 'home' END AS provider FROM documents, (VALUES (0), (1)) v(n) WHERE doc_id % 4 = 0 OR (doc_id % 4 = 3 AND n = 0)",
     "price_sources": "SELECT 1::BIGINT AS priority, source || '-' || doc_id AS model, CASE WHEN doc_id % 3 > 0 THEN n_chars END::DOUBLE AS price FROM documents WHERE doc_id % 4 = 1",
