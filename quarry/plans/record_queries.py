@@ -101,7 +101,7 @@ def nearest_branches(spark, d):
 def body_texts(spark, d):
     files = _made(spark, d, FILES | {"text": "text"})
     beside = files.filter("doc_id % 4 = 0").select(F.regexp_replace("path", "([^/]+)$", ".$1.txt").alias("path"), F.concat(F.lit("ocr "), "doc_id").alias("text"))
-    out = I.bodies(files, beside, files.filter("doc_id % 4 != 1").select("path", "text"), 5000)
+    out = I.bodies(files, beside, files.filter("doc_id % 4 != 1").select("path", "text"))
     return out.select("doc_id", F.length("body").cast("long").alias("n_chars"), F.sha2("body", 256).alias("sha256"))
 
 
@@ -485,7 +485,7 @@ ORACLES = {
     "empty_folders": f"SELECT DISTINCT path FROM (SELECT unnest({_up('path')}) AS path FROM {_F}) WHERE path NOT IN (SELECT unnest({_up('path')}) FROM {_F} WHERE doc_id % 12 IN (0, 4, 7) AND doc_id % 3 != 0)",
     "nearest_branches": f"""WITH u AS (SELECT DISTINCT unnest({_up('path')}) AS label FROM {_F}), w AS (SELECT doc_id, unnest([{{'ord': 0, 'p': 'Personal/Hobbies/' || lang || '/new'}}, {{'ord': 1, 'p': 'Work/Business/Clients/none/none'}}, {{'ord': 2, 'p': 'Personal/Hobbies/' || lang}}]) AS x FROM documents),
     n AS (SELECT doc_id, x.ord AS ord, arg_max(label, length(label)) AS label FROM w JOIN u ON x.p = label OR starts_with(x.p, label || '/') GROUP BY 1, 2) SELECT doc_id, label, min(ord) AS ord FROM n GROUP BY 1, 2""",
-    "body_texts": "SELECT doc_id, length(b)::BIGINT AS n_chars, sha256(b) AS sha256 FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ocr ' || doc_id WHEN 1 THEN '' ELSE coalesce(text, '')[1:5000] END AS b FROM documents)",
+    "body_texts": "SELECT doc_id, length(b)::BIGINT AS n_chars, sha256(b) AS sha256 FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ocr ' || doc_id WHEN 1 THEN '' ELSE coalesce(text, '')[1:100000] END AS b FROM documents)",
     "work_sets": f"SELECT CASE WHEN path LIKE '%/%' THEN split_part(path, '/', 1) ELSE '' END AS folder, split_part(path, '/', 1) AS set_key, count(*)::BIGINT AS n_files FROM {_F} GROUP BY 1, 2",
     "repository_inventory": f"WITH f AS (SELECT * FROM {_F} WHERE path LIKE 'Work/code/%') SELECT CASE WHEN path LIKE '%.sh' THEN 'sh' ELSE 'none' END AS ext, count(*)::BIGINT AS n, (SELECT count(DISTINCT split_part(path, '/', 3)) FROM f)::BIGINT AS n_roots FROM f GROUP BY 1 ORDER BY n DESC, ext LIMIT 6",
     "mirror_plan": f"SELECT path, CASE WHEN doc_id % 3 = 0 THEN 'copy' WHEN doc_id % 4 = 0 THEN 'replace' ELSE 'keep' END AS action FROM {_F}",

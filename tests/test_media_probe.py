@@ -40,3 +40,15 @@ def test_media_probe(spark):
     found = [(r.doc_id, (r.duration_seconds, r.has_audio, r.has_video, r.ok, r.reason)) for r in got.collect()]
     assert sorted(found, key=lambda x: x[0]) == sorted(((i, plain(c, x)) for i, c, x, _ in cases * 2), key=lambda x: x[0])
     assert R.media_probe(df.limit(0)).count() == 0
+
+
+def test_bodies_are_cut_at_the_rules_length(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import inventory as I
+
+    rows = spark.createDataFrame([(1, "a/x.txt"), (2, "a/y.txt"), (3, "z.txt"), (4, "a/none.pdf")], "doc_id long, path string")
+    beside = spark.createDataFrame([("a/.y.txt.txt", "from beside")], "path string, text string")
+    texts = spark.createDataFrame([("a/x.txt", "é" * 150_000), ("a/y.txt", "own"), ("z.txt", "b" * 100_000)], "path string, text string")
+    got = {r.doc_id: r.body for r in I.bodies(rows, beside, texts).select("doc_id", F.col("body")).collect()}
+    assert got == {1: "é" * 100_000, 2: "from beside", 3: "b" * 100_000, 4: ""}
