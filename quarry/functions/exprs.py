@@ -121,6 +121,17 @@ def release(version: Column) -> Column:
     return F.when(F.forall(parts, lambda p: p.isNotNull()), parts)
 
 
+def json_value(x: Column) -> Column:
+    """A text that is one JSON value as a variant; null for any other, and for one that goes on after its value.
+
+    Spark's parser reads the first value and leaves the rest unread, so the
+    text is parsed in a list before a text that it can't hold, which must come second.
+    """
+    end = F.md5(x)
+    listed = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), end, F.lit('"]')))
+    return F.when(F.try_variant_get(listed, "$[1]", "string") == end, F.try_parse_json(x))
+
+
 def _json_object(text: str | None) -> str | None:
     text = (text or "").strip()
     fence = "```"

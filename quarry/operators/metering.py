@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.exprs import json_value
 
 # The names under which replies tell each unit, in a usage block and at the top.
 UNITS = {
@@ -22,7 +23,7 @@ def extract_units(body: Column) -> Column:
     A unit is measured where its key stands, whatever its value; values that
     are no whole number, or a text of one, count 0, and fractions are cut.
     """
-    parsed = F.try_parse_json(body)
+    parsed = json_value(body)
     cells = {}
     for unit, names in UNITS.items():
         paths = [f"$.{block}.{name}" for block in ("usage", "usage_info") for name in names]

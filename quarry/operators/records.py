@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.exprs import cleaned, cleaned_list, cleaned_path, day, safe_stem, strip_timestamp
+from quarry.functions.exprs import cleaned, cleaned_list, cleaned_path, day, json_value, safe_stem, strip_timestamp
 from quarry.functions.paths import REVIEW, dispatch, normalise_category, reroot, segments
 from quarry.operators.catalog import DELETED, PENDING, STORED
 
@@ -33,14 +33,14 @@ def confirmed_timestamps(rows: DataFrame) -> DataFrame:
 
 def with_content(rows: DataFrame) -> DataFrame:
     """Stored rows whose fiche is a JSON object, with it as a variant."""
-    parsed = F.try_parse_json("content_json")
+    parsed = json_value(F.col("content_json"))
     stored = rows.filter((F.col("status") == STORED) & F.col("content_json").isNotNull()).withColumn("fiche", parsed)
     return stored.filter(F.schema_of_variant("fiche").startswith("OBJECT"))
 
 
 def clean_analysis(replies: DataFrame) -> DataFrame:
     """Typed columns of an analysis reply (doc_id, reply): each value of the wrong type is null."""
-    parsed = replies.select("doc_id", F.try_parse_json("reply").alias("v"))
+    parsed = replies.select("doc_id", json_value(F.col("reply")).alias("v"))
     text = lambda p: F.when(F.schema_of_variant(F.try_variant_get("v", p, "variant")) == "STRING", F.try_variant_get("v", p, "string"))
     items = lambda p: F.transform(F.try_variant_get("v", p, "array<variant>"), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
     stem = F.regexp_replace(cleaned(text("$.name")), "^[\"']+|[\"']+$", "")
@@ -169,7 +169,7 @@ def snapshot(rows: DataFrame, library_root: str, now: str, source: str) -> DataF
     written by many tasks, and only a reader of the whole file needs it whole.
     """
     columns = [c for c in rows.columns if c not in ("content_json", "pending_decision", "last_verified_utc")]
-    parsed = F.try_parse_json("content_json")
+    parsed = json_value(F.col("content_json"))
     content = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
     text = F.to_json(F.struct(*columns, content.alias("content")), {"ignoreNullFields": "false"})
     head = rows.agg(F.count(F.lit(1)).alias("n"), F.max("updated_at_utc").alias("latest"))
@@ -368,7 +368,7 @@ def media_probe(probes: DataFrame) -> DataFrame:
     that is no number, not finite or below 0 is 0; streams that are no objects
     are passed over.  An object that names a key twice counts as not JSON.
     """
-    read = probes.withColumn("_v", F.when(F.col("code") == 0, F.try_parse_json("probe")))
+    read = probes.withColumn("_v", F.when(F.col("code") == 0, json_value(F.col("probe"))))
     streams = F.coalesce(F.try_variant_get("_v", "$.streams", "array<variant>"), F.array().cast("array<variant>"))
     read = read.withColumn("_kinds", F.transform(streams, lambda s: F.try_variant_get(s, "$.codec_type", "string")))
     raw = F.trim(F.try_variant_get("_v", "$.format.duration", "string"))

@@ -52,3 +52,10 @@ def test_bodies_are_cut_at_the_rules_length(spark):
     texts = spark.createDataFrame([("a/x.txt", "é" * 150_000), ("a/y.txt", "own"), ("z.txt", "b" * 100_000)], "path string, text string")
     got = {r.doc_id: r.body for r in I.bodies(rows, beside, texts).select("doc_id", F.col("body")).collect()}
     assert got == {1: "é" * 100_000, 2: "from beside", 3: "b" * 100_000, 4: ""}
+
+
+def test_an_answer_that_goes_on_after_its_value(spark):
+    answers = ['3 words', '"a" b', '{"streams":[{"codec_type":"audio"}]} x', '1], [2', "1, 2", "null null", ' 3 \n', '{"streams":[{"codec_type":"audio"}]}\n']
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(answers)], "doc_id long, code int, probe string")
+    found = [r.reason for r in R.media_probe(df).orderBy("doc_id").collect()]
+    assert found == [*["unreadable_media"] * 6, "no_media_stream", None]
