@@ -5,7 +5,8 @@ so no cut parts a backslash from what it escapes.  A first pass tells of each
 range what it does to the nesting, once for a start inside a string and once outside;
 these are composed in order, and then each range knows where it starts.  A
 second pass cuts out the records; the pieces of those that lie in several ranges
-are put together.
+are put together.  The reader doesn't tell whether a file ends with the ``}`` that
+it cuts at, so the last one of a range is held back, and the size of the file tells.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = re.compile(rb'"documents"\s*:\s*$')
-_STATE = "file string, start bigint, quoted boolean, stack string"
+_STATE = "file string, start bigint, quoted boolean, stack string, ended boolean"
 
 
 def _structure(text: bytes, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -62,28 +63,33 @@ def _then(stack: str, closed: int, opened: str) -> tuple[int, str]:
 
 
 def _ranges(batches):
-    """(file, start, text) of each piece of a range in turn, some pieces at a time."""
+    """(row, text) of each piece of a range in turn, some pieces at a time, without the last ``}`` of the range."""
+    last = None
     for batch in batches:
         table = batch.to_pandas()
         change = (table["file"] != table["file"].shift()) | (table["start"] != table["start"].shift())
         for _, part in table.groupby(change.cumsum(), sort=False):
-            yield part.iloc[0], "".join(x + "}" for x in part["value"]).encode()
+            first = part.iloc[0]
+            key = (first["file"], first["start"])
+            yield first, (("}" if key == last else "") + "}".join(part["value"])).encode()
+            last = key
 
 
 def _effects(batches):
     import pyarrow as pa
 
-    now, told = None, None
+    now, told, size, n = None, None, 0, 0
 
     def row():
-        return pa.RecordBatch.from_pylist([{"file": now[0], "start": now[1]} | {f"{k}{q}": v for q in (0, 1) for k, v in zip(("quoted", "closed", "opened"), told[q])}])
+        return pa.RecordBatch.from_pylist([{"file": now[0], "start": now[1], "size": size, "n": n} | {f"{k}{q}": v for q in (0, 1) for k, v in zip(("quoted", "closed", "opened"), told[q])}])
 
     for first, text in _ranges(batches):
         key = (first["file"], int(first["start"]))
         if now is not None and key != now:
             yield row()
         if key != now:
-            now, told = key, [(False, 0, ""), (True, 0, "")]
+            now, told, size, n = key, [(False, 0, ""), (True, 0, "")], int(first["size"]), 1
+        n += len(text)
         for q in (0, 1):
             quoted, closed, stack = told[q]
             after, c, o = _effect(text, quoted)
@@ -94,14 +100,18 @@ def _effects(batches):
 
 
 def _states(rows: pd.DataFrame) -> pd.DataFrame:
-    """The state before each range: whether in a string, and the open levels."""
+    """The state before each range: whether in a string, the open levels, and whether it ends with ``}``."""
+    rows = rows.sort_values(["file", "start"])
+    rows["ended"] = rows["file"].duplicated(keep="last") | (rows.groupby("file")["n"].transform("sum") <= rows["size"])
     quoted, stack, out = False, "", []
-    for r in rows.sort_values(["file", "start"]).itertuples():
-        out.append((r.file, r.start, quoted, stack))
+    for r in rows.itertuples():
+        out.append((r.file, r.start, quoted, stack, r.ended))
         q = int(quoted)
         quoted = bool((r.quoted0, r.quoted1)[q])
         stack = _then(stack, (r.closed0, r.closed1)[q], (r.opened0, r.opened1)[q])[1]
-    return pd.DataFrame(out, columns=["file", "start", "quoted", "stack"])
+        if r.ended and not quoted:
+            stack = stack[:-1]
+    return pd.DataFrame(out, columns=["file", "start", "quoted", "stack", "ended"])
 
 
 class _Cutter:
@@ -150,15 +160,22 @@ def _records(batches):
             yield pa.RecordBatch.from_pylist([{"file": key[0], "start": key[1], "kind": k, "text": t.decode()} for k, t in found])
 
     now = cutter = None
+    ended = False
+
+    def done():
+        if ended:
+            yield from rows(now, cutter.cut(b"}"))
+        yield from rows(now, cutter.rest())
+
     for first, text in _ranges(batches):
         key = (first["file"], int(first["start"]))
         if key != now:
             if cutter is not None:
-                yield from rows(now, cutter.rest())
-            now, cutter = key, _Cutter(bool(first["quoted"]), first["stack"])
+                yield from done()
+            now, cutter, ended = key, _Cutter(bool(first["quoted"]), first["stack"]), bool(first["ended"])
         yield from rows(now, cutter.cut(text))
     if cutter is not None:
-        yield from rows(now, cutter.rest())
+        yield from done()
 
 
 def read_large_snapshot(spark: SparkSession, path: str, document: str) -> DataFrame:
@@ -169,11 +186,11 @@ def read_large_snapshot(spark: SparkSession, path: str, document: str) -> DataFr
     by many tasks, twice; what is gathered is one row a range.  A record may
     lie in any number of ranges.
     """
-    pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), "value")
     effect = ", ".join(f"quoted{q} boolean, closed{q} bigint, opened{q} string" for q in (0, 1))
-    effects = pieces.mapInArrow(_effects, f"file string, start bigint, {effect}")
+    effects = pieces.mapInArrow(_effects, f"file string, start bigint, size bigint, n bigint, {effect}")
     states = effects.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_states, _STATE)  # one row a range
-    known = pieces.join(F.broadcast(states), ["file", "start"]).select("file", "start", "value", "quoted", "stack")
+    known = pieces.join(F.broadcast(states), ["file", "start"]).select("file", "start", "value", "quoted", "stack", "ended")
     cut = known.mapInArrow(_records, "file string, start bigint, kind string, text string")
     # a tail goes with the last head before it
     rank = F.when(F.col("kind") == "head", 1).otherwise(0)
