@@ -30,6 +30,9 @@ _ASCII = {c: p for c, p in _decomposed("NFKD", str.isascii).items() if p}
 ACCENTED, PLAIN = "".join(_BASE), "".join(_BASE.values())
 _TO_ASCII = {c: p for c, p in _ASCII.items() if len(p) == 1}
 _SPELLED = {c: p for c, p in _ASCII.items() if len(p) > 1}
+#: What a letter of one character is in a slug: its ASCII form, or '-'.
+_WORD = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+_DASHED = {c: p if p in _WORD else "-" for c, p in {**{chr(i): chr(i) for i in range(128)}, **_TO_ASCII}.items() if c != p or p not in _WORD}
 TOKEN = "([\\p{L}\\p{N}]+)"
 TOKEN_MARKED = "([\\p{L}\\p{N}][\\p{L}\\p{N}\\p{Mn}]*)"  # the same tokens in a text that is not folded
 
@@ -51,13 +54,17 @@ def tokens(x: Column) -> Column:
 
 def slug(x: Column) -> Column:
     """ASCII file-name stem: runs of other characters become '-', or '_' where one stood."""
-    spelled = F.create_map(*[F.lit(y) for pair in _SPELLED.items() for y in pair])
-    rare = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(spelled, c), c)), "")
-    one = F.when(x.rlike("[" + "".join(_SPELLED) + "]"), rare).otherwise(x)
-    ascii_ = F.regexp_replace(F.translate(one, "".join(_TO_ASCII), "".join(_TO_ASCII.values())), "[^\\x00-\\x7F]", "")
-    dashed = F.regexp_replace(ascii_, "[^A-Za-z0-9_]+", "-")
-    joined = F.regexp_replace(dashed, "[-_]*_[-_]*", "_")
-    return F.coalesce(F.nullif(F.regexp_replace(joined, "^[-_]+|[-_]+$", ""), F.lit("")), F.lit("file"))
+    # what is spelled out is looked up: a class of all those letters would be tried one by one at every character
+    spelled, other = F.create_map(*[F.lit(y) for c, p in _SPELLED.items() for y in (c, "".join(z if z in _WORD else "-" for z in p))]), "[^\\x00-\\x7F]"
+
+    def ascii_of(plain: Column) -> Column:
+        pieces = F.zip_with(F.split(plain, other, -1), F.regexp_extract_all(plain, F.lit(f"({other})")), lambda p, c: F.concat(p, F.coalesce(F.try_element_at(spelled, c), F.lit(""))))
+        return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(F.array_join(pieces, ""))
+
+    dashed = let(F.translate(x, "".join(_DASHED), "".join(_DASHED.values())), ascii_of)
+    joined = let(dashed, lambda s: F.when(F.contains(s, F.lit("_")), F.regexp_replace(s, "[-_]*_[-_]*", "_")).otherwise(s))
+    trimmed = F.btrim(F.regexp_replace(joined, "--+", "-"), F.lit("-_"))
+    return let(F.coalesce(trimmed, F.lit("")), lambda s: F.when(s == "", F.lit("file")).otherwise(s))
 
 
 def strip_timestamp(stem: Column) -> Column:
